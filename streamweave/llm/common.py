@@ -7,11 +7,25 @@ library imports it.
 from __future__ import annotations
 
 import tempfile
+import warnings
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from streamweave.functions.shipping import ship_package
+
+
+def arrow_udf(spark: SparkSession, function, kind: str):
+    """An Arrow UDF over an iterator of batches; the package goes along to the workers."""
+    ship_package(spark)
+    function.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        return F.arrow_udf(function, kind, F.ArrowUDFType.SCALAR_ITER)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one of the driver's Parquet tables through Spark's own reader."""

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from streamweave.llm import bpe
-from streamweave.llm.common import cut, fresh, parts, table
+from streamweave.llm.common import arrow_udf, cut, parts, table
 from streamweave.llm.tokens import shipped
 
 #: Id that ends every document (fixed value of the contract).
@@ -121,8 +121,7 @@ def cut_pieces(df: DataFrame, id_col: str, text_col: str, capacity: int, tokeniz
                 out.append([(i, a, b - a, zlib.crc32(raw[4 * a : 4 * b])) for i, (a, b) in enumerate(zip(marks, marks[1:], strict=False))])
             yield pa.array([[dict(zip(("piece", "start", "length", "ids_crc32"), x, strict=True)) for x in row] for row in out], kind)
 
-    pieces.__annotations__ = {"batches": "Iterator[pa.Array]", "return": "Iterator[pa.Array]"}
-    udf = F.arrow_udf(pieces, "array<struct<piece:int,start:long,length:long,ids_crc32:long>>", F.ArrowUDFType.SCALAR_ITER)
+    udf = arrow_udf(df.sparkSession, pieces, "array<struct<piece:int,start:long,length:long,ids_crc32:long>>")
     return df.select(F.col(id_col).alias("doc_id"), F.explode(udf(F.col(text_col))).alias("p")).select("doc_id", "p.*")
 
 

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from streamweave.llm.fingerprints import op9_document_fingerprints
 from streamweave.llm.packing import op2_best_fit_packing
+from streamweave.llm.sharding import op10_hilbert_shards
+from streamweave.llm.simhash import op4_simhash_near_dedup
 from streamweave.llm.tokens import op1_token_counts
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op9_document_fingerprints": op9_document_fingerprints,
+    "op10_hilbert_shards": op10_hilbert_shards,
 }
 ORACLE_SQL: dict[str, str] = {}

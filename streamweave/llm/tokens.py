@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streamweave.llm import bpe
-from streamweave.llm.common import drop_clashing, fresh, table
+from streamweave.llm.common import arrow_udf, drop_clashing, fresh, table
 
 DEFAULT_FILE = "byte_bpe_50k.json"
 
@@ -46,8 +46,7 @@ def count_tokens(df: DataFrame, text_col: str = "text", tokenizer_path: str | No
         for texts in batches:
             yield pa.array([len(ids(t)) >> 2 for t in texts.to_pylist()], pa.int64())
 
-    counts.__annotations__ = {"batches": "Iterator[pa.Array]", "return": "Iterator[pa.Array]"}
-    udf = F.arrow_udf(counts, "long", F.ArrowUDFType.SCALAR_ITER)
+    udf = arrow_udf(df.sparkSession, counts, "long")
     (text,) = fresh(df, "text")
     kept = drop_clashing(df.withColumn(text, F.col(text_col)), ["n_bytes", "n_tokens", "over_limit"])
     out = kept.withColumns({"n_bytes": F.coalesce(F.octet_length(text), F.lit(0)).cast("long"), "n_tokens": udf(F.col(text))})
