@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from streamweave.llm.fingerprints import op9_document_fingerprints
+from streamweave.llm.html_text import op3_html_main_text
 from streamweave.llm.packing import op2_best_fit_packing
 from streamweave.llm.sharding import op10_hilbert_shards
 from streamweave.llm.simhash import op4_simhash_near_dedup
@@ -11,6 +12,7 @@ from streamweave.llm.tokens import op1_token_counts
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_html_main_text": op3_html_main_text,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op9_document_fingerprints": op9_document_fingerprints,
     "op10_hilbert_shards": op10_hilbert_shards,
