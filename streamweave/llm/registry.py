@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from streamweave.llm.fingerprints import op9_document_fingerprints
 from streamweave.llm.html_text import op3_html_main_text
+from streamweave.llm.language import op5_language_id
 from streamweave.llm.packing import op2_best_fit_packing
+from streamweave.llm.quality import op6_quality_classifier
 from streamweave.llm.sharding import op10_hilbert_shards
 from streamweave.llm.simhash import op4_simhash_near_dedup
 from streamweave.llm.tokens import op1_token_counts
@@ -14,6 +16,8 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_html_main_text": op3_html_main_text,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_language_id": op5_language_id,
+    "op6_quality_classifier": op6_quality_classifier,
     "op9_document_fingerprints": op9_document_fingerprints,
     "op10_hilbert_shards": op10_hilbert_shards,
 }
