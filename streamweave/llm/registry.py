@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from streamweave.llm.decontamination import op7_benchmark_decontamination
 from streamweave.llm.fingerprints import op9_document_fingerprints
 from streamweave.llm.html_text import op3_html_main_text
 from streamweave.llm.language import op5_language_id
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_language_id": op5_language_id,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op9_document_fingerprints": op9_document_fingerprints,
     "op10_hilbert_shards": op10_hilbert_shards,
 }
