@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamweave.llm.common import arrow_udf, table
+from streamweave.llm.common import arrow_udf, drop_clashing, fresh, table
 
 #: Words in a seed, and how much more frequent than the item's median one it may be.
 SEED, RARE = 3, 4
@@ -157,20 +157,22 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str):
         yield block
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD, size: int = SEED) -> DataFrame:
-    """(doc_id, item_id, score, first_word, end_word): a row per document and item that leaks.
+LEAK = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("first_word", pa.int64()), ("end_word", pa.int64())]))
+LEAKS = "array<struct<item_id:long,score:double,first_word:long,end_word:long>>"
+
+
+def with_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD, size: int = SEED, name: str = "leaks") -> DataFrame:
+    """Add an array of (item_id, score, first_word, end_word), one for each item that leaks.
 
     score is the alignment's share of the item's perfect one (1: a verbatim
-    copy); rows reach `threshold`.  Positions count the document's words.  Null
-    texts have no words; items with null id or text or fewer than `size` words
-    aren't searched for.  Repeated documents and items give rows each; a null
-    document id is kept.  Empty tables give an empty result; other columns don't
-    matter.
+    copy); those listed reach `threshold`.  Positions count the document's words.
+    Null texts have no words; items with null id or text or fewer than `size`
+    words aren't searched for; repeated items are listed each.  A column of that
+    name is replaced, all others are kept.
     """
     spark = docs.sparkSession
-    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("first_word", pa.int64()), ("end_word", pa.int64())]))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    out = None
+    (text,) = fresh(docs, "text")
+    out = drop_clashing(docs.withColumn(text, F.col(text_col)), [name]).withColumn(name, F.array().cast(LEAKS))
     for block in _blocks(benchmark, item_col, item_text_col):
         seeds = Seeds(block, size)
         if not len(seeds.grams):
@@ -183,7 +185,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                 offsets = np.cumsum([0, *map(len, found)], dtype=np.int32)
                 yield pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*found, np.zeros(0, np.int64)]).astype(np.int64)))
 
-        counts = rows.select(F.explode(arrow_udf(spark, occurring, "array<long>")(F.col("text"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+        grams = arrow_udf(spark, occurring, "array<long>")(F.col(text_col))
+        counts = docs.select(F.explode(grams).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
         frequency = np.zeros(len(seeds.grams), np.int64)
         for row in counts.collect():  # at most one row per n-gram of the block
             frequency[row["gram"]] = row["n"]
@@ -193,14 +196,21 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         def aligned(batches, shared=ready):
             for texts in batches:
                 found = [[x for x in shared.value.alignments(shared.value.encode(t)) if x[1] >= threshold] for t in texts.to_pylist()]
-                yield pa.array([[dict(zip(("item_id", "score", "first_word", "end_word"), x, strict=True)) for x in row] for row in found], kind)
-
-        udf = arrow_udf(spark, aligned, "array<struct<item_id:long,score:double,first_word:long,end_word:long>>")
-        part = rows.select("doc_id", F.explode(udf(F.col("text"))).alias("leak")).select("doc_id", "leak.*")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = rows.where("false").selectExpr("doc_id", "cast(null as long) item_id", "cast(null as double) score", "cast(null as long) first_word", "cast(null as long) end_word")
-    return out
+                yield pa.array([[dict(zip(("item_id", "score", "first_word", "end_word"), x, strict=True)) for x in row] for row in found], LEAK)
+
+        out = out.withColumn(name, F.concat(name, arrow_udf(spark, aligned, LEAKS)(F.col(text))))
+    return out.drop(text)
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, **more) -> DataFrame:
+    """(doc_id, item_id, score, first_word, end_word): a row per document and item that leaks.
+
+    As `with_leaks`; a null document id is kept, repeated documents give rows
+    each, and empty tables give an empty result.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    found = with_leaks(rows, benchmark, threshold=threshold, **more)
+    return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

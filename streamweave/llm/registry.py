@@ -7,6 +7,7 @@ from streamweave.llm.fingerprints import op9_document_fingerprints
 from streamweave.llm.html_text import op3_html_main_text
 from streamweave.llm.language import op5_language_id
 from streamweave.llm.packing import op2_best_fit_packing
+from streamweave.llm.pii import op8_pii_spans
 from streamweave.llm.quality import op6_quality_classifier
 from streamweave.llm.sharding import op10_hilbert_shards
 from streamweave.llm.simhash import op4_simhash_near_dedup
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_language_id": op5_language_id,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op8_pii_spans": op8_pii_spans,
     "op9_document_fingerprints": op9_document_fingerprints,
     "op10_hilbert_shards": op10_hilbert_shards,
 }
