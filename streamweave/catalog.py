@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from streamweave.plans import network_queries, relational_queries, series_queries
+
+QUERIES = {**series_queries.Q, **relational_queries.Q, **network_queries.Q}
+ORACLE_SQL = {**series_queries.SQL, **relational_queries.SQL, **network_queries.SQL}
