@@ -120,13 +120,13 @@ KNN = f"""{POINTS}, nn AS (SELECT * FROM (SELECT p.id, g.id AS gauge, g.label +
 @query(f"WITH {KNN} SELECT id, gauge, round(dist, 6) AS distance, nth FROM nn")
 def knn8(spark, d):
     p, g = _knn_inputs(spark, d)
-    return spatial.nearest_k(p, g, "id", "gauge", 8, 0.05).select("id", "gauge", F.round("distance", 6).alias("distance"), F.col("nth").cast("long").alias("nth"))
+    return spatial.nearest_k(p, g, "id", "gauge", 8).select("id", "gauge", F.round("distance", 6).alias("distance"), F.col("nth").cast("long").alias("nth"))
 
 
 @query(f"WITH {KNN} SELECT id, round(exp(sum(ln(q) / power(greatest(dist, 1e-4), 2)) / sum(1 / power(greatest(dist, 1e-4), 2))), 5) AS estimate FROM nn GROUP BY id")
 def idw_geometric(spark, d):
     p, g = _knn_inputs(spark, d)
-    return regional.interpolate(p, g, "id", "gauge", "q", 8, 0.05).select("id", F.round("estimate", 5).alias("estimate"))
+    return regional.interpolate(p, g, "id", "gauge", "q", 8).select("id", F.round("estimate", 5).alias("estimate"))
 
 
 @query(f"""WITH {POINTS}, nn AS (SELECT * FROM (SELECT p.id, p.label + 1.0 AS obs, g.label + 1.0 AS q, sqrt((p.x - g.x) * (p.x - g.x) + (p.y - g.y) * (p.y - g.y)) AS dist,
@@ -135,7 +135,7 @@ e AS (SELECT id, obs, exp(sum(ln(q) / power(greatest(dist, 1e-4), 2)) / sum(1 /
 SELECT count(*) AS n, round(avg(CASE WHEN r BETWEEN 0.5 AND 2 THEN 100.0 ELSE 0 END), 3) AS within_2x, round(avg(CASE WHEN r BETWEEN 1 / 1.5::DOUBLE AND 1.5 THEN 100.0 ELSE 0 END), 3) AS within_15x, round(power(10, median(log10(r))), 4) AS bias FROM e""")
 def cross_validation_idw(spark, d):
     s = points(spark, d).select("id", F.col("x").alias("sx"), F.col("y").alias("sy"), (F.col("label") + 1.0).alias("q"))
-    r = regional.validation_report(regional.cross_validate(s, "id", "q", 5, 8, 0.05))
+    r = regional.validation_report(regional.cross_validate(s, "id", "q", 5, 8))
     return r.select("n", F.round("within_2x", 3).alias("within_2x"), F.round("within_15x", 3).alias("within_15x"), F.round("bias", 4).alias("bias"))
 
 
