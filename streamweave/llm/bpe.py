@@ -30,7 +30,7 @@ UNUSUAL = re.compile("[^\t\n\r -~¡-±´-¸º»¿-ſ]").search
 #: ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+) over those characters.
 PRETOKENS = re.compile(rf" [{LETTERS}]+|[{LETTERS}]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+").findall
 #: Memoised strings per generation; two generations are kept in each memo.
-MEMO = 300_000
+MEMO = 100_000
 
 
 def shortcut_applies(config: str) -> bool:

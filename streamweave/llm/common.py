@@ -18,13 +18,21 @@ from pyspark.sql import functions as F
 from streamweave.functions.shipping import ship_package
 
 
+#: Rows that a Python worker holds as Python objects at a time.
+SLICE = 1000
+
+
 def arrow_udf(spark: SparkSession, function, kind: str):
-    """An Arrow UDF over an iterator of batches; the package goes along to the workers."""
+    """An Arrow UDF over an iterator of small slices; the package goes along to the workers."""
     ship_package(spark)
-    function.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+
+    def sliced(batches):
+        return function(b.slice(i, SLICE) for b in batches for i in range(0, len(b), SLICE))
+
+    sliced.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
-        return F.arrow_udf(function, kind, F.ArrowUDFType.SCALAR_ITER)
+        return F.arrow_udf(sliced, kind, F.ArrowUDFType.SCALAR_ITER)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
