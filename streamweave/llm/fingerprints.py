@@ -25,6 +25,8 @@ SAMPLES = 16
 LOW = 28
 #: ln a is kept to 2**-26 between -64 and 64.
 FINE, SPAN = 1 << 26, 64.0
+#: Runs of neighbouring ids at most (tasks of the job; longer runs spill, nothing is left out).
+MOST_RUNS = 16_384
 #: ASCII white space between words.
 SPACE = "[\\x20\\x09-\\x0D]+"
 
@@ -52,9 +54,17 @@ def packed_sample(term: Column, ln_w: Column, r: Column, ln_c: Column, beta: Col
 
 
 def bounds_of(docs: DataFrame, id_col: str, n: int) -> list[int]:
-    """Ids that start n nearly equal runs of the documents by ascending id."""
-    marks = docs.select(F.col(id_col).cast("double").alias("id")).approxQuantile("id", [i / n for i in range(n)], 0.1 / n)
-    return sorted({int(m) for m in marks})
+    """Ids that start n nearly equal runs of the documents by ascending id.
+
+    The rank error is a quarter of a run, so the quantile sketch and what reaches
+    the driver have a size in proportion to n, whatever the number of documents.
+    """
+    marks = docs.select(F.col(id_col).cast("double").alias("id")).approxQuantile("id", [i / n for i in range(n)], 0.25 / n)
+    rough = sorted({int(m) for m in marks})
+    # The ids that really come first (doubles can't tell very large ids apart): a row per run.
+    runs = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), run_of(F.col(id_col), rough).alias("run"))
+    exact = runs.groupBy("run").agg(F.min("id").alias("first"))
+    return sorted(r["first"] for r in exact.collect())
 
 
 def run_of(id_col: Column, bounds: list[int]) -> Column:
@@ -98,57 +108,57 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Null texts count as empty; texts without words have the fingerprint of no
     terms (all samples `f...f`), alike only to each other.  Rows with a null id
-    sort first.  Rows of equal id are ordered by text, each with its own row;
+    sort first, but what follows the last document is the first id that isn't
+    null (nothing, if there is none).  Rows of equal id are ordered by text, each with its own row;
     where such rows meet a run's border the smallest text counts as the next.
     Extra columns are left out.  An empty table gives an empty result.
     """
     spark = df.sparkSession
-    n = 4 * parts(spark)
+    n = min(4 * parts(spark), MOST_RUNS)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     pairs = with_next(docs, n)
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 2) as int))"), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), half))
     texts = pairs.withColumn("edited", F.when(~F.col("last"), edited))
-    # One row per word; the side says which text it stands in.  The rows of a run
-    # stay where the run is, so none of the groupings below shuffles.
-    both = texts.select(
-        "run",
-        "row",
-        F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("t")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("t")))).alias("s"),
-    )
-    terms = both.select("run", "row", "s.side", F.explode(F.split("s.t", SPACE)).alias("word")).where("word <> ''")
-    weights = terms.groupBy("run", "row", F.xxhash64("word").alias("term")).agg(
-        F.sum(F.when(F.col("side") == 0, 1).otherwise(0)).alias("w0"), F.sum(F.col("side")).alias("w1")
-    )
-    logs = weights.select("run", "row", "term", F.when(F.col("w0") > 0, F.ln("w0")).alias("l0"), F.when(F.col("w1") > 0, F.ln("w1")).alias("l1"))
+    # One row per word; the side says which text it stands in.  What else is known of
+    # the document rides along as a few "words" of a third side, `kind:value`, so the
+    # texts are shuffled and sorted once.  The rows of a run stay where the run is:
+    # none of the groupings below shuffles.
+    sha = F.sha2(F.col("edited").cast("binary"), 256)
+    facts = [F.col("doc_id"), F.length("text").cast("long"), F.col("last").cast("int"), *[F.conv(F.substring(sha, 16 * i + 1, 16), 16, -10) for i in range(4)]]
+    told = F.concat_ws(" ", *[F.concat(F.lit(f"{i}:"), v.cast("string")) for i, v in enumerate(facts, 1)])
+    side = lambda i, t: F.struct(F.lit(i).alias("side"), t.alias("t"))
+    sides = texts.select("run", "row", F.explode(F.array(side(0, F.col("text")), side(1, F.col("edited")), side(2, told))).alias("s"))
+    terms = sides.select("run", "row", "s.side", F.explode(F.split("s.t", SPACE)).alias("word")).where("word <> ''")
+    fact = F.col("side") == 2
+    kind = F.when(fact, F.substring_index("word", ":", 1).cast("int")).otherwise(F.lit(0))
+    w0 = F.when(fact, F.substring_index("word", ":", -1).cast("long")).otherwise(F.when(F.col("side") == 0, F.lit(1)).otherwise(F.lit(0)).cast("long"))
+    w1 = F.when(F.col("side") == 1, F.lit(1)).otherwise(F.lit(0)).cast("long")
+    weights = terms.groupBy("run", "row", kind.alias("kind"), F.xxhash64("word").alias("term")).agg(F.sum(w0).alias("w0"), F.sum(w1).alias("w1"))
+    of_word = lambda w: F.when((F.col("kind") == 0) & (F.col(w) > 0), F.ln(w))
+    logs = weights.select("run", "row", "kind", "w0", "term", of_word("w0").alias("l0"), of_word("w1").alias("l1"))
     least = []
     for k in range(samples):
         r, ln_c, beta = sample_parameters(F.col("term"), k)
-        for side in (0, 1):
-            least.append(F.min(packed_sample(F.col("term"), F.col(f"l{side}"), r, ln_c, beta)).alias(f"m{side}_{k}"))
-    mins = logs.groupBy("run", "row").agg(*least)
-    digest = texts.select(
-        "run",
-        "row",
-        "last",
-        "doc_id",
-        F.length("text").cast("long").alias("n_chars"),
-        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-    )
+        for i in (0, 1):
+            least.append(F.min(packed_sample(F.col("term"), F.col(f"l{i}"), r, ln_c, beta)).alias(f"m{i}_{k}"))
+    known = [F.max(F.when(F.col("kind") == i, F.col("w0"))).alias(c) for i, c in enumerate(("doc_id", "n_chars", "last", "s0", "s1", "s2", "s3"), 1)]
+    mins = logs.groupBy("run", "row").agg(*known, *least)
     mask = F.lit((1 << LOW) - 1)
     sample = lambda c: F.coalesce(F.col(c).bitwiseAND(mask), F.lit(-1))
-    joined = digest.join(mins, ["run", "row"], "left").select(
+    joined = mins.select(
         "run",
         "row",
-        "last",
+        (F.col("last") == 1).alias("last"),
         "doc_id",
         "n_chars",
-        "edited_sha256",
+        F.concat(*[F.lower(F.lpad(F.hex(f"s{i}"), 16, "0")) for i in range(4)]).alias("edited_sha256"),
         F.array(*[sample(f"m0_{k}") for k in range(samples)]).alias("own"),
         F.array(*[sample(f"m1_{k}") for k in range(samples)]).alias("other"),
     )
     following = F.lead("own").over(Window.partitionBy("run").orderBy("row"))
-    alike = lambda a, b: F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda e: e)) / F.lit(float(samples))
+    equal = lambda a, b: F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda e: e)) / F.lit(float(samples))
+    alike = lambda a, b: F.when(b.isNotNull(), equal(a, b)).otherwise(F.lit(0.0))
     shown = lambda a: F.concat_ws("", F.transform(a, lambda x: F.when(x < 0, F.lit("f" * 8)).otherwise(F.lower(F.lpad(F.hex(x), 8, "0")))))
     return (
         joined.withColumn("next", following)

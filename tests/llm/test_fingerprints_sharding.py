@@ -88,3 +88,11 @@ def test_curve_prunes_better_than_row_order():
     order = np.argsort(sharding.hilbert_index(cells, 5))
     spans = lambda c: np.mean([np.ptp(p, axis=0).prod() for p in np.array_split(c, 16)])
     assert spans(cells[order]) < 0.3 * spans(cells)
+
+
+def test_large_and_null_ids(spark):
+    big = 1 << 60
+    rows = [(big + i, f"w{i} v{i} u{i}") for i in range(60)]
+    check(rows, fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    only = fingerprints.fingerprints(spark.createDataFrame([(None, "a b")], "doc_id long, text string")).collect()
+    assert len(only) == 1 and only[0]["near_next"] == 0.0
