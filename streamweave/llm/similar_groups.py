@@ -6,8 +6,8 @@ share a seed, a pair of min-wise shingles (8 seeds a document: a pair at 0.8
 shares none with a probability of 0.0003); pigeonring chains and the full Hamming
 test prune them, and exact similarity of the shingle sets decides.
 
-Seeds shared by many documents are compared block against block, each task with
-a bounded number of rows.  In a task only pairs that would join two groups are
+Seeds shared by many documents are refined by further minima, or else compared
+block against block, each task with a bounded number of rows.  In a task only pairs that would join two groups are
 looked at, and only the links that do are returned, so a group of n documents
 gives at most n links a task, not n squared.
 """
@@ -28,6 +28,8 @@ from streamweave.llm.simhash import SEED, majority, shingles, words
 SEEDS = 8
 #: Most documents of one seed in one block; a task compares two blocks at most.
 BLOCK = 1024
+#: Blocks of one key beyond which it is refined by further minima, and how often.
+HEAVY, REFINED = 16, 2
 #: Ring segments of 8 bits, and the Hamming radius that similarity 0.8 stays within.
 SEGMENTS, RADIUS = 8, 22
 
@@ -38,7 +40,11 @@ _BUDGET = np.arange(1, SEGMENTS + 1) * RADIUS // SEGMENTS
 
 
 def sketch(text: str | None, size: int) -> tuple[int, int, list[int], bytes]:
-    """(class of the word sequence, SimHash, seeds, sorted 32-bit shingle hashes)."""
+    """(class of the word sequence, SimHash, minima, sorted 32-bit shingle hashes).
+
+    The minima are those of 2 * SEEDS hash functions over the shingles; two
+    neighbouring ones make a seed.
+    """
     w = words(text)
     whole = xxhash.xxh3_64_intdigest(b" ".join(w))
     runs = shingles(w, size)
@@ -46,9 +52,8 @@ def sketch(text: str | None, size: int) -> tuple[int, int, list[int], bytes]:
     if not len(h):
         return whole, 0, [], b""
     distinct = np.unique(h)
-    least = np.array([int((distinct * m >> np.uint64(3)).min()) for m in _MULTIPLIERS], np.uint64)
-    seeds = least[0::2] * np.uint64(0x9E3779B97F4A7C15) ^ least[1::2]
-    return whole, majority(h), seeds.view(np.int64).tolist(), np.unique(h.astype(np.uint32)).astype("<u4").tobytes()
+    least = [int((distinct * m >> np.uint64(3)).min()) for m in _MULTIPLIERS]
+    return whole, majority(h), least, np.unique(h.astype(np.uint32)).astype("<u4").tobytes()
 
 
 def chains_hold(difference: np.ndarray) -> np.ndarray:
@@ -129,6 +134,36 @@ def _links(similarity: float):
     return links
 
 
+def _shared_keys(classes: DataFrame) -> DataFrame:
+    """(seed, node, n): keys that several classes share, n classes each.
+
+    A key is a seed at first.  One that too many classes share (a passage that many
+    documents hold) is refined by one more of the other minima, and once again if
+    need be: documents that only have the passage in common mostly part there, while
+    a pair of similarity 0.8 shares two of those 14 but for a probability of 1e-8.
+    What is still large then is kept whole.
+    """
+    keyed = classes.select("node", F.expr(f"explode(sequence(0, {2 * SEEDS - 2}, 2))").alias("at"), "minima").where(F.size("minima") > 0)
+    pair = F.xxhash64("at", F.get("minima", F.col("at")), F.get("minima", F.col("at") + 1))
+    keyed = keyed.select("node", pair.alias("seed"), F.expr("shiftleft(3, at)").alias("used"))
+    found = None
+    for refined in range(REFINED + 1):
+        sizes = keyed.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1")
+        counted = cut(keyed.join(sizes, "seed"))
+        light = counted if refined == REFINED else counted.where(F.col("n") <= HEAVY * BLOCK)
+        light = light.select("seed", "node", "n")
+        found = light if found is None else found.unionByName(light)
+        heavy = counted.where(F.col("n") > HEAVY * BLOCK)
+        if refined == REFINED or not heavy.limit(1).count():
+            return found
+        more = heavy.join(classes.select("node", "minima"), "node").select("node", "seed", "used", F.posexplode("minima").alias("at", "low"))
+        more = more.where(F.col("used").bitwiseAND(F.expr("shiftleft(1, at)")) == 0)
+        # Exclusive or, so that the order in which minima are added makes no difference.
+        both = F.col("seed").bitwiseXOR(F.xxhash64("at", "low", F.lit(7)))
+        keyed = more.select("node", both.alias("seed"), F.col("used").bitwiseOR(F.expr("shiftleft(1, at)")).alias("used")).distinct()
+    return found
+
+
 def similar_groups(df: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, digest, group_id): a row per input row; digest is xxhash64 of the text.
 
@@ -139,7 +174,7 @@ def similar_groups(df: DataFrame, size: int = 5, similarity: float = 0.8, id_col
     ids are kept; an empty table gives an empty result; extra columns are left out.
     """
     spark = df.sparkSession
-    kind = pa.struct([("class", pa.int64()), ("print", pa.int64()), ("seeds", pa.list_(pa.int64())), ("members", pa.binary())])
+    kind = pa.struct([("class", pa.int64()), ("print", pa.int64()), ("minima", pa.list_(pa.int64())), ("members", pa.binary())])
 
     def sketches(batches):
         for texts in batches:
@@ -147,20 +182,19 @@ def similar_groups(df: DataFrame, size: int = 5, similarity: float = 0.8, id_col
             signed = lambda xs: pa.array(np.array(xs, np.uint64).view(np.int64))
             yield pa.StructArray.from_arrays([signed([g[0] for g in got]), signed([g[1] for g in got]), pa.array([g[2] for g in got], pa.list_(pa.int64())), pa.array([g[3] for g in got], pa.binary())], fields=list(kind))
 
-    udf = arrow_udf(spark, sketches, "struct<class:long,print:long,seeds:array<long>,members:binary>")
+    udf = arrow_udf(spark, sketches, "struct<class:long,print:long,minima:array<long>,members:binary>")
     rows = cut(df.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("digest"), udf(F.col(text_col)).alias("s")).select("doc_id", "digest", "s.*"))
     # One row per class; its sketch is the same in every row of it.
-    seeded = rows.select("class", F.posexplode("seeds").alias("band", "low")).select("class", F.xxhash64("band", "low").alias("seed")).distinct()
-    sizes = seeded.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1")
-    shared = cut(seeded.join(sizes, "seed"))
-    wanted = shared.select(F.col("class").alias("node")).distinct()
-    classes = rows.select(F.col("class").alias("node"), "print", "members").join(wanted, "node", "left_semi").dropDuplicates(["node"])
-    # Seeds of many classes are cut into blocks; every two blocks meet in one group.
+    classes = rows.select(F.col("class").alias("node"), "print", "members", "minima").dropDuplicates(["node"])
+    shared = _shared_keys(classes)
+    wanted = shared.select("node").distinct()
+    sketched = classes.drop("minima").join(wanted, "node", "left_semi")
+    # Keys of many classes are cut into blocks; every two blocks meet in one group.
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    placed = shared.select("seed", F.col("class").alias("node"), blocks.alias("blocks"), F.pmod(F.xxhash64("class", F.lit(1)), blocks).cast("int").alias("block"))
+    placed = shared.select("seed", "node", blocks.alias("blocks"), F.pmod(F.xxhash64("node", F.lit(1)), blocks).cast("int").alias("block"))
     met = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     met = met.select("seed", "node", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    full = met.join(classes, "node").repartition(2 * parts(spark), "seed", "i", "j").sortWithinPartitions("seed", "i", "j", "node")
+    full = met.join(sketched, "node").repartition(2 * parts(spark), "seed", "i", "j").sortWithinPartitions("seed", "i", "j", "node")
     ship_package(spark)
     links = full.select("seed", "i", "j", "block", "node", "print", "members").mapInArrow(_links(similarity), "a long, b long")
     component = connected_components(links)

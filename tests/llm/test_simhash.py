@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -105,8 +106,11 @@ def jaccard(a, b, size=5):
     return len(x & y) / len(x | y) if x | y else 1.0
 
 
-def test_similar_groups(spark, monkeypatch):
-    monkeypatch.setattr(similar_groups, "BLOCK", 7)
+@pytest.mark.parametrize("block, heavy", [(7, 16), (4, 1)])
+def test_similar_groups(spark, monkeypatch, block, heavy):
+    """Keys are cut into blocks, or refined by further seeds."""
+    monkeypatch.setattr(similar_groups, "BLOCK", block)
+    monkeypatch.setattr(similar_groups, "HEAVY", heavy)
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
     texts = []
