@@ -8,26 +8,55 @@ from pyspark.sql import functions as F
 from streamweave.functions.scalar import erfc
 
 
-def pairs(series: DataFrame, key: str, x: str, y: str) -> DataFrame:
-    """(key, dx, dy) of every two points of one series, the later minus the earlier.
+def gathered(series: DataFrame, key: str, x: str, y: str) -> DataFrame:
+    """One row per series: its points in order, and n, first, last and mean.
 
-    Series are annual (some hundred points at most), so the pairs of a key are few.
+    Series are annual (some hundred points at most), so a row holds one; a single
+    shuffle by station replaces the self-join of every two points.
     """
-    a, b = series.alias("a"), series.alias("b")
-    both = a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col(f"a.{x}") < F.col(f"b.{x}")))
-    return both.select(F.col(f"a.{key}").alias(key), (F.col(f"b.{x}") - F.col(f"a.{x}")).alias("dx"), (F.col(f"b.{y}") - F.col(f"a.{y}")).alias("dy"))
+    points = F.array_sort(F.collect_list(F.struct(F.col(x).alias("x"), F.col(y).cast("double").alias("y"))))
+    rows = series.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    return rows.groupBy(key).agg(points.alias("points"), F.count("*").alias("n"), F.min(x).alias("first"), F.max(x).alias("last"), F.avg(y).alias("mean"))
+
+
+def pair_differences(points: Column) -> Column:
+    """Array of (dx, dy) of every two points, the later minus the earlier."""
+    later = lambda i: F.slice(points, i + 2, F.size(points))
+    one = lambda a, i: F.transform(later(i), lambda b: F.struct((b["x"] - a["x"]).alias("dx"), (b["y"] - a["y"]).alias("dy")))
+    return F.filter(F.flatten(F.transform(points, one)), lambda p: p["dx"] > 0)
+
+
+def pairs(series: DataFrame, key: str, x: str, y: str) -> DataFrame:
+    """(key, dx, dy) of every two points of one series."""
+    return gathered(series, key, x, y).select(key, F.explode(pair_differences(F.col("points"))).alias("p")).select(key, "p.dx", "p.dy")
+
+
+def median_of(values: Column) -> Column:
+    """Median of an array; null if it is empty."""
+    ordered, n = F.array_sort(values), F.size(values)
+    at = lambda k: F.get(ordered, k.cast("int"))
+    return (at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2
+
+
+def tests(rows: DataFrame) -> DataFrame:
+    """Add s, z and slope to gathered series."""
+    ys = F.transform("points", lambda p: p["y"])
+    groups = F.transform(F.array_distinct(ys), lambda v: F.size(F.filter(ys, lambda w: w == v)).cast("long"))
+    tied = F.aggregate(F.transform(groups, lambda t: t * (t - 1) * (2 * t + 5)), F.lit(0).cast("long"), lambda a, v: a + v)
+    rows = rows.withColumn("__d", pair_differences(F.col("points"))).withColumn("__tied", tied)
+    rows = rows.withColumn("s", F.aggregate("__d", F.lit(0.0), lambda a, p: a + F.signum(p["dy"])))
+    rows = rows.withColumn("slope", median_of(F.transform("__d", lambda p: p["dy"] / p["dx"])))
+    rows = rows.withColumn("__var", F.expr("(n * (n - 1) * (2 * n + 5) - __tied) / 18.0D"))
+    z = F.when((F.col("__var") > 0) & (F.col("s") != 0), (F.col("s") - F.signum("s")) / F.sqrt("__var")).otherwise(F.lit(0.0))
+    return rows.withColumn("z", z).drop("__d", "__tied", "__var")
 
 
 def mann_kendall_sen(series: DataFrame, key: str, x: str, y: str) -> DataFrame:
     """(key, n, s, z, slope): Mann-Kendall with tie correction, and Sen's slope.
 
-    Without variance z is 0.
+    Without variance z is 0; a single point has no slope.
     """
-    sums = pairs(series, key, x, y).groupBy(key).agg(F.sum(F.signum("dy")).alias("s"), F.percentile(F.col("dy") / F.col("dx"), 0.5).alias("slope"))
-    ties = series.groupBy(key, y).agg(F.count("*").alias("t")).groupBy(key).agg(F.sum("t").alias("n"), F.sum(F.expr("t * (t - 1) * (2 * t + 5)")).alias("tied"))
-    variance = F.expr("(n * (n - 1) * (2 * n + 5) - tied) / 18.0D")
-    z = F.when((F.col("var") > 0) & (F.col("s") != 0), (F.col("s") - F.signum("s")) / F.sqrt("var")).otherwise(F.lit(0.0))
-    return ties.join(sums, key).withColumn("var", variance).select(key, "n", "s", z.alias("z"), "slope")
+    return tests(gathered(series, key, x, y)).select(key, "n", "s", "z", "slope")
 
 
 def p_value(z: Column) -> Column:
@@ -49,10 +78,9 @@ def benjamini_hochberg(rows: DataFrame, p: str, key: str, name: str = "q") -> Da
 
 def trend_records(annual: DataFrame, key: str, year: str, value: str, min_years: int = 20, last_year: int = 2015) -> DataFrame:
     """Eligible series with z, slope and percent of the mean per decade."""
-    stats = annual.groupBy(key).agg(F.count("*").alias("years"), F.max(year).alias("last"), F.min(year).alias("first"), F.avg(value).alias("mean"))
-    eligible = stats.where((F.col("years") >= min_years) & (F.col("last") >= last_year) & (F.col("mean") > 0))
-    tests = mann_kendall_sen(annual.join(eligible.select(key), key, "left_semi"), key, year, value)
-    return eligible.join(tests, key).withColumn("pct_decade", F.col("slope") * 10 / F.col("mean") * 100)
+    rows = gathered(annual, key, year, value).withColumn("years", F.col("n"))
+    eligible = rows.where((F.col("years") >= min_years) & (F.col("last") >= last_year) & (F.col("mean") > 0))
+    return tests(eligible).drop("points").withColumn("pct_decade", F.col("slope") * 10 / F.col("mean") * 100)
 
 
 def reject_reason(years: Column, last: Column, known: Column, mean: Column, min_years: int, last_year: int) -> Column:
