@@ -184,11 +184,11 @@ def similar_groups(df: DataFrame, size: int = 5, similarity: float = 0.8, id_col
 
     udf = arrow_udf(spark, sketches, "struct<class:long,print:long,minima:array<long>,members:binary>")
     rows = cut(df.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("digest"), udf(F.col(text_col)).alias("s")).select("doc_id", "digest", "s.*"))
-    # One row per class; its sketch is the same in every row of it.
-    classes = rows.select(F.col("class").alias("node"), "print", "members", "minima").dropDuplicates(["node"])
-    shared = _shared_keys(classes)
+    # One row per class; its sketch is the same in every row of it.  The shingles, the
+    # bulk of it, move only for classes that share a key.
+    shared = _shared_keys(rows.select(F.col("class").alias("node"), "minima").dropDuplicates(["node"]))
     wanted = shared.select("node").distinct()
-    sketched = classes.drop("minima").join(wanted, "node", "left_semi")
+    sketched = rows.select(F.col("class").alias("node"), "print", "members").join(wanted, "node", "left_semi").dropDuplicates(["node"])
     # Keys of many classes are cut into blocks; every two blocks meet in one group.
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     placed = shared.select("seed", "node", blocks.alias("blocks"), F.pmod(F.xxhash64("node", F.lit(1)), blocks).cast("int").alias("block"))
