@@ -1,13 +1,13 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman (operator 7).
+"""Benchmark decontamination: n-gram seeds, an exact bound, then Smith-Waterman (operator 7).
 
 The benchmark is the query set and is taken in blocks of a bounded number of
-words, each against all documents.  A first pass over the documents counts in
-how many of them each n-gram of the block occurs.  An item's seeds are those of
-its n-grams that are rare for that item: at most RARE times as frequent as its
-median one, so that stock phrases drop out while an item that has leaked often
-keeps its seeds.  A second pass looks the seeds up and aligns the passage around
-each hit with the item, word by word; edits, gaps and insertions lower the score
-without breaking the match.
+words, each against all documents.  Every n-gram of an item is a seed, however
+many documents hold it, so an edited copy is found no matter how often it was
+copied.  Stock phrases are sorted out by a bound that loses nothing: an
+alignment scores at most one per word of the item that stands in the passage, so
+where too few do, the threshold is out of reach.  Else the passage around the
+hits is aligned with the item, word by word; edits, gaps and insertions lower the
+score without breaking the match.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from streamweave.llm.common import arrow_udf, drop_clashing, fresh, table
 
-#: Words in a seed, and how much more frequent than the item's median one it may be.
-SEED, RARE = 3, 4
+#: Words in a seed.
+SEED = 3
 #: Alignment: scores per word, and the share of the perfect score that is a leak.
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
 THRESHOLD = 0.5
@@ -49,8 +49,18 @@ class Seeds:
         self.code = code
         self.base = max(2, len(code))
         keys = [self.keys(c) for c in self.coded]
-        self.grams = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
-        self.keep_rare(np.zeros(len(self.grams), np.int64))
+        none = [np.zeros(0, np.int64)]
+        grams = np.concatenate(keys or none)
+        self.grams = np.unique(grams)
+        # Rows (gram, item, position in the item), sorted by gram.
+        order = np.argsort(grams, kind="stable")
+        self.gram = np.searchsorted(self.grams, grams[order])
+        self.item = np.repeat(np.arange(len(keys)), [len(k) for k in keys])[order]
+        self.at = np.concatenate([np.arange(len(k)) for k in keys] or none)[order]
+        # The items' words one after the other.
+        self.flat = np.concatenate(self.coded or none)
+        self.length = np.array([len(c) for c in self.coded], np.int64)
+        self.begin = np.cumsum(self.length) - self.length
 
     def keys(self, coded: np.ndarray) -> np.ndarray:
         """One number per run of `size` known words; -1 where a word is unknown."""
@@ -63,17 +73,6 @@ class Seeds:
             known &= coded[j : j + n] >= 0
         return np.where(known, out, -1)
 
-    def keep_rare(self, frequency: np.ndarray, rare: int = RARE) -> None:
-        """Per item, the n-grams at most `rare` times as frequent as its median one."""
-        rows = [(np.zeros(0, np.int64),) * 3]
-        for i, k in enumerate(map(self.keys, self.coded)):
-            g = np.searchsorted(self.grams, k)
-            good = frequency[g] <= rare * max(1.0, float(np.median(frequency[g])))
-            rows.append((g[good], np.full(int(good.sum()), i), np.nonzero(good)[0]))
-        gram, item, at = (np.concatenate(x) for x in zip(*rows, strict=True))
-        order = np.argsort(gram, kind="stable")
-        self.gram, self.item, self.at = gram[order], item[order], at[order]
-
     def encode(self, text: str | None) -> np.ndarray:
         w = words(text)
         return np.fromiter(map(self.code.get, w, repeat(-1)), np.int64, len(w))
@@ -89,36 +88,52 @@ class Seeds:
         good = self.grams[gram] == keys[at]
         return at[good], gram[good]
 
-    def alignments(self, coded: np.ndarray) -> list[tuple[int, float, int, int]]:
-        """(item id, score, first word, end word) of the best passage per item hit."""
+    def reachable(self, items: np.ndarray, coded: np.ndarray, threshold: float) -> np.ndarray:
+        """Items of which so many words stand in `coded` that a score of `threshold` is possible."""
+        present = np.zeros(self.base, bool)
+        present[coded[coded >= 0]] = True
+        n = self.length[items]
+        ends = np.cumsum(n)
+        held = present[self.flat[np.arange(ends[-1]) + np.repeat(self.begin[items] - (ends - n), n)]]
+        return items[np.add.reduceat(held.astype(np.int64), ends - n) >= threshold * n - 1e-9]
+
+    def alignments(self, coded: np.ndarray, threshold: float = THRESHOLD) -> list[tuple[int, float, int, int]]:
+        """(item id, score, first word, end word) of the best passage per item hit that reaches `threshold`."""
         at, gram = self.hits(coded)
-        if not len(at) or not len(self.gram):
+        if not len(at):
             return []
+        # One row per hit and item that holds the n-gram.
         lo, hi = np.searchsorted(self.gram, gram, "left"), np.searchsorted(self.gram, gram, "right")
-        windows: dict[int, list[tuple[int, int]]] = {}
-        for p, a, b in zip(at, lo, hi, strict=True):
-            for k in range(a, b):
-                i = int(self.item[k])
-                n = len(self.coded[i])
-                first = int(p) - int(self.at[k])
-                slack = max(8, n // 4)
-                windows.setdefault(i, []).append((max(0, first - slack), min(len(coded), first + n + slack)))
+        n = hi - lo
+        row = np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)
+        item, first = self.item[row], np.repeat(at, n) - self.at[row]
+        wanted = np.isin(item, self.reachable(np.unique(item), coded, threshold))
+        item, first = item[wanted], first[wanted]
+        order = np.lexsort((first, item))
+        item, first = item[order], first[order]
         out = []
-        for i, spans in sorted(windows.items()):
+        for i in np.unique(item):
+            words_of = self.coded[i]
+            n = len(words_of)
+            slack = max(8, n // 4)
             merged: list[list[int]] = []
-            for a, b in sorted(spans):
+            for f in first[np.searchsorted(item, i, "left") : np.searchsorted(item, i, "right")].tolist():
+                a, b = max(0, f - slack), min(len(coded), f + n + slack)
                 if merged and a <= merged[-1][1]:
                     merged[-1][1] = max(merged[-1][1], b)
                 else:
                     merged.append([a, b])
             best = (0.0, 0, 0)
             for a, b in merged:
-                value, end = smith_waterman(coded[a:b], self.coded[i])
+                if np.isin(words_of, coded[a:b]).sum() < max(threshold * n, best[0] / MATCH) - 1e-9:
+                    continue
+                value, end = smith_waterman(coded[a:b], words_of)
                 if value > best[0]:
-                    value, start = smith_waterman(coded[a : a + end][::-1], self.coded[i][::-1])
+                    value, start = smith_waterman(coded[a : a + end][::-1], words_of[::-1])
                     best = (value, a + end - start, a + end)
-            score = best[0] / (MATCH * len(self.coded[i]))
-            out.append((self.items[i][0], score, best[1], best[2]))
+            score = best[0] / (MATCH * n)
+            if score >= threshold:
+                out.append((self.items[i][0], score, best[1], best[2]))
         return out
 
 
@@ -177,25 +192,11 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
         seeds = Seeds(block, size)
         if not len(seeds.grams):
             continue
-        shared = spark.sparkContext.broadcast(seeds)
-
-        def occurring(batches, shared=shared):
-            for texts in batches:
-                found = [np.unique(shared.value.hits(shared.value.encode(t))[1]) for t in texts.to_pylist()]
-                offsets = np.cumsum([0, *map(len, found)], dtype=np.int32)
-                yield pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*found, np.zeros(0, np.int64)]).astype(np.int64)))
-
-        grams = arrow_udf(spark, occurring, "array<long>")(F.col(text_col))
-        counts = docs.select(F.explode(grams).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
-        frequency = np.zeros(len(seeds.grams), np.int64)
-        for row in counts.collect():  # at most one row per n-gram of the block
-            frequency[row["gram"]] = row["n"]
-        seeds.keep_rare(frequency)
         ready = spark.sparkContext.broadcast(seeds)
 
         def aligned(batches, shared=ready):
             for texts in batches:
-                found = [[x for x in shared.value.alignments(shared.value.encode(t)) if x[1] >= threshold] for t in texts.to_pylist()]
+                found = [shared.value.alignments(shared.value.encode(t), threshold) for t in texts.to_pylist()]
                 yield pa.array([[dict(zip(("item_id", "score", "first_word", "end_word"), x, strict=True)) for x in row] for row in found], LEAK)
 
         out = out.withColumn(name, F.concat(name, arrow_udf(spark, aligned, LEAKS)(F.col(text))))

@@ -49,6 +49,34 @@ def test_find_leaks(spark):
     assert dc.find_leaks(d.limit(0), b).count() == 0 and dc.find_leaks(d, b.limit(0)).count() == 0
 
 
+def test_edited_copies_are_found_however_many(spark):
+    rng = random.Random(9)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(n))
+    item = text(40)
+    edited = " ".join("other" if i % 4 == 3 else w for i, w in enumerate(item.split()))
+    docs = [(i, text(30) + " " + edited + " " + text(20)) for i in range(12)] + [(20 + i, " ".join(item.split()[:12]) + " " + text(50)) for i in range(12)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    got = dc.find_leaks(d, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(12))
+    assert all(abs(r["score"] - 25.5 / 40) < 1e-9 and (r["first_word"], r["end_word"]) == (30, 69) for r in got)
+
+
+def test_bounds_lose_no_alignment():
+    rng = np.random.default_rng(5)
+    word = lambda i: f"w{i}"
+    for _ in range(60):
+        items = [(k, " ".join(map(word, rng.integers(0, 9, rng.integers(3, 12))))) for k in range(6)]
+        seeds = dc.Seeds(items)
+        coded = seeds.encode(" ".join(map(word, rng.integers(0, 12, 10))))
+        got = {i: score for i, score, *_ in seeds.alignments(coded)}
+        for k, t in items:
+            mine = seeds.encode(t)
+            score = brute_alignment(coded, mine) / len(mine)
+            hit = {*map(tuple, np.lib.stride_tricks.sliding_window_view(coded, 3).tolist())} & {*map(tuple, np.lib.stride_tricks.sliding_window_view(mine, 3).tolist())}
+            assert (k in got) == (score >= dc.THRESHOLD and any(-1 not in h for h in hit))
+            assert k not in got or abs(got[k] - score) < 1e-9
+
+
 PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
 
 
