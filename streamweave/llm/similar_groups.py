@@ -1,10 +1,12 @@
 """Groups of similar documents by SimHash, verified by exact Jaccard similarity.
 
 At a Jaccard similarity of 0.8 two 64-bit SimHashes differ in 9 bits on average
-and in up to some 20, far beyond what equal segments can find.  Here candidates
+and in up to some 20, far beyond what equal segments can find.  They are taken
+over the distinct shingles, as the similarity is, so repeats don't move them.  Here candidates
 share a seed, a pair of min-wise shingles (8 seeds a document: a pair at 0.8
 shares none with a probability of 0.0003); pigeonring chains and the full Hamming
-test prune them, and exact similarity of the shingle sets decides.
+test prune them (but for short texts, whose SimHashes stray), and exact similarity
+of the shingle sets decides.
 
 Seeds shared by many documents are compared block against block, each task with
 a bounded number of rows.  In a task only pairs that would join two groups are
@@ -30,6 +32,8 @@ SEEDS = 8
 BLOCK = 1024
 #: Ring segments of 8 bits, and the Hamming radius that similarity 0.8 stays within.
 SEGMENTS, RADIUS = 8, 22
+#: Texts of at most so many distinct shingles aren't pruned by SimHash: ties move their bits.
+SHORT = 16
 
 _rng = np.random.default_rng(20240817)
 _MULTIPLIERS = _rng.integers(1, 1 << 62, 2 * SEEDS, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -48,7 +52,7 @@ def sketch(text: str | None, size: int) -> tuple[int, int, list[int], bytes]:
     distinct = np.unique(h)
     least = np.array([int((distinct * m >> np.uint64(3)).min()) for m in _MULTIPLIERS], np.uint64)
     seeds = least[0::2] * np.uint64(0x9E3779B97F4A7C15) ^ least[1::2]
-    return whole, majority(h), seeds.view(np.int64).tolist(), np.unique(h.astype(np.uint32)).astype("<u4").tobytes()
+    return whole, majority(distinct), seeds.view(np.int64).tolist(), np.unique(h.astype(np.uint32)).astype("<u4").tobytes()
 
 
 def chains_hold(difference: np.ndarray) -> np.ndarray:
@@ -71,13 +75,14 @@ def within_radius(difference: np.ndarray) -> np.ndarray:
 def linking_pairs(nodes, prints, sets, left, right, similarity: float) -> list[tuple[int, int]]:
     """Links between `left` and `right` rows (indexes; may be the same) that join groups."""
     group = np.arange(len(nodes))
+    short = np.array([len(x) <= SHORT for x in sets], bool)
     out = []
     right = np.asarray(right)
     for i in left:
         others = right[(group[right] != group[i]) & (nodes[right] != nodes[i])]
         if not len(others):
             continue
-        others = others[within_radius(prints[others] ^ prints[i])]
+        others = others[short[i] | short[others] | within_radius(prints[others] ^ prints[i])]
         a = sets[i]
         for j in others:
             if group[j] == group[i]:

@@ -133,3 +133,21 @@ def test_similar_groups(spark, monkeypatch):
     kept = similar_groups.keep_one(df)
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(comp)) and kept.columns == df.columns
     assert similar_groups.keep_one(df.limit(0)).count() == 0
+
+
+def test_similar_groups_whatever_the_repeats(spark):
+    rng = random.Random(11)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    texts = []
+    for words, line, times in [(200, 10, 30), (300, 8, 100), (150, 20, 10)] * 8:
+        body, foot = text(words), text(line)
+        texts += [f"{body} {foot}", body + f" {foot}" * times]
+    assert all(jaccard(a, b) >= 0.9 for a, b in zip(texts[::2], texts[1::2], strict=True))
+    got = {r["doc_id"]: r["group_id"] for r in similar_groups.similar_groups(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()}
+    assert all(got[i] == got[i + 1] for i in range(0, len(texts), 2)) and len(set(got.values())) == len(texts) // 2
+
+
+def test_short_sets_are_not_pruned():
+    sets = [np.arange(4, dtype=np.uint32), np.arange(5, dtype=np.uint32), np.arange(3, dtype=np.uint32)]
+    prints = np.array([0, (1 << 40) - 1, 0], np.uint64)
+    assert similar_groups.linking_pairs(np.arange(3), prints, sets, range(3), range(3), 0.8) == [(0, 1)]
