@@ -6,7 +6,10 @@ each level; a container's points are discounted by its link density.  The best
 container is kept with those siblings that score well enough on their own.
 Boilerplate elements (menus, headers, footers, sidebars, forms, scripts,
 comments of readers, adverts, notices) are dropped before scoring, by element
-name, role or the words of their class and id.
+name, role or the words of their class and id.  A class is only a hint: a marked
+element that holds the article or most of the page's paragraph points stays, and
+a page that would be left empty is read again without the class rule.  Inside an
+article or main all that isn't dropped is kept.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from streamweave.llm.common import arrow_udf, drop_clashing, fresh, table
 #: Elements by what they do to the text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe object svg math canvas xmp noembed noframes".split())
-SKIP = frozenset("nav header footer aside form button select option label fieldset menu dialog head figure audio video".split())
+SKIP = frozenset("nav header footer aside form button select option label fieldset menu dialog head audio video".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 CONTAINERS = frozenset("html body article main section div td center".split())
 #: An open <p> ends where one of these begins.
@@ -39,6 +42,10 @@ UNLIKELY = re.compile(
     r"comments?|disqus|reply|replies|respond|footer|foot|header|masthead|topbar|toolbar|login|signup|search|skip|copyright|legal|disclaimer|toc)(?:$|[\s_-])",
     re.I,
 )
+#: Words that turn a mark into a statement about the page (has-sidebar, no-ads).
+STATES = re.compile(r"(?:has|have|with|without|no|not|is|show|hide)[_-]", re.I)
+#: Marks of others' texts, which may outweigh the article.
+OTHERS = re.compile(r"(?:^|[\s_-])(?:related|recommend\w*|trending|comments?|disqus|reply|replies|respond)(?:$|[\s_-])", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|$)|[^<]+|<", re.S)
 MARKED = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
@@ -47,30 +54,35 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class Node:
-    __slots__ = ("name", "parent", "children", "score", "chars", "link_chars", "skip")
+    __slots__ = ("name", "parent", "children", "score", "chars", "link_chars", "skip", "mark")
 
-    def __init__(self, name: str, parent: Node | None, skip: bool):
+    def __init__(self, name: str, parent: Node | None, skip: bool, mark: str = ""):
         self.name, self.parent, self.children, self.skip = name, parent, [], skip
+        self.mark = mark
         self.score = 0.0
         self.chars = self.link_chars = 0
         if parent is not None:
             parent.children.append(self)
 
 
-def _boilerplate(name: str, attributes: str) -> bool:
+def _boilerplate(name: str, attributes: str) -> tuple[bool, str]:
+    """(dropped for sure, the marking words of class and id if any)."""
     if name in SKIP:
-        return True
+        return True, ""
     if name in ("body", "html", "article", "main") or not attributes.strip():
-        return False
+        return False, ""
+    mark = ""
     for key, value in MARKED.findall(attributes):
         key, value = key.lower(), value.strip("\"'")
-        if key in ("class", "id") and UNLIKELY.search(value):
-            return True
+        if key in ("class", "id"):
+            words = " ".join(w for w in value.split() if not STATES.match(w))
+            if UNLIKELY.search(words):
+                mark = f"{mark} {words}"
         if key == "role" and value.lower() in ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True
+            return True, ""
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return True, ""
+    return False, mark
 
 
 def parse(html: str) -> Node:
@@ -146,12 +158,60 @@ def parse(html: str) -> Node:
                 node = close_to(at.parent)
         if name in VOID:
             continue
-        node = Node(name, node, node.skip or _boilerplate(name, m[3]))
+        skip, mark = _boilerplate(name, m[3])
+        node = Node(name, node, node.skip or skip, mark)
         opened[name] += 1
     flush()
     return root
 
 
+def _points(block: str) -> int:
+    return 1 + block.count(",") + block.count("，") + min(len(block) // 100, 3)
+
+
+def _drop_marked(root: Node) -> None:
+    """Drop marked elements, but for those that hold the article or most of the points."""
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack.extend(c for c in node.children if isinstance(c, Node) and not c.skip)
+    if not any(x.mark for x in order):
+        return
+    # Per element: points in all but others' texts, points outside marks, and the same for articles.
+    held = {}
+    for node in reversed(order):
+        every = bare = 0.0
+        texts = any(isinstance(c, tuple) for c in node.children)
+        article = bare_article = False
+        for c in node.children:
+            if isinstance(c, tuple):
+                block, linked = c
+                if len(block) >= 25 and node.name not in HEADINGS:
+                    points = _points(block) * (1 - linked / len(block))
+                    every, bare = every + points, bare + points
+            elif not c.skip:
+                e, b, a, ba, t = held[id(c)]
+                texts |= t
+                if not OTHERS.search(c.mark):
+                    every, article = every + e, article or a
+                if not c.mark:
+                    bare, bare_article = bare + b, bare_article or ba
+        own = node.name in ("article", "main") and texts
+        held[id(node)] = every, bare, article or own, bare_article or own, texts
+    _, outside, _, found, _ = held[id(root)]
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        if node.mark:
+            every, bare, article, bare_article, _ = held[id(node)]
+            if OTHERS.search(node.mark) or not (every > outside or article and not found):
+                node.skip = True
+                continue
+            outside, found = outside + bare, found or bare_article
+        stack.extend(c for c in reversed(node.children) if isinstance(c, Node) and not c.skip)
+
+
 def _score(root: Node) -> list[Node]:
     """Points for every container, from its blocks and those below; children first."""
     order, stack = [], [root]
@@ -166,7 +226,7 @@ def _score(root: Node) -> list[Node]:
                 node.chars += len(block)
                 node.link_chars += linked
                 if len(block) >= 25 and node.name not in HEADINGS:
-                    points = 1 + block.count(",") + block.count("，") + min(len(block) // 100, 3)
+                    points = _points(block)
                     at, share = node, 1.0
                     if at.name not in CONTAINERS and at.parent is not None:
                         at = at.parent
@@ -201,6 +261,11 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     root = parse(html)
+    _drop_marked(root)
+    return _best_text(root) or _best_text(parse(html))
+
+
+def _best_text(root: Node) -> str:
     order = _score(root)
     best, top = root, 0.0
     for node in order:
@@ -212,6 +277,13 @@ def main_text(html: str | None) -> str:
                 best, top = node, value
     if top == 0.0:  # only short blocks: an article or main element, else the whole body
         best = next((x for x in order if x.name in ("article", "main") and x.chars), root)
+    # All of the article (the outermost one) or else the main element that it lies in.
+    at, whole = best, None
+    while at is not None:
+        if at.name == "article" or at.name == "main" and whole is None:
+            whole = at
+        at = at.parent
+    best = whole or best
     keep = [best]
     if best.parent is not None:
         bar = max(10.0, top * 0.2)

@@ -36,3 +36,22 @@ def test_rows(spark):
     assert len(got) == 5 and [r["text"] for r in got][:2] == ["", ""]
     assert all(r["n_chars"] == len(r["text"]) for r in got)
     assert extract_main_text(df.limit(0)).count() == 0
+
+
+LONG = "Some, longer, text of the story, " * 12
+
+
+def test_marked_wrappers_of_the_article_stay():
+    for mark in ("layout has-sidebar", "with-side", "no-ads", "page-legal", "related"):
+        assert main_text(f'<body><div class="{mark}"><article><p>{LONG}</p></article><div class="sidebar"><p>{LONG[:40]}</p></div></div></body>').startswith(LONG.strip())
+        if mark != "related":  # there the text outside is the page's
+            assert main_text(f'<div class="{mark}"><div id="side"><p>{LONG}</p></div></div><p>Short, plain, notice of the site.</p>').startswith(LONG.strip())
+    story = f"<div><p>{LONG}</p></div>"
+    assert main_text(f'{story}<div class="comments"><article><p>{LONG * 3}</p></article></div><div class="site-footer"><p>{LONG[:60]}</p></div>') == LONG.strip()
+
+
+def test_all_of_the_article_is_kept():
+    assert main_text(f"<article><h1>Head</h1><p>short lead</p><div><p>{LONG}</p></div></article>") == f"Head\n\nshort lead\n\n{LONG.strip()}"
+    parts = f"<section><p>{LONG}</p></section><section><p>brief part</p></section>"
+    assert main_text(f"<main><article>{parts}</article></main>").endswith("brief part")
+    assert "x = 1" in main_text(f"<div><p>{LONG}</p><figure><pre>x = 1</pre><figcaption>Listing</figcaption></figure></div>")
