@@ -3,17 +3,46 @@
 from __future__ import annotations
 
 import math
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Accented Latin letters and what they are without their marks (fixed values).
-ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
+def _marks() -> tuple[str, str, str]:
+    """(marked letters, what they are without marks, the combining marks), by Unicode's own decomposition.
+
+    Letters of the Basic Multilingual Plane whose decomposition is one character and marks.
+    """
+    marked, plain, marks = [], [], []
+    for c in map(chr, [*range(0xA0, 0xD800), *range(0xF900, 0xFFFE)]):
+        if unicodedata.combining(c):
+            marks.append(c)
+            continue
+        parts = unicodedata.normalize("NFKD", c)
+        bare = [x for x in parts if not unicodedata.combining(x)]
+        if parts != c and len(bare) == 1 and c.isalpha():
+            marked.append(c)
+            plain.append(bare[0])
+    return "".join(marked), "".join(plain), "".join(marks)
+
+
+MARKED, PLAIN, MARKS = _marks()
 
 
 def without_accents(text: Column) -> Column:
-    return F.translate(text, ACCENTED, PLAIN)
+    """Letters without their marks, whether composed or followed by combining marks."""
+    return F.translate(text, MARKED + MARKS, PLAIN)
+
+
+def bound(value: Column, use) -> Column:
+    """use(value) with the value computed once, however often `use` refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def title_case(text: Column) -> Column:
+    """Every run of letters with a capital first and the rest small."""
+    runs = F.regexp_extract_all(text, F.lit(r"(\p{L}+|\P{L}+)"), F.lit(1))
+    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.lower(F.substring(r, F.lit(2), F.length(r))))), "")
 
 
 def name_key(*parts: Column, separator: str = "/") -> Column:

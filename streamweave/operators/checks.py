@@ -35,6 +35,26 @@ def search_names(names: DataFrame, name: str, wanted: str, least: int = 2) -> Da
     return names.where(F.contains(key, F.lower(without_accents(F.lit(wanted.strip())))))
 
 
+def search_rivers(reaches: DataFrame, river: str, name: str, flow: str, state: str, wanted: str, least: int = 2) -> DataFrame:
+    """(river, name, flow, states): a hit per river id, the largest flow first.
+
+    Rivers of one name stay apart.  `states` joins the two states (in their
+    order) that most of the river's reaches lie in; reaches outside all states
+    have none, and a river of such reaches only has an empty label.
+    """
+    hits = search_names(reaches.where(F.col(name).isNotNull()), name, wanted, least)
+    found = hits.groupBy(river).agg(F.min(name).alias("name"), F.max(flow).alias("flow"))
+    per = hits.where(F.col(state).isNotNull()).groupBy(river, state).agg(F.count("*").alias("__n"))
+    top = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("__n")).alias("n"), F.col(state).alias("s")))), 1, 2)  # states per river: a fixed few
+    label = per.groupBy(river).agg(F.array_join(F.array_sort(F.transform(top, lambda t: t["s"])), "/").alias("states"))
+    return found.join(label, river, "left").select(F.col(river).alias("river"), "name", "flow", F.coalesce("states", F.lit("")).alias("states"))
+
+
+def count_gap(rows: DataFrame, expected: int) -> int:
+    """Expected rows less the ones received: 0 if a download is complete."""
+    return expected - rows.count()
+
+
 def log_bin(value: Column, low: float, high: float, bins: int) -> Column:
     """Class of a value on a logarithmic scale, 0 to bins - 1; null where it isn't positive."""
     lo = F.log10(F.lit(low))

@@ -1,32 +1,50 @@
 """Operators on directed forests: every node has one downstream node or none.
 
-All are pointer doubling: each round joins the table with itself once and halves
-the distance still to go, so a forest of depth d takes log2(d) rounds.  Each
-round is checkpointed to the shared folder (never locally), which keeps plans
-small and survives lost executors.
+A downstream key that no row has ends the forest there, as null does.  All
+operators are pointer doubling: each round halves the distance still to go, so
+a forest of depth d takes log2(d) rounds.  Nodes that have arrived leave the
+rounds, pointers to terminal nodes are never joined (a terminal is the one key
+that very many nodes end up pointing to), and each round is checkpointed to the
+shared folder.  A cycle never arrives: after log2(n) + 2 rounds it is an error.
+Keys must be unique.
 """
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in `spark.checkpoint.dir`; a temporary folder only where it is unset."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="streamweave-checkpoint-"))
-    return df.checkpoint(eager=True)
+from streamweave.operators.lineage import cut_lineage
 
 
 def _any(df: DataFrame) -> bool:
     return bool(df.limit(1).count())
 
 
+def _edges(nodes: DataFrame, node: str, down: str) -> tuple[DataFrame, DataFrame]:
+    """(edges (node, to, last), terminal nodes (node)); last: `to` is terminal."""
+    keys = nodes.select(F.col(node).alias("to"))
+    edges = nodes.where(F.col(down).isNotNull()).select(F.col(node).alias("node"), F.col(down).alias("to")).join(keys, "to", "left_semi")
+    edges = cut_lineage(edges.select("node", "to"))
+    terminal = nodes.select(F.col(node).alias("node")).join(edges.select("node"), "node", "left_anti")
+    onward = edges.select(F.col("node").alias("to"), F.lit(False).alias("last"))
+    return cut_lineage(edges.join(onward, "to", "left").select("node", "to", F.coalesce("last", F.lit(True)).alias("last"))), terminal
+
+
+def _rounds(nodes: DataFrame):
+    """Numbers of the rounds that a forest of so many nodes can need; then a cycle is an error."""
+    most = max(1, nodes.count()).bit_length() + 2
+    yield from range(most)
+    raise ValueError("the downstream keys hold a cycle")
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
 def own_area(nodes: DataFrame, node: str, down: str, area: str) -> DataFrame:
     """Area less that of the nodes directly upstream, at least 0."""
     above = nodes.where(F.col(down).isNotNull()).groupBy(F.col(down).alias(node)).agg(F.sum(area).alias("__above"))
@@ -36,40 +54,64 @@ def own_area(nodes: DataFrame, node: str, down: str, area: str) -> DataFrame:
 def cut_at(nodes: DataFrame, node: str, down: str, stop: Column) -> DataFrame:
     """The forest without the edges that enter nodes where `stop` holds."""
     stops = nodes.where(stop).select(F.col(node).alias("__stop"))
-    cut = nodes.join(stops, F.col(down) == F.col("__stop"), "left")
-    return cut.withColumn(down, F.when(F.col("__stop").isNull(), F.col(down))).drop("__stop")
+    ends = nodes.where(F.col(down).isNull())  # kept out of the join: null is no key
+    cut = nodes.where(F.col(down).isNotNull()).join(stops, F.col(down) == F.col("__stop"), "left")
+    return cut.withColumn(down, F.when(F.col("__stop").isNull(), F.col(down))).drop("__stop").unionByName(ends)
 
 
 def accumulate(nodes: DataFrame, node: str, down: str, values: Sequence[str]) -> DataFrame:
-    """Sum of each value over a node and all nodes upstream of it."""
-    state = cut_lineage(nodes.select(F.col(node).alias("node"), F.col(down).alias("to"), *values))
-    while _any(state.where("to is not null")):
-        arriving = state.where("to is not null").groupBy(F.col("to").alias("node")).agg(*[F.sum(v).alias(f"__{v}") for v in values])
-        hop = state.select(F.col("node").alias("to"), F.col("to").alias("__next"))
-        added = state.join(arriving, "node", "left").join(hop, "to", "left")
-        state = cut_lineage(added.select("node", F.col("__next").alias("to"), *[(F.col(v) + F.coalesce(f"__{v}", F.lit(0))).alias(v) for v in values]))
-    return state.select(F.col("node").alias(node), *values)
+    """Sum of each value over a node and all nodes upstream of it.
+
+    In round k a node sends what it holds of the 2**k nodes nearest upstream to
+    the node 2**k further down.  What reaches nodes that have left the rounds is
+    put aside and added once at the end.
+    """
+    edges, terminal = _edges(nodes, node, down)
+    held = nodes.select(F.col(node).alias("node"), *values)
+    done = [held.join(terminal, "node", "left_semi")]
+    state = cut_lineage(edges.join(held, "node"))
+    for _ in _rounds(nodes):
+        if not _any(state):
+            break
+        arriving = state.groupBy(F.col("to").alias("node")).agg(*[F.sum(v).alias(f"__{v}") for v in values])
+        hop = state.select(F.col("node").alias("to"), F.col("to").alias("__to"), F.col("last").alias("__last"))
+        onward = state.where(~F.col("last")).join(hop, "to").select("node", "__to", "__last")
+        both = state.select("node", *values).join(onward, "node", "left").join(arriving, "node", "full_outer")
+        total = [(F.coalesce(F.col(v), F.lit(0)) + F.coalesce(F.col(f"__{v}"), F.lit(0))).alias(v) for v in values]
+        after = cut_lineage(both.select("node", F.col("__to").alias("to"), F.col("__last").alias("last"), *total))
+        done.append(after.where("to is null").select("node", *values))
+        state = after.where("to is not null")
+    return _union(done).groupBy(F.col("node").alias(node)).agg(*[F.sum(v).alias(v) for v in values])
 
 
 def accumulate_anchored(nodes: DataFrame, node: str, down: str, local: str, observed: str) -> DataFrame:
     """Accumulation in which an observation replaces what arrives, and flows on.
 
-    Where `observed` isn't null the node's total is the observation.
+    Where `observed` isn't null the node's total is the observation: what comes
+    from upstream stops there, and the observation is what it sends on.
     """
+    anchored = F.col(observed).isNotNull()
     source = F.coalesce(F.col(observed), F.col(local)).cast("double")
-    cut = cut_at(nodes, node, down, F.col(observed).isNotNull())
+    cut = cut_at(nodes, node, down, anchored)
     return accumulate(cut.withColumn("total", source), node, down, ["total"])
 
 
 def roots(nodes: DataFrame, node: str, down: str, name: str = "root") -> DataFrame:
-    """The terminal node that each node drains to (itself if it has no downstream node)."""
-    state = cut_lineage(nodes.select(F.col(node).alias("node"), F.coalesce(F.col(down), F.col(node)).alias("at")))
-    while True:
-        hop = state.select(F.col("node").alias("at"), F.col("at").alias("further"))
-        ahead = cut_lineage(state.join(hop, "at").select("node", "at", "further"))
-        if not _any(ahead.where("at <> further")):
-            return ahead.select(F.col("node").alias(node), F.col("further").alias(name))
-        state = ahead.select("node", F.col("further").alias("at"))
+    """The terminal node that each node drains to (itself if it is one)."""
+    edges, terminal = _edges(nodes, node, down)
+    done = [terminal.select("node", F.col("node").alias("root"))]
+    arrived = [edges.where("last").select("node", F.col("to").alias("root"))]
+    state = edges.where(~F.col("last")).select("node", "to")
+    for _ in _rounds(nodes):
+        if not _any(state):
+            break
+        # Whatever is pointed to isn't terminal: it has arrived, or it points further.
+        far = F.lit(None).cast(dict(state.dtypes)["node"])
+        ahead = _union([*[a.select(F.col("node").alias("to"), "root", far.alias("further")) for a in arrived], state.select(F.col("node").alias("to"), far.alias("root"), F.col("to").alias("further"))])
+        after = cut_lineage(state.join(ahead, "to").select("node", "root", F.col("further").alias("to")))
+        arrived.append(after.where("root is not null").select("node", "root"))
+        state = after.where("root is null").select("node", "to")
+    return _union(done + arrived).select(F.col("node").alias(node), F.col("root").alias(name))
 
 
 def reroot_foreign(nodes: DataFrame, node: str, down: str, foreign: str) -> DataFrame:
@@ -77,7 +119,8 @@ def reroot_foreign(nodes: DataFrame, node: str, down: str, foreign: str) -> Data
     plain = roots(nodes, node, down)
     inside = roots(cut_at(nodes, node, down, F.col(foreign)), node, down, "inner_root")
     abroad = nodes.where(F.col(foreign)).select(F.col(node).alias("root"), F.lit(True).alias("__abroad"))
-    both = plain.join(inside, node).join(abroad, "root", "left")
+    ended = cut_lineage(plain.select("root").distinct().join(abroad, "root"))  # foreign terminals only
+    both = plain.join(inside, node).join(ended, "root", "left")
     return both.select(node, F.when(F.col("__abroad"), F.col("inner_root")).otherwise(F.col("root")).alias("root"))
 
 
@@ -91,8 +134,26 @@ def same_name_components(nodes: DataFrame, node: str, down: str, name: str) -> D
 
 def nearest_anchor_downstream(nodes: DataFrame, node: str, down: str, anchor: Column) -> DataFrame:
     """The first anchor from each node downstream, itself included; null if none."""
-    marked = nodes.select(F.col(node).alias("node"), F.col(down).alias("down"), anchor.alias("anchor"))
-    stops = marked.select("node", F.when(F.col("anchor"), F.col("node")).otherwise(F.coalesce("down", "node")).alias("at"))
-    end = roots(stops.select("node", F.when(F.col("at") != F.col("node"), F.col("at")).alias("down")), "node", "down")
+    marked = nodes.select(F.col(node).alias("node"), F.col(down).alias("down"), F.coalesce(anchor, F.lit(False)).alias("anchor"))
+    end = roots(marked.select("node", F.when(~F.col("anchor"), F.col("down")).alias("down")), "node", "down")
     anchors = marked.where("anchor").select(F.col("node").alias("root"), F.lit(True).alias("__is"))
     return end.join(anchors, "root", "left").select(F.col("node").alias(node), F.when(F.col("__is"), F.col("root")).alias("owner"))
+
+
+def basin_index(root_of: DataFrame, node: str, length: DataFrame, names: DataFrame, renames: dict[str, str], top: int = 24, other: str = "Other") -> tuple[DataFrame, DataFrame]:
+    """(basins (basin, name), nodes (node, basin)): the longest basins by name, the rest is 0.
+
+    `root_of` is (node, root), `length` (node, km), `names` (root, name).  Roots
+    without a name belong to the rest; two roots of one name are one basin, and
+    names are numbered in their order from 1.
+    """
+    km = root_of.join(length, node).groupBy("root").agg(F.round(F.sum("km"), 6).alias("km"))
+    longest = km.orderBy(F.desc("km"), "root").limit(top)
+    given = F.nullif(F.trim("name"), F.lit(""))
+    renamed = reduce(lambda c, kv: F.when(given == kv[0], kv[1]).otherwise(c), renames.items(), given)
+    named = cut_lineage(longest.join(names, "root").select("root", renamed.alias("name")).where("name is not null"))  # at most `top` rows
+    order = sorted({r["name"] for r in named.select("name").collect()})
+    spark = root_of.sparkSession
+    basins = spark.createDataFrame([(0, other), *enumerate(order, 1)], "basin int, name string")
+    number = named.join(basins.where("basin > 0"), "name").select("root", "basin")
+    return basins, root_of.join(F.broadcast(number), "root", "left").select(node, F.coalesce("basin", F.lit(0)).alias("basin"))

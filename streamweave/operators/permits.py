@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from streamweave.operators.forest import accumulate
+
 SECONDS_PER_HOUR = 3600.0
 
 
@@ -50,6 +54,13 @@ def share_of_flow(load: Column, flow: Column, ceiling: float) -> Column:
     return F.least(F.greatest(load / F.greatest(flow, F.lit(1e-6)), F.lit(0.0)), F.lit(float(ceiling)))
 
 
+def accumulated_share(nodes: DataFrame, node: str, down: str, loads: Sequence[str], flow: str, ceiling: float = 1.0) -> DataFrame:
+    """(node, a share per load): what has gathered from upstream over the reach's flow, clipped."""
+    totals = accumulate(nodes, node, down, loads)
+    flows = nodes.select(node, F.col(flow).alias("__flow"))
+    return totals.join(flows, node).select(node, *[share_of_flow(F.col(c), F.col("__flow"), ceiling).alias(c) for c in loads])
+
+
 def uncovered(need: DataFrame, have: DataFrame, key: str) -> DataFrame:
     """Keys that need cover and have none."""
     return need.join(have, key, "left_anti")

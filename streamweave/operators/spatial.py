@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from streamweave.operators.forest import cut_lineage
+from streamweave.functions.scalar import bound, either_prefix
+from streamweave.operators.lineage import cut_lineage
 
 RADIUS_KM = 6371.0
 
@@ -36,13 +38,19 @@ def explode_segments(lines: DataFrame, key: str, points: str) -> DataFrame:
 def near_segments(points: DataFrame, segments: DataFrame, tolerance: float) -> DataFrame:
     """Points (x, y, ...) joined with segments (x1, y1, x2, y2, ...) nearer than the tolerance.
 
-    Segments are indexed by every grid cell of their bounding box, points look in
-    their own cell and its neighbours: an equi-join, whatever the extent.  Adds
-    `distance`; a pair can come from several cells and is returned once per cell
-    of the segment, so callers aggregate.
+    Segments are indexed by the grid cells that they cross (column by column, so a
+    long one has as many cells as it is long), points look in their own cell and
+    its neighbours: an equi-join, whatever the extent.  Adds `distance`; a pair
+    can come from several cells and is returned once per cell of the segment, so
+    callers aggregate.
     """
     box = segments.withColumn("cx", F.explode(F.sequence(cell(F.least("x1", "x2"), tolerance), cell(F.greatest("x1", "x2"), tolerance))))
-    box = box.withColumn("cy", F.explode(F.sequence(cell(F.least("y1", "y2"), tolerance), cell(F.greatest("y1", "y2"), tolerance))))
+    # The part of the segment within the column, a trifle wider against rounding.
+    dx, slack = F.col("x2") - F.col("x1"), F.lit(tolerance * 1e-6)
+    at = lambda x: F.when(dx != 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), (x - F.col("x1")) / dx)))
+    y = lambda x, end: F.coalesce(F.col("y1") + at(x) * (F.col("y2") - F.col("y1")), F.col(end))
+    left, right = y(F.col("cx") * tolerance, "y1"), y((F.col("cx") + 1) * tolerance, "y2")
+    box = box.withColumn("cy", F.explode(F.sequence(cell(F.least(left, right) - slack, tolerance), cell(F.greatest(left, right) + slack, tolerance))))
     around = F.array(*[F.lit(k).cast("long") for k in (-1, 0, 1)])
     look = points.withColumn("__dx", F.explode(around)).withColumn("__dy", F.explode(around))
     look = look.withColumn("cx", cell(F.col("x"), tolerance) + F.col("__dx")).withColumn("cy", cell(F.col("y"), tolerance) + F.col("__dy")).drop("__dx", "__dy")
@@ -63,8 +71,6 @@ def snap_plain(points: DataFrame, segments: DataFrame, point: str, line: str, to
 
 def snap_prefix(points: DataFrame, segments: DataFrame, point: str, line: str, point_code: str, line_code: str, tolerance: float) -> DataFrame:
     """The nearest line, but one whose code agrees (either a prefix of the other) goes first."""
-    from streamweave.functions.scalar import either_prefix
-
     near = near_segments(points, segments, tolerance)
     agrees = F.coalesce(either_prefix(F.col(point_code), F.col(line_code)), F.lit(False))
     near = near.groupBy(point, line).agg(F.min("distance").alias("distance"), F.max(agrees).alias("agrees"))
@@ -131,6 +137,32 @@ def equirectangular_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -
     return F.sqrt(x * x + y * y) * RADIUS_KM
 
 
+def has_place(lat: Column, lon: Column) -> Column:
+    """Both coordinates are there; (0, 0) stands for missing ones."""
+    return F.coalesce(lat.isNotNull() & lon.isNotNull() & ~((lat == 0) & (lon == 0)), F.lit(False))
+
+
+def nearest_within_km(points: DataFrame, stations: DataFrame, point: str, station: str, k: int, km: float, digits: int = 9) -> DataFrame:
+    """Of the k nearest stations of each point those within `km`; distance and nth are added.
+
+    Points have (lat, lon), stations (slat, slon).  The k nearest that lie within
+    the radius are the k nearest among those within it, so a grid whose cells are
+    as wide as the radius serves: an equi-join, no pairs beyond the neighbouring
+    cells.  Distances are rounded to `digits` before they are ranked (ties by station).
+    """
+    places = points.select(F.abs("lat").alias("a")).unionByName(stations.select(F.abs("slat").alias("a"))).where("a is not null")
+    highest = min(places.agg(F.max("a")).first()[0] or 0.0, 89.0)
+    tall = math.degrees(km / RADIUS_KM) * 1.000001
+    wide = tall / math.cos(math.radians(highest))
+    around = F.array(*[F.lit(i).cast("long") for i in (-1, 0, 1)])
+    look = points.withColumn("__dx", F.explode(around)).withColumn("__dy", F.explode(around))
+    look = look.withColumn("cx", cell(F.col("lon"), wide) + F.col("__dx")).withColumn("cy", cell(F.col("lat"), tall) + F.col("__dy")).drop("__dx", "__dy")
+    cells = stations.withColumn("cx", cell(F.col("slon"), wide)).withColumn("cy", cell(F.col("slat"), tall))
+    pairs = look.join(cells, ["cx", "cy"]).drop("cx", "cy").withColumn("distance", F.round(equirectangular_km(F.col("lat"), F.col("lon"), F.col("slat"), F.col("slon")), digits))
+    near = pairs.where(F.col("distance") <= km)
+    return near.withColumn("nth", F.row_number().over(Window.partitionBy(point).orderBy("distance", station))).where(F.col("nth") <= k)
+
+
 def idw_geometric(neighbours: DataFrame, keys: Sequence[str], distance: str, value: str, least: float = 1e-4, name: str = "estimate") -> DataFrame:
     """exp of the mean of ln(value) weighted by 1 / max(distance, least)^2."""
     w = 1 / F.pow(F.greatest(F.col(distance), F.lit(least)), F.lit(2.0))
@@ -178,9 +210,9 @@ def line_midpoint(points: Column) -> Column:
 def quantise_line(points: Column, grid: float) -> Column:
     """Grid coordinates without repeats; at least two points (one cell apart if need be)."""
     on_grid = F.transform(points, lambda p: F.struct(F.round(p["x"] * grid).cast("long").alias("x"), F.round(p["y"] * grid).cast("long").alias("y")))
-    kept = F.filter(on_grid, lambda p, i: (i == 0) | (p != F.get(on_grid, i - 1)))
-    more = F.array(F.struct((on_grid[0]["x"] + 1).alias("x"), on_grid[0]["y"].alias("y")))
-    return F.when(F.size(kept) >= 2, kept).otherwise(F.concat(kept, more))
+    more = lambda p: F.array(F.struct((p["x"] + 1).alias("x"), p["y"].alias("y")))
+    distinct = bound(on_grid, lambda g: F.filter(g, lambda p, i: (i == 0) | (p != F.get(g, i - 1))))
+    return bound(distinct, lambda k: F.when(F.size(k) >= 2, k).otherwise(F.concat(k, more(F.get(k, F.lit(0))))))
 
 
 def rings_of(polygons: DataFrame, key: str, rings: str, min_points: int = 6) -> DataFrame:
@@ -192,4 +224,11 @@ def tile_of(lon: Column, lat: Column, zoom: int) -> tuple[Column, Column]:
     """Web-Mercator tile column and row."""
     n = F.lit(float(1 << zoom))
     lat_r = F.radians(lat)
-    return F.floor((lon + 180) / 360 * n).cast("long"), F.floor((1 - F.ln(F.tan(lat_r) + 1 / F.cos(lat_r)) / F.lit(3.141592653589793)) / 2 * n).cast("long")
+    return F.floor((lon + 180) / 360 * n).cast("long"), F.floor((1 - F.ln(F.tan(lat_r) + 1 / F.cos(lat_r)) / F.lit(math.pi)) / 2 * n).cast("long")
+
+
+def place_of(column: Column, row: Column, zoom: int) -> tuple[Column, Column]:
+    """(lon, lat) of a tile's north-western corner: the inverse of tile_of."""
+    n = F.lit(float(1 << zoom))
+    lat = F.degrees(F.atan(F.sinh(F.lit(math.pi) * (1 - 2 * row / n))))
+    return column / n * 360 - 180, lat

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from streamweave.functions.scalar import erfc
+from streamweave.operators.ranking import numbered, ranged
 
 
 def gathered(series: DataFrame, key: str, x: str, y: str) -> DataFrame:
@@ -65,15 +66,21 @@ def p_value(z: Column) -> Column:
 
 
 def benjamini_hochberg(rows: DataFrame, p: str, key: str, name: str = "q") -> DataFrame:
-    """Add the false-discovery-rate adjusted p.
+    """Add rank (from 1, ties by key) and the false-discovery q of each p.
 
-    One row per station (thousands) goes through the single-partition windows
-    that a global ranking needs.
+    q is the least p * m / rank of this and all later ranks: within a range of
+    the sorted rows by a window, beyond it from the later ranges' own least (a
+    row per range), so no task holds them all.
     """
-    ranked = rows.withColumn("rank", F.row_number().over(Window.orderBy(p, key))).withColumn("m", F.count("*").over(Window.partitionBy()))
-    raw = F.col(p) * F.col("m") / F.col("rank")
-    least = F.min(raw).over(Window.orderBy(F.col("rank").desc()).rowsBetween(Window.unboundedPreceding, 0))
-    return ranked.withColumn(name, F.least(F.lit(1.0), F.greatest(F.lit(0.0), least))).drop("m")
+    placed = numbered(rows, p, key, name="__at", total="__m").withColumn("rank", F.col("__at") + 1)
+    held = ranged(placed.withColumn("__raw", F.col(p) * F.col("__m") / F.col("rank")), "rank")
+    later = held.groupBy("__range").agg(F.min("__raw").alias("__least"))
+    beyond = F.min("__least").over(Window.orderBy(F.col("__range").desc()).rowsBetween(Window.unboundedPreceding, -1))
+    ends = later.select("__range", beyond.alias("__beyond"))
+    here = F.min("__raw").over(Window.partitionBy("__range").orderBy(F.col("rank").desc()))
+    got = held.withColumn("__here", here).join(F.broadcast(ends), "__range")
+    least = F.least(F.col("__here"), F.coalesce("__beyond", F.col("__here")))
+    return got.withColumn(name, F.least(F.lit(1.0), F.greatest(F.lit(0.0), least))).drop("__at", "__m", "__raw", "__range", "__here", "__beyond")
 
 
 def trend_records(annual: DataFrame, key: str, year: str, value: str, min_years: int = 20, last_year: int = 2015) -> DataFrame:
@@ -86,3 +93,24 @@ def trend_records(annual: DataFrame, key: str, year: str, value: str, min_years:
 def reject_reason(years: Column, last: Column, known: Column, mean: Column, min_years: int, last_year: int) -> Column:
     """Why a series isn't eligible, in the order of the checks; null if it is."""
     return F.when(years < min_years, "short").when(last < last_year, "ended").when(~known, "unknown").when(~(mean > 0), "no flow")
+
+
+def rain_means(near: DataFrame, rain: DataFrame, span: DataFrame, site: str, gauge: str, year: str, value: str, min_years: int = 25) -> DataFrame:
+    """(site, year, gauges, value): the yearly mean of a site's gauges.
+
+    `near` pairs sites with gauges; gauges need `min_years` measured years.  A
+    year counts where at least half of the site's gauges (and one) measured, and
+    only within the site's own span (site, first, last).
+    """
+    eligible = rain.where(F.col(value).isNotNull()).groupBy(gauge).agg(F.count("*").alias("__years")).where(F.col("__years") >= min_years)
+    near = near.select(site, gauge).join(eligible, gauge, "left_semi")
+    of_site = near.groupBy(site).agg(F.count("*").alias("__k"))
+    yearly = near.join(rain, gauge).where(F.col(value).isNotNull()).groupBy(site, year).agg(F.count("*").alias("gauges"), F.avg(value).alias(value))
+    both = yearly.join(of_site, site).where(F.col("gauges") >= F.greatest(F.lit(1), F.floor(F.col("__k") / 2)))
+    return both.join(span, site).where(F.col(year).between(F.col("first"), F.col("last"))).select(site, year, "gauges", value)
+
+
+def rain_trend(means: DataFrame, site: str, year: str, value: str, min_years: int = 25) -> DataFrame:
+    """Mann-Kendall and Sen of each site's rain over its paired years: z, p, percent per decade."""
+    rows = gathered(means, site, year, value).where((F.col("n") >= min_years) & (F.col("mean") > 0))
+    return tests(rows).select(site, "n", "mean", "z", p_value(F.col("z")).alias("p"), (F.col("slope") * 10 / F.col("mean") * 100).alias("pct_decade"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from streamweave.operators.codec import DIGITS
 from streamweave.sources.tables import table
 
 WINDOWS = {"before": (1995, 1997), "after": (1999, 2001)}
@@ -56,6 +57,17 @@ def points(spark: SparkSession, d: str) -> DataFrame:
     return e.select(F.col("vec_id").alias("id"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"), F.col("label").cast("long").alias("label"))
 
 
+def dangling(spark: SparkSession, d: str) -> DataFrame:
+    """The shallow forest without every eleventh node: its children drain to keys that no row has."""
+    return heap(spark, d).where("id % 11 <> 5")
+
+
+def reaches(spark: SparkSession, d: str) -> DataFrame:
+    """The shallow forest with a place (x, y) and an area of its own for each node."""
+    h = heap(spark, d)
+    return h.select("id", "down", ((F.col("id") * 37 % 1009).cast("double") / 1009).alias("x"), ((F.col("id") * 53 % 997).cast("double") / 997).alias("y"), F.col("area").alias("own_area"), "size")
+
+
 def segments(spark: SparkSession, d: str) -> DataFrame:
     """(line, x1, y1, x2, y2): from each even point to the next one."""
     p = points(spark, d)
@@ -74,9 +86,18 @@ STATIONS = """stations AS (SELECT s_suppkey AS code, s_name AS name, n_name AS s
   FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 HEAP = "heap AS (SELECT p_partkey AS id, CASE WHEN p_partkey > 1 THEN p_partkey // 2 END AS down, p_retailprice AS area, p_name AS name, p_size AS size FROM part)"
 DEEP = "deep AS (SELECT p_partkey AS id, CASE WHEN p_partkey - 1 - p_partkey % 3 >= 0 THEN p_partkey - 1 - p_partkey % 3 END AS down, p_retailprice AS area, p_name AS name FROM part)"
+DANGLING = HEAP + ", dangling AS (SELECT id, CASE WHEN down % 11 <> 5 THEN down END AS down, area FROM heap WHERE id % 11 <> 5)"
+REACHES = HEAP + ", reaches AS (SELECT id, down, (id * 37 % 1009)::DOUBLE / 1009 AS x, (id * 53 % 997)::DOUBLE / 997 AS y, area AS own_area, size FROM heap)"
 POINTS = "points AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(label AS BIGINT) AS label FROM embeddings)"
 SEGMENTS = POINTS + """,
 segments AS (SELECT a.id AS line, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM points a JOIN points b ON b.id = a.id + 1 WHERE a.id % 2 = 0)"""
 #: Distance of point (x, y) to segment (x1, y1)-(x2, y2), in SQL.
 DISTANCE = """sqrt(power(x - (x1 + t * (x2 - x1)), 2) + power(y - (y1 + t * (y2 - y1)), 2))"""
 PROJECT = """CASE WHEN (x2-x1)*(x2-x1)+(y2-y1)*(y2-y1) > 0 THEN greatest(0.0, least(1.0, ((x-x1)*(x2-x1)+(y-y1)*(y2-y1)) / ((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1)))) ELSE 0.0 END AS t"""
+
+
+def varint_sql(value: str) -> str:
+    """SQL for the varint text of one number."""
+    z = f"CASE WHEN {value} < 0 THEN -2 * ({value}) - 1 ELSE 2 * ({value}) END"
+    groups = f"greatest(1, (length(bin({z})) + 4) // 5)"
+    return f"array_to_string(list_transform(range(0, {groups}), lambda k: substr('{DIGITS}', CAST((({z}) >> (5 * k)) & 31 AS INT) + CASE WHEN k < {groups} - 1 THEN 32 ELSE 0 END + 1, 1)), '')"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from streamweave.operators import codec, forest, permits, regional, spatial
-from streamweave.plans.inputs import DEEP, DISTANCE, HEAP, POINTS, PROJECT, SEGMENTS, deep, heap, points, segments
+from streamweave.plans.inputs import DANGLING, DEEP, DISTANCE, HEAP, POINTS, PROJECT, REACHES, SEGMENTS, dangling, deep, heap, points, reaches, segments, varint_sql
 from streamweave.sources.tables import table
 
 Q, SQL = {}, {}
@@ -224,20 +224,138 @@ def quantise_line(spark, d):
     return q.select("line", F.array_join(F.transform("q", lambda p: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string"))), ",").alias("cells"))
 
 
-@query()
+PATHS = f"""{POINTS}, pp AS (SELECT id // 5 AS line, row_number() OVER (PARTITION BY id // 5 ORDER BY id) AS k, x, y FROM points), ll AS (SELECT line, count(*) AS n FROM pp GROUP BY line)"""
+OFF = """sqrt(power(p.x - (a.x + t * (b.x - a.x)), 2) + power(p.y - (a.y + t * (b.y - a.y)), 2))"""
+
+
+@query(f"""WITH RECURSIVE {PATHS}, tri AS (SELECT a.line, a.k AS i, b.k AS j, p.k, {OFF.replace("t *", "greatest(0.0, least(1.0, ((p.x - a.x) * (b.x - a.x) + (p.y - a.y) * (b.y - a.y)) / ((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)))) *")} AS d
+  FROM pp a JOIN pp b ON a.line = b.line AND b.k > a.k + 1 JOIN pp p ON p.line = a.line AND p.k > a.k AND p.k < b.k),
+tol AS (SELECT line, n, CASE WHEN line % 3 = 0 THEN 0.0015 WHEN line % 3 = 1 THEN 0.05 ELSE 0.3 END AS t FROM ll),
+cut AS (SELECT tri.line, i, j, arg_max(k, d) AS k FROM tri JOIN tol USING (line) GROUP BY tri.line, i, j, t HAVING max(d) > t),
+walk(line, i, j) AS (SELECT line, 1, n FROM ll UNION ALL SELECT w.line, CASE WHEN s.half = 0 THEN w.i ELSE c.k END, CASE WHEN s.half = 0 THEN c.k ELSE w.j END FROM walk w JOIN cut c ON c.line = w.line AND c.i = w.i AND c.j = w.j CROSS JOIN (VALUES (0), (1)) s(half))
+SELECT ll.line, CAST(n AS INT) AS before, CAST(CASE WHEN n < 2 THEN n ELSE 2 + coalesce(c, 0) END AS INT) AS after FROM ll LEFT JOIN (SELECT w.line, count(*) AS c FROM walk w JOIN cut USING (line, i, j) GROUP BY 1) USING (line)""")
 def simplify_line(spark, d):
-    s = codec.simplify_lines(_paths(spark, d), "points", 0.05)
+    """Lines simplified within a tolerance of their own."""
+    tolerance = F.when(F.col("line") % 3 == 0, 0.0015).when(F.col("line") % 3 == 1, 0.05).otherwise(0.3)
+    s = codec.simplify_lines(_paths(spark, d), "points", tolerance)
     return s.select("line", F.size("points").alias("before"), F.size("simplified").alias("after"))
 
 
-@query()
+@query("SELECT p_partkey, CAST(CASE WHEN p_retailprice * p_size >= 50000 THEN 0.0002 WHEN p_retailprice * p_size >= 5000 THEN 0.0003 WHEN p_retailprice * p_size >= 500 THEN 0.0007 WHEN p_retailprice * p_size >= 50 THEN 0.0015 ELSE 0.0032 END AS DOUBLE) AS tolerance FROM part")
+def tolerance_by_area(spark, d):
+    return table(spark, d, "part").select("p_partkey", codec.tolerance_of(F.col("p_retailprice") * F.col("p_size")).alias("tolerance"))
+
+
+@query(f"""WITH {PATHS}, g AS (SELECT line, k, CAST(round(x * 1000) AS BIGINT) AS gx, CAST(round(y * 1000) AS BIGINT) AS gy FROM pp),
+kept AS (SELECT * FROM (SELECT *, lag(gx) OVER w AS px, lag(gy) OVER w AS py FROM g WINDOW w AS (PARTITION BY line ORDER BY k)) WHERE px IS NULL OR px <> gx OR py <> gy),
+whole AS (SELECT line, k, gx, gy FROM kept UNION ALL SELECT line, min(k) + 1, min(gx) + 1, min(gy) FROM kept GROUP BY line HAVING count(*) = 1),
+df AS (SELECT line, k, gx - coalesce(lag(gx) OVER w, 0) AS dx, gy - coalesce(lag(gy) OVER w, 0) AS dy FROM whole WINDOW w AS (PARTITION BY line ORDER BY k))
+SELECT line, string_agg({varint_sql("dx")}, '' ORDER BY k) AS tx, string_agg({varint_sql("dy")}, '' ORDER BY k) AS ty, true AS same FROM df GROUP BY line""")
 def rebuild_lines(spark, d):
     """Quantised lines to packed delta text and back; `same` must hold on every row."""
     q = _paths(spark, d).select("line", spatial.quantise_line(F.col("points"), 1000.0).alias("q"))
     axis = lambda f: F.transform("q", lambda p: p[f])
     packed = q.select("line", axis("x").alias("x"), axis("y").alias("y")).withColumn("tx", codec.encode_varint(codec.deltas(F.col("x")))).withColumn("ty", codec.encode_varint(codec.deltas(F.col("y"))))
     back = lambda c: codec.running_sum(codec.decode_varint(F.col(c)))
-    return packed.select("line", "tx", "ty", ((back("tx") == F.col("x")) & (back("ty") == F.col("y"))).alias("same"))
+    return packed.withColumn("bx", back("tx")).withColumn("by", back("ty")).select("line", "tx", "ty", ((F.col("bx") == F.col("x")) & (F.col("by") == F.col("y"))).alias("same"))
+
+
+@query(f"WITH RECURSIVE {DANGLING}, {closure('dangling')} SELECT here AS id, count(*) AS n, round(sum(area), 2) AS total FROM up JOIN dangling USING (id) GROUP BY here")
+def accumulate_dangling(spark, d):
+    """Nodes whose downstream key has no row end there and keep what reaches them."""
+    got = forest.accumulate(dangling(spark, d).withColumn("n", F.lit(1).cast("long")), "id", "down", ["n", "area"])
+    return got.select("id", "n", F.round("area", 2).alias("total"))
+
+
+@query(f"WITH RECURSIVE {DANGLING}, {closure('dangling')} SELECT id, min(here) AS root FROM up GROUP BY id")
+def roots_dangling(spark, d):
+    return forest.roots(dangling(spark, d), "id", "down")
+
+
+@query(f"WITH RECURSIVE {HEAP}, {closure('heap')} SELECT here AS id, round(greatest(0, least(1, sum(h.size) / greatest(max(o.area) * 5, 1e-6))), 6) AS load FROM up JOIN heap h ON h.id = up.id JOIN heap o ON o.id = here GROUP BY here")
+def accumulated_fraction(spark, d):
+    """What has gathered from upstream as a share of the flow, at most 1."""
+    nodes = heap(spark, d).select("id", "down", F.col("size").cast("double").alias("load"), (F.col("area") * 5).alias("flow"))
+    return permits.accumulated_share(nodes, "id", "down", ["load"], "flow", 1.0).select("id", F.round("load", 6).alias("load"))
+
+
+NETWORK = f"""{REACHES}, posts AS (SELECT id, x AS sx, y AS sy, own_area * 2.0 AS q, size + 1.0 AS specific, (id // 97) % 5 AS fold FROM reaches WHERE id % 97 = 5), folds AS (SELECT DISTINCT fold AS fo FROM posts),
+nn AS (SELECT * FROM (SELECT r.id, fo, specific, sqrt((r.x - sx) * (r.x - sx) + (r.y - sy) * (r.y - sy)) AS dist, row_number() OVER (PARTITION BY r.id, fo ORDER BY sqrt((r.x - sx) * (r.x - sx) + (r.y - sy) * (r.y - sy)), p.id) AS nth
+  FROM reaches r CROSS JOIN folds JOIN posts p ON p.fold <> fo) WHERE nth <= 4),
+est AS (SELECT id, fo, exp(sum(ln(specific) / power(greatest(dist, 1e-4), 2)) / sum(1 / power(greatest(dist, 1e-4), 2))) AS sp FROM nn GROUP BY id, fo),
+net AS (SELECT r.id, fo, CASE WHEN b.id IS NULL OR b.fold = fo THEN r.down END AS down, CASE WHEN a.id IS NOT NULL AND a.fold <> fo THEN a.q ELSE coalesce(sp, 0) * own_area / 1000 END AS src
+  FROM reaches r CROSS JOIN folds LEFT JOIN est USING (id, fo) LEFT JOIN posts a ON a.id = r.id LEFT JOIN posts b ON b.id = r.down),
+up(id, fo, here) AS (SELECT id, fo, id FROM net UNION ALL SELECT up.id, up.fo, s.down FROM up JOIN net s ON s.id = up.here AND s.fo = up.fo WHERE s.down IS NOT NULL),
+tot AS (SELECT here AS id, up.fo, sum(src) AS q FROM up JOIN net ON net.id = up.id AND net.fo = up.fo GROUP BY ALL), val AS (SELECT p.id, p.fold, p.q AS observed, tot.q AS estimate FROM posts p JOIN tot ON tot.id = p.id AND tot.fo = p.fold)"""
+
+
+def _validated(spark, d):
+    r = reaches(spark, d)
+    posts = r.where("id % 97 = 5").select(F.col("id").alias("station"), "id", F.col("x").alias("sx"), F.col("y").alias("sy"), (F.col("own_area") * 2.0).alias("q"), (F.col("size") + 1.0).alias("specific"), F.expr("id div 97 % 5").alias("fold"))
+    return regional.validate_network(r, posts, "id", "down", "station", "fold", 4)
+
+
+@query(f"WITH RECURSIVE {NETWORK} SELECT id AS station, CAST(fold AS BIGINT) AS fold, round(observed, 4) AS observed, round(estimate, 4) AS estimate FROM val")
+def network_validation(spark, d):
+    """The network estimated anew without each fold's stations, compared where they measure."""
+    return _validated(spark, d).select("station", F.col("fold").cast("long").alias("fold"), F.round("observed", 4).alias("observed"), F.round("estimate", 4).alias("estimate"))
+
+
+@query(f"""WITH RECURSIVE {NETWORK}, e AS (SELECT estimate / observed AS r FROM val WHERE estimate > 0 AND observed > 0)
+SELECT count(*) AS n, round(avg(CASE WHEN r BETWEEN 0.5 AND 2 THEN 100.0 ELSE 0 END), 3) AS within_2x, round(avg(CASE WHEN r BETWEEN 1 / 1.5::DOUBLE AND 1.5 THEN 100.0 ELSE 0 END), 3) AS within_15x, round(power(10, median(log10(r))), 4) AS bias FROM e""")
+def network_validation_report(spark, d):
+    r = regional.validation_report(_validated(spark, d))
+    return r.select("n", F.round("within_2x", 3).alias("within_2x"), F.round("within_15x", 3).alias("within_15x"), F.round("bias", 4).alias("bias"))
+
+
+@query(f"""WITH RECURSIVE {HEAP}, cutheap AS (SELECT id, CASE WHEN NOT ({CUT_ID}) THEN down END AS down, area FROM heap), {closure('cutheap')}, r AS (SELECT id, min(here) AS root FROM up GROUP BY id),
+g AS (SELECT root, round(sum(area), 6) AS km FROM r JOIN cutheap USING (id) GROUP BY root), top AS (SELECT * FROM g ORDER BY km DESC, root LIMIT 24),
+named AS (SELECT root, CASE WHEN p_name = 'red widget' THEN 'Crimson' ELSE p_name END AS name FROM top JOIN part ON p_partkey = root WHERE root % 5 <> 0), numbers AS (SELECT name, row_number() OVER (ORDER BY name) AS basin FROM (SELECT DISTINCT name FROM named))
+SELECT id, CAST(coalesce(basin, 0) AS INT) AS basin FROM r LEFT JOIN (SELECT root, basin FROM named JOIN numbers USING (name)) USING (root)""")
+def basin_bucket(spark, d):
+    """Every node's basin: the 24 longest by (renamed) official name, the rest in 0."""
+    nodes = heap(spark, d).withColumn("down", F.when(~F.expr(CUT_ID), F.col("down")))
+    names = table(spark, d, "part").select(F.col("p_partkey").alias("root"), F.when(F.col("p_partkey") % 5 != 0, F.col("p_name")).otherwise(F.lit("")).alias("name"))
+    return forest.basin_index(forest.roots(nodes, "id", "down"), "id", nodes.select("id", F.col("area").alias("km")), names, {"red widget": "Crimson"})[1]
+
+
+@query(f"""WITH {SEGMENTS}, mid AS (SELECT line AS id, (x1 + x2) / 2 AS x, (y1 + y2) / 2 AS y FROM segments), e(ring, ex1, ey1, ex2, ey2) AS (VALUES {", ".join(str(tuple([e[0]] + [float(v) for v in e[1:]])).replace("'", "") for e in EDGES)}),
+h AS (SELECT id, ring, count(*) AS n FROM mid, e WHERE (ey1::DOUBLE > y) <> (ey2::DOUBLE > y) AND x < (ex2::DOUBLE - ex1) * (y - ey1) / (ey2::DOUBLE - ey1) + ex1 GROUP BY ALL)
+SELECT mid.id AS line, coalesce(bool_or(h.n % 2 = 1), false) AS inside FROM mid LEFT JOIN h USING (id) GROUP BY mid.id""")
+def reach_inside(spark, d):
+    """Whether a reach lies in the country, by its midpoint."""
+    pts = F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))
+    mid = segments(spark, d).select("line", spatial.line_midpoint(pts).alias("m")).select("line", "m.x", "m.y")
+    edges = spark.createDataFrame(EDGES, "ring int, x1 double, y1 double, x2 double, y2 double")
+    return spatial.in_polygon(mid, edges, "line", 0.1)
+
+
+@query(f"WITH {POINTS}, p AS (SELECT id, CASE WHEN id % 7 = 0 THEN 0.0 WHEN id % 11 <> 0 THEN x END AS lat, CASE WHEN id % 14 = 0 THEN 0.0 ELSE y END AS lon FROM points) SELECT id, lat IS NOT NULL AND lon IS NOT NULL AND NOT (lat = 0 AND lon = 0) AS placed FROM p")
+def valid_places(spark, d):
+    """Points with coordinates; (0, 0) counts as missing."""
+    lat = F.when(F.col("id") % 7 == 0, 0.0).when(F.col("id") % 11 != 0, F.col("x"))
+    lon = F.when(F.col("id") % 14 == 0, 0.0).otherwise(F.col("y"))
+    return points(spark, d).select("id", spatial.has_place(lat, lon).alias("placed"))
+
+
+@query("""SELECT CAST(p_partkey % 100 AS BIGINT) AS key, CAST(p_size % 4 AS INT) AS ring, CAST(count(*) AS INT) AS points FROM part GROUP BY ALL HAVING count(*) >= 6""")
+def polygon_rings(spark, d):
+    """Rings of polygons with enough points: exterior and interior ones alike."""
+    spot = F.struct(F.col("p_partkey").cast("double").alias("x"), F.col("p_retailprice").alias("y"))
+    rings = table(spark, d, "part").groupBy((F.col("p_partkey") % 100).alias("key"), (F.col("p_size") % 4).alias("r")).agg(F.array_sort(F.collect_list(spot)).alias("pts"))
+    none = F.array().cast("array<struct<x:double,y:double>>")
+    polygons = rings.groupBy("key").agg(*[F.max(F.when(F.col("r") == i, F.col("pts"))).alias(f"r{i}") for i in range(4)]).select("key", F.array(*[F.coalesce(f"r{i}", none) for i in range(4)]).alias("rings"))
+    got = spatial.rings_of(polygons, "key", "rings", 6)
+    return got.select("key", "ring", F.size("points").alias("points"))
+
+
+@query(f"""WITH {POINTS}, g AS (SELECT id, x * 100 AS lon, y * 100 AS lat FROM points), t AS (SELECT id, CAST(floor((lon + 180) / 360 * 256) AS BIGINT) AS tx, CAST(floor((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * 256) AS BIGINT) AS ty FROM g)
+SELECT id, tx, ty, round(tx / 256 * 360 - 180, 6) AS lon, round(degrees(atan((exp(pi() * (1 - 2 * ty / 256)) - exp(-pi() * (1 - 2 * ty / 256))) / 2)), 6) AS lat FROM t""")
+def tiles(spark, d):
+    """Web-Mercator tile of each place at zoom 8, and the tile's corner back in degrees."""
+    tx, ty = spatial.tile_of(F.col("x") * 100, F.col("y") * 100, 8)
+    lon, lat = spatial.place_of(F.col("tx"), F.col("ty"), 8)
+    return points(spark, d).select("id", tx.alias("tx"), ty.alias("ty")).select("id", "tx", "ty", F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"))
 
 
 @query(f"""WITH {BRUTE} SELECT line, count(DISTINCT id) AS points FROM near WHERE id NOT IN (SELECT vec_id FROM embeddings WHERE label < 5) GROUP BY line""")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from streamweave.functions.scalar import either_prefix, flags, name_key, unzigzag, zigzag
-from streamweave.operators import checks, codec, permits, regional, series
-from streamweave.plans.inputs import HEAP, MONTHLY, heap, monthly
+from streamweave.functions.scalar import either_prefix, flags, name_key, title_case, unzigzag, zigzag
+from streamweave.operators import checks, codec, permits, ranking, regional, series
+from streamweave.plans.inputs import HEAP, MONTHLY, heap, monthly, varint_sql
 from streamweave.plans.series_queries import MK, _records
 from streamweave.sources import tables
 from streamweave.sources.tables import table
@@ -157,17 +157,19 @@ def trend_classes_km(spark, d):
 @query("""SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.1), 3) AS p10, round(median(l_extendedprice), 3) AS p50, round(quantile_cont(l_extendedprice, 0.9), 3) AS p90,
   round(quantile_cont(l_extendedprice, 0.99), 3) AS p99, count(DISTINCT l_partkey) AS parts, count(*) AS n FROM lineitem GROUP BY 1""")
 def quantile_report(spark, d):
-    price = F.col("l_extendedprice")
-    q = F.percentile(price, F.array(*[F.lit(x) for x in (0.1, 0.5, 0.9, 0.99)]))
-    g = table(spark, d, "lineitem").groupBy("l_returnflag").agg(q.alias("q"), F.countDistinct("l_partkey").alias("parts"), F.count("*").alias("n"))
-    return g.select("l_returnflag", *[F.round(F.col("q")[i], 3).alias(c) for i, c in enumerate(("p10", "p50", "p90", "p99"))], "parts", "n")
+    li = table(spark, d, "lineitem")
+    q = ranking.quantiles(li, ["l_returnflag"], "l_extendedprice", [0.1, 0.5, 0.9, 0.99])
+    counts = li.groupBy("l_returnflag", "l_partkey").agg(F.count("*").alias("c")).groupBy("l_returnflag").agg(F.count("*").alias("parts"), F.sum("c").alias("n"))
+    return q.join(counts, "l_returnflag").select("l_returnflag", *[F.round(F.col("q")[i], 3).alias(c) for i, c in enumerate(("p10", "p50", "p90", "p99"))], "parts", "n")
 
 
-@query(f"""WITH {HEAP}, s AS (SELECT id, down, row_number() OVER (PARTITION BY id % 50 ORDER BY id) AS k FROM heap)
-SELECT CAST(id % 50 AS BIGINT) AS grp, string_agg(CAST(id - coalesce(prev, 0) AS VARCHAR), ',' ORDER BY id) AS deltas FROM (SELECT id, lag(id) OVER (PARTITION BY id % 50 ORDER BY id) AS prev FROM s) GROUP BY 1""")
+@query(f"""WITH {HEAP}, s AS (SELECT id, id % 50 AS grp, id // 4096 AS block FROM heap)
+SELECT CAST(grp AS BIGINT) AS grp, CAST(block AS BIGINT) AS block, string_agg(CAST(id - coalesce(prev, 0) AS VARCHAR), ',' ORDER BY id) AS deltas
+FROM (SELECT *, lag(id) OVER (PARTITION BY grp, block ORDER BY id) AS prev FROM s) GROUP BY ALL""")
 def index_deltas(spark, d):
-    g = heap(spark, d).groupBy((F.col("id") % 50).alias("grp")).agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    return g.select("grp", F.array_join(F.transform(codec.deltas(F.col("ids")), lambda v: v.cast("string")), ",").alias("deltas"))
+    """Sorted keys as differences, a block of keys to a row; each block starts anew."""
+    g = codec.in_blocks(heap(spark, d), F.col("id") % 50, "id", F.col("id"))
+    return g.select("grp", "block", F.array_join(F.transform(codec.deltas(F.col("values")), lambda v: v.cast("string")), ",").alias("deltas"))
 
 
 @query("""SELECT p_name AS name, row_number() OVER (ORDER BY min(p_partkey), p_name) - 1 AS code FROM part GROUP BY p_name""")
@@ -175,10 +177,10 @@ def dictionary_encode(spark, d):
     return codec.dictionary(table(spark, d, "part").withColumnRenamed("p_name", "name"), "name", "p_partkey")
 
 
-@query("""SELECT p_brand, string_agg(CAST(p_size % 10 AS VARCHAR), '' ORDER BY p_partkey) AS digits FROM part GROUP BY 1""")
+@query("""SELECT p_brand, CAST(p_partkey // 4096 AS BIGINT) AS block, string_agg(CAST(p_size % 10 AS VARCHAR), '' ORDER BY p_partkey) AS digits FROM part GROUP BY ALL""")
 def packed_digits(spark, d):
-    ordered = F.array_sort(F.collect_list(F.struct("p_partkey", (F.col("p_size") % 10).cast("string").alias("c"))))
-    return table(spark, d, "part").groupBy("p_brand").agg(F.array_join(F.transform(ordered, lambda p: p["c"]), "").alias("digits"))
+    g = codec.in_blocks(table(spark, d, "part"), F.col("p_brand"), "p_partkey", (F.col("p_size") % 10).cast("string"))
+    return g.select(F.col("grp").alias("p_brand"), "block", F.array_join("values", "").alias("digits"))
 
 
 @query("""SELECT p_partkey, p_name, p_retailprice FROM part WHERE contains(lower(strip_accents(p_name)), 'green') """)
@@ -309,16 +311,67 @@ def xy_extract(spark, d):
     return e.select("vec_id", F.round(F.col("embedding")[0].cast("double"), 6).alias("x"), F.round(F.col("embedding")[1].cast("double"), 6).alias("y"))
 
 
-@query()
+@query("SELECT s_suppkey AS code, CAST(NULL AS DOUBLE) AS load FROM supplier")
 def optional_layer(spark, d):
     """A layer whose file is missing is empty, and the rest goes on."""
     layer = tables.optional(spark, f"{d}/no_such_layer.parquet", "code long, load double")
     return table(spark, d, "supplier").select(F.col("s_suppkey").alias("code")).join(layer, "code", "left")
 
 
-@query()
+@query(f"""WITH {HEAP}, s AS (SELECT id, id % 40 AS grp, id // 4096 AS block, id * 7 - 900 AS v FROM heap), df AS (SELECT grp, block, id, v - coalesce(lag(v) OVER (PARTITION BY grp, block ORDER BY id), 0) AS delta FROM s)
+SELECT CAST(grp AS BIGINT) AS grp, CAST(block AS BIGINT) AS block, string_agg({varint_sql("delta")}, '' ORDER BY id) AS text, true AS same FROM df GROUP BY ALL""")
 def varint_roundtrip(spark, d):
-    """Values to text and back; `same` must hold on every row."""
-    g = heap(spark, d).groupBy((F.col("id") % 40).alias("grp")).agg(F.array_sort(F.collect_list((F.col("id") * 7 - 900).cast("long"))).alias("v"))
-    packed = g.withColumn("text", codec.encode_varint(codec.deltas(F.col("v"))))
-    return packed.select("grp", "text", (codec.running_sum(codec.decode_varint(F.col("text"))) == F.col("v")).alias("same"))
+    """Values to text and back, block by block; `same` must hold on every row."""
+    g = codec.in_blocks(heap(spark, d), F.col("id") % 40, "id", (F.col("id") * 7 - 900).cast("long"))
+    packed = g.withColumn("text", codec.encode_varint(codec.deltas(F.col("values"))))
+    back = packed.withColumn("back", codec.running_sum(codec.decode_varint(F.col("text"))))
+    return back.select("grp", "block", "text", (F.col("back") == F.col("values")).alias("same"))
+
+
+@query("""SELECT c_custkey, array_to_string(list_transform(regexp_extract_all(c_mktsegment || '-' || lower(c_name), '[A-Za-z]+|[^A-Za-z]+'), lambda w: upper(w[1]) || lower(w[2:])), '') AS name FROM customer""")
+def title_names(spark, d):
+    return table(spark, d, "customer").select("c_custkey", title_case(F.concat("c_mktsegment", F.lit("-"), F.lower("c_name"))).alias("name"))
+
+
+REACHES = "reaches AS (SELECT p_partkey // 4 AS river, p_name AS name, p_retailprice AS flow, CASE WHEN p_size > 5 THEN substr(p_brand, 7) END AS state FROM part)"
+
+
+def _reaches(spark, d):
+    p = table(spark, d, "part")
+    return p.select(F.expr("p_partkey div 4").alias("river"), F.col("p_name").alias("name"), F.col("p_retailprice").alias("flow"), F.when(F.col("p_size") > 5, F.expr("substring(p_brand, 7)")).alias("state"))
+
+
+@query(f"""WITH {REACHES}, hits AS (SELECT * FROM reaches WHERE contains(lower(strip_accents(name)), 'green')), found AS (SELECT river, min(name) AS name, max(flow) AS flow FROM hits GROUP BY 1),
+per AS (SELECT river, state, count(*) AS c FROM hits WHERE state IS NOT NULL GROUP BY 1, 2), top AS (SELECT river, state FROM (SELECT *, row_number() OVER (PARTITION BY river ORDER BY c DESC, state) AS rn FROM per) WHERE rn <= 2),
+labels AS (SELECT river, string_agg(state, '/' ORDER BY state) AS states FROM top GROUP BY 1)
+SELECT found.river, name, flow, coalesce(states, '') AS states FROM found LEFT JOIN labels USING (river)""")
+def river_hits(spark, d):
+    """A hit per river id with the states it lies in."""
+    return checks.search_rivers(_reaches(spark, d), "river", "name", "flow", "state", " GRÉEN ").orderBy(F.desc("flow"), "river")
+
+
+@query(f"""WITH {REACHES}, best AS (SELECT river, max(flow) AS flow, min(name) AS name FROM reaches GROUP BY 1 HAVING min(name) LIKE 'r%' AND NOT regexp_matches(min(name), '\b(ring|gear)\b'))
+SELECT river, name, flow FROM best ORDER BY flow DESC, river LIMIT 20""")
+def top_named_rivers(spark, d):
+    """The twenty largest rivers of a kind of name, without excluded labels."""
+    best = _reaches(spark, d).groupBy("river").agg(F.max("flow").alias("flow"), F.min("name").alias("name"))
+    named = best.where(F.col("name").startswith("r") & ~permits.matches(F.col("name"), r"\b(ring|gear)\b"))
+    return named.orderBy(F.desc("flow"), "river").limit(20).select("river", "name", "flow")
+
+
+@query("""SELECT 'head' AS side, o_orderkey, o_totalprice FROM (SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 5) UNION ALL
+SELECT 'tail', o_orderkey, o_totalprice FROM (SELECT * FROM orders ORDER BY o_totalprice, o_orderkey DESC LIMIT 5)""")
+def ranking_ends(spark, d):
+    """Head and tail of a ranking: two bounded top-k, no full sort."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    head = o.orderBy(F.desc("o_totalprice"), "o_orderkey").limit(5).select(F.lit("head").alias("side"), "*")
+    tail = o.orderBy("o_totalprice", F.desc("o_orderkey")).limit(5).select(F.lit("tail").alias("side"), "*")
+    return head.unionByName(tail)
+
+
+@query("""SELECT count(*) FILTER (WHERE s_suppkey IS NOT NULL) AS matched, count(*) FILTER (WHERE s_suppkey IS NULL) AS orphans, count(*) FILTER (WHERE s_suppkey IS NOT NULL AND coalesce(s_nationkey % 5 = c_nationkey % 5, false)) AS agrees
+FROM customer LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal > 0) ON c_custkey = s_suppkey""")
+def match_counters(spark, d):
+    s = table(spark, d, "supplier").where("s_acctbal > 0").select("s_suppkey", "s_nationkey")
+    m = table(spark, d, "customer").join(s, F.col("c_custkey") == F.col("s_suppkey"), "left")
+    return checks.match_quality(m, F.col("s_suppkey").isNotNull(), F.coalesce(F.col("s_nationkey") % 5 == F.col("c_nationkey") % 5, F.lit(False)))

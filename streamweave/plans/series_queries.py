@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from streamweave.functions.scalar import alphanumeric_key, name_key
-from streamweave.operators import series, trend
-from streamweave.operators.spatial import equirectangular_km, first_per
+from streamweave.operators import permits as permit_ops
+from streamweave.operators import series, spatial, trend
+from streamweave.operators.spatial import first_per
 from streamweave.plans.inputs import ANNUAL, DAILY, MONTHLY, STATIONS, WINDOWS, annual, daily, monthly, stations
 from streamweave.sources.tables import table
 
@@ -73,7 +74,7 @@ def trend_fdr_rank(spark, d):
     r = _records(spark, d).select("code", "years", F.round(trend.p_value(F.col("z")), 9).alias("p"))
     q = trend.benjamini_hochberg(r, "p", "code")
     named = q.join(table(spark, d, "supplier").select(F.col("s_suppkey").alias("code"), "s_name"), "code")
-    works = F.rlike("s_name", F.lit(r"(?i)0[0-4]\b"))
+    works = permit_ops.matches(F.col("s_name"), r"0[0-4]\b")
     sig = F.col("q") < 0.5
     return named.select("code", F.col("rank").cast("long").alias("rank"), F.round("q", 6).alias("q"), sig.alias("sig"), works.alias("works"), (sig & ~works & (F.col("years") >= 7)).alias("ranked"))
 
@@ -83,24 +84,40 @@ _RAIN = """rain AS (SELECT c_nationkey AS gauge, year(o_orderdate) AS year, roun
 gauges AS (SELECT n_nationkey AS gauge, (n_nationkey * 29 % 90)::DOUBLE / 10 AS glat, (n_nationkey * 31 % 110)::DOUBLE / 10 AS glon FROM nation)"""
 
 
-@query(f"""WITH {ANNUAL}, {_RAIN}, st AS (SELECT s_suppkey AS code, {PLACE} FROM supplier),
+NEAR = f"""{_RAIN}, st AS (SELECT s_suppkey AS code, {PLACE} FROM supplier),
 d AS (SELECT code, gauge, sqrt(power(radians(glon - lon) * cos(radians((lat + glat) / 2)), 2) + power(radians(glat - lat), 2)) * 6371.0 AS km FROM st CROSS JOIN gauges),
 k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY round(km, 9), gauge) AS rn FROM d) WHERE rn <= 5 AND km <= 250),
-span AS (SELECT code, min(year) AS ini, max(year) AS fim FROM annual GROUP BY code)
-SELECT k.code, CAST(r.year AS BIGINT) AS year, count(*) AS gauges, round(avg(total), 6) AS rain FROM k JOIN rain r USING (gauge) JOIN span ON k.code = span.code AND r.year BETWEEN ini AND fim
-GROUP BY k.code, r.year HAVING count(*) >= 2""")
-def rain_pairing(spark, d):
-    """K nearest gauges first, the radius second; yearly mean where enough measured; the flow series' years."""
+span AS (SELECT code, min(year) AS ini, max(year) AS fim FROM annual GROUP BY code)"""
+PAIRED = f"""{NEAR}, able AS (SELECT gauge FROM rain GROUP BY gauge HAVING count(*) >= 5), kk AS (SELECT code, gauge FROM k SEMI JOIN able USING (gauge)), n AS (SELECT code, count(*) AS n FROM kk GROUP BY code),
+means AS (SELECT kk.code, r.year, count(*) AS gauges, avg(total) AS total FROM kk JOIN rain r USING (gauge) JOIN span ON kk.code = span.code AND r.year BETWEEN ini AND fim JOIN n ON n.code = kk.code
+GROUP BY kk.code, r.year, n.n HAVING count(*) >= greatest(1, n.n // 2))"""
+
+
+def _paired(spark, d):
     orders, customer = table(spark, d, "orders"), table(spark, d, "customer")
     rain = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_nationkey").alias("gauge"), F.year("o_orderdate").alias("year")).agg(F.round(F.sum("o_totalprice") / 1e6, 4).alias("total"))
-    gauges = table(spark, d, "nation").select(F.col("n_nationkey").alias("gauge"), ((F.col("n_nationkey") * 29 % 90).cast("double") / 10).alias("glat"), ((F.col("n_nationkey") * 31 % 110).cast("double") / 10).alias("glon"))
+    gauges = table(spark, d, "nation").select(F.col("n_nationkey").alias("gauge"), ((F.col("n_nationkey") * 29 % 90).cast("double") / 10).alias("slat"), ((F.col("n_nationkey") * 31 % 110).cast("double") / 10).alias("slon"))
     sites = table(spark, d, "supplier").select(F.col("s_suppkey").alias("code"), ((F.col("s_suppkey") * 37 % 90).cast("double") / 10).alias("lat"), ((F.col("s_suppkey") * 53 % 110).cast("double") / 10).alias("lon"))
-    # 25 nations are the gauges: a dimension of fixed size, so every pair may be ranked.
-    pairs = sites.join(F.broadcast(gauges), F.lit(True)).withColumn("km", equirectangular_km(F.col("lat"), F.col("lon"), F.col("glat"), F.col("glon")))
-    near = pairs.withColumn("rn", F.row_number().over(Window.partitionBy("code").orderBy(F.round("km", 9), "gauge"))).where("rn <= 5 AND km <= 250")
-    span = annual(spark, d).groupBy("code").agg(F.min("year").alias("ini"), F.max("year").alias("fim"))
-    got = near.join(rain, "gauge").join(span, "code").where(F.col("year").between(F.col("ini"), F.col("fim")))
-    return got.groupBy("code", F.col("year").cast("long").alias("year")).agg(F.count("*").alias("gauges"), F.round(F.avg("total"), 6).alias("rain")).where("gauges >= 2")
+    near = spatial.nearest_within_km(sites, gauges, "code", "gauge", 5, 250.0)
+    span = annual(spark, d).groupBy("code").agg(F.min("year").alias("first"), F.max("year").alias("last"))
+    return trend.rain_means(near, rain, span, "code", "gauge", "year", "total", min_years=5)
+
+
+@query(f"WITH {ANNUAL}, {PAIRED} SELECT code, CAST(year AS BIGINT) AS year, gauges, round(total, 6) AS rain FROM means")
+def rain_pairing(spark, d):
+    """K nearest gauges first, the radius second; yearly mean where enough measured; the flow series' years."""
+    return _paired(spark, d).select("code", F.col("year").cast("long").alias("year"), "gauges", F.round("total", 6).alias("rain"))
+
+
+@query(f"""WITH {ANNUAL}, {PAIRED}, pr AS (SELECT a.code, b.year - a.year AS dx, b.total - a.total AS dy FROM means a JOIN means b ON a.code = b.code AND a.year < b.year),
+sums AS (SELECT code, sum(sign(dy)) AS s, median(dy / dx) AS slope FROM pr GROUP BY code), ties AS (SELECT code, sum(t * (t - 1) * (2 * t + 5)) AS tied FROM (SELECT code, total, count(*) AS t FROM means GROUP BY ALL) GROUP BY code),
+st2 AS (SELECT code, count(*) AS n, avg(total) AS mean FROM means GROUP BY code HAVING count(*) >= 5), zz AS (SELECT *, CASE WHEN var > 0 AND s <> 0 THEN (s - sign(s)) / sqrt(var) ELSE 0.0 END AS z
+FROM (SELECT *, CAST(n * (n - 1) * (2 * n + 5) - tied AS DOUBLE) / 18 AS var FROM st2 JOIN sums USING (code) JOIN ties USING (code))), p AS (SELECT *, abs(z) / sqrt(2.0) AS x FROM zz)
+SELECT code, n, round(mean, 5) AS mean, round(z, 4) AS z, round({ERFC}, 6) AS p, round(slope * 10 / mean * 100, 3) AS pct_decade FROM p""")
+def rain_trend(spark, d):
+    """The trend of the rain that belongs to each flow series."""
+    r = trend.rain_trend(_paired(spark, d), "code", "year", "total", min_years=5)
+    return r.select("code", "n", F.round("mean", 5).alias("mean"), F.round("z", 4).alias("z"), F.round("p", 6).alias("p"), F.round("pct_decade", 3).alias("pct_decade"))
 
 
 @query(f"""WITH {STATIONS}, {MONTHLY}, mlt AS (SELECT code, avg(value) AS q FROM monthly GROUP BY code),

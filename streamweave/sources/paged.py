@@ -30,6 +30,38 @@ def fetch_with_retry(fetch: Callable[[int, int], list[dict]], offset: int, size:
     return []
 
 
+def page_size_of(wanted: int, server_most: int | None) -> int:
+    """The page size to ask for: no more than the service gives at once."""
+    return wanted if not server_most else min(wanted, server_most)
+
+
+def find_total(fetch: Callable[[int, int], list[dict]], page_size: int, attempts: int = 3, pause: float = 1.0) -> int:
+    """Rows of a service that doesn't tell its total: up to the first short page.
+
+    Pages are probed at doubling distance and then by halving, so of n pages only
+    2 log2(n) are fetched here and the rest by the tasks.
+    """
+    size = lambda page: len(fetch_with_retry(fetch, page * page_size, page_size, attempts, pause))
+    full, far = -1, 0  # page `full` is known to be full, page `far` is probed
+    while (n := size(far)) == page_size:
+        full, far = far, 2 * far + 1
+    last = n
+    while far - full > 1:
+        middle = (full + far) // 2
+        n = size(middle)
+        if n == page_size:
+            full = middle
+        else:
+            far, last = middle, n
+    return far * page_size + last
+
+
+def read_until_short(spark: SparkSession, fetch: Callable[[int, int], list[dict]], page_size: int, schema: str, server_most: int | None = None, attempts: int = 3, pause: float = 1.0, name: str = "paged_until_short") -> DataFrame:
+    """Rows of all pages up to the first short one."""
+    step = page_size_of(page_size, server_most)
+    return read_pages(spark, fetch, find_total(fetch, step, attempts, pause), step, schema, attempts, pause, name)
+
+
 def read_pages(spark: SparkSession, fetch: Callable[[int, int], list[dict]], total: int, page_size: int, schema: str, attempts: int = 3, pause: float = 1.0, name: str = "paged") -> DataFrame:
     """Rows of all pages; a page is one task, and only the named fields are kept."""
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 import base64
 import gzip
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -25,10 +26,31 @@ def json_lines(df: DataFrame, path: str) -> None:
 
 def geojson_lines(df: DataFrame, path: str, coordinates: str, geometry_type: str = "LineString") -> None:
     """A GeoJSON feature per row, line by line (newline-delimited GeoJSON)."""
+    df.select(F.to_json(_feature(df, coordinates, geometry_type)).alias("value")).write.mode("error").text(path)
+
+
+def _feature(df: DataFrame, coordinates: str, geometry_type: str) -> Column:
     properties = F.struct(*[c for c in df.columns if c != coordinates])
     geometry = F.struct(F.lit(geometry_type).alias("type"), F.col(coordinates).alias("coordinates"))
-    feature = F.struct(F.lit("Feature").alias("type"), properties.alias("properties"), geometry.alias("geometry"))
-    df.select(F.to_json(feature).alias("value")).write.mode("error").text(path)
+    return F.struct(F.lit("Feature").alias("type"), properties.alias("properties"), geometry.alias("geometry"))
+
+
+def geojson_collections(df: DataFrame, path: str, coordinates: str, geometry_type: str = "LineString") -> None:
+    """A complete FeatureCollection per output file, written by the tasks in parallel."""
+    feature = F.to_json(_feature(df, coordinates, geometry_type)).alias("value")
+
+    def documents(batches):
+        head, before = '{"type":"FeatureCollection","features":[', ""
+        for batch in batches:
+            lines = []
+            for text in batch.column(0).to_pylist():
+                lines.append(head + before + text)
+                head, before = "", ","
+            if lines:
+                yield pa.RecordBatch.from_pydict({"value": lines})
+        yield pa.RecordBatch.from_pydict({"value": [head + "]}"]})
+
+    df.select(feature).mapInArrow(documents, "value string").write.mode("error").text(path)
 
 
 def new_version(df: DataFrame, columns: dict, path: str) -> None:

@@ -8,6 +8,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from streamweave.operators.series import best_version
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data folder."""
@@ -42,6 +44,28 @@ def geojson_features(spark: SparkSession, path: str, properties: str, coordinate
     return features.select("f.properties.*", F.col("f.geometry.type").alias("geometry_type"), F.col("f.geometry.coordinates").alias("coordinates"))
 
 
+def geojson_scan(spark: SparkSession, path: str, properties: str, coordinates: str = "array<array<double>>", boundary: str = '{"type":"Feature",') -> DataFrame:
+    """As `geojson_features`, for documents of any size: read in splits, never as a whole.
+
+    `boundary` is the text that begins each feature, as the file writes it; it
+    separates the records, so tasks read parts of one document.
+    """
+    schema = f"properties struct<{properties}>, geometry struct<type:string,coordinates:{coordinates}>"
+    records = spark.read.option("lineSep", boundary).text(path)
+    parsed = records.select(F.from_json(F.concat(F.lit("{"), F.col("value")), schema).alias("f")).where("f.geometry is not null or f.properties is not null")
+    return parsed.select("f.properties.*", F.col("f.geometry.type").alias("geometry_type"), F.col("f.geometry.coordinates").alias("coordinates"))
+
+
+def consult(spark: SparkSession, query: str, **frames: DataFrame) -> DataFrame:
+    """A SQL query over frames that it names in braces, as in `SELECT * FROM {rain}`."""
+    return spark.sql(query, **frames)
+
+
+def xml_series(spark: SparkSession, path: str, row_tag: str, schema: str, keys: list[str], level: str, *then: str) -> DataFrame:
+    """A series from XML documents, one row per key: the highest consistency level wins."""
+    return best_version(xml_rows(spark, path, row_tag, schema), keys, level, *[F.col(c) for c in then])
+
+
 def xml_rows(spark: SparkSession, path: str, row_tag: str, schema: str) -> DataFrame:
     """Rows of an XML document by tag."""
     return spark.read.format("xml").option("rowTag", row_tag).schema(schema).load(path)

@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,7 +107,7 @@ def test_nearest_k_equals_brute_force(spark):
 
 def test_douglas_peucker_keeps_within_tolerance():
     line = [{"x": i / 10, "y": math.sin(i / 10)} for i in range(100)]
-    kept = codec.douglas_peucker(line, 0.05)
+    kept = [line[i] for i in codec.douglas_peucker(np.array([(p["x"], p["y"]) for p in line]), 0.05)]
     assert kept[0] == line[0] and kept[-1] == line[-1] and 2 < len(kept) < 40
 
 
