@@ -8,8 +8,9 @@ before the job, by running every vocabulary string through the library.  Only
 pre-tokens outside the set are merged, by the library itself, and their results
 are memoised per worker.
 
-Texts with characters whose class could differ between Unicode versions, or
-with special-token strings, are encoded whole by the library.
+Pieces with characters whose class could differ between Unicode versions are cut
+into pre-tokens by the library's own pre-tokeniser; each pre-token then takes the
+same way.  Only texts that hold a special-token string are encoded whole.
 """
 
 from __future__ import annotations
@@ -23,14 +24,16 @@ from tokenizers import Tokenizer
 
 #: The letters of the characters that texts on the quick path consist of.
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ſ"
-#: Anything else sends the text to the library: its class may depend on the
-#: Unicode version, or it is a digit-like character outside 0-9.
+#: Anything else is left to the library's pre-tokeniser: its class may depend on
+#: the Unicode version, or it is a digit-like character outside 0-9.
 UNUSUAL = re.compile("[^\t\n\r -~¡-±´-¸º»¿-ſ]").search
 #: The byte-level pattern ('s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+|
 #: ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+) over those characters.
 PRETOKENS = re.compile(rf" [{LETTERS}]+|[{LETTERS}]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+").findall
-#: Memoised strings per generation; two generations are kept in each memo.
-MEMO = 100_000
+#: A single space between two characters that no version of Unicode calls white space.
+SURE = re.compile(r"(?<=[^\s\u180e\ufeff]) (?=[^\s\u180e\ufeff])")
+#: Memoised strings per generation (two are kept in each memo), and the longest of them.
+MEMO, LONGEST = 100_000, 64
 
 
 def shortcut_applies(config: str) -> bool:
@@ -57,7 +60,8 @@ def prove_whole_tokens(config: str) -> dict[str, int]:
     tok = Tokenizer.from_str(config)
     special = {t["content"] for t in json.loads(config).get("added_tokens", [])}
     texts = sorted({tok.decode([i], skip_special_tokens=False) for i in range(tok.get_vocab_size(with_added_tokens=False))})
-    texts = [t for t in texts if t and t not in special and not UNUSUAL(t) and PRETOKENS(t) == [t]]
+    cut = tok.pre_tokenizer.pre_tokenize_str
+    texts = [t for t in texts if t and "\ufffd" not in t and t not in special and (len(cut(t)) == 1 if UNUSUAL(t) else PRETOKENS(t) == [t])]
     ids = [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
     return {t: x[0] for t, x in zip(texts, ids, strict=True) if len(x) == 1}
 
@@ -80,10 +84,11 @@ class _Memo(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        if len(self) >= MEMO:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
+        if len(key) <= LONGEST:
+            if len(self) >= MEMO:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
         return value
 
 
@@ -94,10 +99,10 @@ class _Unsure(Exception):
 class Encoder:
     """Token ids as little-endian unsigned 32-bit bytes, equal to the library's.
 
-    Quick texts are cut at their single spaces.  Between two characters that
-    aren't white space such a space always begins a pre-token, and what follows
-    doesn't depend on what came before, so the chunks (a word with its
-    punctuation) are memoised too.
+    Texts are cut at their single spaces.  Between two characters that aren't
+    white space such a space always begins a pre-token, and what follows doesn't
+    depend on what came before, so the chunks (a word with its punctuation) are
+    memoised too.
     """
 
     def __init__(self, config: str, whole: dict[str, int]):
@@ -105,42 +110,55 @@ class Encoder:
         self.tok = Tokenizer.from_str(config)
         self.special = [t["content"] for t in json.loads(config).get("added_tokens", [])]
         self.quick = shortcut_applies(config)
-        self.whole = {t: array("I", [i]).tobytes() for t, i in whole.items()}
         self.letters = str.maketrans(dict(enumerate(byte_alphabet())))
+        self.whole = {t: array("I", [i]).tobytes() for t, i in whole.items()}
+        self.by_letters = {self._lettered(t): x for t, x in self.whole.items()}
         self.merges = self.tok.model.tokenize
+        self.cut = self.tok.pre_tokenizer.pre_tokenize_str if self.quick else None
         self.piece = _Memo(self._merge).__getitem__
+        self.lettered = _Memo(self._merge_letters).__getitem__
         self.chunk = _Memo(self._chunk).__getitem__
 
     def _library(self, text: str) -> bytes:
         return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _lettered(self, text: str) -> str:
+        return text.encode().decode("latin-1").translate(self.letters)
+
+    def _merge_letters(self, letters: str) -> bytes:
+        """The shortcut, or else the library's merges, for one pre-token in the model's letters."""
+        known = self.by_letters.get(letters)
+        return known if known is not None else array("I", [t.id for t in self.merges(letters)]).tobytes()
+
     def _merge(self, pretoken: str) -> bytes:
-        """The shortcut, or else the library's merges for one pre-token."""
         known = self.whole.get(pretoken)
-        if known is not None:
-            return known
-        return array("I", [t.id for t in self.merges(pretoken.encode().decode("latin-1").translate(self.letters))]).tobytes()
+        return known if known is not None else self._merge_letters(self._lettered(pretoken))
+
+    def _segment(self, text: str) -> bytes:
+        """Ids of a part of a text that begins and ends where pre-tokens do."""
+        if UNUSUAL(text):
+            return b"".join([self.lettered(p) for p, _ in self.cut(text)])
+        return b"".join(map(self.piece, PRETOKENS(text)))
 
     def _chunk(self, chunk: str) -> bytes:
-        if chunk.isalpha():
-            return self._merge(" " + chunk)
-        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
+        if not chunk or chunk[0].isspace() or chunk[-1].isspace() or chunk[0] in "\u180e\ufeff" or chunk[-1] in "\u180e\ufeff":
             raise _Unsure
-        return b"".join(map(self.piece, PRETOKENS(" " + chunk)))
+        return self._segment(" " + chunk)
 
     def ids(self, text: str | None) -> bytes:
         """Ids of one text; null and empty texts have none."""
         if not text:
             return b""
-        if not self.quick or UNUSUAL(text) or any(s in text for s in self.special):
+        if not self.quick or any(s in text for s in self.special):
             return self._library(text)
         first, *rest = text.split(" ")
         try:
-            if not first or first[-1].isspace():
+            if not first or first[-1].isspace() or first[-1] in "\u180e\ufeff":
                 raise _Unsure
-            return b"".join((*map(self.piece, PRETOKENS(first)), *map(self.chunk, rest)))
+            return b"".join((self._segment(first), *map(self.chunk, rest)))
         except _Unsure:
-            return b"".join(map(self.piece, PRETOKENS(text)))
+            head, *more = SURE.split(text)
+            return b"".join((self._segment(head), *(self._segment(" " + x) for x in more)))
 
 
 _ENCODERS: dict[int, Encoder] = {}

@@ -1,25 +1,35 @@
 """Helpers shared by the training-data operators.
 
-Nothing here depends on the rest of the library and nothing in the rest of the
-library imports it.
+Nothing in the rest of the library imports this subpackage.
 """
 
 from __future__ import annotations
 
-import tempfile
 import warnings
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streamweave.functions.shipping import ship_package
+from streamweave.operators.lineage import cut_lineage
 
+#: Rows, and bytes of them, that a Python worker holds as Python objects at a time.
+SLICE, SLICE_BYTES = 1000, 32 << 20
 
-#: Rows that a Python worker holds as Python objects at a time.
-SLICE = 1000
+
+def slices(batch):
+    """The batch in parts of at most SLICE rows and, but for single rows, SLICE_BYTES."""
+    stack = [batch.slice(i, SLICE) for i in range(0, len(batch), SLICE)][::-1]
+    while stack:
+        part = stack.pop()
+        if len(part) > 1 and part.nbytes > SLICE_BYTES:
+            half = len(part) // 2
+            stack += [part.slice(half), part.slice(0, half)]
+        else:
+            yield part
 
 
 def arrow_udf(spark: SparkSession, function, kind: str):
@@ -27,7 +37,7 @@ def arrow_udf(spark: SparkSession, function, kind: str):
     ship_package(spark)
 
     def sliced(batches):
-        return function(b.slice(i, SLICE) for b in batches for i in range(0, len(b), SLICE))
+        return function(part for b in batches for part in slices(b))
 
     sliced.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     with warnings.catch_warnings():
@@ -61,16 +71,13 @@ def drop_clashing(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the cluster's shared folder.
-
-    `spark.checkpoint.dir` names it.  Only where that setting is absent (local
-    tests) a temporary folder is set.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="streamweave-checkpoint-"))
-    return df.checkpoint(eager=True)
+    """Cut the lineage with a reliable checkpoint in the cluster's shared folder."""
+    return cut_lineage(df)
+
+
+def hash_share(*columns) -> Column:
+    """A number in [0, 1) from the hash of the columns: rows are drawn by it, alike wherever they lie."""
+    return F.pmod(F.xxhash64(*columns), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
 def parts(spark: SparkSession) -> int:

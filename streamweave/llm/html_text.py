@@ -6,7 +6,8 @@ each level; a container's points are discounted by its link density.  The best
 container is kept with those siblings that score well enough on their own.
 Boilerplate elements (menus, headers, footers, sidebars, forms, scripts,
 comments of readers, adverts, notices) are dropped before scoring, by element
-name, role or the words of their class and id.  A class is only a hint: a marked
+name, role or the words of their class and id (an article's own header is part
+of it).  A class is only a hint: a marked
 element that holds the article or most of the page's paragraph points stays, and
 a page that would be left empty is read again without the class rule.  Inside an
 article or main all that isn't dropped is kept.
@@ -27,14 +28,13 @@ from streamweave.llm.common import arrow_udf, drop_clashing, fresh, table
 #: Elements by what they do to the text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe object svg math canvas xmp noembed noframes".split())
-SKIP = frozenset("nav header footer aside form button select option label fieldset menu dialog head audio video".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
+SKIP = frozenset("nav header footer aside form button select option fieldset menu dialog head audio video".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 CONTAINERS = frozenset("html body article main section div td center".split())
 #: An open <p> ends where one of these begins.
 ENDS_P = frozenset("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: Elements whose start closes an open one of the same kind in the same list or table.
 REPEATS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-BARRIER = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 #: Words in class or id that mark boilerplate.
 UNLIKELY = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|subscription|paywall|"
@@ -47,20 +47,29 @@ STATES = re.compile(r"(?:has|have|with|without|no|not|is|show|hide)[_-]", re.I)
 #: Marks of others' texts, which may outweigh the article.
 OTHERS = re.compile(r"(?:^|[\s_-])(?:related|recommend\w*|trending|comments?|disqus|reply|replies|respond)(?:$|[\s_-])", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|$)|[^<]+|<", re.S)
+NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+#: The rest of a tag, with quotes.  Possessive: what is scanned once is never scanned again.
+REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
 MARKED = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 SPACES = re.compile(r"\s+")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
+#: What lists and tables are made of: the nearest one decides what a new element closes.
+STRUCTURE = frozenset(REPEATS).union(*REPEATS.values(), "ul ol menu dl table tbody thead tfoot select".split())
+#: Lists of links whose blocks are shorter than this on average are menus.
+MENU_CHARS = 40
+
+
 class Node:
-    __slots__ = ("name", "parent", "children", "score", "chars", "link_chars", "skip", "mark")
+    __slots__ = ("name", "parent", "children", "score", "chars", "link_chars", "blocks", "skip", "mark", "near")
 
     def __init__(self, name: str, parent: Node | None, skip: bool, mark: str = ""):
         self.name, self.parent, self.children, self.skip = name, parent, [], skip
         self.mark = mark
+        self.near = self if name in STRUCTURE else parent.near if parent is not None else None
         self.score = 0.0
-        self.chars = self.link_chars = 0
+        self.chars = self.link_chars = self.blocks = 0
         if parent is not None:
             parent.children.append(self)
 
@@ -85,6 +94,51 @@ def _boilerplate(name: str, attributes: str) -> tuple[bool, str]:
     return False, mark
 
 
+def scan(html: str):
+    """(name, closing, attributes) of each tag and (None, False, text) of what lies between.
+
+    Comments, declarations and the content of raw elements are passed over.
+    Linear in the page, however broken: a tag's quotes are followed until they
+    fail once (they never close), from then on a tag ends at the next ">"; and a
+    "<" after the last ">" is text.
+    """
+    pos, n, last, quotes = 0, len(html), html.rfind(">"), True
+    raw_end: dict[str, re.Pattern] = {}
+    while pos < n:
+        at = html.find("<", pos)
+        if at < 0:
+            at = n
+        if at > pos:
+            yield None, False, html[pos:at]
+        if at == n:
+            return
+        if html.startswith("<!--", at):
+            end = html.find("-->", at + 4)
+            pos = end + 3 if end >= 0 else n
+            continue
+        if html.startswith(("<!", "<?"), at):
+            end = html.find(">", at)
+            pos = end + 1 if end >= 0 else n
+            continue
+        m = NAME.match(html, at + 1) if at < last else None
+        if m is None:
+            yield None, False, "<"
+            pos = at + 1
+            continue
+        rest = REST.match(html, m.end()) if quotes else None
+        quotes = rest is not None
+        pos = rest.end() if rest else html.find(">", m.end()) + 1
+        name, attributes = m[2].lower(), html[m.end() : pos - 1]
+        if name in RAW and not m[1]:
+            if not attributes.rstrip().endswith("/"):
+                if name not in raw_end:
+                    raw_end[name] = re.compile(rf"</{re.escape(name)}\s*>", re.I)
+                end = raw_end[name].search(html, pos)
+                pos = end.end() if end else n
+            continue
+        yield name, bool(m[1]), attributes
+
+
 def parse(html: str) -> Node:
     """The page as containers with text blocks (strings with link share) in page order."""
     root = node = Node("#root", None, False)
@@ -111,26 +165,11 @@ def parse(html: str) -> Node:
             below = below.parent
         return at
 
-    pos = 0
-    match = TOKEN.match
-    n = len(html)
-    while pos < n:
-        m = match(html, pos)
-        pos = m.end()
-        token = m[0]
-        if token[0] != "<" or token == "<":
-            if not node.skip:
-                text.append(token)
-                linked += len(token) if links else 0
-            continue
-        name = m[2]
+    for name, closing, rest in scan(html):
         if name is None:
-            continue
-        name, closing = name.lower(), bool(m[1])
-        if name in RAW and not closing:
-            if not m[3].rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, pos)
-                pos = end.end() if end else n
+            if not node.skip:
+                text.append(rest)
+                linked += len(rest) if links else 0
             continue
         if name == "br":
             text.append("\n")
@@ -151,14 +190,11 @@ def parse(html: str) -> Node:
         if name in ENDS_P and node.name == "p":
             node = close_to(node.parent)
         if name in REPEATS:
-            at = node
-            while at.parent is not None and at.name not in REPEATS[name] and at.name not in BARRIER[name]:
-                at = at.parent
-            if at.name in REPEATS[name] and at.parent is not None:
-                node = close_to(at.parent)
+            while node.near is not None and node.near.name in REPEATS[name]:
+                node = close_to(node.near.parent)
         if name in VOID:
             continue
-        skip, mark = _boilerplate(name, m[3])
+        skip, mark = (False, "") if name == "header" and opened["article"] else _boilerplate(name, rest)
         node = Node(name, node, node.skip or skip, mark)
         opened[name] += 1
     flush()
@@ -224,6 +260,7 @@ def _score(root: Node) -> list[Node]:
             if isinstance(c, tuple):
                 block, linked = c
                 node.chars += len(block)
+                node.blocks += 1
                 node.link_chars += linked
                 if len(block) >= 25 and node.name not in HEADINGS:
                     points = _points(block)
@@ -239,6 +276,7 @@ def _score(root: Node) -> list[Node]:
         if node.parent is not None:
             node.parent.chars += node.chars
             node.parent.link_chars += node.link_chars
+            node.parent.blocks += node.blocks
     return order
 
 
@@ -252,7 +290,7 @@ def _blocks(node: Node, out: list[str]) -> None:
         at = stack.pop()
         if isinstance(at, tuple):
             out.append(at[0])
-        elif not at.skip and not (at.name in ("ul", "ol", "table", "dl") and _density(at) > 0.6 and at.chars):
+        elif not at.skip and not (at.name in ("ul", "ol", "table", "dl") and _density(at) > 0.6 and at.chars < MENU_CHARS * at.blocks):
             stack.extend(reversed(at.children))
 
 

@@ -106,20 +106,26 @@ def cut_pieces(df: DataFrame, id_col: str, text_col: str, capacity: int, tokeniz
     left over.  Only positions and checksums leave the task, never the ids.
     """
     shared = shipped(df.sparkSession, tokenizer_path)
-    kind = pa.list_(pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]))
+    fields = list(pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]))
 
     def pieces(batches):
         config, whole = shared.value
         ids = bpe.encoder(config, whole).ids
         end = END_ID.to_bytes(4, "little")
         for texts in batches:
-            out = []
+            rows, numbers, starts, lengths, sums = [0], [], [], [], []
             for text in texts.to_pylist():
-                raw = memoryview(ids(text) + end)
+                raw = ids(text) + end
                 n = len(raw) >> 2
-                marks = [0, *range(n % capacity or capacity, n + 1, capacity)] if n > capacity else [0, n]
-                out.append([(i, a, b - a, zlib.crc32(raw[4 * a : 4 * b])) for i, (a, b) in enumerate(zip(marks, marks[1:], strict=False))])
-            yield pa.array([[dict(zip(("piece", "start", "length", "ids_crc32"), x, strict=True)) for x in row] for row in out], kind)
+                if n <= capacity:
+                    numbers.append(0), starts.append(0), lengths.append(n), sums.append(zlib.crc32(raw))
+                else:
+                    view, marks = memoryview(raw), [0, *range(n % capacity or capacity, n + 1, capacity)]
+                    for i, (a, b) in enumerate(zip(marks, marks[1:], strict=False)):
+                        numbers.append(i), starts.append(a), lengths.append(b - a), sums.append(zlib.crc32(view[4 * a : 4 * b]))
+                rows.append(len(numbers))
+            columns = [pa.array(numbers, pa.int32()), *(pa.array(x, pa.int64()) for x in (starts, lengths, sums))]
+            yield pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.StructArray.from_arrays(columns, fields=fields))
 
     udf = arrow_udf(df.sparkSession, pieces, "array<struct<piece:int,start:long,length:long,ids_crc32:long>>")
     return df.select(F.col(id_col).alias("doc_id"), F.explode(udf(F.col(text_col))).alias("p")).select("doc_id", "p.*")

@@ -1,5 +1,11 @@
 """Main text of pages, regular and broken."""
 
+import random
+import time
+from html.parser import HTMLParser
+
+import pytest
+
 from streamweave.llm.html_text import extract_main_text, main_text
 
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><a href=x>menu one</a></nav>
@@ -55,3 +61,81 @@ def test_all_of_the_article_is_kept():
     parts = f"<section><p>{LONG}</p></section><section><p>brief part</p></section>"
     assert main_text(f"<main><article>{parts}</article></main>").endswith("brief part")
     assert "x = 1" in main_text(f"<div><p>{LONG}</p><figure><pre>x = 1</pre><figcaption>Listing</figcaption></figure></div>")
+
+
+@pytest.mark.parametrize("page", ["<a " * 300_000, "<a b='" * 100_000 + ">", '<a ">" ' * 100_000, "<p>x" + "<div>" * 20_000 + "<li>y</li>" * 20_000, "<ul><li>" + "<div>" * 20_000 + "<ul></ul><li>y</li>" * 20_000, "<title>" * 100_000, "<!--" * 200_000, "</div>" * 200_000 + "<b" * 200_000, "<table><tr><td>" * 10_000 + "<li>y</li>" * 20_000, "&" * 500_000])
+def test_broken_pages_take_linear_time(page):
+    began = time.time()
+    main_text(page)
+    assert time.time() - began < 2.0
+
+
+def test_class_words_never_empty_a_page():
+    for mark in ("has-sidebar", "with-sidebar", "no-sidebar", "side-by-side", "nav-open", "menu-open", "legal", "article-header"):
+        assert main_text(f'<body><div class="{mark}"><p>{LONG}</p><p>{LONG}</p></div></body>').count(LONG.strip()) == 2
+
+
+def test_references_labels_and_headings_stay():
+    refs = "".join(f"<li><a href=x>Author {i}, B. and Other, C. A long title of a cited work, 20{i:02}</a></li>" for i in range(9))
+    page = f"<header>site</header><article><header><h1>Title</h1></header><h2>Head</h2><p>{LONG}</p><p><label>Labelled text</label></p><ul>{refs}</ul><ul><li><a href=x>one</a><li><a href=x>two</a></ul></article>"
+    out = main_text(page)
+    assert out.startswith("Title\n\nHead\n\n") and "Labelled text" in out and "Author 8" in out and "two" not in out
+
+
+class Plain(HTMLParser):
+    """The blocks of a page's article by a plain walk."""
+
+    BREAKS = frozenset("p div li ul ol h1 h2 h3 h4 table tr td th section article blockquote pre figure figcaption".split())
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.dropped, self.blocks, self.text = 0, 0, [], []
+
+    def end_block(self):
+        block = " ".join("".join(self.text).split())
+        self.text.clear()
+        if block:
+            self.blocks.append(block)
+
+    def handle_starttag(self, tag, attrs):
+        if tag in self.BREAKS:
+            self.end_block()
+        if tag == "br":
+            self.text.append(" ")
+        self.inside += tag == "article"
+        self.dropped += tag in ("script", "style", "aside", "nav", "form", "footer", "header")
+
+    def handle_endtag(self, tag):
+        if tag in self.BREAKS:
+            self.end_block()
+        self.inside -= tag == "article"
+        self.dropped -= tag in ("script", "style", "aside", "nav", "form", "footer", "header")
+
+    def handle_data(self, data):
+        if self.inside and not self.dropped:
+            self.text.append(data)
+
+
+def test_pages_equal_a_plain_walk(spark, sf):
+    pages = [r["html"] for r in spark.read.parquet(f"{sf.replace('0.001', '0.01')}/pages.parquet").collect()]
+    same = 0
+    for html in pages:
+        walk = Plain()
+        walk.feed(html)
+        walk.close()
+        walk.end_block()
+        same += main_text(html) == "\n\n".join(walk.blocks)
+    assert same >= 0.98 * len(pages)
+
+
+def test_generated_pages_have_their_main_text():
+    rng = random.Random(12)
+    sentence = lambda: " ".join(rng.choice(["plain", "words", "of", "a", "story", "told", "here"]) for _ in range(rng.randrange(6, 30))).capitalize() + "."
+    for _ in range(100):
+        blocks = [sentence() + " " + sentence() for _ in range(rng.randrange(3, 9))]
+        body = "".join(f"<{t}>{b}</{t}>" for b in blocks for t in [rng.choice(["p", "p", "p", "blockquote"])])
+        wrap = rng.choice(["<article>{}</article>", "<main>{}</main>", '<div class="post">{}</div>', '<div class="layout has-sidebar"><div id="content">{}</div></div>'])
+        menu = "<ul>" + "".join(f"<li><a href=/{i}>{rng.choice(['home', 'about', 'news'])}</a></li>" for i in range(7)) + "</ul>"
+        side = f'<div class="sidebar"><p>{sentence()}</p></div>'
+        page = f'<html><body><nav>{menu}</nav>{rng.choice(["", side])}{wrap.format(body)}{rng.choice(["", side])}<div class="comments"><p>{sentence()}</p></div><footer>{sentence()}</footer></body></html>'
+        assert main_text(page) == "\n\n".join(blocks)

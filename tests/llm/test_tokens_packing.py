@@ -26,6 +26,20 @@ def test_encoder_equals_library(text):
     assert list(memoryview(ENC.ids(text)).cast("I")) == ids(text)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.sampled_from(list("ab é'’—“”я й中 文ー\u0301१२३٣😀\n\t  \x1f\u180e\ufeff\u2003\u00a0s,.")), max_size=60))
+def test_encoder_equals_library_in_all_scripts(text):
+    assert list(memoryview(ENC.ids(text)).cast("I")) == ids(text)
+
+
+def test_odd_texts_take_the_shortcut_too(monkeypatch):
+    monkeypatch.setattr(ENC, "_library", None)  # no text as a whole
+    for text in ("It’s — he said — “fine”", "Привет, мир! Как дела?", "我们 明天回家。", "a  b \n\n c ’ d", " x" * 5000 + "’"):
+        assert list(memoryview(ENC.ids(text)).cast("I")) == ids(text)
+    ENC.ids("字" * 5000 + " " + "x" * 5000)
+    assert all(len(k) <= bpe.LONGEST for k in ENC.chunk.__self__)
+
+
 def test_whole_tokens_are_proven():
     whole = bpe.prove_whole_tokens(tokens._tokenizer(PATH)[0])
     assert len(whole) > 40_000 and all(ids(t) == [i] for t, i in list(whole.items())[::500])
