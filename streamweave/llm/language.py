@@ -6,8 +6,11 @@ written in needs few of them.  The number of phrases, times log2 of the training
 length, estimates the bits the text costs given that language; the cheapest
 language wins.
 
-In a task many texts are parsed at once: texts are cut into blocks that are
-lanes of one numpy state machine over all languages' automata.
+Automata are sparse: the transitions of all languages lie in one hash table, so
+an alphabet may be as large as the samples make it.  In a task many texts are
+parsed at once: texts are cut into blocks that are lanes of one numpy state
+machine over all languages.  A block's parse goes on from where the block before
+it ended, so the blocks don't show in the result.
 """
 
 from __future__ import annotations
@@ -17,16 +20,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamweave.llm.common import arrow_udf, code_points, crc_mod, drop_clashing, fresh, table
+from streamweave.llm.common import arrow_udf, code_points, crc_mod, drop_clashing, fresh, hash_share, table
 
 UNDETERMINED = "und"
-#: Bounds of the training sample: documents and characters per language.
-DOCS_PER_LANGUAGE, CHARS_PER_LANGUAGE, LONGEST_TRAINING_TEXT = 200, 20_000, 20_000
-#: Distinct characters that automata tell apart; rarer ones match nothing.
-ALPHABET = 62
-#: Characters parsed in one lane, and characters of text parsed together.
-BLOCK, TOGETHER = 512, 2_000_000
+#: Bounds of the training sample: languages, documents and characters per language,
+#: and characters of one document.
+LANGUAGES, DOCS_PER_LANGUAGE, CHARS_PER_LANGUAGE, CHARS_PER_DOC = 1_000, 200, 20_000, 20_000
+#: Characters parsed in one lane, characters of text parsed together, characters
+#: after which a parse from another state has mostly met the one from the root,
+#: and rounds of lanes until what has not met is parsed character by character.
+BLOCK, TOGETHER, MEET, ROUNDS = 512, 2_000_000, 64, 6
 SPACE = 1
+#: Code points with a code table of their own (all planes with cased letters).
+POINTS = 0x30000
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def normal_text(text: str) -> str:
@@ -65,46 +72,66 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
 
 
 class CrossParser:
-    """Automata of all languages in one transition table, and lanes over it."""
+    """Automata of all languages in one table of transitions, and lanes over it."""
 
     def __init__(self, samples: dict[str, str]):
         self.languages = sorted(samples)
-        counts: dict[str, int] = {}
-        for text in samples.values():
-            for c in text:
-                if c != " ":
-                    counts[c] = counts.get(c, 0) + 1
-        letters = sorted(counts, key=lambda c: (-counts[c], c))[:ALPHABET]
+        letters = sorted({c for text in samples.values() for c in text} - {" "})
         code = {" ": SPACE} | {c: i + 2 for i, c in enumerate(letters)}
-        width = self.width = ALPHABET + 2
+        self.width = len(letters) + 2
         # Code of every code point: 0 unknown letter, 1 not a letter, else a letter's.
-        points = np.arange(0x3000)
-        self.code = np.array([code.get(chr(i).lower()[:1], 0) if chr(i).isalpha() else SPACE for i in points], np.uint8)
-        tables, roots, self.bits = [], [], []
-        base = 0
-        for name in self.languages:
-            move = suffix_automaton([code.get(c, 0) for c in samples[name]])
-            target = np.zeros((len(move), width), np.int64)
-            has = np.zeros((len(move), width), bool)
-            for s, out in enumerate(move):
-                for c, t in out.items():
-                    if c:
-                        target[s, c], has[s, c] = t, True
-            # No transition: a phrase ends and the next begins with this character.
-            again = np.where(has[0], target[0], 0)
-            phrases = np.where(has, 0, np.where(has[0], 1, 2))
-            phrases[0] = np.where(has[0], 0, 1)
-            target = np.where(has, target, again)
-            tables.append(((base + target) * width << 2 | phrases).ravel())
-            roots.append(base * width)
-            self.bits.append(np.log2(max(2, len(samples[name]))))
+        self.code = np.array([code.get(chr(i).lower()[:1], 0) if chr(i).isalpha() else SPACE for i in range(POINTS)], np.int32)
+        keys, targets, roots, base = [], [], [], 0
+        self.first = np.zeros((len(self.languages), self.width), np.int64)  # from the root; the root itself where it has none
+        for i, name in enumerate(self.languages):
+            move = suffix_automaton([code[c] for c in samples[name]])
+            roots.append(base)
+            self.first[i] = base
+            for c, t in move[0].items():
+                self.first[i, c] = base + t
+            keys += [(base + s) * self.width + c for s, out in enumerate(move) for c in out]
+            targets += [base + t for out in move for t in out.values()]
             base += len(move)
-        self.table = np.concatenate(tables).astype(np.int64) if tables else np.zeros(0, np.int64)
+        self.bits = [np.log2(max(2, len(samples[name]))) for name in self.languages]
         self.roots = np.array(roots, np.int64)
+        self._fill(np.array(keys, np.int64), np.array(targets, np.int64))
+        self._plain: dict[int, int] | None = None
+
+    def _fill(self, keys: np.ndarray, targets: np.ndarray) -> None:
+        """Open addressing with at most a quarter of the slots in use."""
+        size = 1 << max(4, (4 * len(keys)).bit_length())
+        self.mask, self.shift = size - 1, np.uint64(64 - size.bit_length() + 1)
+        self.keys, self.targets = np.full(size, -1, np.int64), np.zeros(size, np.int64)
+        slot, left = self._slot(keys), np.arange(len(keys))
+        while len(left):
+            free = left[self.keys[slot[left]] < 0]
+            self.keys[slot[free]] = keys[free]  # of several the last one stays
+            placed = self.keys[slot[left]] == keys[left]
+            self.targets[slot[left[placed]]] = targets[left[placed]]
+            left = left[~placed]
+            slot[left] = slot[left] + 1 & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * _MIX >> self.shift).view(np.int64)
+
+    def _next(self, state: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """States after one more character; -1 where the match ends."""
+        key = state * self.width + codes
+        slot = self._slot(key)
+        found = self.keys[slot]
+        hit = found == key
+        more = ~hit & (found >= 0)
+        while more.any():
+            at = np.nonzero(more)
+            slot[at] = slot[at] + 1 & self.mask
+            found = self.keys[slot[at]]
+            hit[at] = found == key[at]
+            more[at] = ~hit[at] & (found >= 0)
+        return np.where(hit, self.targets[slot], -1)
 
     def codes(self, text: str) -> np.ndarray:
         points = code_points(text)
-        far = points >= len(self.code)
+        far = points >= POINTS
         out = self.code[np.where(far, 0, points)]
         if far.any():
             out[far] = [0 if chr(p).isalpha() else SPACE for p in points[far]]
@@ -113,30 +140,83 @@ class CrossParser:
         keep[1:] |= space[1:] & ~space[:-1]
         return out[keep]
 
+    def _run(self, state: np.ndarray, lanes: np.ndarray, sizes: np.ndarray, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """(states, phrases ended) after characters start..end of lanes sorted by falling size."""
+        state, count = state.copy(), np.zeros(state.shape, np.int64)
+        active = np.searchsorted(-sizes, -np.arange(start, end), side="left")
+        for t, n in zip(range(start, end), active, strict=True):
+            if not n:
+                break
+            now, codes = state[:, :n], lanes[t, :n]
+            after = self._next(now, np.broadcast_to(codes, now.shape))
+            over = after < 0
+            first = self.first[:, codes]
+            root = self.roots[:, None]
+            count[:, :n] += over * ((now != root).astype(np.int64) + (first == root))
+            state[:, :n] = np.where(over, first, after)
+        return state, count
+
     def phrases(self, texts: list[str]) -> np.ndarray:
-        """(texts, languages): phrases that each text takes, block by block."""
+        """(texts, languages): phrases of the greedy parse of each text."""
         coded = [self.codes(t) for t in texts]
-        owner = np.repeat(np.arange(len(coded)), [-(-len(c) // BLOCK) for c in coded])
-        blocks = [c[i : i + BLOCK] for c in coded for i in range(0, len(c), BLOCK)]
+        parts = [-(-len(c) // BLOCK) for c in coded]
         total = np.zeros((len(coded), len(self.languages)), np.int64)
-        if not blocks:
+        if not sum(parts):
             return total
+        owner = np.repeat(np.arange(len(coded)), parts)
+        blocks = [c[i : i + BLOCK] for c in coded for i in range(0, len(c), BLOCK)]
         sizes = np.array([len(b) for b in blocks])
         order = np.argsort(-sizes, kind="stable")
+        lane_of = np.empty(len(order), np.int64)
+        lane_of[order] = np.arange(len(order))
+        before = np.where(np.r_[True, owner[1:] != owner[:-1]], -1, np.r_[-1, lane_of[:-1]])[order]  # lane of the block before
         lanes = np.zeros((int(sizes.max()), len(blocks)), np.int64)
         for lane, i in enumerate(order):
             lanes[: sizes[i], lane] = blocks[i]
-        active = np.searchsorted(-sizes[order], -np.arange(len(lanes)), side="left")
-        state = np.repeat(self.roots[:, None], len(blocks), axis=1)
-        count = np.zeros(state.shape, np.int64)
-        for t, n in enumerate(active):
-            value = self.table[state[:, :n] + lanes[t, :n]]
-            count[:, :n] += value & 3
-            state[:, :n] = value >> 2
-        count += state != self.roots[:, None]
-        np.add.at(total, owner[order], count.T)
+        owner, sizes = owner[order], sizes[order]
+        root = np.repeat(self.roots[:, None], len(blocks), axis=1)
+        meet = min(MEET, len(lanes))
+        came, (middle, early) = root, self._run(root, lanes, sizes, 0, meet)
+        end, late = self._run(middle, lanes, sizes, meet, len(lanes))
+        # Go on from where the block before really ended.
+        for _ in range(ROUNDS):
+            comes = np.where(before >= 0, end[:, before], root)
+            turned = np.nonzero((comes != came).any(axis=0))[0]
+            if not len(turned):
+                break
+            came = comes
+            some, few = self._run(came[:, turned], lanes[:, turned], sizes[turned], 0, meet)
+            apart = (some != middle[:, turned]).any(axis=0)
+            middle[:, turned], early[:, turned] = some, few
+            rest = turned[apart]
+            if len(rest):
+                end[:, rest], late[:, rest] = self._run(middle[:, rest], lanes[:, rest], sizes[rest], meet, len(lanes))
+        last = np.ones(len(blocks), bool)
+        last[before[before >= 0]] = False
+        count = early + late + (last & (end != root))
+        np.add.at(total, owner, count.T)
+        comes = np.where(before >= 0, end[:, before], root)
+        for i in np.unique(owner[(comes != came).any(axis=0)]):
+            total[i] = [self._one(coded[i], k) for k in range(len(self.languages))]
         return total
 
+    def _one(self, codes: np.ndarray, language: int) -> int:
+        """Phrases of one text in one language, character by character."""
+        if self._plain is None:
+            used = self.keys >= 0
+            self._plain = dict(zip(self.keys[used].tolist(), self.targets[used].tolist(), strict=True))
+        move, width, root, first = self._plain.get, self.width, int(self.roots[language]), self.first[language].tolist()
+        at, n = root, 0
+        for c in codes.tolist():
+            after = move(at * width + c)
+            if after is None:
+                n += at != root
+                at = first[c]
+                n += at == root
+            else:
+                at = after
+        return n + (at != root)
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         names, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
         wanted = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))] if self.languages else []
@@ -156,20 +236,26 @@ class CrossParser:
         return names, scores
 
 
-def training_samples(docs: DataFrame, id_col: str, text_col: str, lang_col: str, learn) -> dict[str, str]:
-    """Normalised text per language, from a bounded sample spread by the id's hash.
+def training_samples(docs: DataFrame, text_col: str, lang_col: str, learn) -> dict[str, str]:
+    """Normalised text per language, from a bounded sample drawn by the hash of text and language.
 
-    At most about DOCS_PER_LANGUAGE documents a language reach the driver, none
-    longer than LONGEST_TRAINING_TEXT characters, and CHARS_PER_LANGUAGE
-    characters of them are learned, so that languages have equal shares.
+    At most about DOCS_PER_LANGUAGE different texts a language (of the LANGUAGES
+    most frequent ones) reach the driver, each cut to CHARS_PER_DOC characters;
+    CHARS_PER_LANGUAGE characters of them are learned, so that languages have
+    equal shares.  Repeated rows count once, whatever their ids.
     """
-    rows = docs.where(learn & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & (F.length(text_col) <= LONGEST_TRAINING_TEXT))
-    share = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    counts = rows.groupBy(F.col(lang_col).alias("lang_")).agg(F.count("*").alias("n_"))  # a row per language
-    some = rows.join(F.broadcast(counts), F.col(lang_col) == F.col("lang_")).where(share * F.col("n_") < DOCS_PER_LANGUAGE)
-    drawn = some.select(F.col("lang_"), share.alias("at"), F.col(text_col).alias("text_")).collect()
+    spark = docs.sparkSession
+    rows = docs.where(learn & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang_"), F.col(text_col).alias("text_"))
+    rows = rows.withColumn("hash_", F.xxhash64("lang_", "text_"))
+    counts = rows.groupBy("lang_").agg(F.approx_count_distinct("hash_").alias("n_"), F.count("*").alias("rows_"))
+    known = counts.orderBy(F.desc("rows_"), "lang_").limit(LANGUAGES).select("lang_", "n_").collect()
+    if not known:
+        return {}
+    few = spark.createDataFrame(known, "lang_ string, n_ long")  # at most LANGUAGES rows
+    some = rows.join(F.broadcast(few), "lang_").where(hash_share("hash_") * F.col("n_") < DOCS_PER_LANGUAGE)
+    drawn = some.groupBy("lang_", "hash_").agg(F.min(F.substring("text_", 1, CHARS_PER_DOC)).alias("text_")).collect()
     out: dict[str, list[str]] = {}
-    for row in sorted(drawn, key=lambda r: (r["at"], r["text_"])):
+    for row in sorted(drawn, key=lambda r: (r["hash_"], r["text_"])):
         out.setdefault(row["lang_"], []).append(normal_text(row["text_"]))
     texts = {k: " ".join(x for x in v if x)[:CHARS_PER_LANGUAGE] for k, v in out.items()}
     return {k: v for k, v in texts.items() if v}
@@ -207,5 +293,5 @@ def identify(df: DataFrame, samples: dict[str, str], text_col: str = "text") ->
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.coalesce(crc_mod(F.col("doc_id"), 3) == 1, F.lit(False))
-    samples = training_samples(docs, "doc_id", "text", "lang", ~held_out & F.col("doc_id").isNotNull())
+    samples = training_samples(docs, "text", "lang", ~held_out & F.col("doc_id").isNotNull())
     return identify(docs.select("doc_id", "text"), samples).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")

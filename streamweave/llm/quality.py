@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamweave.llm.common import arrow_udf, crc_mod, drop_clashing, fresh, table
+from streamweave.llm.common import arrow_udf, crc_mod, drop_clashing, fresh, hash_share, table
 
 #: Labelled rows that are learned from, at most about.
 TRAINING_ROWS = 20_000
@@ -137,15 +137,16 @@ class BoostedTrees:
 
 
 def train(docs: DataFrame, labels: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAINING_ROWS) -> BoostedTrees:
-    """Fit on a bounded sample of labelled documents, drawn by the id's hash.
+    """Fit on a bounded sample of labelled documents, drawn by the hash of id and text.
 
     `learn` says (over the id column) which rows may be learned from.  About
-    `rows` rows at most are drawn whatever the number of labels; their
-    statistics, not their texts, come to the driver.
+    `rows` rows at most are drawn whatever the number of labels or of documents
+    with one id; their statistics, not their texts, come to the driver.  Equal
+    rows count once; an id with several labels has the largest.
     """
     known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("double").alias("__y")).where(F.col("__id").isNotNull() & F.col("__y").isNotNull())
     known = known.groupBy("__id").agg(F.max("__y").alias("__y"))
-    share = F.pmod(F.xxhash64(F.col("__id").cast("string"), F.lit(6)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    share = hash_share("__id", F.lit(6))
     n = known.count()
     drawn = known.where(share * F.lit(n) < rows)  # a fixed bound, so it may be broadcast
 
@@ -156,7 +157,11 @@ def train(docs: DataFrame, labels: DataFrame, learn, id_col: str = "doc_id", tex
 
     udf = arrow_udf(docs.sparkSession, features, "array<double>")
     found = docs.where(learn).select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text")).join(F.broadcast(drawn), F.col("__doc") == F.col("__id"))
-    got = found.select("__doc", "__y", udf(F.col("__text")).alias("x")).toPandas().sort_values("__doc", kind="stable")
+    found = found.withColumn("__hash", F.xxhash64("__doc", F.coalesce("__text", F.lit(""))))
+    # Ids may repeat: thin by row as well, so that what is drawn stays bounded.
+    m = found.agg(F.approx_count_distinct("__hash")).first()[0]
+    thin = found.where(hash_share("__hash") * F.lit(m) < rows).select("__hash", "__y", udf(F.col("__text")).alias("x"))
+    got = thin.dropDuplicates(["__hash"]).toPandas().sort_values("__hash", kind="stable")
     x = np.stack(got["x"].to_numpy()).astype(float) if len(got) else np.zeros((0, FEATURES))
     return BoostedTrees.fit(x, (got["__y"].to_numpy(float) > 0).astype(float))
 

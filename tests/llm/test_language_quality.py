@@ -1,5 +1,7 @@
 """Held-out accuracy, and exactness of the parts that have an exact answer."""
 
+import random
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -43,6 +45,43 @@ def test_phrases_equal_greedy_parsing():
         assert parser.phrases([text])[0].tolist() == [greedy(plain, s) for s in (samples["x"], samples["y"])]
 
 
+def test_blocks_do_not_show():
+    rng = random.Random(3)
+    samples = {k: " ".join("".join(rng.choice(a) for _ in range(rng.randrange(1, 6))) for _ in range(150)) for k, a in (("x", "abc"), ("y", "bcd"), ("z", "\u0430\u0431\u0432"))}
+    parser = language.CrossParser(samples)
+    texts = ["".join(rng.choice("abcd \u0430\u0431\u0432q") for _ in range(n)) for n in (511, 512, 513, 1024, 1500, 4000)]
+    texts += ["a" * 3000, "ab" * 2000, "abc" * 3000 + "d", samples["x"] * 5, "q" * 1100, "", "a"]
+    got = parser.phrases(texts)
+    for t, row in zip(texts, got, strict=True):
+        plain = "".join(" " if c == " " and t[i - 1] == " " and i else c for i, c in enumerate(t))
+        while "  " in plain:
+            plain = plain.replace("  ", " ")
+        assert row.tolist() == [greedy(plain, samples[k]) for k in "xyz"]
+
+
+def test_scripts_are_told_apart():
+    base = {
+        "ar": "\u0627\u0644\u0644\u063a\u0629 \u0627\u0644\u0639\u0631\u0628\u064a\u0629 \u062c\u0645\u064a\u0644\u0629 ",
+        "el": "\u03b7 \u03b3\u03bb\u03ce\u03c3\u03c3\u03b1 \u03b5\u03af\u03bd\u03b1\u03b9 \u03cc\u03bc\u03bf\u03c1\u03c6\u03b7 ",
+        "en": "the language is beautiful and old ",
+        "ja": "\u79c1\u306f\u660e\u65e5\u5b66\u6821\u306b\u884c\u304d\u307e\u3059 ",
+        "ru": "\u044f\u0437\u044b\u043a \u043a\u0440\u0430\u0441\u0438\u0432\u044b\u0439 \u0438 \u0441\u0442\u0430\u0440\u044b\u0439 ",
+        "zh": "\u6211\u4eec\u660e\u5929\u56de\u5bb6\u770b\u4e66 ",
+    }
+    many = {"zh": "".join(map(chr, range(0x4E00, 0x4E00 + 3000)))}
+    parser = language.CrossParser({k: (v * 50 + many.get(k, ""))[:20_000] for k, v in base.items()})
+    names, scores = parser.predict([v.strip() for v in base.values()] + ["\u6211\u4eec\u660e\u5929\u56de\u5bb6"])
+    assert names == [*base, "zh"] and min(scores) > 0.5
+
+
+def test_training_takes_long_and_repeated_rows(spark):
+    rows = [(i, "uno dos tres cuatro " * 3000, "es") for i in range(3)] + [(7, "one two three four", "en")] * 500 + [(None, "eins zwei drei", "de"), (8, None, "fr"), (9, "x", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language.training_samples(docs, "text", "lang", F.lit(True))
+    assert sorted(got) == ["de", "en", "es"] and got["en"] == "one two three four" and len(got["es"]) >= language.CHARS_PER_LANGUAGE - 1
+    assert language.training_samples(docs.limit(0), "text", "lang", F.lit(True)) == {}
+
+
 def test_language_held_out(spark, sf):
     got = language.op5_language_id(spark, sf)
     both = got.join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id").where("held_out")
@@ -100,3 +139,50 @@ def test_quality_edges(spark):
     assert [r["score"] for r in got] == [0.5] * 4 and {r["predicted"] for r in got} == {1}
     labels = spark.createDataFrame([(1, None), (None, 1), (3, 1), (3, 0)], "doc_id long, quality int")
     assert 0 < quality.train(df, labels, F.lit(True)).scores(np.zeros((1, quality.FEATURES)))[0] < 1
+
+
+def test_quality_draw_is_bounded_by_rows(spark, monkeypatch):
+    seen = []
+    fit = quality.BoostedTrees.fit.__func__
+    monkeypatch.setattr(quality.BoostedTrees, "fit", classmethod(lambda cls, x, y: seen.append(len(x)) or fit(cls, x, y)))
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(3000)] + [(2, "same")] * 3000 + [(None, "n")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    quality.train(docs, labels, F.lit(True), rows=200)
+    assert 100 < seen[0] < 400
+
+
+def plain_fit(x, y):
+    """One boosted stump-by-stump tree grown by trying every split of every node."""
+    rate = (y.sum() + 1) / (len(y) + 2)
+    prior = np.log(rate / (1 - rate))
+    cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, quality.BINS + 1)[1:-1])) for j in range(x.shape[1])]
+    margin = np.full(len(y), prior)
+    for _ in range(quality.TREES):
+        p = 1 / (1 + np.exp(-margin))
+        g, h = p - y, p * (1 - p)
+        parts = [np.ones(len(y), bool)]
+        for _ in range(quality.DEPTH):
+            after = []
+            for part in parts:
+                best, split = 1e-9, np.zeros(len(y), bool)
+                value = lambda m: g[m].sum() ** 2 / (h[m].sum() + quality.RIDGE)  # noqa: E731, B023
+                for j, c in enumerate(cuts):
+                    for t in c:
+                        low, high = part & (x[:, j] <= t), part & (x[:, j] > t)
+                        if min(low.sum(), high.sum()) >= quality.LEAST:
+                            gain = value(low) + value(high) - value(part)
+                            if gain > best + 1e-9:
+                                best, split = gain, x[:, j] > t
+                after += [part & ~split, part & split]
+            parts = after
+        for part in parts:
+            margin[part] += -quality.RATE * g[part].sum() / (h[part].sum() + quality.RIDGE)
+    return 1 / (1 + np.exp(-margin))
+
+
+def test_fit_equals_plain_boosting(monkeypatch):
+    monkeypatch.setattr(quality, "TREES", 4)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(150, 3))
+    y = ((x[:, 0] + 0.5 * x[:, 1] + 0.3 * rng.normal(size=150)) > 0).astype(float)
+    assert np.allclose(quality.BoostedTrees.fit(x, y).scores(x), plain_fit(x, y), atol=1e-9)
