@@ -1,13 +1,20 @@
-"""Benchmark decontamination: n-gram seeds, an exact bound, then Smith-Waterman (operator 7).
+"""Benchmark decontamination: rare seeds, exact bounds, then Smith-Waterman (operator 7).
 
 The benchmark is the query set and is taken in blocks of a bounded number of
-words, each against all documents.  Every n-gram of an item is a seed, however
-many documents hold it, so an edited copy is found no matter how often it was
-copied.  Stock phrases are sorted out by a bound that loses nothing: an
-alignment scores at most one per word of the item that stands in the passage, so
-where too few do, the threshold is out of reach.  Else the passage around the
-hits is aligned with the item, word by word; edits, gaps and insertions lower the
-score without breaking the match.
+words, each against all documents.  A leak is a local alignment of an item with
+a passage whose score reaches a threshold; what is sorted out before the
+alignment can't reach it:
+
+* Seeds.  A score of s needs s matched words of the item.  So of its n words any
+  n - s + 1 must hold a matched one; the rarest of the block are taken.  (Edits
+  may stand between any two words, so longer n-grams would miss copies.)
+* Words.  At least s places of the item must have words that the document has.
+* Islands.  Words that the item hasn't cost a passage at least half a point
+  each.  Where the running sum of points, begun anew whenever it falls to zero,
+  stays below s, no passage reaches s; an alignment lies within one such run.
+
+Each island is aligned with the item, word by word; edits, gaps and insertions
+lower the score without breaking the match.
 """
 
 from __future__ import annotations
@@ -18,14 +25,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from streamweave.llm.common import arrow_udf, drop_clashing, fresh, table
 
-#: Words in a seed.
-SEED = 3
 #: Alignment: scores per word, and the share of the perfect score that is a leak.
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
 THRESHOLD = 0.5
+#: However short the item, so many words (or all of it) must match.
+SHORTEST = 3
 #: Benchmark words handled per block (what is broadcast is a few MB at most).
 BLOCK_WORDS = 400_000
 
@@ -38,102 +46,75 @@ def words(text: str | None) -> list[bytes]:
 
 
 class Seeds:
-    """A block of benchmark items as word codes, with the n-grams to look for."""
+    """A block of benchmark items as word codes, with the words to look for."""
 
-    def __init__(self, items: list[tuple[int, str]], size: int = SEED):
-        self.size = size
+    def __init__(self, items: list[tuple], threshold: float = THRESHOLD):
         found = [(i, words(t)) for i, t in items]
-        self.items = [(i, w) for i, w in found if len(w) >= size]
-        code: dict[bytes, int] = {}
-        self.coded = [np.array([code.setdefault(x, len(code)) for x in w], np.int64) for _, w in self.items]
-        self.code = code
-        self.base = max(2, len(code))
-        keys = [self.keys(c) for c in self.coded]
-        none = [np.zeros(0, np.int64)]
-        grams = np.concatenate(keys or none)
-        self.grams = np.unique(grams)
-        # Rows (gram, item, position in the item), sorted by gram.
-        order = np.argsort(grams, kind="stable")
-        self.gram = np.searchsorted(self.grams, grams[order])
-        self.item = np.repeat(np.arange(len(keys)), [len(k) for k in keys])[order]
-        self.at = np.concatenate([np.arange(len(k)) for k in keys] or none)[order]
-        # The items' words one after the other.
-        self.flat = np.concatenate(self.coded or none)
+        found = [(i, w) for i, w in found if w]
+        self.ids = [i for i, _ in found]
+        self.code: dict[bytes, int] = {}
+        self.coded = [np.array([self.code.setdefault(x, len(self.code)) for x in w], np.int64) for _, w in found]
         self.length = np.array([len(c) for c in self.coded], np.int64)
+        #: The score that makes a leak, and the matches that it takes at least.
+        self.score = np.maximum(threshold * self.length, np.minimum(self.length, SHORTEST)) - 1e-9
+        self.need = np.ceil(self.score / MATCH).astype(np.int64)
+        kinds = [np.unique(c) for c in self.coded]
+        held = np.bincount(np.concatenate(kinds), minlength=len(self.code)) if kinds else np.zeros(0, np.int64)
+        seeds = [np.unique(c[np.lexsort((c, held[c]))[: len(c) - m + 1]]) for c, m in zip(self.coded, self.need, strict=True)]
+        # The items of each seed word, and the items' words one after the other.
+        word = np.concatenate(seeds) if seeds else np.zeros(0, np.int64)
+        item = np.repeat(np.arange(len(seeds)), [len(x) for x in seeds])
+        order = np.argsort(word, kind="stable")
+        self.item_of = item[order]
+        self.starts = np.searchsorted(word[order], np.arange(len(self.code) + 1))
+        self.flat = np.concatenate(self.coded) if self.coded else np.zeros(0, np.int64)
         self.begin = np.cumsum(self.length) - self.length
 
-    def keys(self, coded: np.ndarray) -> np.ndarray:
-        """One number per run of `size` known words; -1 where a word is unknown."""
-        n = len(coded) - self.size + 1
-        if n <= 0:
-            return np.zeros(0, np.int64)
-        out, known = np.zeros(n, np.int64), np.ones(n, bool)
-        for j in range(self.size):
-            out = out * self.base + coded[j : j + n]
-            known &= coded[j : j + n] >= 0
-        return np.where(known, out, -1)
-
     def encode(self, text: str | None) -> np.ndarray:
         w = words(text)
         return np.fromiter(map(self.code.get, w, repeat(-1)), np.int64, len(w))
 
-    def hits(self, coded: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(positions in the text, grams) where an n-gram of the block stands."""
-        keys = self.keys(coded)
-        at = np.nonzero(keys >= 0)[0]
-        if not len(at) or not len(self.grams):
-            return at[:0], at[:0]
-        gram = np.searchsorted(self.grams, keys[at])
-        gram[gram == len(self.grams)] = 0
-        good = self.grams[gram] == keys[at]
-        return at[good], gram[good]
-
-    def reachable(self, items: np.ndarray, coded: np.ndarray, threshold: float) -> np.ndarray:
-        """Items of which so many words stand in `coded` that a score of `threshold` is possible."""
-        present = np.zeros(self.base, bool)
+    def candidates(self, coded: np.ndarray) -> np.ndarray:
+        """Items with a seed in the text and enough places whose word it has."""
+        present = np.zeros(len(self.code), bool)
         present[coded[coded >= 0]] = True
+        at = np.nonzero(present)[0]
+        lo, n = self.starts[at], self.starts[at + 1] - self.starts[at]
+        items = np.unique(self.item_of[np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)])
+        if not len(items):
+            return items
         n = self.length[items]
         ends = np.cumsum(n)
         held = present[self.flat[np.arange(ends[-1]) + np.repeat(self.begin[items] - (ends - n), n)]]
-        return items[np.add.reduceat(held.astype(np.int64), ends - n) >= threshold * n - 1e-9]
+        return items[np.add.reduceat(held.astype(np.int64), ends - n) >= self.need[items]]
+
+    def islands(self, coded: np.ndarray, item: int, scratch: np.ndarray) -> list[tuple[int, int]]:
+        """Parts of the text that may hold a passage of the score, by points per word alone."""
+        scratch[self.coded[item]] = True
+        points = np.where(scratch[coded], MATCH, max(MISMATCH, GAP))  # unknown words are -1: the last, never set
+        scratch[self.coded[item]] = False
+        total = np.cumsum(points)
+        run = total - np.minimum.accumulate(np.minimum(total, 0.0))
+        if run.max() < self.score[item]:
+            return []
+        over = np.flatnonzero(np.diff(np.r_[False, run > 1e-12, False]))
+        return [(a, b) for a, b in zip(over[::2].tolist(), over[1::2].tolist(), strict=True) if run[a:b].max() >= self.score[item]]
 
-    def alignments(self, coded: np.ndarray, threshold: float = THRESHOLD) -> list[tuple[int, float, int, int]]:
-        """(item id, score, first word, end word) of the best passage per item hit that reaches `threshold`."""
-        at, gram = self.hits(coded)
-        if not len(at):
+    def alignments(self, coded: np.ndarray) -> list[tuple[int, float, int, int]]:
+        """(item, share of the perfect score, first word, end word) of the best passage of each item that leaks."""
+        if not len(coded) or not self.ids:
             return []
-        # One row per hit and item that holds the n-gram.
-        lo, hi = np.searchsorted(self.gram, gram, "left"), np.searchsorted(self.gram, gram, "right")
-        n = hi - lo
-        row = np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)
-        item, first = self.item[row], np.repeat(at, n) - self.at[row]
-        wanted = np.isin(item, self.reachable(np.unique(item), coded, threshold))
-        item, first = item[wanted], first[wanted]
-        order = np.lexsort((first, item))
-        item, first = item[order], first[order]
+        scratch = np.zeros(len(self.code) + 1, bool)
         out = []
-        for i in np.unique(item):
-            words_of = self.coded[i]
-            n = len(words_of)
-            slack = max(8, n // 4)
-            merged: list[list[int]] = []
-            for f in first[np.searchsorted(item, i, "left") : np.searchsorted(item, i, "right")].tolist():
-                a, b = max(0, f - slack), min(len(coded), f + n + slack)
-                if merged and a <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], b)
-                else:
-                    merged.append([a, b])
-            best = (0.0, 0, 0)
-            for a, b in merged:
-                if np.isin(words_of, coded[a:b]).sum() < max(threshold * n, best[0] / MATCH) - 1e-9:
-                    continue
-                value, end = smith_waterman(coded[a:b], words_of)
+        for i in self.candidates(coded).tolist():
+            item, best = self.coded[i], (0.0, 0, 0)
+            for a, b in self.islands(coded, i, scratch):
+                value, end = smith_waterman(coded[a:b], item)
                 if value > best[0]:
-                    value, start = smith_waterman(coded[a : a + end][::-1], words_of[::-1])
+                    value, start = smith_waterman(coded[a : a + end][::-1], item[::-1])
                     best = (value, a + end - start, a + end)
-            score = best[0] / (MATCH * n)
-            if score >= threshold:
-                out.append((self.items[i][0], score, best[1], best[2]))
+            if best[0] >= self.score[i]:
+                out.append((i, best[0] / (MATCH * len(item)), best[1], best[2]))
         return out
 
 
@@ -172,34 +153,38 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str):
         yield block
 
 
-LEAK = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("first_word", pa.int64()), ("end_word", pa.int64())]))
-LEAKS = "array<struct<item_id:long,score:double,first_word:long,end_word:long>>"
-
-
-def with_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD, size: int = SEED, name: str = "leaks") -> DataFrame:
+def with_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD, name: str = "leaks") -> DataFrame:
     """Add an array of (item_id, score, first_word, end_word), one for each item that leaks.
 
     score is the alignment's share of the item's perfect one (1: a verbatim
-    copy); those listed reach `threshold`.  Positions count the document's words.
-    Null texts have no words; items with null id or text or fewer than `size`
-    words aren't searched for; repeated items are listed each.  A column of that
-    name is replaced, all others are kept.
+    copy).  Listed are alignments of `threshold` or more whose score is at least
+    that of three matched words (of an item shorter than that: of all its words).
+    Positions count the document's words.  Null texts have no words; items with
+    null id or text or without words aren't searched for; repeated items are
+    listed each; item ids keep their type.  A column of that name is replaced,
+    all others are kept.  An empty table gives an empty result.
     """
     spark = docs.sparkSession
     (text,) = fresh(docs, "text")
-    out = drop_clashing(docs.withColumn(text, F.col(text_col)), [name]).withColumn(name, F.array().cast(LEAKS))
+    id_type = benchmark.schema[item_col].dataType
+    leaks = f"array<struct<item_id:{id_type.simpleString()},score:double,first_word:long,end_word:long>>"
+    fields = list(pa.struct([("item_id", to_arrow_type(id_type)), ("score", pa.float64()), ("first_word", pa.int64()), ("end_word", pa.int64())]))
+    out = drop_clashing(docs.withColumn(text, F.col(text_col)), [name]).withColumn(name, F.array().cast(leaks))
     for block in _blocks(benchmark, item_col, item_text_col):
-        seeds = Seeds(block, size)
-        if not len(seeds.grams):
-            continue
-        ready = spark.sparkContext.broadcast(seeds)
+        ready = spark.sparkContext.broadcast(Seeds(block, threshold))
 
         def aligned(batches, shared=ready):
+            seeds = shared.value
             for texts in batches:
-                found = [shared.value.alignments(shared.value.encode(t), threshold) for t in texts.to_pylist()]
-                yield pa.array([[dict(zip(("item_id", "score", "first_word", "end_word"), x, strict=True)) for x in row] for row in found], LEAK)
-
-        out = out.withColumn(name, F.concat(name, arrow_udf(spark, aligned, LEAKS)(F.col(text))))
+                rows, found = [0], []
+                for t in texts.to_pylist():
+                    found += seeds.alignments(seeds.encode(t))
+                    rows.append(len(found))
+                item, score, first, end = zip(*found, strict=True) if found else ((), (), (), ())
+                columns = [pa.array([seeds.ids[i] for i in item], fields[0].type), pa.array(score, pa.float64()), pa.array(first, pa.int64()), pa.array(end, pa.int64())]
+                yield pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.StructArray.from_arrays(columns, fields=fields))
+
+        out = out.withColumn(name, F.concat(name, arrow_udf(spark, aligned, leaks)(F.col(text))))
     return out.drop(text)
 
 

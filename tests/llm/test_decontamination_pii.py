@@ -43,7 +43,7 @@ def test_find_leaks(spark):
     b = spark.createDataFrame(items, "item_id long, text string")
     got = dc.find_leaks(d, b).collect()
     pairs = sorted((r["doc_id"] or -1, r["item_id"]) for r in got)
-    assert pairs == sorted([(1, 0), (2, 3), (6, 1), (6, 1), (-1, 2)] + [(50 + i, 5) for i in range(30)])
+    assert pairs == sorted([(1, 0), (2, 3), (6, 1), (6, 1), (-1, 2), (7, 100)] + [(50 + i, 5) for i in range(30)])
     one = next(r for r in got if r["doc_id"] == 1)
     assert one["score"] == 1.0 and (one["first_word"], one["end_word"]) == (80, 105)
     assert dc.find_leaks(d.limit(0), b).count() == 0 and dc.find_leaks(d, b.limit(0)).count() == 0
@@ -64,17 +64,51 @@ def test_edited_copies_are_found_however_many(spark):
 def test_bounds_lose_no_alignment():
     rng = np.random.default_rng(5)
     word = lambda i: f"w{i}"
-    for _ in range(60):
-        items = [(k, " ".join(map(word, rng.integers(0, 9, rng.integers(3, 12))))) for k in range(6)]
+    leaks = 0
+    for round_ in range(150):
+        items = [(k, " ".join(map(word, rng.integers(0, 9 + round_, rng.integers(1, 14))))) for k in range(6)]
         seeds = dc.Seeds(items)
-        coded = seeds.encode(" ".join(map(word, rng.integers(0, 12, 10))))
-        got = {i: score for i, score, *_ in seeds.alignments(coded)}
+        coded = seeds.encode(" ".join(map(word, rng.integers(0, 12 + round_, 30))) + " " + items[round_ % 6][1].replace("w1", "zz ") + " x y")
+        got = {seeds.ids[i]: score for i, score, *_ in seeds.alignments(coded)}
         for k, t in items:
             mine = seeds.encode(t)
-            score = brute_alignment(coded, mine) / len(mine)
-            hit = {*map(tuple, np.lib.stride_tricks.sliding_window_view(coded, 3).tolist())} & {*map(tuple, np.lib.stride_tricks.sliding_window_view(mine, 3).tolist())}
-            assert (k in got) == (score >= dc.THRESHOLD and any(-1 not in h for h in hit))
-            assert k not in got or abs(got[k] - score) < 1e-9
+            score, n = brute_alignment(coded, mine), len(mine)
+            assert (k in got) == (score >= max(dc.THRESHOLD * n, min(n, dc.SHORTEST)) - 1e-9)
+            assert k not in got or abs(got[k] - score / n) < 1e-9
+        leaks += len(got)
+    assert leaks > 100
+
+
+def test_edited_copies_without_three_words_in_a_row(spark):
+    rng = random.Random(13)
+    text = lambda n: [("".join(rng.choice("abcdefgh") for _ in range(4))) for _ in range(n)]
+    items = [(f"i{k}", " ".join(text(36))) for k in range(10)]
+    docs, want = [], set()
+    for k, t in items:
+        w = t.split()
+        third = ["other" if i % 3 == 2 else x for i, x in enumerate(w)]
+        spread = [y for x in w for y in (x, "filler")]
+        fewer = [x for i, x in enumerate(w) if i % 4]
+        for kind in (third, spread[:-1], fewer):
+            want.add((len(docs), k))
+            docs.append((len(docs), " ".join(text(50) + kind + text(900))))
+    docs += [(100 + i, " ".join(text(400))) for i in range(20)]
+    got = dc.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want
+
+
+def test_leaks_equal_full_alignment_of_all_pairs(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
+    got = {(r["doc_id"], r["item_id"]) for r in dc.find_leaks(docs, bench).collect()}
+    seeds = dc.Seeds([tuple(r) for r in bench.select("item_id", "text").collect()])
+    want = set()
+    for r in docs.select("doc_id", "text").collect():
+        coded = seeds.encode(r["text"])[:4000]
+        for i, item in enumerate(seeds.coded):
+            if len(coded) and dc.smith_waterman(coded, item)[0] >= seeds.score[i]:
+                want.add((r["doc_id"], seeds.ids[i]))
+    assert want <= got and len(got - want) <= sum(len(seeds.encode(r["text"])) > 4000 for r in docs.collect())
 
 
 PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
