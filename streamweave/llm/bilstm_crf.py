@@ -65,20 +65,24 @@ class Tagger:
         return h @ self.p["out"] + self.p["bias"], (x, h, sf, sb)
 
     def decode(self, codes):
-        """Best tags (T, N) and each position's margin over the best path without it outside."""
+        """Best tags (T, N) and posteriors (T, N, tags) of time-major codes."""
         e, _ = self.emissions(codes)
+        return self.best_path(e), self.marginals(e)
+
+    def best_path(self, e):
+        """Tags (T, N) of the best path through emissions (T, N, tags)."""
         trans, first = self.p["trans"] + self.banned, self.p["first"] + self.banned_first
         score, back = first + e[0], []
         for t in range(1, len(e)):
             step = score[:, :, None] + trans
             back.append(step.argmax(axis=1))
             score = step.max(axis=1) + e[t]
-        tags = np.empty(codes.shape, np.int64)
+        tags = np.empty(e.shape[:2], np.int64)
         tags[-1] = score.argmax(axis=1)
-        rows = np.arange(codes.shape[1])
+        rows = np.arange(e.shape[1])
         for t in range(len(e) - 1, 0, -1):
             tags[t - 1] = back[t - 1][rows, tags[t]]
-        return tags, self.marginals(e)
+        return tags
 
     def _forward_backward(self, e):
         trans, first = self.p["trans"] + self.banned, self.p["first"] + self.banned_first
@@ -137,7 +141,7 @@ class Tagger:
         np.add.at(grad["emb"], codes.ravel(), dx.reshape(-1, dx.shape[2]))
         return loss, {k: v / n for k, v in grad.items()}
 
-    def fit(self, codes, gold, epochs: int = 12, batch: int = 32, rate: float = 0.02, seed: int = 11):
+    def fit(self, codes, gold, epochs: int = 14, batch: int = 64, rate: float = 0.03, seed: int = 11):
         """Adam over shuffled windows (N, T); the order depends on the seed alone."""
         rng = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}

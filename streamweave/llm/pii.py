@@ -3,12 +3,14 @@
 The base patterns find e-mail and IP addresses, card and phone numbers.  The
 tagger is trained, on the driver, from a bounded sample of windows around base
 spans and around other digits, with written-out variants of the same kinds mixed
-in.  It reads windows that overlap by half; each window is decoded on its own
-and the document's spans are reconciled at once by weighted interval scheduling
-over all windows' proposals.
-
-A span must hold a digit, an @ or a bracketed "at", so windows without one can't
-have a span: they are skipped, which changes no result.
+in.  It reads windows that overlap by half.  Each position takes its scores from
+the window it is most central in, so a run of overlapping windows is one sequence
+of scores, which is decoded at once; a document's spans are then reconciled by
+weighted interval scheduling.
+
+A span must hold a digit, an @ or a bracketed "at" or "dot", so windows without
+one, and without a part of the word it stands in, can't have a span: they are
+skipped, which changes no result.
 """
 
 from __future__ import annotations
@@ -23,15 +25,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streamweave.llm.bilstm_crf import Tagger
-from streamweave.llm.common import arrow_udf, drop_clashing, fresh, table
+from streamweave.llm.common import arrow_udf, drop_clashing, fresh, hash_share, table
 
 KINDS = ("email", "ip", "card", "phone")
-#: Window and stride in code points; spans up to the overlap are seen whole.
+#: Window and stride in code points.
 WINDOW, STRIDE = 96, 48
-#: Training bounds: documents drawn, their length, and windows.
-TRAINING_DOCS, LONGEST, TRAINING_WINDOWS = 600, 20_000, 640
+#: Longest run decoded at once, by half overlapping: spans up to half of it are seen whole
+#: (an e-mail address has at most 320 characters); and the reach of the word around an anchor.
+DECODED, REACH = 1024, 320
+#: Windows whose scores are held at a time.
+HELD = 2048
+#: Training bounds: documents drawn, characters of each, windows, and their width.
+TRAINING_DOCS, LONGEST, TRAINING_WINDOWS, TRAINED = 600, 20_000, 2_400, 64
 #: Least posterior probability, on average over a span, for it to be added.
-SURE = 0.95
+SURE = 0.9
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -39,7 +46,7 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-ANCHOR = re.compile(r"[0-9@]|[(\[{]\s?at\s?[)\]}]", re.I)
+ANCHOR = re.compile(r"[0-9@]|[(\[{]\s?(?:at|dot)\s?[)\]}]", re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -89,17 +96,21 @@ SYMBOLS = 127 - 29
 
 
 def windows_of(text: str) -> list[int]:
-    """Starts of the windows that hold an anchor."""
+    """Starts of the windows around each anchor and the word that it stands in."""
     n = len(text)
     last = max(0, -(-(n - WINDOW) // STRIDE))
     starts: set[int] = set()
-    at = -1
+    upto = -1
     for m in ANCHOR.finditer(text):
-        if m.start() // STRIDE == at:
+        at = m.start()
+        if at < upto:
             continue
-        at = m.start() // STRIDE
-        starts.update(k for k in (at - 1, at) if 0 <= k <= last)
-        starts.update({last} if at > last else ())
+        low = text.rfind(" ", max(0, at - REACH), at) + 1 or max(0, at - REACH)
+        high = text.find(" ", at, at + REACH)
+        high = min(n, at + REACH) if high < 0 else high
+        upto = min(high, (at // STRIDE + 1) * STRIDE)  # the rest of this stride adds nothing
+        first, end = max(0, low // STRIDE - 1), min(last, high // STRIDE)
+        starts.update(range(min(first, last), end + 1))
     return [k * STRIDE for k in sorted(starts)]
 
 
@@ -136,34 +147,76 @@ def plausible(kind: int, text: str) -> bool:
         parts = re.findall("[0-9]+", text)
         return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
     if kind == 2:
-        return 13 <= digits <= 19 and luhn(re.sub("[^0-9]", "", text))
+        return 13 <= digits <= 19 and luhn(re.sub("[^0-9]", "", text)) and text[0].isdigit() and text[-1].isdigit()
     return 9 <= digits <= 15 and bool(re.fullmatch(r"[\x20()./0-9+-]+", text))
 
 
-def model_spans(tagger: Tagger, texts: list[str], batch: int = 512) -> list[list[tuple[int, int, int]]]:
-    """Spans of each text that the tagger is sure of, reconciled over its windows."""
-    where = [(i, s) for i, t in enumerate(texts) for s in windows_of(t)]
-    found: list[list[tuple[float, int, int, int]]] = [[] for _ in texts]
+def _scores(tagger: Tagger, texts: list[str], runs: list[tuple[int, list[int]]], batch: int = 512) -> list[np.ndarray]:
+    """Scores (characters, tags) of each run, every position from the window it is most central in."""
+    where = [(i, s) for i, starts in runs for s in starts]
+    parts = []
     for at in range(0, len(where), batch):
         part = where[at : at + batch]
         codes = np.zeros((WINDOW, len(part)), np.int64)
         for j, (i, s) in enumerate(part):
             c = codes_of(texts[i][s : s + WINDOW])
             codes[: len(c), j] = c
-        tags, sure = tagger.decode(codes)
-        for j, (i, s) in enumerate(part):
-            begins = np.nonzero(tags[:, j] % 2 == 1)[0]
-            for a in begins:
-                b = a + 1
-                while b < WINDOW and tags[b, j] == tags[a, j] + 1:
-                    b += 1
-                text = texts[i]
-                touches = (a == 0 and s > 0) or (b == WINDOW and s + b < len(text))
-                weight = float(sure[np.arange(a, b), j, tags[a:b, j]].mean())
-                if weight >= SURE and not touches and s + b <= len(text):  # cut ones are whole in a neighbour
-                    kind = int(tags[a, j] - 1) // 2
-                    if plausible(kind, text[s + a : s + b]):
-                        found[i].append((weight * (b - a), kind, s + int(a), s + int(b)))
+        parts += list(tagger.emissions(codes)[0].transpose(1, 0, 2))
+    edge, out, at = (WINDOW - STRIDE) // 2, [], 0
+    for i, starts in runs:
+        mine = [p[edge if k else 0 : WINDOW - edge if k + 1 < len(starts) else WINDOW] for k, p in enumerate(parts[at : at + len(starts)])]
+        at += len(starts)
+        out.append(np.concatenate(mine)[: len(texts[i]) - starts[0]])
+    return out
+
+
+def _runs(texts: list[str]):
+    """(text, starts of overlapping windows), in lists of about HELD windows."""
+    group, held = [], 0
+    for i, text in enumerate(texts):
+        starts = windows_of(text)
+        cuts = [0, *(k for k in range(1, len(starts)) if starts[k] - starts[k - 1] > STRIDE), len(starts)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a < b:
+                group.append((i, starts[a:b]))
+                held += b - a
+                if held >= HELD:
+                    yield group
+                    group, held = [], 0
+    if group:
+        yield group
+
+
+def model_spans(tagger: Tagger, texts: list[str], batch: int = 256) -> list[list[tuple[int, int, int]]]:
+    """Spans of each text that the tagger is sure of, reconciled over its runs."""
+    found: list[list[tuple[float, int, int, int]]] = [[] for _ in texts]
+    for runs in _runs(texts):
+        scores = _scores(tagger, texts, runs)
+        # Pieces of runs: whole, or overlapping by half.
+        pieces = []
+        for r, e in enumerate(scores):
+            for a in range(0, max(1, len(e) - DECODED // 2), DECODED // 2):
+                pieces.append((r, a, min(len(e), a + DECODED)))
+        pieces.sort(key=lambda p: p[2] - p[1])
+        for at in range(0, len(pieces), batch):
+            part = pieces[at : at + batch]
+            e = np.full((part[-1][2] - part[-1][1], len(part), tagger.tags), -1e4, np.float32)
+            e[:, :, 0] = 0.0  # behind a piece's end nothing stands
+            for j, (r, a, b) in enumerate(part):
+                e[: b - a, j] = scores[r][a:b]
+            tags, sure = tagger.best_path(e), tagger.marginals(e)
+            for j, (r, first, end) in enumerate(part):
+                i, starts = runs[r]
+                for a in np.nonzero(tags[: end - first, j] % 2 == 1)[0].tolist():
+                    b = a + 1
+                    while b < end - first and tags[b, j] == tags[a, j] + 1:
+                        b += 1
+                    if a == 0 and first or b == end - first and end < len(scores[r]):  # whole in the neighbouring piece
+                        continue
+                    weight = float(sure[np.arange(a, b), j, tags[a:b, j]].mean())
+                    kind, s = int(tags[a, j] - 1) // 2, starts[0] + first
+                    if weight >= SURE and plausible(kind, texts[i][s + a : s + b]):
+                        found[i].append((weight * (b - a), kind, s + a, s + b))
     return [reconcile(x) for x in found]
 
 
@@ -179,58 +232,83 @@ def all_spans(tagger: Tagger | None, texts: list[str]) -> list[tuple[list, list]
     return out
 
 
-def _variants(rng: np.random.Generator, n: int) -> list[tuple[str, int]]:
+def variants(rng: np.random.Generator, n: int) -> list[tuple[str, int]]:
     """Written-out forms of the four kinds that the base patterns don't cover."""
     letters = "abcdefghijklmnopqrstuvwxyz"
     word = lambda a, b: "".join(letters[i] for i in rng.integers(0, 26, rng.integers(a, b)))
     digits = lambda k: "".join(map(str, rng.integers(0, 10, k)))
-    out = []
-    for i in range(n):
-        if i % 2:
-            at, dot = [(" [at] ", " [dot] "), ("(at)", "."), (" (at) ", " (dot) "), ("[at]", ".")][rng.integers(4)]
-            out.append((f"{word(3, 9)}{at}{word(3, 9)}{dot}{['com', 'org', 'net', 'de', 'fr'][rng.integers(5)]}", 0))
-        else:
-            out.append(([f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"00{digits(2)} {digits(3)} {digits(6)}"][rng.integers(3)], 3))
-    return out
+    pick = lambda xs: xs[rng.integers(len(xs))]
+
+    def mail():
+        at, dot = pick([(" [at] ", " [dot] "), ("(at)", "."), (" (at) ", " (dot) "), ("[at]", "."), ("[at]", "[dot]"), (" {at} ", " {dot} ")])
+        name = word(2, 10) + pick(["", "", ".", "_", "-"]) + pick([word(2, 12), word(3, 9) + digits(2)])
+        return f"{name}{at}{dot.join(word(3, 14) for _ in range(rng.integers(1, 4)))}{dot}{pick(['com', 'org', 'net', 'de', 'fr', 'edu', 'io'])}"
+
+    def address():
+        gap = pick(["[.]", " . ", "(.)", "[dot]", " dot "])
+        return gap.join(str(x) for x in rng.integers(0, 256, 4))
+
+    def card():
+        front = pick("3456") + digits(14)
+        whole = next(front + str(d) for d in range(10) if luhn(front + str(d)))
+        return pick([".", "/", "_", " - "]).join(whole[i : i + 4] for i in range(0, 16, 4))
+
+    def phone():
+        return pick([f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"00{digits(2)} {digits(3)} {digits(6)}", f"0{digits(3)}/{digits(7)}", f"{digits(3)}.{digits(3)}.{digits(4)}"])
+
+    makers = [(mail, 0), (address, 1), (card, 2), (phone, 3), (mail, 0), (phone, 3)]  # the kinds of many forms come twice
+    return [(make(), kind) for make, kind in (makers[i % 6] for i in range(n))]
+
+
+def planted(host: str, text: str, rng: np.random.Generator) -> tuple[str, int]:
+    """The host with a form put between two of its words, and where it begins."""
+    at = host.find(" ", int(rng.integers(0, max(1, len(host) - 1)))) + 1
+    before = host[:at] if at or not host else ""
+    return f"{before}{text} {host[at:]}", len(before)
+
+
+def shapes(text: str) -> list[tuple[int, int, int]]:
+    """Spans of the form of each kind: what the tagger learns, as check digits and ranges are
+    tested afterwards."""
+    cards = [(2, m.start(), m.end()) for m in CARD.finditer(text) if 13 <= sum(map(str.isdigit, m[0])) <= 19]
+    return [x for x in base_spans(text) if x[0] != 2 and not any(a < x[2] and x[1] < b for _, a, b in cards)] + cards
 
 
-def training_windows(texts: list[str], rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of codes and tags around base spans, other digits and planted variants."""
+def training_windows(texts: list[str], rng: np.random.Generator, width: int = TRAINED) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of codes and tags around shapes, other digits and planted variants."""
     cases: list[tuple[str, list[tuple[int, int, int]], int]] = []
     for t in texts:
-        spans = base_spans(t)
+        spans = shapes(t)
         centres = [(a + b) // 2 for _, a, b in spans]
         others = [m.start() for m in re.finditer(r"[0-9@]+", t) if not any(a <= m.start() < b for _, a, b in spans)]
         centres += [int(x) for x in rng.choice(others, min(2, len(others)), replace=False)] if others else []
         cases += [(t, spans, c) for c in centres]
-    order = rng.permutation(len(cases))[: TRAINING_WINDOWS * 3 // 4]
+    order = rng.permutation(len(cases))[: TRAINING_WINDOWS // 2]
     picked = [cases[i] for i in order]
     plain = [t for t in texts if len(t) > 40 and not ANCHOR.search(t)] or ["plain words stand here and nothing else does "]
-    for text, kind in _variants(rng, TRAINING_WINDOWS // 8 if cases else 0):
-        host = plain[rng.integers(len(plain))]
-        at = host.find(" ", int(rng.integers(0, max(1, len(host) - 1)))) + 1
-        picked.append((f"{host[:at]}{text} {host[at:]}", [(kind, at, at + len(text))], at + len(text) // 2))
-    codes, tags = np.zeros((len(picked), WINDOW), np.int64), np.zeros((len(picked), WINDOW), np.int64)
+    for text, kind in variants(rng, TRAINING_WINDOWS // 2 if cases else 0):
+        whole, at = planted(plain[rng.integers(len(plain))], text, rng)
+        picked.append((whole, [(kind, at, at + len(text))], at + len(text) // 2))
+    codes, tags = np.zeros((len(picked), width), np.int64), np.zeros((len(picked), width), np.int64)
     for row, (t, spans, centre) in enumerate(picked):
-        first = max(0, centre - int(rng.integers(16, WINDOW - 16)))
-        c = codes_of(t[first : first + WINDOW])
+        first = max(0, centre - int(rng.integers(width // 6, width - width // 6)))
+        c = codes_of(t[first : first + width])
         codes[row, : len(c)] = c
         for kind, a, b in spans:
             a, b = a - first, b - first
-            if b > 0 and a < WINDOW:
-                tags[row, max(0, a) : min(WINDOW, b)] = 2 + 2 * kind
+            if b > 0 and a < width:
+                tags[row, max(0, a) : min(width, b)] = 2 + 2 * kind
                 tags[row, max(0, a)] = 1 + 2 * kind
     return codes, tags
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Tagger | None:
-    """Fit the tagger on a bounded sample: about TRAINING_DOCS documents with an
-    anchor, none longer than LONGEST characters, drawn by the id's hash."""
-    rows = docs.where(F.col(text_col).rlike("[0-9@]") & (F.length(text_col) <= LONGEST))
-    share = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(8)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    n = rows.count()
-    drawn = rows.where(share * F.lit(n) < TRAINING_DOCS).select(share.alias("at"), F.col(text_col).alias("t")).collect()
-    texts = [r["t"] for r in sorted(drawn, key=lambda r: (r["at"], r["t"]))]
+def train(docs: DataFrame, text_col: str = "text") -> Tagger | None:
+    """Fit the tagger on a bounded sample: about TRAINING_DOCS different texts with
+    an anchor, cut to LONGEST characters, drawn by the text's hash."""
+    rows = docs.where(F.col(text_col).rlike("[0-9@]")).select(F.xxhash64(text_col).alias("hash"), F.substring(text_col, 1, LONGEST).alias("t"))
+    n = rows.agg(F.approx_count_distinct("hash")).first()[0]
+    drawn = rows.where(hash_share("hash", F.lit(8)) * F.lit(n) < TRAINING_DOCS).groupBy("hash").agg(F.min("t").alias("t")).collect()
+    texts = [r["t"] for r in sorted(drawn, key=lambda r: (r["hash"], r["t"]))]
     codes, tags = training_windows(texts, np.random.default_rng(5))
     if not len(codes):
         return None

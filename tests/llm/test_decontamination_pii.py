@@ -1,10 +1,12 @@
 """Leaks by alignment, and personal data, against brute force and planted cases."""
 
 import hashlib
+import itertools
 import random
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from streamweave.llm import decontamination as dc
@@ -102,13 +104,16 @@ def test_leaks_equal_full_alignment_of_all_pairs(spark, sf):
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
     got = {(r["doc_id"], r["item_id"]) for r in dc.find_leaks(docs, bench).collect()}
     seeds = dc.Seeds([tuple(r) for r in bench.select("item_id", "text").collect()])
-    want = set()
+    want, short = set(), set()
     for r in docs.select("doc_id", "text").collect():
-        coded = seeds.encode(r["text"])[:4000]
+        coded = seeds.encode(r["text"])
+        if len(coded) > 250:
+            continue
+        short.add(r["doc_id"])
         for i, item in enumerate(seeds.coded):
             if len(coded) and dc.smith_waterman(coded, item)[0] >= seeds.score[i]:
                 want.add((r["doc_id"], seeds.ids[i]))
-    assert want <= got and len(got - want) <= sum(len(seeds.encode(r["text"])) > 4000 for r in docs.collect())
+    assert len(short) > 50 and want == {x for x in got if x[0] in short}
 
 
 PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
@@ -165,18 +170,68 @@ def test_gradients():
         assert abs(grad[k][at] - (up - down) / 2e-3) < 1e-3
 
 
-def test_tagger_finds_held_out_spans_and_written_out_ones(spark, sf):
+def test_best_path_and_posteriors_equal_enumeration():
+    rng = np.random.default_rng(3)
+    t = Tagger(6, 2, 3, 4)
+    t.p["trans"] = rng.normal(size=t.p["trans"].shape)
+    t.p["first"] = rng.normal(size=t.p["first"].shape)
+    e = rng.normal(size=(5, 4, t.tags)) * 2
+    trans, first = t.p["trans"] + t.banned, t.p["first"] + t.banned_first
+    paths = np.array(list(itertools.product(range(t.tags), repeat=5)))
+    for n in range(4):
+        score = first[paths[:, 0]] + sum(e[i, n, paths[:, i]] for i in range(5)) + sum(trans[paths[:, i], paths[:, i + 1]] for i in range(4))
+        assert t.best_path(e)[:, n].tolist() == paths[score.argmax()].tolist()
+        weight = np.exp(score - score.max())
+        weight /= weight.sum()
+        for i in range(5):
+            want = np.bincount(paths[:, i], weight, t.tags)
+            assert np.allclose(t.marginals(e)[i, n], want, atol=1e-6)
+
+
+@pytest.fixture(scope="module")
+def tagger(spark, sf):
     docs = spark.read.parquet(f"{sf.replace('0.001', '0.1')}/documents.parquet")
-    tagger = pii.train(docs.where("doc_id % 2 = 0"))
-    texts = [r["text"] for r in docs.where("doc_id % 2 = 1 and text rlike '[0-9@]'").collect()]
+    return pii.train(docs.where("doc_id % 2 = 0"))
+
+
+def test_tagger_finds_held_out_spans_and_written_out_ones(spark, sf, tagger):
+    docs = spark.read.parquet(f"{sf.replace('0.001', '0.1')}/documents.parquet")
+    texts = [r["text"] for r in docs.where("doc_id % 2 = 1").select("text").collect() if r["text"]]
     base = [pii.base_spans(t) for t in texts]
     found = pii.model_spans(tagger, texts)
     hits = sum(len({*b} & {*f}) for b, f in zip(base, found, strict=True))
-    assert hits >= 0.7 * sum(map(len, base))
+    assert hits >= 0.95 * sum(map(len, base))
     added = sum(len(m) for _, m in pii.all_spans(tagger, texts))
     assert added <= 0.02 * sum(map(len, base))
-    extra = pii.all_spans(tagger, ["please write to john.doe [at] example [dot] com about it today"])[0][1]
-    assert [k for k, *_ in extra] == [0]
+    # What the model adds: forms that the base patterns can't see, in texts it hasn't seen.
+    rng = np.random.default_rng(77)
+    hosts = [t for t in texts if len(t) > 100 and not pii.ANCHOR.search(t)]
+    forms = pii.variants(rng, 400)
+    cases = [pii.planted(hosts[rng.integers(len(hosts))], v, rng) for v, _ in forms]
+    got = pii.all_spans(tagger, [w for w, _ in cases])
+    for kind in range(4):
+        hit = [(kind, at, at + len(v)) in m for (v, k), (_, at), (_, m) in zip(forms, cases, got, strict=True) if k == kind]
+        assert sum(hit) >= 0.9 * len(hit)
+    assert not any(s in b for (v, k), (_, at), (b, _) in zip(forms, cases, got, strict=True) for s in [(k, at, at + len(v))])
+
+
+def test_spans_are_found_wherever_they_lie(tagger):
+    form = "firstname.lastname [at] department.some-university [dot] org"
+    found = [any(k == 0 and a < 5000 and b - a >= 50 for k, a, b in pii.all_spans(tagger, ["word " * n + "x" * (n % 7) + f" write to {form} today " + "word " * 60])[0][1]) for n in range(0, 60)]
+    assert sum(found) >= 0.9 * len(found)
+    plain = "a" * 200 + "@" + "b" * 90 + ".org"
+    assert pii.all_spans(tagger, [f"{'word ' * 50}{plain} {'12 ' * 2000}"])[0][0][0] == (0, 250, 250 + len(plain))
+    starts = pii.windows_of("word " * 50 + plain)
+    assert starts[0] <= 250 and starts[-1] + pii.WINDOW >= 250 + len(plain) and all(b - a == pii.STRIDE for a, b in zip(starts, starts[1:], strict=False))
+
+
+def test_long_runs_equal_one_decoding(tagger):
+    text = " ".join(f"{i} 192[.]168[.]{i % 256}[.]7 and" for i in range(200))
+    whole = pii.model_spans(tagger, [text])
+    import unittest.mock
+
+    with unittest.mock.patch.object(pii, "DECODED", 1 << 20):
+        assert whole == pii.model_spans(tagger, [text])
 
 
 def test_rows(spark):
