@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from streamweave.llm.common import parts, table
 
-SAMPLES = 16
+SAMPLES = 32
 LOW = 28
 #: ln a is kept to 2**-26 between -64 and 64.
 FINE, SPAN = 1 << 26, 64.0
@@ -31,25 +31,25 @@ MOST_RUNS = 16_384
 SPACE = "[\\x20\\x09-\\x0D]+"
 
 
-def _uniform(bits: Column) -> Column:
-    """(0, 1) from the low 31 bits of a hash."""
-    return (bits.bitwiseAND(F.lit(0x7FFFFFFF)).cast("double") + F.lit(0.5)) / F.lit(float(1 << 31))
+def _uniform(bits: Column, first: int) -> Column:
+    """(0, 1) from 21 bits of a hash."""
+    return (F.shiftrightunsigned(bits, first).bitwiseAND(F.lit(0x1FFFFF)).cast("double") + F.lit(0.5)) / F.lit(float(1 << 21))
 
 
-def sample_parameters(term: Column, k: int) -> tuple[Column, Column, Column]:
-    """r, ln c and beta of a term for sample k: a function of its hash alone."""
-    one, two, three = (F.xxhash64(term, F.lit(3 * k + j)) for j in range(3))
-    high = lambda x: F.shiftrightunsigned(x, 32)
-    r = -F.ln(_uniform(one) * _uniform(high(one)))
-    ln_c = F.ln(-F.ln(_uniform(two) * _uniform(high(two))))
-    return r, ln_c, _uniform(three)
+def sample_parameters(term: Column, k: int) -> tuple[Column, Column, Column, Column]:
+    """r, ln c, beta and a hash of a term for sample k: a function of its own hash alone."""
+    one, two = (F.xxhash64(term, F.lit(2 * k + j)) for j in range(2))
+    r = -F.ln(_uniform(one, 0) * _uniform(one, 21))
+    ln_c = F.ln(-F.ln(_uniform(two, 0) * _uniform(two, 21)))
+    return r, ln_c, _uniform(one, 42), two
 
 
-def packed_sample(term: Column, ln_w: Column, r: Column, ln_c: Column, beta: Column) -> Column:
+def packed_sample(ln_w: Column, r: Column, ln_c: Column, beta: Column, own: Column) -> Column:
     t = F.floor(ln_w / r + beta)
     ln_a = F.least(F.greatest(ln_c - r * (t - beta) - r, F.lit(-SPAN)), F.lit(SPAN - 1))
     quantised = ((ln_a + F.lit(SPAN)) * F.lit(float(FINE))).cast("long")
-    value = F.shiftleft(quantised, LOW).bitwiseOR(F.xxhash64(term, t).bitwiseAND(F.lit((1 << LOW) - 1)))
+    # t is mixed into the term's bits by exclusive or: another t of the term is another value.
+    value = F.shiftleft(quantised, LOW).bitwiseOR(F.shiftrightunsigned(own, 36).bitwiseXOR(t).bitwiseAND(F.lit((1 << LOW) - 1)))
     return F.when(ln_w.isNotNull(), value)
 
 
@@ -139,9 +139,9 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     logs = weights.select("run", "row", "kind", "w0", "term", of_word("w0").alias("l0"), of_word("w1").alias("l1"))
     least = []
     for k in range(samples):
-        r, ln_c, beta = sample_parameters(F.col("term"), k)
+        r, ln_c, beta, own = sample_parameters(F.col("term"), k)
         for i in (0, 1):
-            least.append(F.min(packed_sample(F.col("term"), F.col(f"l{i}"), r, ln_c, beta)).alias(f"m{i}_{k}"))
+            least.append(F.min(packed_sample(F.col(f"l{i}"), r, ln_c, beta, own)).alias(f"m{i}_{k}"))
     known = [F.max(F.when(F.col("kind") == i, F.col("w0"))).alias(c) for i, c in enumerate(("doc_id", "n_chars", "last", "s0", "s1", "s2", "s3"), 1)]
     mins = logs.groupBy("run", "row").agg(*known, *least)
     mask = F.lit((1 << LOW) - 1)

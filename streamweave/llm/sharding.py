@@ -10,10 +10,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamweave.llm.common import arrow_udf, cut, parts, table
+from streamweave.llm.common import arrow_udf, table
+from streamweave.operators.ranking import numbered, running_total
 
 
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -49,22 +50,45 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return index
 
 
-def quantise(column, kind: str, bounds: list[float], bits: int):
-    """A dimension's cell: rank among quantile bounds, or a hash for text."""
-    if kind == "string":
-        return F.coalesce(F.pmod(F.xxhash64(column), F.lit(1 << bits)), F.lit(0)).cast("int")
-    if not bounds:
+#: Characters of a text dimension that its order goes by.
+PREFIX = 64
+
+
+def text_marks(df: DataFrame, column: str, bits: int) -> list[str]:
+    """The 2**bits - 1 values that stand at equal steps of the rows by a text column's order.
+
+    Distinct values are counted with map-side combination and summed up over
+    sorted ranges; at most 2**bits + 1 rows reach the driver.
+    """
+    value = F.substring(F.col(column), 1, PREFIX)
+    counts = df.where(F.col(column).isNotNull()).groupBy(value.alias("value")).agg(F.count("*").alias("n"))
+    placed = running_total(counts, F.col("n"), "value", name="before", total="rows")
+    step = F.expr(f"(before * {1 << bits} + rows - 1) div rows")  # the first step that the value stands at
+    found = dict(placed.groupBy(step.alias("step")).agg(F.max("value")).collect())
+    marks, last = [], found.get(0)
+    for j in range(1, 1 << bits):
+        last = found.get(j, last)
+        if last is not None:
+            marks.append(last)
+    return marks
+
+
+def quantise(column, marks: list, kind: str):
+    """A dimension's cell: how many of the marks the value reaches; nulls are in cell 0."""
+    if not marks:
         return F.lit(0)
-    marks = F.array(*[F.lit(float(b)) for b in bounds])
-    value = column.cast("double")
-    return F.coalesce(F.least(F.size(F.filter(marks, lambda b: b <= value)), F.lit((1 << bits) - 1)), F.lit(0)).cast("int")
+    text = kind == "string"
+    value = F.substring(column, 1, PREFIX) if text else column.cast("double")
+    known = F.array(*[F.lit(m if text else float(m)) for m in marks])
+    return F.coalesce(F.size(F.filter(known, lambda b: b <= value)), F.lit(0)).cast("int")
 
 
 def hilbert_shards(df: DataFrame, dimensions: list[str], shards: int = 8, bits: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard, curve_index) for each row.
 
-    Numeric dimensions are quantised at their quantiles (2**bits - 1 numbers each
-    reach the driver), text dimensions by hash; nulls go to cell 0.  Rows are
+    Dimensions are quantised at their quantiles, numbers and texts alike by value
+    (2**bits - 1 marks each reach the driver), so that a shard's least and greatest
+    value of each dimension lie close; nulls go to cell 0.  Rows are
     ordered by curve index, text checksum, then id; row r of N goes to the shard
     whose run of N / shards rows holds it.  Null texts have size 1 and the
     checksum of no bytes.  Equal rows each get a slot of their own.  An empty table
@@ -75,7 +99,7 @@ def hilbert_shards(df: DataFrame, dimensions: list[str], shards: int = 8, bits:
     numeric = [d for d in dimensions if kinds[d] != "string"]
     levels = [i / (1 << bits) for i in range(1, 1 << bits)]
     found = df.select(*[F.col(d).cast("double").alias(d) for d in numeric]).approxQuantile(numeric, levels, 0.25 / (1 << bits)) if numeric else []
-    bounds = {d: sorted(set(b)) for d, b in zip(numeric, found, strict=True)}
+    marks = {d: sorted(b) for d, b in zip(numeric, found, strict=True)} | {d: text_marks(df, d, bits) for d in dimensions if d not in numeric}
 
     def curve(batches):
         for cells in batches:
@@ -88,17 +112,10 @@ def hilbert_shards(df: DataFrame, dimensions: list[str], shards: int = 8, bits:
         F.col(id_col).alias("doc_id"),
         (F.octet_length(text) + F.lit(1)).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
-        F.array(*[quantise(F.col(d), kinds[d], bounds.get(d, []), bits) for d in dimensions]).alias("cells"),
+        F.array(*[quantise(F.col(d), marks[d], kinds[d]) for d in dimensions]).alias("cells"),
     ).withColumn("curve_index", index("cells")).drop("cells")
     order = ["curve_index", "text_crc32", "doc_id", "size"]
-    # Sorted ranges are numbered in place; a range's first rank is the number of
-    # rows in the ranges before it (one number per range).
-    ranged = cut(rows.repartitionByRange(2 * parts(spark), *order).withColumn("range", F.spark_partition_id()))
-    sizes = ranged.groupBy("range").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.select("range", F.coalesce(before, F.lit(0)).alias("start"), F.sum("n").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total"))
-    rank = F.row_number().over(Window.partitionBy("range").orderBy(*order)) - 1
-    ranked = ranged.withColumn("rank", rank).join(F.broadcast(starts), "range").withColumn("rank", F.col("rank") + F.col("start"))
+    ranked = numbered(rows, *order, name="rank", total="total")
     placed = ranked.withColumn("shard", F.expr(f"(rank * {shards} + {shards - 1}) div total"))
     return placed.select(
         "doc_id",
