@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -105,8 +106,11 @@ def jaccard(a, b, size=5):
     return len(x & y) / len(x | y) if x | y else 1.0
 
 
-def test_similar_groups(spark, monkeypatch):
-    monkeypatch.setattr(similar_groups, "BLOCK", 7)
+@pytest.mark.parametrize(("block", "levels"), [(7, 6), (7, 1)])
+def test_similar_groups(spark, monkeypatch, block, levels):
+    """Each way of comparing: whole seeds, dealt again, block against block."""
+    monkeypatch.setattr(similar_groups, "BLOCK", block)
+    monkeypatch.setattr(similar_groups, "LEVELS", levels)
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
     texts = []
@@ -118,7 +122,9 @@ def test_similar_groups(spark, monkeypatch):
                 t[rng.randrange(150)] = word()
             texts.append(" ".join(t))
     texts += [texts[0], "", "short one", "Short  one"]
-    df = spark.createDataFrame([*enumerate(texts), (None, None)], "doc_id long, text string").withColumn("digest", F.lit("clash"))
+    passage = " ".join(word() for _ in range(60))
+    texts += [f"{passage} " + " ".join(word() for _ in range(40)) for _ in range(12)]  # alike, but not enough
+    df = spark.createDataFrame([*enumerate(texts), (None, None)], "doc_id long, text string").withColumn("digest", F.lit("clash")).withColumn("__digest", F.lit("kept"))
     got = {r["doc_id"]: r["group_id"] for r in similar_groups.similar_groups(df).collect()}
     n = len(texts)
     comp = list(range(n))
@@ -130,9 +136,11 @@ def test_similar_groups(spark, monkeypatch):
     for i in range(n):
         for j in range(i):
             assert (got[i] == got[j]) == (comp[i] == comp[j])
-    kept = similar_groups.keep_one(df)
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(comp)) and kept.columns == df.columns
-    assert similar_groups.keep_one(df.limit(0)).count() == 0
+    if levels == 1:
+        kept = similar_groups.keep_one(df)
+        assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(comp)) and kept.columns == df.columns
+        assert kept.where("__digest = 'kept'").count() == kept.count()
+        assert similar_groups.keep_one(df.limit(0)).count() == 0
 
 
 def test_similar_groups_whatever_the_repeats(spark):
@@ -151,3 +159,22 @@ def test_short_sets_are_not_pruned():
     sets = [np.arange(4, dtype=np.uint32), np.arange(5, dtype=np.uint32), np.arange(3, dtype=np.uint32)]
     prints = np.array([0, (1 << 40) - 1, 0], np.uint64)
     assert similar_groups.linking_pairs(np.arange(3), prints, sets, range(3), range(3), 0.8) == [(0, 1)]
+
+
+def test_radius_and_seeds_miss_next_to_nothing():
+    """Pairs at 0.8 and a little above: SimHash distance, shared seeds and deeper seeds."""
+    rng = np.random.default_rng(8)
+    far = seedless = deep = n = 0
+    for _ in range(400):
+        size = int(rng.integers(30, 400))
+        common = rng.integers(1, 1 << 63, int(size * 0.8) + 1, dtype=np.int64).astype(np.uint64)
+        extra = rng.integers(1, 1 << 63, (2, (size - len(common)) // 2), dtype=np.int64).astype(np.uint64)
+        a, b = (np.concatenate([common, x]) for x in extra)
+        n += 1
+        far += bin(simhash.majority(np.unique(a)) ^ simhash.majority(np.unique(b))).count("1") > similar_groups.RADIUS
+        least = lambda h: [int((h * m >> np.uint64(3)).min()) for m in similar_groups._MULTIPLIERS]
+        x, y = least(a), least(b)
+        seedless += not any(x[2 * i : 2 * i + 2] == y[2 * i : 2 * i + 2] for i in range(similar_groups.SEEDS))
+        low = lambda h: np.unique(h.astype(np.uint32)).astype("<u4").tobytes()
+        deep += not {*similar_groups.deeper_seeds(low(a), 1)} & {*similar_groups.deeper_seeds(low(b), 1)}
+    assert far <= 0.005 * n and seedless <= 0.01 * n and deep <= 0.005 * n
