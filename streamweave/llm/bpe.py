@@ -32,8 +32,8 @@ UNUSUAL = re.compile("[^\t\n\r -~¡-±´-¸º»¿-ſ]").search
 PRETOKENS = re.compile(rf" [{LETTERS}]+|[{LETTERS}]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+").findall
 #: A single space between two characters that no version of Unicode calls white space.
 SURE = re.compile(r"(?<=[^\s\u180e\ufeff]) (?=[^\s\u180e\ufeff])")
-#: Memoised strings per generation (two are kept in each memo), and the longest of them.
-MEMO, LONGEST = 100_000, 64
+#: Memoised chunks and pre-tokens per generation (two are kept in each memo), and the longest of them.
+CHUNKS, PIECES, LONGEST = 180_000, 30_000, 64
 
 
 def shortcut_applies(config: str) -> bool:
@@ -76,16 +76,16 @@ def byte_alphabet() -> list[str]:
 class _Memo(dict):
     """Computes what it lacks; a full generation becomes the old one."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int):
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
         if len(key) <= LONGEST:
-            if len(self) >= MEMO:
+            if len(self) >= self.most:
                 self.old = dict(self)
                 self.clear()
             self[key] = value
@@ -115,9 +115,9 @@ class Encoder:
         self.by_letters = {self._lettered(t): x for t, x in self.whole.items()}
         self.merges = self.tok.model.tokenize
         self.cut = self.tok.pre_tokenizer.pre_tokenize_str if self.quick else None
-        self.piece = _Memo(self._merge).__getitem__
-        self.lettered = _Memo(self._merge_letters).__getitem__
-        self.chunk = _Memo(self._chunk).__getitem__
+        self.piece = _Memo(self._merge, PIECES).__getitem__
+        self.lettered = _Memo(self._merge_letters, PIECES).__getitem__
+        self.chunk = _Memo(self._chunk, CHUNKS).__getitem__
 
     def _library(self, text: str) -> bytes:
         return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
@@ -141,6 +141,8 @@ class Encoder:
         return b"".join(map(self.piece, PRETOKENS(text)))
 
     def _chunk(self, chunk: str) -> bytes:
+        if chunk.isalpha() and not UNUSUAL(chunk):
+            return self._merge(" " + chunk)
         if not chunk or chunk[0].isspace() or chunk[-1].isspace() or chunk[0] in "\u180e\ufeff" or chunk[-1] in "\u180e\ufeff":
             raise _Unsure
         return self._segment(" " + chunk)
