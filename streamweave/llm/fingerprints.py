@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from streamweave.llm.common import parts, table
 
-SAMPLES = 32
+SAMPLES = 24
 LOW = 28
 #: ln a is kept to 2**-26 between -64 and 64.
 FINE, SPAN = 1 << 26, 64.0
