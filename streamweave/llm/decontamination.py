@@ -9,11 +9,14 @@ alignment can't reach it:
   n - s + 1 must hold a matched one; the rarest of the block are taken.  (Edits
   may stand between any two words, so longer n-grams would miss copies.)
 * Words.  At least s places of the item must have words that the document has.
+* Windows.  A passage that reaches s is at most n + 2 (n - s) words long.  Windows of
+  that length count each word at most as often as the item has it; where fewer
+  than s count, no passage ends.
 * Islands.  Words that the item hasn't cost a passage at least half a point
   each.  Where the running sum of points, begun anew whenever it falls to zero,
   stays below s, no passage reaches s; an alignment lies within one such run.
 
-Each island is aligned with the item, word by word; edits, gaps and insertions
+What is left is aligned with the item, word by word; edits, gaps and insertions
 lower the score without breaking the match.
 """
 
@@ -36,6 +39,8 @@ THRESHOLD = 0.5
 SHORTEST = 3
 #: Benchmark words handled per block (what is broadcast is a few MB at most).
 BLOCK_WORDS = 400_000
+#: Words times items whose points are summed at once.
+TOGETHER = 1_000_000
 
 _FOLD = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256)).lower()
 
@@ -69,52 +74,97 @@ class Seeds:
         self.starts = np.searchsorted(word[order], np.arange(len(self.code) + 1))
         self.flat = np.concatenate(self.coded) if self.coded else np.zeros(0, np.int64)
         self.begin = np.cumsum(self.length) - self.length
+        self._present: np.ndarray | None = None
 
     def encode(self, text: str | None) -> np.ndarray:
         w = words(text)
         return np.fromiter(map(self.code.get, w, repeat(-1)), np.int64, len(w))
 
-    def candidates(self, coded: np.ndarray) -> np.ndarray:
-        """Items with a seed in the text and enough places whose word it has."""
-        present = np.zeros(len(self.code), bool)
-        present[coded[coded >= 0]] = True
-        at = np.nonzero(present)[0]
-        lo, n = self.starts[at], self.starts[at + 1] - self.starts[at]
+    def candidates(self, known: np.ndarray, present: np.ndarray) -> np.ndarray:
+        """Items with a seed among a text's (distinct) words and enough places whose word it has."""
+        lo, n = self.starts[known], self.starts[known + 1] - self.starts[known]
         items = np.unique(self.item_of[np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)])
         if not len(items):
             return items
+        n, at = self._places(items)
+        held = present[self.flat[at]] >= 0
+        return items[np.add.reduceat(held.astype(np.int64), np.cumsum(n) - n) >= self.need[items]]
+
+    def _places(self, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words of each item, and where they stand in `flat`, one item after the other."""
         n = self.length[items]
         ends = np.cumsum(n)
-        held = present[self.flat[np.arange(ends[-1]) + np.repeat(self.begin[items] - (ends - n), n)]]
-        return items[np.add.reduceat(held.astype(np.int64), ends - n) >= self.need[items]]
-
-    def islands(self, coded: np.ndarray, item: int, scratch: np.ndarray) -> list[tuple[int, int]]:
-        """Parts of the text that may hold a passage of the score, by points per word alone."""
-        scratch[self.coded[item]] = True
-        points = np.where(scratch[coded], MATCH, max(MISMATCH, GAP))  # unknown words are -1: the last, never set
-        scratch[self.coded[item]] = False
-        total = np.cumsum(points)
-        run = total - np.minimum.accumulate(np.minimum(total, 0.0))
-        if run.max() < self.score[item]:
-            return []
-        over = np.flatnonzero(np.diff(np.r_[False, run > 1e-12, False]))
-        return [(a, b) for a, b in zip(over[::2].tolist(), over[1::2].tolist(), strict=True) if run[a:b].max() >= self.score[item]]
+        return n, np.arange(ends[-1]) + np.repeat(self.begin[items] - (ends - n), n)
+
+    def islands(self, coded: np.ndarray):
+        """(item, parts of the text that may hold a passage of its score), by points per word alone."""
+        words_of, inverse = np.unique(coded, return_inverse=True)
+        if self._present is None:
+            self._present = np.full(len(self.code), -1, np.int64)
+        known = words_of[words_of >= 0]
+        self._present[known] = np.nonzero(words_of >= 0)[0]
+        try:
+            items = self.candidates(known, self._present)
+            together = max(1, TOGETHER // max(1, len(coded)))
+            for first in range(0, len(items), together):
+                some = items[first : first + together]
+                n, at = self._places(some)
+                row, place = np.repeat(np.arange(len(some)), n), self._present[self.flat[at]]
+                member = np.zeros((len(some), len(words_of)), bool)
+                member[row[place >= 0], place[place >= 0]] = True
+                total = np.where(member[:, inverse], MATCH, max(MISMATCH, GAP)).cumsum(axis=1)
+                run = total - np.minimum.accumulate(np.minimum(total, 0.0), axis=1)
+                for k in np.nonzero(run.max(axis=1) >= self.score[some])[0]:
+                    over = np.flatnonzero(np.diff(np.r_[False, run[k] > 1e-12, False]))
+                    parts = [(a, b) for a, b in zip(over[::2].tolist(), over[1::2].tolist(), strict=True) if run[k, a:b].max() >= self.score[some[k]]]
+                    yield int(some[k]), parts
+        finally:
+            self._present[known] = -1
+
+    def passages(self, coded: np.ndarray, i: int, parts: list[tuple[int, int]]):
+        """The parts' windows in which enough words stand, each counted no more often than in the item."""
+        kinds, counts = np.unique(self.coded[i], return_counts=True)
+        n, need = len(self.coded[i]), int(self.need[i])
+        longest = int(n + (MATCH * n - self.score[i]) / -max(MISMATCH, GAP)) + 1
+        for a, b in parts:
+            part = coded[a:b]
+            at = np.searchsorted(kinds, part)
+            at[at == len(kinds)] = 0
+            x = np.flatnonzero(kinds[at] == part)
+            order = np.lexsort((x, part[x]))
+            x, kind = x[order], at[x[order]]
+            # A word counts in windows that end after it, while as many later ones as the item has aren't in them.
+            later = np.arange(len(x)) + counts[kind]
+            same = later < len(x)
+            same[same] = kind[later[same]] == kind[same]
+            upto = np.minimum(x + longest, len(part))
+            upto[same] = np.minimum(upto[same], x[later[same]])
+            step = np.bincount(x + 1, minlength=len(part) + 2) - np.bincount(upto + 1, minlength=len(part) + 2)
+            ends = np.flatnonzero(np.cumsum(step)[: len(part) + 1] >= need)
+            for run in np.split(ends, np.flatnonzero(np.diff(ends) > longest) + 1) if len(ends) else ():
+                yield a + max(0, int(run[0]) - longest), a + int(run[-1])
 
     def alignments(self, coded: np.ndarray) -> list[tuple[int, float, int, int]]:
         """(item, share of the perfect score, first word, end word) of the best passage of each item that leaks."""
         if not len(coded) or not self.ids:
             return []
-        scratch = np.zeros(len(self.code) + 1, bool)
-        out = []
-        for i in self.candidates(coded).tolist():
-            item, best = self.coded[i], (0.0, 0, 0)
-            for a, b in self.islands(coded, i, scratch):
+        out, raw = [], coded.tobytes()
+        for i, parts in self.islands(coded):
+            item = self.coded[i]
+            n, best = len(item), (0.0, 0, 0)
+            at = raw.find(item.tobytes())
+            while at >= 0 and at % 8:
+                at = raw.find(item.tobytes(), at + 1)
+            if at >= 0:  # a verbatim copy: no alignment scores more
+                out.append((i, 1.0, at // 8, at // 8 + n))
+                continue
+            for a, b in self.passages(coded, i, parts):
                 value, end = smith_waterman(coded[a:b], item)
                 if value > best[0]:
-                    value, start = smith_waterman(coded[a : a + end][::-1], item[::-1])
-                    best = (value, a + end - start, a + end)
+                    best = (value, a, a + end)
             if best[0] >= self.score[i]:
-                out.append((i, best[0] / (MATCH * len(item)), best[1], best[2]))
+                start = smith_waterman(coded[best[1] : best[2]][::-1], item[::-1])[1]
+                out.append((i, best[0] / (MATCH * n), best[2] - start, best[2]))
         return out
 
 
