@@ -12,10 +12,11 @@ Only what joins groups is compared.  Equal word sequences are one class.  First
 each seed's classes meet one of them, its leader, in chunks of bounded size; in
 seeds of many classes those that stay apart meet further leaders.  A seed whose
 classes are then in one group is done.  In the others classes of different
-groups are compared with each other; where a seed has too many for that, they are
-dealt again by further minima (16 sets of three: a pair at 0.8 shares none with a
-probability of 0.00001) until the parts are small or, at the last level, compared
-block against block.  Shingle sets move only for pairs that the SimHashes allow.
+groups are compared with each other, block against block, of which there are at
+most 16 to a seed; where a seed has too many classes for that, they are
+dealt again by more and more further minima (16 sets of three, 24 of five, ...: a
+pair at 0.8 shares none with a probability below 0.0001) until the parts are small
+or, at the last level, compared block against block.  Shingle sets move only for pairs that the SimHashes allow.
 """
 
 from __future__ import annotations
@@ -35,9 +36,13 @@ from streamweave.llm.simhash import SEED, majority, pigeonring, shingles, words
 
 SEEDS = 8
 #: Leaders that a seed of many classes has, one after the other.
-STARS = 3
-#: Levels of dealing such seeds again, and the sets of minima at each.
-LEVELS, BANDS, MINIMA = 6, 16, 3
+STARS = 2
+#: Blocks of a seed that are compared with each other; seeds of more are dealt again.
+MANY = 16
+#: Sets of minima at each level of dealing such seeds again; level k takes 1 + 2 k minima a set.
+BANDS = (16, 24, 40, 64)
+#: Levels in all; at the last one the rest is compared block against block.
+LEVELS = 1 + len(BANDS)
 #: Most documents of one seed in one block; a task compares two blocks at most.
 BLOCK = 1024
 #: Ring segments of 8 bits, and the Hamming radius that similarity 0.8 stays within.
@@ -88,9 +93,10 @@ def deeper_seeds(members: bytes, level: int) -> list[int]:
     h = np.frombuffer(members, "<u4").astype(np.uint64)
     if not len(h):
         return []
-    shift, by = (rng.integers(1, 1 << 62, BANDS * MINIMA, dtype=np.int64).astype(np.uint64) for _ in range(2))
+    minima, bands = 1 + 2 * level, BANDS[level - 1]
+    shift, by = (rng.integers(1, 1 << 62, bands * minima, dtype=np.int64).astype(np.uint64) for _ in range(2))
     least = [int(((h ^ s) * (m * np.uint64(2) + np.uint64(1)) >> np.uint64(3)).min()) for s, m in zip(shift, by, strict=True)]
-    keys = [xxhash.xxh64_intdigest(repr((i, least[MINIMA * i : MINIMA * (i + 1)])).encode(), level) for i in range(BANDS)]
+    keys = [xxhash.xxh64_intdigest(repr((i, least[minima * i : minima * (i + 1)])).encode(), level) for i in range(bands)]
     return np.array(keys, np.uint64).view(np.int64).tolist()
 
 
@@ -227,7 +233,7 @@ def _star(held: DataFrame, classes: DataFrame, similarity: float, turn: int) ->
     placed = edges.join(chunks, "a").select("a", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"), "b")
     rows = placed.select("a", "chunk", F.lit(1).alias("role"), F.col("b").alias("node"))
     leaders = chunks.select("a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("role"), F.col("a").alias("node"))
-    full = rows.unionByName(leaders).join(classes.select("node", "members"), "node").repartition(2 * parts(spark), "a", "chunk").sortWithinPartitions("a", "chunk", "role", "node")
+    full = rows.unionByName(leaders).join(classes.select("node", "members"), "node").repartition("a", "chunk").sortWithinPartitions("a", "chunk", "role", "node")
     return cut(full.mapInArrow(_star_links(similarity), "a long, b long"))
 
 
@@ -253,8 +259,9 @@ def _deal(held: DataFrame, classes: DataFrame, level: int) -> DataFrame:
             yield pa.array([deeper_seeds(x, level) for x in members.to_pylist()], pa.list_(pa.int64()))
 
     deep = classes.join(held.select("node").distinct(), "node", "left_semi").select("node", arrow_udf(spark, keys, "array<long>")(F.col("members")).alias("keys"))
-    dealt = held.drop("n").join(deep, "node").withColumn("key", F.explode("keys")).withColumn("seed", F.xxhash64("seed", "key")).drop("keys", "key").distinct()
-    dealt = cut(dealt)
+    # Keys of their own: a class has as many, however many of its seeds are dealt.
+    own = held.select("node", "print", "short", "grp").distinct()
+    dealt = cut(own.join(deep, "node").select(F.explode("keys").alias("seed"), "node", "print", "short", "grp").distinct())
     apart = dealt.groupBy("seed").agg(F.count("*").alias("n"), F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").select("seed", "n")
     return cut(dealt.join(apart, "seed"))
 
@@ -298,9 +305,9 @@ def similar_groups(df: DataFrame, size: int = 5, similarity: float = 0.8, id_col
         component = connected_components(_union(links))
         held = cut(_with_groups(held.drop("grp", "n"), component))
     for level in range(1, LEVELS + 1):
-        many = held.where(F.col("n") > BLOCK)
+        many = held.where(F.col("n") > MANY * BLOCK)
         last = level == LEVELS or not many.limit(1).count()
-        links.append(_meet(held if last else held.where(F.col("n") <= BLOCK), classes, similarity))
+        links.append(_meet(held if last else held.where(F.col("n") <= MANY * BLOCK), classes, similarity))
         if last:
             break
         held = _deal(many, classes, level)
