@@ -49,6 +49,8 @@ BLOCK = 1024
 SEGMENTS, RADIUS = 8, 22
 #: Texts of at most so many distinct shingles aren't pruned by SimHash: ties move their bits.
 SHORT = 16
+#: Shingles of other sets that one set meets at a time.
+SHINGLES_AT_ONCE = 1 << 20
 
 _rng = np.random.default_rng(20240817)
 _MULTIPLIERS = _rng.integers(1, 1 << 62, 2 * SEEDS, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -100,30 +102,50 @@ def deeper_seeds(members: bytes, level: int) -> list[int]:
     return np.array(keys, np.uint64).view(np.int64).tolist()
 
 
+def similar_rows(sets, i: int, others: np.ndarray, similarity: float, marked: np.ndarray) -> list[int]:
+    """Those of `others` whose sets are similar enough to that of row `i`.
+
+    `marked` is an all-false table, of 2^k entries, for the low bits of the shingles
+    of `i`: counting what falls on its marks bounds an intersection from above, for
+    many sets at once; only the sets that the bound lets pass are intersected.
+    """
+    mine, mask, out = sets[i], np.uint32(len(marked) - 1), []
+    marked[mine & mask] = True
+    size = np.array([len(sets[j]) for j in others], np.int64)
+    piece = size.cumsum() // SHINGLES_AT_ONCE
+    for k in np.unique(piece):
+        here, n = others[piece == k], size[piece == k]
+        sums = np.concatenate([[0], marked[np.concatenate([sets[j] for j in here]) & mask].cumsum()])
+        ends = n.cumsum()
+        enough = similarity * (n + len(mine)) / (1 + similarity)
+        for j in here[sums[ends] - sums[ends - n] >= enough - 1e-6]:
+            common = len(np.intersect1d(mine, sets[j], assume_unique=True))
+            if common >= similarity * (len(mine) + len(sets[j]) - common):
+                out.append(int(j))
+    marked[mine & mask] = False
+    return out
+
+
 def linking_pairs(nodes, prints, sets, left, right, similarity: float, group=None) -> list[tuple[int, int]]:
-    """Links between `left` and `right` rows (indexes; may be the same) that join groups.
+    """Links between `left` and `right` rows (the same indexes, or disjoint ones) that join groups.
 
     `group` numbers the groups that rows are in already.
     """
     group = np.arange(len(nodes)) if group is None else group.copy()
-    short = np.array([len(x) <= SHORT for x in sets], bool)
-    out = []
-    right = np.asarray(right)
+    size = np.array([len(x) for x in sets], np.int64)
+    short = size <= SHORT
+    marked = np.zeros(1 << max(16, int(size.max(initial=0)).bit_length() + 4), bool)
+    seen = np.zeros(len(nodes), bool)
+    right, out = np.asarray(right), []
     for i in left:
-        others = right[(group[right] != group[i]) & (nodes[right] != nodes[i])]
+        seen[i] = True
+        others = right[~seen[right] & (group[right] != group[i]) & (nodes[right] != nodes[i])]
+        others = others[np.minimum(size[others], size[i]) >= similarity * np.maximum(size[others], size[i])]
+        others = others[short[i] | short[others] | within_radius(prints[others] ^ prints[i])]
         if not len(others):
             continue
-        others = others[short[i] | short[others] | within_radius(prints[others] ^ prints[i])]
-        a = sets[i]
-        for j in others:
-            if group[j] == group[i]:
-                continue
-            b = sets[j]
-            n, m = len(a), len(b)
-            if min(n, m) < similarity * max(n, m):
-                continue
-            common = len(np.intersect1d(a, b, assume_unique=True))
-            if common >= similarity * (n + m - common):
+        for j in similar_rows(sets, i, others, similarity, marked):
+            if group[j] != group[i]:
                 out.append((int(nodes[i]), int(nodes[j])))
                 group[group == group[j]] = group[i]
     return out
@@ -131,9 +153,10 @@ def linking_pairs(nodes, prints, sets, left, right, similarity: float, group=Non
 
 def promising(prints, short, left, right, group) -> np.ndarray:
     """Rows with another of a different group that their SimHashes allow."""
-    out, right = np.zeros(len(prints), bool), np.asarray(right)
+    out, right, seen = np.zeros(len(prints), bool), np.asarray(right), np.zeros(len(prints), bool)
     for i in left:
-        others = right[group[right] != group[i]]
+        seen[i] = True
+        others = right[~seen[right] & (group[right] != group[i])]
         others = others[short[i] | short[others] | within_radius(prints[others] ^ prints[i])]
         out[others] = True
         out[i] |= len(others) > 0
