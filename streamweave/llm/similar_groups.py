@@ -324,9 +324,10 @@ def similar_groups(df: DataFrame, size: int = 5, similarity: float = 0.8, id_col
         many = held.where(F.col("n") > BLOCK)
         if not many.limit(1).count():
             break
-        links.append(_star(many.drop("n"), classes, similarity, turn))
+        links = [_stars(component), _star(many.drop("n"), classes, similarity, turn)]
         component = connected_components(_union(links))
         held = cut(_with_groups(held.drop("grp", "n"), component))
+    links = [_stars(component)]
     for level in range(1, LEVELS + 1):
         many = held.where(F.col("n") > MANY * BLOCK)
         last = level == LEVELS or not many.limit(1).count()
@@ -339,6 +340,11 @@ def similar_groups(df: DataFrame, size: int = 5, similarity: float = 0.8, id_col
     return ids.join(component, "node", "left").select("doc_id", "digest", F.coalesce("component", "node").alias("group_id"))
 
 
+def _stars(component: DataFrame) -> DataFrame:
+    """Components as links of their nodes with the smallest one: what is settled isn't found again."""
+    return component.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
 def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
