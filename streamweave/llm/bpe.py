@@ -22,6 +22,8 @@ from array import array
 
 from tokenizers import Tokenizer
 
+from streamweave.llm.worker import KEPT
+
 #: The letters of the characters that texts on the quick path consist of.
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ſ"
 #: Anything else is left to the library's pre-tokeniser: its class may depend on
@@ -163,12 +165,9 @@ class Encoder:
             return b"".join((self._segment(head), *(self._segment(" " + x) for x in more)))
 
 
-_ENCODERS: dict[int, Encoder] = {}
-
-
 def encoder(config: str, whole: str) -> Encoder:
     """The worker's encoder for a tokenizer file; its memo lives across batches."""
-    key = hash(config)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(config, json.loads(whole))
-    return _ENCODERS[key]
+    key = "encoder", hash(config)
+    if key not in KEPT:
+        KEPT[key] = Encoder(config, json.loads(whole))
+    return KEPT[key]

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streamweave.functions.shipping import ship_package
+from streamweave.llm import worker
 from streamweave.operators.lineage import cut_lineage
 
 #: Rows, and bytes of them, that a Python worker holds as Python objects at a time.
@@ -35,8 +36,10 @@ def slices(batch):
 def arrow_udf(spark: SparkSession, function, kind: str):
     """An Arrow UDF over an iterator of small slices; the package goes along to the workers."""
     ship_package(spark)
+    operator = f"{function.__module__}.{function.__qualname__}"
 
     def sliced(batches):
+        worker.begin(operator)
         return function(part for b in batches for part in slices(b))
 
     sliced.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
