@@ -350,12 +350,12 @@ def river_hits(spark, d):
     return checks.search_rivers(_reaches(spark, d), "river", "name", "flow", "state", " GRÉEN ").orderBy(F.desc("flow"), "river")
 
 
-@query(f"""WITH {REACHES}, best AS (SELECT river, max(flow) AS flow, min(name) AS name FROM reaches GROUP BY 1 HAVING min(name) LIKE 'r%' AND NOT regexp_matches(min(name), '\b(ring|gear)\b'))
+@query(f"""WITH {REACHES}, best AS (SELECT river, max(flow) AS flow, min(name) AS name FROM reaches GROUP BY 1 HAVING min(name) LIKE '%e%' AND NOT regexp_matches(min(name), '\\b(ring|gear)\\b'))
 SELECT river, name, flow FROM best ORDER BY flow DESC, river LIMIT 20""")
 def top_named_rivers(spark, d):
     """The twenty largest rivers of a kind of name, without excluded labels."""
     best = _reaches(spark, d).groupBy("river").agg(F.max("flow").alias("flow"), F.min("name").alias("name"))
-    named = best.where(F.col("name").startswith("r") & ~permits.matches(F.col("name"), r"\b(ring|gear)\b"))
+    named = best.where(F.col("name").contains("e") & ~permits.matches(F.col("name"), r"\b(ring|gear)\b"))
     return named.orderBy(F.desc("flow"), "river").limit(20).select("river", "name", "flow")
 
 

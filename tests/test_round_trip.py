@@ -34,6 +34,45 @@ def test_cycles_are_errors(spark, edges):
         forest.accumulate(df, "id", "down", ["v"])
 
 
+def plain_forest(down, value):
+    totals, root = dict(value), {}
+    for n in down:
+        at = n
+        while down.get(at) in down:
+            at = down[at]
+            totals[at] += value[n]
+        root[n] = at
+    return {n: (root[n], totals[n]) for n in down}
+
+
+@pytest.mark.parametrize("kind, n, finish", [("chain", 600, 40), ("star", 600, 0), ("random", 600, 20), ("deep", 60, 0), ("broom", 400, 1 << 17)])
+def test_contraction_is_linear(spark, kind, n, finish):
+    rng = random.Random(kind)
+    down = {i: None if i == 0 else {"chain": i - 1, "star": 0, "random": rng.randrange(i), "deep": i - 1 - i % 3 if i > 2 else 0, "broom": i - 1 if i < n // 2 else n // 2 - 1}[kind] for i in range(n)}
+    names = rng.sample(range(10_000), n)  # keys in no order
+    down = {names[k]: None if v is None else names[v] for k, v in down.items()} | {-1: None, -2: 77_777}
+    value = {k: rng.randrange(100) for k in down}
+    df = frame(spark, [(k, v, value[k]) for k, v in down.items()], "id long, down long, v long")
+    want = plain_forest(down, value)
+    sizes = []
+    got = forest.contract(df, "id", "down", ["v"], finish=finish, sizes=sizes)
+    assert {r["node"]: (r["root"], r["v"]) for r in got.collect()} == want
+    assert sum(sizes) <= 4 * n and len(sizes) <= 16
+    # A written table's size, not a product of the rounds' estimates.
+    assert got._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 20
+
+
+def test_rings_are_numbered(spark):
+    rings = [[5, 9, 2, 7], [11, 10], [20], list(range(40, 140))]
+    rows = [(a, b) for r in rings for a, b in zip(r, r[1:] + r[:1])]
+    got = {r["id"]: (r["ring"], r["position"]) for r in forest.ring_positions(frame(spark, rows, "id long, next long"), "id", "next").collect()}
+    want = {}
+    for r in rings:
+        at = r.index(min(r))
+        want |= {n: (min(r), i) for i, n in enumerate(r[at:] + r[:at])}
+    assert got == want
+
+
 def test_numbers_totals_and_quantiles(spark):
     rng = random.Random(4)
     rows = [(rng.choice("abc"), float(rng.randrange(12))) for _ in range(500)] + [("d", None), (None, 3.0), ("e", 1.0)]
