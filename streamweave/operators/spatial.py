@@ -169,21 +169,6 @@ def idw_geometric(neighbours: DataFrame, keys: Sequence[str], distance: str, val
     return neighbours.groupBy(*keys).agg(F.exp(F.sum(w * F.ln(value)) / F.sum(w)).alias(name))
 
 
-def in_polygon(points: DataFrame, edges: DataFrame, point: str, size: float) -> DataFrame:
-    """(point, inside): whether any of the polygons holds the point.
-
-    Edges (ring, x1, y1, x2, y2); a ring's crossings of the ray to the right are
-    counted and parities joined per polygon, so no union of polygons is needed.
-    Edges are indexed by the rows of a grid that they span.
-    """
-    rows = edges.withColumn("cy", F.explode(F.sequence(cell(F.least("y1", "y2"), size), cell(F.greatest("y1", "y2"), size))))
-    crosses = (F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))
-    at = (F.col("x2") - F.col("x1")) * (F.col("y") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")
-    hits = points.withColumn("cy", cell(F.col("y"), size)).join(rows, "cy").where(crosses).where(F.col("x") < at)
-    odd = hits.groupBy(point, "ring").agg((F.count("*") % 2 == 1).alias("odd")).groupBy(point).agg(F.max("odd").alias("inside"))
-    return points.select(point).join(odd, point, "left").select(point, F.coalesce("inside", F.lit(False)).alias("inside"))
-
-
 def line_length(points: Column) -> Column:
     """Planar length of an array of (x, y)."""
     ends = F.slice(points, 2, F.greatest(F.size(points) - 1, F.lit(0)))

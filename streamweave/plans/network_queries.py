@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from streamweave.operators import codec, forest, permits, regional, spatial
+from streamweave.operators import codec, forest, overlay, permits, regional, spatial
 from streamweave.plans.inputs import DANGLING, DEEP, DISTANCE, HEAP, POINTS, PROJECT, REACHES, SEGMENTS, dangling, deep, heap, points, reaches, segments, varint_sql
 from streamweave.sources.tables import table
 
@@ -191,7 +191,7 @@ h AS (SELECT id, ring, count(*) AS n FROM points, e WHERE (y1::DOUBLE > y) <> (y
 SELECT p.id, coalesce(bool_or(h.n % 2 = 1), false) AS inside FROM points p LEFT JOIN h USING (id) GROUP BY p.id""")
 def point_in_polygon(spark, d):
     edges = spark.createDataFrame(EDGES, "ring int, x1 double, y1 double, x2 double, y2 double")
-    return spatial.in_polygon(points(spark, d), edges, "id", 0.1)
+    return overlay.in_polygon(points(spark, d), edges, "id", 0.1)
 
 
 def _paths(spark, d):
@@ -327,7 +327,7 @@ def reach_inside(spark, d):
     pts = F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))
     mid = segments(spark, d).select("line", spatial.line_midpoint(pts).alias("m")).select("line", "m.x", "m.y")
     edges = spark.createDataFrame(EDGES, "ring int, x1 double, y1 double, x2 double, y2 double")
-    return spatial.in_polygon(mid, edges, "line", 0.1)
+    return overlay.in_polygon(mid, edges, "line", 0.1)
 
 
 @query(f"WITH {POINTS}, p AS (SELECT id, CASE WHEN id % 7 = 0 THEN 0.0 WHEN id % 11 <> 0 THEN x END AS lat, CASE WHEN id % 14 = 0 THEN 0.0 ELSE y END AS lon FROM points) SELECT id, lat IS NOT NULL AND lon IS NOT NULL AND NOT (lat = 0 AND lon = 0) AS placed FROM p")
