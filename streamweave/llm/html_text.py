@@ -39,13 +39,16 @@ REPEATS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "t
 UNLIKELY = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|subscription|paywall|"
     r"nav|navbar|navigation|menu|breadcrumbs?|pagination|pager|sidebar|side|rail|widget|related|recommend\w*|trending|share|sharing|social|"
-    r"comments?|disqus|reply|replies|respond|footer|foot|header|masthead|topbar|toolbar|login|signup|search|skip|copyright|legal|disclaimer|toc)(?:$|[\s_-])",
+    r"comments?|disqus|reply|replies|respond|footer|foot|header|masthead|topbar|toolbar|login|signup|search|skip|copyright|legal|disclaimer|toc|"
+    r"comment(?:list|area|form|thread|body|section|box|s?wrap\w*)s?|adsby\w+|ad(?:box|block|slot|unit|wrap\w*|space|zone|label|container|sense)s?|cookie\w+|(?:left|right)(?:bar|col|column|rail|side)|col-(?:left|right)|side(?:col|column|nav|menu))(?:$|[\s_-])",
     re.I,
 )
+#: Where a name in camel case has its next word.
+CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 #: Words that turn a mark into a statement about the page (has-sidebar, no-ads).
 STATES = re.compile(r"(?:has|have|with|without|no|not|is|show|hide)[_-]", re.I)
 #: Marks of others' texts, which may outweigh the article.
-OTHERS = re.compile(r"(?:^|[\s_-])(?:related|recommend\w*|trending|comments?|disqus|reply|replies|respond)(?:$|[\s_-])", re.I)
+OTHERS = re.compile(r"(?:^|[\s_-])(?:related|recommend\w*|trending|comments?|comment(?:list|area|form|thread|body|section|box|s?wrap\w*)s?|disqus|reply|replies|respond)(?:$|[\s_-])", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
 #: The rest of a tag, with quotes.  Possessive: what is scanned once is never scanned again.
@@ -62,11 +65,11 @@ MENU_CHARS = 40
 
 
 class Node:
-    __slots__ = ("name", "parent", "children", "score", "chars", "link_chars", "blocks", "skip", "mark", "near")
+    __slots__ = ("name", "parent", "children", "score", "chars", "link_chars", "blocks", "skip", "mark", "near", "serial")
 
     def __init__(self, name: str, parent: Node | None, skip: bool, mark: str = ""):
         self.name, self.parent, self.children, self.skip = name, parent, [], skip
-        self.mark = mark
+        self.mark, self.serial = mark, 0
         self.near = self if name in STRUCTURE else parent.near if parent is not None else None
         self.score = 0.0
         self.chars = self.link_chars = self.blocks = 0
@@ -84,7 +87,7 @@ def _boilerplate(name: str, attributes: str) -> tuple[bool, str]:
     for key, value in MARKED.findall(attributes):
         key, value = key.lower(), value.strip("\"'")
         if key in ("class", "id"):
-            words = " ".join(w for w in value.split() if not STATES.match(w))
+            words = " ".join(CAMEL.sub("-", w) for w in value.split() if not STATES.match(CAMEL.sub("-", w)))
             if UNLIKELY.search(words):
                 mark = f"{mark} {words}"
         if key == "role" and value.lower() in ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
@@ -139,9 +142,14 @@ def scan(html: str):
         yield name, bool(m[1]), attributes
 
 
-def parse(html: str) -> Node:
-    """The page as containers with text blocks (strings with link share) in page order."""
+def parse(html: str, broken: frozenset[int] = frozenset()) -> tuple[Node, set[int], list[Node]]:
+    """The page as containers with text blocks (strings with link share) in page order.
+
+    Also the numbers of those dropped elements that nothing closes before the body
+    ends, and the elements of `broken` numbers, which are read like any other.
+    """
     root = node = Node("#root", None, False)
+    dropped, unclosed, read = 0, set(), []
     text: list[str] = []
     linked = 0
     links = 0  # open <a>
@@ -183,6 +191,8 @@ def parse(html: str) -> Node:
             if opened[name]:
                 at = node
                 while at.name != name:
+                    if at.serial and name in ("body", "html"):
+                        unclosed.add(at.serial)
                     at = at.parent
                 node = close_to(at.parent)
                 links = 0 if name in CONTAINERS else links
@@ -195,10 +205,20 @@ def parse(html: str) -> Node:
         if name in VOID:
             continue
         skip, mark = (False, "") if name == "header" and opened["article"] else _boilerplate(name, rest)
-        node = Node(name, node, node.skip or skip, mark)
+        dropped += skip
+        kept = skip and dropped in broken
+        node = Node(name, node, node.skip or skip and not kept, mark)
+        if kept:
+            read.append(node)
+        elif skip:
+            node.serial = dropped
         opened[name] += 1
     flush()
-    return root
+    while node is not None:
+        if node.serial:
+            unclosed.add(node.serial)
+        node = node.parent
+    return root, unclosed, read
 
 
 def _points(block: str) -> int:
@@ -206,7 +226,7 @@ def _points(block: str) -> int:
 
 
 def _drop_marked(root: Node) -> None:
-    """Drop marked elements, but for those that hold the article or most of the points."""
+    """Drop marked elements; without an unmarked article those stay that hold the article or most of the points."""
     order, stack = [], [root]
     while stack:
         node = stack.pop()
@@ -241,7 +261,7 @@ def _drop_marked(root: Node) -> None:
         node = stack.pop()
         if node.mark:
             every, bare, article, bare_article, _ = held[id(node)]
-            if OTHERS.search(node.mark) or not (every > outside or article and not found):
+            if found or OTHERS.search(node.mark) or not (article or every > outside):
                 node.skip = True
                 continue
             outside, found = outside + bare, found or bare_article
@@ -294,13 +314,60 @@ def _blocks(node: Node, out: list[str]) -> None:
             stack.extend(reversed(at.children))
 
 
+def _substance(root: Node) -> tuple[float, bool]:
+    """(points of the blocks, whether an article or main has text) below an element."""
+    points, article, stack = 0.0, False, [root]
+    while stack:
+        node = stack.pop()
+        for c in node.children:
+            if isinstance(c, Node):
+                stack += [] if c.skip else [c]
+            else:
+                at = node
+                points += _points(c[0]) * (1 - c[1] / len(c[0])) if len(c[0]) >= 25 else 0.0
+                while not article and at is not None and at is not root:
+                    article, at = at.name in ("article", "main"), at.parent
+    return points, article
+
+
+def tree(html: str) -> Node:
+    """The page without what is dropped for sure.
+
+    A menu, header or the like that is never closed would swallow all that
+    follows, so it is read like any other element if it holds the article, or
+    most of the page's points.
+    """
+    root, unclosed, _ = parse(html)
+    if unclosed:
+        root, _, read = parse(html, frozenset(unclosed))
+        every = _substance(root)[0]
+        for node in read:
+            points, article = _substance(node)
+            node.skip = not (article or 2 * points > every)
+    return root
+
+
 def main_text(html: str | None) -> str:
     """The page's main text: blocks in page order joined by a blank line."""
     if not html:
         return ""
-    root = parse(html)
+    root = tree(html)
     _drop_marked(root)
-    return _best_text(root) or _best_text(parse(html))
+    return _best_text(root) or _best_text(tree(html))
+
+
+#: Elements of running text.
+TEXT = frozenset("h1 h2 h3 h4 h5 h6 p ul ol dl blockquote pre figure table section address details".split())
+RIGHTS = re.compile(r"\s*(?:©|\(c\)|copyright\b|all rights reserved)", re.I)
+
+
+def _goes_along(part) -> bool:
+    """Whether a part beside the main text belongs to it: running text with few links, no line of rights."""
+    if not isinstance(part, Node) or part.skip or part.name not in TEXT or not part.chars or _density(part) >= 0.25:
+        return False
+    lines: list[str] = []
+    _blocks(part, lines)
+    return bool(lines) and not RIGHTS.match(lines[0])
 
 
 def _best_text(root: Node) -> str:
@@ -325,14 +392,22 @@ def _best_text(root: Node) -> str:
     keep = [best]
     if best.parent is not None:
         bar = max(10.0, top * 0.2)
-        keep = []
-        for c in best.parent.children:
+        beside, kept = best.parent.children, []
+        for i, c in enumerate(beside):
             if c is best:
-                keep.append(c)
+                kept.append(i)
             elif isinstance(c, Node) and not c.skip:
                 long_text = c.name in ("p", "blockquote", "pre") and c.chars > 80 and _density(c) < 0.25
                 if c.score * (1 - _density(c)) >= bar or long_text or c.name in ("article", "main") and c.name == best.name and c.chars:
-                    keep.append(c)
+                    kept.append(i)
+        first, last = (kept[0], kept[-1]) if whole is None else (0, -1)
+        if whole is None:  # headings, lists and short blocks go with the text that they stand next to
+            while first > 0 and _goes_along(beside[first - 1]):
+                first -= 1
+            while last + 1 < len(beside) and _goes_along(beside[last + 1]):
+                last += 1
+        some = set(kept) | {i for i in range(first, last + 1) if _goes_along(beside[i])}
+        keep = [c for i, c in enumerate(beside) if i in some]
     out: list[str] = []
     for c in keep:
         _blocks(c, out)

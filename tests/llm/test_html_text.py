@@ -118,14 +118,12 @@ class Plain(HTMLParser):
 
 def test_pages_equal_a_plain_walk(spark, sf):
     pages = [r["html"] for r in spark.read.parquet(f"{sf.replace('0.001', '0.01')}/pages.parquet").collect()]
-    same = 0
     for html in pages:
         walk = Plain()
         walk.feed(html)
         walk.close()
         walk.end_block()
-        same += main_text(html) == "\n\n".join(walk.blocks)
-    assert same >= 0.98 * len(pages)
+        assert main_text(html) == "\n\n".join(walk.blocks)
 
 
 def test_generated_pages_have_their_main_text():
@@ -139,3 +137,26 @@ def test_generated_pages_have_their_main_text():
         side = f'<div class="sidebar"><p>{sentence()}</p></div>'
         page = f'<html><body><nav>{menu}</nav>{rng.choice(["", side])}{wrap.format(body)}{rng.choice(["", side])}<div class="comments"><p>{sentence()}</p></div><footer>{sentence()}</footer></body></html>'
         assert main_text(page) == "\n\n".join(blocks)
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<body><nav><a href=x>Home</a><article><h1>T</h1><p>{LONG}</p></article></body>", "T\n\nLONG"),
+    (f"<body><header><h1>Site</h1><div><p>{LONG}</p><p>{LONG}</p></div></body>", "Site\n\nLONG\n\nLONG"),
+    (f"<body><div><p>{LONG}</p></div><footer><p>Copyright 2020, all rights, and words enough to be long.</p></body>", "LONG"),
+    (f"<body><aside><article><p>A teaser, with some more words</p></article></aside><article><p>{LONG}</p></article></body>", "LONG"),
+    (f"<body><div role=navigation><p>{LONG}</p>", "LONG"),
+])
+def test_unclosed_boilerplate(page, want):
+    assert main_text(page) == want.replace("LONG", LONG.strip())
+
+
+@pytest.mark.parametrize("mark", ["commentlist", "adsbygoogle", "AdBox", "cookieConsent", "col-right", "commentArea", "relatedPosts", "leftSidebar", "newsletterSignup"])
+def test_joined_names_are_marks(mark):
+    assert main_text(f"<article><p>{LONG}</p><div class={mark}><h2>Head</h2><p>Some text, of others</p></div></article>") == LONG.strip()
+
+
+def test_headings_and_short_blocks_stand_beside_the_text():
+    body = f"<h1>Title</h1><p>Short first.</p><div><p>{LONG}</p><p>{LONG}</p></div><ul><li>one</li><li>two</li></ul><section><p>Short second.</p></section><p>Last.</p>"
+    want = "\n\n".join(["Title", "Short first.", LONG.strip(), LONG.strip(), "one", "two", "Short second.", "Last."])
+    assert main_text(f"<body><div id=menu><a>1</a></div><div id=content>{body}</div><p>© 2020 X</p></body>") == want
+    assert main_text(f"<body><div><a href=1>Home</a> <a href=2>More</a></div>{body}<p>© 2020 X</p></body>") == want
