@@ -26,6 +26,8 @@ UNDETERMINED = "und"
 #: Bounds of the training sample: languages, documents and characters per language,
 #: and characters of one document.
 LANGUAGES, DOCS_PER_LANGUAGE, CHARS_PER_LANGUAGE, CHARS_PER_DOC = 1_000, 200, 20_000, 20_000
+#: Characters of all languages together: the automata take some 600 bytes for each, in the driver and in each worker.
+CHARS_IN_ALL = 400_000
 #: Characters parsed in one lane, characters of text parsed together, characters
 #: after which a parse from another state has mostly met the one from the root,
 #: and rounds of lanes until what has not met is parsed character by character.
@@ -241,8 +243,8 @@ def training_samples(docs: DataFrame, text_col: str, lang_col: str, learn) -> di
 
     At most about DOCS_PER_LANGUAGE different texts a language (of the LANGUAGES
     most frequent ones) reach the driver, each cut to CHARS_PER_DOC characters;
-    CHARS_PER_LANGUAGE characters of them are learned, so that languages have
-    equal shares.  Repeated rows count once, whatever their ids.
+    CHARS_PER_LANGUAGE characters of them are learned (fewer if all languages together
+    would have over CHARS_IN_ALL), so that languages have equal shares.  Repeated rows count once, whatever their ids.
     """
     spark = docs.sparkSession
     rows = docs.where(learn & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang_"), F.col(text_col).alias("text_"))
@@ -257,30 +259,26 @@ def training_samples(docs: DataFrame, text_col: str, lang_col: str, learn) -> di
     out: dict[str, list[str]] = {}
     for row in sorted(drawn, key=lambda r: (r["hash_"], r["text_"])):
         out.setdefault(row["lang_"], []).append(normal_text(row["text_"]))
-    texts = {k: " ".join(x for x in v if x)[:CHARS_PER_LANGUAGE] for k, v in out.items()}
+    most = min(CHARS_PER_LANGUAGE, CHARS_IN_ALL // len(out)) if out else 0
+    texts = {k: " ".join(x for x in v if x)[:most] for k, v in out.items()}
     return {k: v for k, v in texts.items() if v}
 
 
-_PARSERS: dict[int, CrossParser] = {}
-
-
 def identify(df: DataFrame, samples: dict[str, str], text_col: str = "text") -> DataFrame:
     """Add lang_pred and score (0 to 1, the winner's share of 2**-bits).
 
-    `samples` holds normalised text per language (CHARS_PER_LANGUAGE each); the
-    workers build the automata from it.  Null texts and texts without a letter
+    `samples` holds normalised text per language; the automata are built from it
+    once and go to the workers as flat arrays.  Null texts and texts without a letter
     are `und` with score 0, as is everything if nothing was learned.  Ties go to
     the first language by name.  Columns of the two names are replaced.
     """
-    shared = df.sparkSession.sparkContext.broadcast(tuple(sorted(samples.items())))
+    shared = df.sparkSession.sparkContext.broadcast(CrossParser(dict(sorted(samples.items()))))
     kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
 
     def languages(batches):
-        key = hash(shared.value)
-        if key not in _PARSERS:
-            _PARSERS[key] = CrossParser(dict(shared.value))
+        parser = shared.value
         for texts in batches:
-            names, scores = _PARSERS[key].predict(texts.to_pylist())
+            names, scores = parser.predict(texts.to_pylist())
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], fields=list(kind))
 
     udf = arrow_udf(df.sparkSession, languages, "struct<lang_pred:string,score:double>")

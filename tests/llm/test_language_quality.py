@@ -82,6 +82,13 @@ def test_training_takes_long_and_repeated_rows(spark):
     assert language.training_samples(docs.limit(0), "text", "lang", F.lit(True)) == {}
 
 
+def test_many_languages_share_what_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(language, "CHARS_IN_ALL", 3_000)
+    docs = spark.createDataFrame([(i, f"word{i % 30} " * 400, f"l{i % 30:02}") for i in range(90)], "doc_id long, text string, lang string")
+    got = language.training_samples(docs, "text", "lang", F.lit(True))
+    assert len(got) == 30 and {len(v) for v in got.values()} == {100}
+
+
 def test_language_held_out(spark, sf):
     got = language.op5_language_id(spark, sf)
     both = got.join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id").where("held_out")
