@@ -50,18 +50,13 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return index
 
 
-#: Characters of a text dimension that its order goes by.
-PREFIX = 64
-
-
 def text_marks(df: DataFrame, column: str, bits: int) -> list[str]:
     """The 2**bits - 1 values that stand at equal steps of the rows by a text column's order.
 
     Distinct values are counted with map-side combination and summed up over
-    sorted ranges; at most 2**bits + 1 rows reach the driver.
+    sorted ranges; at most 2**bits + 1 whole values reach the driver.
     """
-    value = F.substring(F.col(column), 1, PREFIX)
-    counts = df.where(F.col(column).isNotNull()).groupBy(value.alias("value")).agg(F.count("*").alias("n"))
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
     placed = running_total(counts, F.col("n"), "value", name="before", total="rows")
     step = F.expr(f"(before * {1 << bits} + rows - 1) div rows")  # the first step that the value stands at
     found = dict(placed.groupBy(step.alias("step")).agg(F.max("value")).collect())
@@ -78,7 +73,7 @@ def quantise(column, marks: list, kind: str):
     if not marks:
         return F.lit(0)
     text = kind == "string"
-    value = F.substring(column, 1, PREFIX) if text else column.cast("double")
+    value = column if text else column.cast("double")
     known = F.array(*[F.lit(m if text else float(m)) for m in marks])
     return F.coalesce(F.size(F.filter(known, lambda b: b <= value)), F.lit(0)).cast("int")
 
