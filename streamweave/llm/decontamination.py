@@ -22,7 +22,8 @@ lower the score without breaking the match.
 
 from __future__ import annotations
 
-from itertools import repeat
+from functools import reduce
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +32,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from streamweave.llm.common import arrow_udf, drop_clashing, fresh, table
+from streamweave.operators.lineage import Tables
 
 #: Alignment: scores per word, and the share of the perfect score that is a leak.
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
 THRESHOLD = 0.5
 #: However short the item, so many words (or all of it) must match.
 SHORTEST = 3
-#: Benchmark words handled per block (what is broadcast is a few MB at most).
+#: Benchmark words handled at a time (what is broadcast is a few MB at most; larger benchmarks are read block after block).
 BLOCK_WORDS = 400_000
 #: Words times items whose points are summed at once.
 TOGETHER = 1_000_000
@@ -215,15 +217,15 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     all others are kept.  An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    (text,) = fresh(docs, "text")
+    text, key, own = fresh(docs, "text", "digest", "own")
     id_type = benchmark.schema[item_col].dataType
     leaks = f"array<struct<item_id:{id_type.simpleString()},score:double,first_word:long,end_word:long>>"
-    fields = list(pa.struct([("item_id", to_arrow_type(id_type)), ("score", pa.float64()), ("first_word", pa.int64()), ("end_word", pa.int64())]))
-    out = drop_clashing(docs.withColumn(text, F.col(text_col)), [name]).withColumn(name, F.array().cast(leaks))
-    for block in _blocks(benchmark, item_col, item_text_col):
-        ready = spark.sparkContext.broadcast(Seeds(block, threshold))
+    kind = pa.struct([("item_id", to_arrow_type(id_type)), ("score", pa.float64()), ("first_word", pa.int64()), ("end_word", pa.int64())])
 
-        def aligned(batches, shared=ready):
+    def search(block):
+        shared = spark.sparkContext.broadcast(Seeds(block, threshold))
+
+        def aligned(batches):
             seeds = shared.value
             for texts in batches:
                 rows, found = [0], []
@@ -231,11 +233,30 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
                     found += seeds.alignments(seeds.encode(t))
                     rows.append(len(found))
                 item, score, first, end = zip(*found, strict=True) if found else ((), (), (), ())
-                columns = [pa.array([seeds.ids[i] for i in item], fields[0].type), pa.array(score, pa.float64()), pa.array(first, pa.int64()), pa.array(end, pa.int64())]
-                yield pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.StructArray.from_arrays(columns, fields=fields))
-
-        out = out.withColumn(name, F.concat(name, arrow_udf(spark, aligned, leaks)(F.col(text))))
-    return out.drop(text)
+                columns = [pa.array([seeds.ids[i] for i in item], kind[0].type), pa.array(score, pa.float64()), pa.array(first, pa.int64()), pa.array(end, pa.int64())]
+                yield pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.StructArray.from_arrays(columns, fields=list(kind)))
+
+        return shared, arrow_udf(spark, aligned, leaks)
+
+    out = drop_clashing(docs.withColumn(text, F.col(text_col)), [name])
+    blocks = _blocks(benchmark, item_col, item_text_col)
+    block, after = next(blocks, None), next(blocks, None)
+    if block is None:
+        return out.withColumn(name, F.array().cast(leaks)).drop(text)
+    if after is None:
+        return out.withColumn(name, F.concat(F.array().cast(leaks), search(block)[1](F.col(text)))).drop(text)
+    # Block after block: what a block finds is written by the text's digest, then its seeds go.
+    tables, parts = Tables(spark), []
+    digested = docs.select(F.sha2(F.col(text_col).cast("binary"), 256).alias(key), F.col(text_col).alias(text)).where(F.col(text).isNotNull())
+    for block in chain([block, after], blocks):
+        shared, udf = search(block)
+        found = digested.select(key, udf(F.col(text)).alias(own)).where(F.size(own) > 0)
+        parts.append(tables.write(found.groupBy(key).agg(F.struct(F.lit(len(parts)).alias("block"), F.first(own).alias("leaks")).alias(own))))
+        shared.destroy()
+    every = reduce(DataFrame.unionByName, parts).groupBy(key).agg(F.array_sort(F.collect_list(own)).alias(own))
+    both = out.withColumn(key, F.sha2(F.col(text).cast("binary"), 256)).join(every, key, "left")
+    joined = F.flatten(F.transform(own, lambda p: p["leaks"]))
+    return both.withColumn(name, F.coalesce(joined, F.array().cast(leaks))).drop(text, key, own)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, **more) -> DataFrame:
