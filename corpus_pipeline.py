@@ -55,8 +55,8 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     No row goes.  Null texts stay null and empty ones empty, n_chars as it was;
     where something was replaced n_chars is the new length.
     """
-    found = pii.redacted(pii.find_pii(docs, pii.train(docs), name="__spans"), "__spans")
-    return found.withColumn("n_chars", F.when(F.size("__spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+    found = pii.redact_found(docs, pii.train(docs), name="__spans")
+    return found.withColumn("n_chars", F.when(F.col("__spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -324,7 +324,9 @@ def find_pii(df: DataFrame, tagger: Tagger | None, text_col: str = "text", name:
     """Add an array of spans (kind, start, end, base) in code points, end exclusive.
 
     Spans are ordered by kind (as in KINDS), then start.  Null and empty texts
-    have none.  A column of that name is replaced, all others are kept.
+    have none.  Each row is read by itself: repeated rows and ids, or null ids, don't
+    matter.  A column of that name is replaced, all others are kept.  An empty table
+    gives an empty result.
     """
     shared = df.sparkSession.sparkContext.broadcast(tagger)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
@@ -354,7 +356,7 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 
 def redacted(df: DataFrame, spans_col: str = "pii_spans", text_col: str = "text") -> DataFrame:
-    """Replace the text by its redacted form; null texts stay null."""
+    """Replace the text by its redacted form; null texts stay null, repeated rows are treated alike, an empty table stays empty."""
 
     def replaced(batches):
         for rows in batches:
@@ -365,6 +367,30 @@ def redacted(df: DataFrame, spans_col: str = "pii_spans", text_col: str = "text"
     return df.withColumn(text_col, F.when(F.size(spans_col) > 0, udf(F.struct(text_col, spans_col))).otherwise(F.col(text_col)))
 
 
+def redact_found(df: DataFrame, tagger: Tagger | None, text_col: str = "text", name: str = "n_spans") -> DataFrame:
+    """What `find_pii` and `redacted` do, in one pass: the text redacted, and the number of its spans.
+
+    Null texts stay null with no spans, empty ones empty; each row is read by itself,
+    so repeated rows are redacted alike; an empty table gives an empty result.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(tagger)
+    kind = pa.struct([("text", pa.string()), ("n", pa.int64())])
+
+    def redact_each(batches):
+        for texts in batches:
+            given = texts.to_pylist()
+            rows = []
+            for t, (base, more) in zip(given, all_spans(shared.value, [t or "" for t in given]), strict=True):
+                spans = [(KINDS[k], a, b) for k, a, b in [*base, *more]]
+                rows.append({"text": redact(t, spans) if spans else t, "n": len(spans)})
+            yield pa.array(rows, kind)
+
+    udf = arrow_udf(df.sparkSession, redact_each, "struct<text:string,n:long>")
+    (found,) = fresh(df, "found")
+    out = drop_clashing(df.withColumn(found, udf(F.col(text_col))), [name])
+    return out.withColumns({text_col: F.col(found)["text"], name: F.col(found)["n"]}).drop(found)
+
+
 def op8_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = find_pii(docs, train(docs))

@@ -51,6 +51,24 @@ def test_find_leaks(spark):
     assert dc.find_leaks(d.limit(0), b).count() == 0 and dc.find_leaks(d, b.limit(0)).count() == 0
 
 
+def test_many_blocks_find_what_one_does(spark, monkeypatch):
+    rng = random.Random(18)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(n))
+    items = [(i, text(20)) for i in range(9)] + [(3, text(12)), (None, text(9)), (77, None)]
+    docs = [(i, text(30) + " " + items[i % 10][1] + " " + items[(3 * i) % 10][1]) for i in range(25)] + [(1, None), (None, items[2][1]), (9, ""), (None, items[2][1])] * 2
+    d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("digest", F.lit(1)).withColumn("Leaks", F.lit("x"))
+    b = spark.createDataFrame(items, "item_id long, text string")
+    rows = lambda: sorted(dc.with_leaks(d, b).collect(), key=str)
+    whole = rows()
+    assert whole and sum(len(r["leaks"]) for r in whole) >= 40
+    for words in (1, 45):
+        monkeypatch.setattr(dc, "BLOCK_WORDS", words)
+        assert rows() == whole
+    plan = dc.with_leaks(d, b)._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan  # blocks don't pile up in one stage
+    assert dc.with_leaks(d.limit(0), b).count() == 0
+
+
 def test_edited_copies_are_found_however_many(spark):
     rng = random.Random(9)
     text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(n))
@@ -242,6 +260,9 @@ def test_rows(spark):
     assert got[5]["pii_spans"][0]["start"] == 120_000
     clean = [r["text"] for r in pii.redacted(pii.find_pii(df, None)).collect()]
     assert clean[:5] == [None, "", "mail <EMAIL> or <IP>", "mail <EMAIL> or <IP>", "<PHONE>"]
+    once = pii.redact_found(df.withColumn("N_spans", F.lit("x")).withColumn("found", F.lit(2)), None).collect()
+    assert [r["text"] for r in once] == clean and [r["n_spans"] for r in once] == [len(r["pii_spans"]) for r in got] and once[0]["found"] == 2
+    assert pii.redact_found(df.limit(0), None).count() == 0
     assert pii.train(df.limit(0)) is None and pii.find_pii(df.limit(0), None).count() == 0
 
 
