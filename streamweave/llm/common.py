@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -78,6 +79,23 @@ def cut(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+@contextmanager
+def shuffles_go(spark: SparkSession):
+    """Within it the shuffle files of a query go as soon as it ends.
+
+    Otherwise those of all the steps of an iterative job lie on the executors' disks
+    until the driver happens to collect its garbage.  While a query runs they are
+    kept, so a lost executor's part is made again as always.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
 def hash_share(*columns) -> Column:
     """A number in [0, 1) from the hash of the columns: rows are drawn by it, alike wherever they lie."""
     return F.pmod(F.xxhash64(*columns), F.lit(1 << 30)) / F.lit(float(1 << 30))

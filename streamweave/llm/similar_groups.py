@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from streamweave.llm.common import arrow_udf, cut, fresh, parts
+from streamweave.llm.common import arrow_udf, cut, fresh, parts, shuffles_go
 from streamweave.functions.shipping import ship_package
 from streamweave.llm.components import connected_components
 from streamweave.llm.simhash import SEED, majority, pigeonring, shingles, words
@@ -298,6 +298,11 @@ def similar_groups(df: DataFrame, size: int = 5, similarity: float = 0.8, id_col
     Null, empty and blank texts are one class and similar to nothing else.  Null
     ids are kept; an empty table gives an empty result; extra columns are left out.
     """
+    with shuffles_go(df.sparkSession):
+        return _similar_groups(df, size, similarity, id_col, text_col)
+
+
+def _similar_groups(df: DataFrame, size: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
     spark = df.sparkSession
     kind = pa.struct([("class", pa.int64()), ("print", pa.int64()), ("seeds", pa.list_(pa.int64())), ("members", pa.binary())])
 
