@@ -6,28 +6,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from streamweave.operators.forest import accumulate_anchored
+from streamweave.operators.nearest import nearest_k
 from streamweave.operators.ranking import quantiles
-from streamweave.operators.spatial import idw_geometric, nearest_k
+from streamweave.operators.spatial import idw_geometric
 
 
 def specific_discharge(flow: Column, area: Column) -> Column:
     return flow * 1000 / area
 
 
-def interpolate(points: DataFrame, stations: DataFrame, point: str, station: str, value: str, k: int = 8, size: float | None = None) -> DataFrame:
-    near = nearest_k(points, stations.select(station, "sx", "sy", value), point, station, k, size)
+def interpolate(points: DataFrame, stations: DataFrame, point: str, station: str, value: str, k: int = 8) -> DataFrame:
+    near = nearest_k(points, stations.select(station, "sx", "sy", value), point, station, k)
     return idw_geometric(near, [point], "distance", value)
 
 
-def cross_validate(stations: DataFrame, station: str, value: str, folds: int = 5, k: int = 8, size: float | None = None) -> DataFrame:
+def cross_validate(stations: DataFrame, station: str, value: str, folds: int = 5, k: int = 8) -> DataFrame:
     """(station, observed, estimate): each station estimated from the other folds.
 
     Folds are the station's id modulo `folds`, and all run in one plan: a pair is
     allowed if its two ends are of different folds.
     """
-    fold = lambda c: F.pmod(F.col(c), F.lit(folds))
-    held = stations.select(F.col(station).alias("held"), F.col("sx").alias("x"), F.col("sy").alias("y"), F.col(value).alias("observed"))
-    near = nearest_k(held, stations.select(station, "sx", "sy", value), "held", station, k, size, allowed=fold("held") != fold(station))
+    fold = F.pmod(F.col(station), F.lit(folds))
+    held = stations.select(F.col(station).alias("held"), F.col("sx").alias("x"), F.col("sy").alias("y"), F.col(value).alias("observed"), fold.alias("out"))
+    near = nearest_k(held, stations.select(station, "sx", "sy", value, fold.alias("fold")), "held", station, k, apart=("out", "fold"))
     return idw_geometric(near, ["held", "observed"], "distance", value).withColumnRenamed("held", station)
 
 
@@ -46,11 +47,10 @@ def estimate_network(reaches: DataFrame, stations: DataFrame, node: str, down: s
     if fold:
         folds = [r[0] for r in posts.select("fold").distinct().orderBy("fold").collect()]  # a handful
         spots = spots.withColumn("fold_out", F.explode(F.array(*[F.lit(f) for f in folds])))
-        allowed = F.col("fold_out") != F.col("fold")
     else:
-        spots, allowed = spots.withColumn("fold_out", F.lit(-1)), None
+        spots = spots.withColumn("fold_out", F.lit(-1))
     spots = spots.withColumn("key", F.struct("fold_out", "node")).withColumn("to", F.when(F.col("down").isNotNull(), F.struct(F.col("fold_out"), F.col("down").alias("node"))))
-    near = nearest_k(spots.select("key", "fold_out", "x", "y"), posts.select("station", "sx", "sy", "specific", "fold"), "key", "station", k, allowed=allowed)
+    near = nearest_k(spots.select("key", "fold_out", "x", "y"), posts.select("station", "sx", "sy", "specific", "fold"), "key", "station", k, apart=("fold_out", "fold"))
     local = idw_geometric(near, ["key"], "distance", "specific")
     seen = posts.select(F.col("at").alias("node"), F.col("q").alias("observed"), F.col("fold"))
     flows = spots.join(local, "key", "left").withColumn("local", F.coalesce("estimate", F.lit(0.0)) * F.col("own_area") / 1000)

@@ -1,4 +1,4 @@
-"""Spatial joins over grids, nearest neighbours, and line geometry in planar degrees."""
+"""Spatial joins over grids and line geometry in planar degrees."""
 
 from __future__ import annotations
 
@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from streamweave.functions.scalar import bound, either_prefix
-from streamweave.operators.lineage import cut_lineage
 
 RADIUS_KM = 6371.0
 
@@ -90,47 +89,6 @@ def mutual_best(snapped: DataFrame, point: str, line: str) -> DataFrame:
     return first_per(snapped, line, F.col("score"), F.col(point))
 
 
-def nearest_k(points: DataFrame, stations: DataFrame, point: str, station: str, k: int, size: float | None = None, allowed: Column | None = None) -> DataFrame:
-    """The k nearest stations of each point by planar distance, ties by id.
-
-    Expanding rings of grid cells: a point is settled once k stations lie within
-    the distance that its ring covers for certain; the others look further, so
-    no cross join is made and dense and sparse regions are both exact.  Stations
-    have (sx, sy), points (x, y); `allowed` restricts the pairs.  The first ring
-    is as wide as k stations take up on average, unless `size` is given.
-    """
-    n, *span = stations.agg(F.count("*"), F.min("sx"), F.max("sx"), F.min("sy"), F.max("sy")).first()
-    low_x, high_x, low_y, high_y = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    columns = [*points.columns, *stations.columns]
-    if not n or low_x is None:
-        return points.join(stations.limit(0), F.lit(True)).select(*columns, F.lit(0.0).alias("distance"), F.lit(0).alias("nth"))
-    extent = max(span[1] - span[0], span[3] - span[2], high_x - span[0], span[1] - low_x, high_y - span[2], span[3] - low_y, 0.0)
-    reach = size or max(((span[1] - span[0]) * (span[3] - span[2]) * k / n) ** 0.5, extent / 4096, 1e-9)
-    found, left = None, points
-    while True:
-        whole = reach > 2 * extent  # the ring covers every station
-        cells = stations.withColumn("cx", cell(F.col("sx"), reach)).withColumn("cy", cell(F.col("sy"), reach))
-        around = F.array(*[F.lit(i).cast("long") for i in (-1, 0, 1)])
-        look = left.withColumn("__dx", F.explode(around)).withColumn("__dy", F.explode(around))
-        look = look.withColumn("cx", cell(F.col("x"), reach) + F.col("__dx")).withColumn("cy", cell(F.col("y"), reach) + F.col("__dy")).drop("__dx", "__dy")
-        ex, ey = F.col("x") - F.col("sx"), F.col("y") - F.col("sy")
-        pairs = look.join(cells, ["cx", "cy"]).withColumn("distance", F.sqrt(ex * ex + ey * ey)).drop("cx", "cy")
-        pairs = pairs if allowed is None else pairs.where(allowed)
-        order = Window.partitionBy(point).orderBy("distance", station)
-        ranked = pairs.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k).select(*columns, "distance", "nth")
-        if whole:
-            return ranked if found is None else found.unionByName(ranked)
-        # Everything within `reach` lies in the 3 x 3 cells.
-        ranked = cut_lineage(ranked)
-        settled = ranked.groupBy(point).agg(F.count("*").alias("__n"), F.max("distance").alias("__far")).where((F.col("__n") == k) & (F.col("__far") <= reach)).select(point)
-        done = ranked.join(settled, point, "left_semi").select(*columns, "distance", "nth")
-        found = done if found is None else found.unionByName(done)
-        left = cut_lineage(left.join(settled, point, "left_anti").select(*points.columns))
-        if not left.limit(1).count():
-            return found
-        reach *= 4
-
-
 def equirectangular_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     x = F.radians(lon2 - lon1) * F.cos(F.radians((lat1 + lat2) / 2))
     y = F.radians(lat2 - lat1)

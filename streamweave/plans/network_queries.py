@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from streamweave.operators import codec, forest, overlay, permits, regional, spatial
+from streamweave.operators import codec, forest, nearest, overlay, permits, regional, spatial
 from streamweave.plans.inputs import DANGLING, DEEP, DISTANCE, HEAP, POINTS, PROJECT, REACHES, SEGMENTS, dangling, deep, heap, points, reaches, segments, varint_sql
 from streamweave.sources.tables import table
 
@@ -120,7 +120,7 @@ KNN = f"""{POINTS}, nn AS (SELECT * FROM (SELECT p.id, g.id AS gauge, g.label +
 @query(f"WITH {KNN} SELECT id, gauge, round(dist, 6) AS distance, nth FROM nn")
 def knn8(spark, d):
     p, g = _knn_inputs(spark, d)
-    return spatial.nearest_k(p, g, "id", "gauge", 8).select("id", "gauge", F.round("distance", 6).alias("distance"), F.col("nth").cast("long").alias("nth"))
+    return nearest.nearest_k(p, g, "id", "gauge", 8).select("id", "gauge", F.round("distance", 6).alias("distance"), F.col("nth").cast("long").alias("nth"))
 
 
 @query(f"WITH {KNN} SELECT id, round(exp(sum(ln(q) / power(greatest(dist, 1e-4), 2)) / sum(1 / power(greatest(dist, 1e-4), 2))), 5) AS estimate FROM nn GROUP BY id")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from streamweave.functions.scalar import erfc, percent_change, shortest_turn, without_accents
-from streamweave.operators import checks, codec, forest, permits, series, spatial, trend
+from streamweave.operators import checks, codec, forest, nearest, permits, series, spatial, trend
 
 
 def frame(spark, rows, schema):
@@ -92,17 +92,33 @@ def test_empty_forest(spark):
     assert forest.roots(df, "id", "down").count() == 0
 
 
-def test_nearest_k_equals_brute_force(spark):
+def nearest_by_hand(pts, sts, k, allowed=lambda i, s: True):
+    return {(i, s, n) for i, x, y in pts for n, (_, s) in enumerate(sorted((math.dist((x, y), (a, b)), s) for s, a, b in sts if allowed(i, s))[:k], 1)}
+
+
+@pytest.mark.parametrize("kind", ["even", "cluster"])
+def test_nearest_k_equals_brute_force(spark, kind):
     rng = random.Random(3)
-    pts = [(i, rng.gauss(0, 1), rng.gauss(0, 1)) for i in range(60)] + [(99, 50.0, 50.0)]
-    sts = [(i, rng.gauss(0, 1), rng.gauss(0, 1)) for i in range(40)]
-    got = spatial.nearest_k(frame(spark, pts, "id int, x double, y double"), frame(spark, sts, "st int, sx double, sy double"), "id", "st", 5, 0.1)
-    have = {(r["id"], r["st"], r["nth"]) for r in got.collect()}
-    want = set()
-    for i, x, y in pts:
-        for n, (_, s) in enumerate(sorted((math.dist((x, y), (a, b)), s) for s, a, b in sts)[:5], 1):
-            want.add((i, s, n))
-    assert have == want
+    spot = {"even": lambda: (rng.gauss(0, 1), rng.gauss(0, 1)), "cluster": lambda: (0.3 + rng.gauss(0, 1e-6), 0.3 + rng.gauss(0, 1e-6)) if rng.random() < 0.5 else (rng.gauss(0, 1), rng.gauss(0, 1))}[kind]
+    pts = [(i, *spot()) for i in range(300)] + [(999, 50.0, 50.0), (1000, None, 1.0)]
+    sts = [(i, *spot()) for i in range(2000)] + [(5000, 1e6, -1e6)] + [(6000 + i, 0.25, 0.25) for i in range(40)]  # a far one, and many in one place
+    met = []
+    p, s = frame(spark, pts, "id int, x double, y double"), frame(spark, sts, "st int, sx double, sy double")
+    got = nearest.nearest_k(p, s, "id", "st", 5, met=met)
+    assert {(r["id"], r["st"], r["nth"]) for r in got.collect()} == nearest_by_hand(pts[:-1], sts, 5)
+    assert met[0] <= 120 * len(pts)  # a few leaves a point, not the cluster's thousand
+
+
+def test_nearest_k_of_other_groups(spark):
+    rng = random.Random(5)
+    pts = [(i, rng.random(), rng.random()) for i in range(80)]
+    p = frame(spark, pts, "id int, x double, y double").withColumn("mine", F.col("id") % 3)
+    s = frame(spark, pts, "st int, sx double, sy double").withColumn("theirs", F.col("st") % 3)
+    got = nearest.nearest_k(p, s, "id", "st", 4, ("mine", "theirs"))
+    assert {(r["id"], r["st"], r["nth"]) for r in got.collect()} == nearest_by_hand(pts, pts, 4, lambda i, s: i % 3 != s % 3)
+    few = nearest.nearest_k(p, s.where("st < 4"), "id", "st", 4, ("mine", "theirs"))
+    assert {(r["id"], r["st"], r["nth"]) for r in few.collect()} == nearest_by_hand(pts, pts[:4], 4, lambda i, s: i % 3 != s % 3)
+    assert nearest.nearest_k(p, s.limit(0), "id", "st", 4).count() == 0 and nearest.nearest_k(p.limit(0), s, "id", "st", 4).count() == 0
 
 
 def test_douglas_peucker_keeps_within_tolerance():
