@@ -29,9 +29,26 @@ def _marks() -> tuple[str, str, str]:
 MARKED, PLAIN, MARKS = _marks()
 
 
+def _ligatures() -> dict[str, str]:
+    """Letters that decompose into several, by Unicode's own decomposition; Hangul syllables are left as they are."""
+    out = {}
+    for c in map(chr, [*range(0xA0, 0xAC00), *range(0xF900, 0xFFFE)]):
+        bare = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if c.isalpha() and len(bare) > 1:
+            out[c] = bare
+    return out
+
+
+LIGATURES = _ligatures()
+
+
 def without_accents(text: Column) -> Column:
-    """Letters without their marks, whether composed or followed by combining marks."""
-    return F.translate(text, MARKED + MARKS, PLAIN)
+    """Letters without their marks, whether composed or followed by combining marks; ligatures as their letters."""
+    plain = F.translate(text, MARKED + MARKS, PLAIN)
+    joined = F.lit("".join(LIGATURES))
+    parts = F.map_from_arrays(F.split(joined, ""), F.split(F.lit("\n".join(LIGATURES.values())), "\n"))
+    spelt = F.array_join(F.transform(F.split(plain, ""), lambda c: F.coalesce(F.try_element_at(parts, c), c)), "")
+    return F.when(F.length(F.translate(plain, "".join(LIGATURES), "")) < F.length(plain), spelt).otherwise(plain)
 
 
 def bound(value: Column, use) -> Column:

@@ -77,6 +77,15 @@ def append_union(spark, d):
     return o.where("o_orderstatus = 'F'").unionByName(o.where("o_orderstatus <> 'F'")).groupBy("code").agg(F.count("*").alias("n"))
 
 
+@query("""WITH held AS (SELECT DISTINCT o_custkey AS code FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01'), new AS (SELECT c_custkey AS code, c_name AS name FROM customer WHERE c_custkey NOT IN (SELECT code FROM held))
+SELECT code, 'held' AS origin, NULL::VARCHAR AS name FROM held UNION ALL SELECT code, 'new', name FROM new""")
+def append_new_keys(spark, d):
+    """What is held already, and below it the rows of another table whose keys aren't."""
+    held = table(spark, d, "orders").where(F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp")).select(F.col("o_custkey").alias("code")).distinct()
+    new = table(spark, d, "customer").select(F.col("c_custkey").alias("code"), F.col("c_name").alias("name")).join(held, "code", "left_anti")
+    return held.withColumn("origin", F.lit("held")).unionByName(new.withColumn("origin", F.lit("new")), allowMissingColumns=True)
+
+
 CLASS = """CASE WHEN p_type IN ('STANDARD','PROMO') OR regexp_matches(p_name, '(?i)\\b(green|blue\\w*)\\b') THEN 'sewage' WHEN regexp_matches(p_type, '(?i)econ') OR p_size > 40 THEN 'industry' ELSE 'other' END"""
 
 

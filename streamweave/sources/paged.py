@@ -7,11 +7,15 @@ serves any paged interface; retries with linear back-off are part of the reader.
 from __future__ import annotations
 
 import time
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from streamweave.operators.checks import count_gap
+from streamweave.operators.lineage import cut_lineage
+
 
 class Page(InputPartition):
     def __init__(self, offset: int, size: int):
@@ -62,6 +66,21 @@ def read_until_short(spark: SparkSession, fetch: Callable[[int, int], list[dict]
     return read_pages(spark, fetch, find_total(fetch, step, attempts, pause), step, schema, attempts, pause, name)
 
 
+def read_service(spark: SparkSession, describe: Callable[[], dict], fetch: Callable[[int, int], list[dict]], schema: str, most: str = "maxRecordCount", count: str = "count", usual: int = 1000, attempts: int = 3, pause: float = 1.0, name: str = "paged_service") -> DataFrame:
+    """All rows of a service that describes itself; each page is fetched once, as the result is written.
+
+    `describe` gives the service's own limit of rows a page (`most`; asking for more
+    would skip rows unnoticed; `usual` if it tells none) and how many rows there are
+    (`count`).  If another number arrives, a warning tells both.
+    """
+    told = describe()
+    step, expected = int(told.get(most) or usual), int(told[count])
+    rows = cut_lineage(read_pages(spark, fetch, expected, step, schema, attempts, pause, name))
+    if gap := count_gap(rows, expected):
+        warnings.warn(f"received {expected - gap} rows of {expected}", stacklevel=2)
+    return rows
+
+
 def read_pages(spark: SparkSession, fetch: Callable[[int, int], list[dict]], total: int, page_size: int, schema: str, attempts: int = 3, pause: float = 1.0, name: str = "paged") -> DataFrame:
     """Rows of all pages; a page is one task, and only the named fields are kept."""
 

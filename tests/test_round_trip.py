@@ -188,3 +188,24 @@ def test_xml_series_and_consult(spark, tmp_path):
     got = tables.xml_series(spark, str(tmp_path / "x.xml"), "row", "m int, level int, v double", ["m"], "level", "v")
     assert {r["m"]: r["v"] for r in got.collect()} == {1: 7.0, 2: 9.0}
     assert tables.consult(spark, "SELECT sum(v) AS s FROM {t}", t=got).first()["s"] == 16.0
+
+
+def test_ligatures_are_spelt_out(spark):
+    texts = ["ofﬁce ﬂæﬀ", "Ǆor ŉa ĳs", "São Tomé", "e\u0301t\u00e9", "", None, "Łódź ñandú ﬁ" * 200, "한글"]
+    import unicodedata
+
+    got = [r[0] for r in frame(spark, [(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(without_accents(F.col("t"))).collect()]
+    plain = lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
+    assert got[:-1] == [plain(t) for t in texts[:-1]] and got[-1] == "한글"
+
+
+def test_a_service_tells_its_limit_and_misses_are_told(spark):
+    import warnings
+
+    told = lambda n: {"maxRecordCount": 7, "count": n}
+    fetch = lambda at, size: [{"a": i} for i in range(at, min(at + size, 20))]
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        assert sorted(r["a"] for r in paged.read_service(spark, lambda: told(20), fetch, "a int").collect()) == list(range(20))
+    with pytest.warns(UserWarning, match="received 20 rows of 23"):
+        assert paged.read_service(spark, lambda: told(23), fetch, "a int", name="paged_short").count() == 20
