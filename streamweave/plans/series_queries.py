@@ -113,11 +113,11 @@ def rain_pairing(spark, d):
 sums AS (SELECT code, sum(sign(dy)) AS s, median(dy / dx) AS slope FROM pr GROUP BY code), ties AS (SELECT code, sum(t * (t - 1) * (2 * t + 5)) AS tied FROM (SELECT code, total, count(*) AS t FROM means GROUP BY ALL) GROUP BY code),
 st2 AS (SELECT code, count(*) AS n, avg(total) AS mean FROM means GROUP BY code HAVING count(*) >= 5), zz AS (SELECT *, CASE WHEN var > 0 AND s <> 0 THEN (s - sign(s)) / sqrt(var) ELSE 0.0 END AS z
 FROM (SELECT *, CAST(n * (n - 1) * (2 * n + 5) - tied AS DOUBLE) / 18 AS var FROM st2 JOIN sums USING (code) JOIN ties USING (code))), p AS (SELECT *, abs(z) / sqrt(2.0) AS x FROM zz)
-SELECT code, n, round(mean, 5) AS mean, round(z, 4) AS z, round({ERFC}, 6) AS p, round(slope * 10 / mean * 100, 3) AS pct_decade FROM p""")
+SELECT code, n, round(mean, 4) AS mean, round(z, 4) AS z, round({ERFC}, 6) AS p, round(slope * 10 / mean * 100, 3) AS pct_decade FROM p""")
 def rain_trend(spark, d):
     """The trend of the rain that belongs to each flow series."""
     r = trend.rain_trend(_paired(spark, d), "code", "year", "total", min_years=5)
-    return r.select("code", "n", F.round("mean", 5).alias("mean"), F.round("z", 4).alias("z"), F.round("p", 6).alias("p"), F.round("pct_decade", 3).alias("pct_decade"))
+    return r.select("code", "n", F.round("mean", 4).alias("mean"), F.round("z", 4).alias("z"), F.round("p", 6).alias("p"), F.round("pct_decade", 3).alias("pct_decade"))
 
 
 @query(f"""WITH {STATIONS}, {MONTHLY}, mlt AS (SELECT code, avg(value) AS q FROM monthly GROUP BY code),

@@ -24,6 +24,27 @@ def test_mann_kendall_ties_and_constants(spark):
     assert got["a"]["z"] == pytest.approx((s - 1) / math.sqrt(var))
 
 
+def every_pair(x, y):
+    d = [(b - a, q - p) for i, (a, p) in enumerate(zip(x, y)) for b, q in zip(x, y) if b > a]
+    slopes = sorted(dy / dx for dx, dy in d)
+    return sum((dy > 0) - (dy < 0) for _, dy in d), (slopes[(len(slopes) - 1) // 2] + slopes[len(slopes) // 2]) / 2 if slopes else None
+
+
+@pytest.mark.parametrize("most", [512, 5])
+def test_trend_counts_equal_every_pair(monkeypatch, most):
+    monkeypatch.setattr(trend, "ALL_PAIRS", most)
+    r = np.random.default_rng(3)
+    for n in (0, 1, 2, 3, 10, 70, 150):
+        for x, y in ((np.arange(n), r.random(n)), (r.integers(0, max(1, n), n), r.integers(0, 4, n)), (r.integers(0, 5, n) * 3, r.normal(size=n) - np.arange(n) / 9), (np.zeros(n), r.random(n))):
+            assert (trend.kendall_s(x, y), trend.sen_slope(x, y)) == every_pair(x.tolist(), y.tolist())
+
+
+def test_a_long_series_runs(spark):
+    df = spark.range(20_000).select(F.lit("k").alias("k"), F.col("id").alias("x"), (F.col("id") * 0.25 + F.sin(F.col("id") * 12.9)).alias("y"))
+    got = trend.mann_kendall_sen(df, "k", "x", "y").first()
+    assert got["n"] == 20_000 and got["slope"] == pytest.approx(0.25, abs=1e-6) and 0.999 < got["s"] / (20_000 * 19_999 / 2) <= 1
+
+
 def test_sen_slope_with_gaps(spark):
     rows = [("a", x, 2.0 * x) for x in (1990, 1991, 1995, 2001)]
     assert trend.mann_kendall_sen(frame(spark, rows, "k string, x int, y double"), "k", "x", "y").first()["slope"] == pytest.approx(2.0)
