@@ -57,3 +57,22 @@ def test_streaming_append(spark, tmp_path):
     stream = spark.readStream.schema("code int").json(str(tmp_path / "in"))
     append.start(append.append_new(stream, known, "code"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert sorted(r["code"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [2, 3]
+
+
+def test_a_page_of_parallel_pieces(spark):
+    import base64
+    import gzip
+    import io
+
+    rows = spark.range(5_000).select("id", F.to_json(F.struct("id", F.sha2(F.col("id").cast("string"), 256).alias("name"))).alias("value"))
+    pieces = sinks.packed_pieces(rows.repartition(3), "id", size=20_000)
+    assert pieces.count() > 10 and pieces.where("length(text) % 4 <> 0 or text like '%=%'").count() == 0
+    page = io.StringIO()
+    sinks.write_page("<a>{{layer}}</a><b>{{none}}</b><c>{{font}}</c>{{other}}", page, layer=pieces, none=None, font="F")
+    text = page.getvalue()
+    assert text.startswith("<a>") and text.endswith("</a><b></b><c>F</c>{{other}}")
+    packed = text[3 : text.index("</a>")]
+    held = json.loads(gzip.decompress(base64.b64decode(packed, validate=True)))
+    assert [r["id"] for r in held] == list(range(5_000)) and held == [json.loads(r["value"]) for r in rows.orderBy("id").collect()]
+    assert sinks.packed_pieces(rows.limit(0), "id").count() == 0
+    assert all(len(sinks.gzip_member(b"x" * n)) % 3 == 0 and gzip.decompress(sinks.gzip_member(b"x" * n)) == b"x" * n for n in range(9))
