@@ -1,6 +1,6 @@
 """The nearest neighbours by a tree of cells that follows the stations' density.
 
-Cells that hold more than LEAF stations are split four by four, each within the box
+Cells that hold more than LEAF stations are split eight by eight, each within the box
 that its own stations span, so a cluster and a far outlier alike end in cells of few
 stations after a few levels.  All points go down the tree
 together, a level at a time: the cells that a point still has to look into are
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from streamweave.operators.lineage import Tables
 
 #: Stations of a cell that isn't split further; parts of a cell along each axis; levels at most (what is left then is a leaf, however many).
-LEAF, PARTS, LEVELS = 32, 4, 14
+LEAF, PARTS, LEVELS = 64, 8, 9
 
 
 def nearest_k(points: DataFrame, stations: DataFrame, point: str, station: str, k: int, apart: tuple[str, str] | None = None, met: list[int] | None = None) -> DataFrame:
@@ -62,7 +62,7 @@ def nearest_k(points: DataFrame, stations: DataFrame, point: str, station: str,
     names = ["__p", "x", "y", "__kind", "cell", "leaf", "near", "far", "counts"]
     leaves = None
     for cells in levels:
-        up = cells.withColumn("up", F.shiftright("cell", 4)).withColumnRenamed("cell", "own")
+        up = cells.withColumn("up", F.shiftright("cell", 6)).withColumnRenamed("cell", "own")
         into = front.withColumnRenamed("cell", "up").join(up, "up").withColumnRenamed("own", "cell")
         into = into.withColumns({"near": F.hypot(dx, dy), "far": F.hypot(far_x, far_y), "counts": c("n") - F.coalesce(F.try_element_at("kinds", c("__kind")), F.lit(0))}).where("counts > 0").select(*names)
         every = into if leaves is None else into.unionByName(leaves)

@@ -127,7 +127,7 @@ def test_nearest_k_equals_brute_force(spark, kind):
     p, s = frame(spark, pts, "id int, x double, y double"), frame(spark, sts, "st int, sx double, sy double")
     got = nearest.nearest_k(p, s, "id", "st", 5, met=met)
     assert {(r["id"], r["st"], r["nth"]) for r in got.collect()} == nearest_by_hand(pts[:-1], sts, 5)
-    assert met[0] <= 120 * len(pts)  # a few leaves a point, not the cluster's thousand
+    assert met[0] <= 250 * len(pts)  # a few leaves a point, not the cluster's thousand
 
 
 def test_nearest_k_of_other_groups(spark):
