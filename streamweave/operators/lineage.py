@@ -40,9 +40,10 @@ class Tables:
     def __init__(self, spark: SparkSession):
         self.spark, self.base, self.paths = spark, f"{_folder(spark).rstrip('/')}/tables-{uuid.uuid4().hex}", {}
 
-    def write(self, df: DataFrame) -> DataFrame:
+    def write(self, df: DataFrame, *folders: str) -> DataFrame:
+        """Write a table, in folders by the values of some columns if any are named, and read it."""
         path = f"{self.base}/{len(self.paths)}"
-        df.write.parquet(path)
+        df.write.partitionBy(*folders).parquet(path)
         made = self.spark.read.schema(df.schema).parquet(path)
         self.paths[path] = made
         return made

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from streamweave.functions.scalar import either_prefix, flags, name_key, title_case, unzigzag, zigzag
-from streamweave.operators import checks, codec, permits, ranking, regional, series
+from streamweave.operators import checks, codec, names, permits, ranking, regional, series
 from streamweave.plans.inputs import HEAP, MONTHLY, heap, monthly, varint_sql
 from streamweave.plans.series_queries import MK, _records
 from streamweave.sources import tables
@@ -198,6 +198,25 @@ def river_search(spark, d):
     return hits.select("p_partkey", "p_name", "p_retailprice").orderBy(F.desc("p_retailprice"), "p_partkey")
 
 
+@query("""WITH wanted AS (SELECT DISTINCT substr(c_mktsegment, 1, 3) AS search FROM customer UNION SELECT DISTINCT string_split(p_name, ' ')[1] FROM part UNION SELECT DISTINCT substr(p_name, 3, 2) FROM part),
+names AS (SELECT p_name, count(*) AS rows_, max(p_retailprice) AS price FROM part GROUP BY 1)
+SELECT search, CAST(sum(rows_) AS BIGINT) AS hits, max(price) AS best FROM wanted JOIN names ON length(trim(search)) >= 2 AND contains(lower(strip_accents(p_name)), lower(strip_accents(trim(search)))) GROUP BY 1""")
+def name_index_searches(spark, d):
+    """Many searches of two or more letters at once, by the postings of their rarest grams."""
+    p = table(spark, d, "part")
+    index = names.build(p.select("p_partkey", "p_name", "p_retailprice"), "p_name")
+    wanted = table(spark, d, "customer").select(F.substring("c_mktsegment", 1, 3).alias("search"))
+    wanted = wanted.union(p.select(F.split("p_name", " ")[0])).union(p.select(F.substring("p_name", 3, 2))).distinct()
+    return names.search_all(index, wanted, "search").groupBy("search").agg(F.count("*").alias("hits"), F.max("p_retailprice").alias("best"))
+
+
+@query("""SELECT p_partkey, p_name, p_retailprice FROM part WHERE contains(lower(strip_accents(p_name)), 'een ri')""")
+def name_index_lookup(spark, d):
+    """One search: only the postings of its rarest grams are read."""
+    index = names.build(table(spark, d, "part").select("p_partkey", "p_name", "p_retailprice"), "p_name")
+    return names.lookup(index, " ÉEN ri ").select("p_partkey", "p_name", "p_retailprice")
+
+
 @query("SELECT p_partkey FROM part WHERE p_retailprice >= 1200.5")
 def min_flow(spark, d):
     return table(spark, d, "part").where(F.col("p_retailprice") >= 1200.5).select("p_partkey")
