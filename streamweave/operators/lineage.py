@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def _folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
     """The shared folder that `spark.checkpoint.dir` names.
 
     A temporary folder stands in for it only where driver and executors are one
@@ -25,7 +25,7 @@ def _folder(spark: SparkSession) -> str:
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder."""
-    _folder(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -38,7 +38,7 @@ class Tables:
     """
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.base, self.paths = spark, f"{_folder(spark).rstrip('/')}/tables-{uuid.uuid4().hex}", {}
+        self.spark, self.base, self.paths = spark, f"{shared_folder(spark).rstrip('/')}/tables-{uuid.uuid4().hex}", {}
 
     def write(self, df: DataFrame, *folders: str) -> DataFrame:
         """Write a table, in folders by the values of some columns if any are named, and read it."""

@@ -198,23 +198,27 @@ def river_search(spark, d):
     return hits.select("p_partkey", "p_name", "p_retailprice").orderBy(F.desc("p_retailprice"), "p_partkey")
 
 
-@query("""WITH wanted AS (SELECT DISTINCT substr(c_mktsegment, 1, 3) AS search FROM customer UNION SELECT DISTINCT string_split(p_name, ' ')[1] FROM part UNION SELECT DISTINCT substr(p_name, 3, 2) FROM part),
-names AS (SELECT p_name, count(*) AS rows_, max(p_retailprice) AS price FROM part GROUP BY 1)
-SELECT search, CAST(sum(rows_) AS BIGINT) AS hits, max(price) AS best FROM wanted JOIN names ON length(trim(search)) >= 2 AND contains(lower(strip_accents(p_name)), lower(strip_accents(trim(search)))) GROUP BY 1""")
+def _named(spark, d):
+    return table(spark, d, "customer").select("c_custkey", F.concat_ws(" ", "c_mktsegment", "c_name").alias("name"), "c_acctbal")
+
+
+@query("""WITH named AS (SELECT c_custkey, c_mktsegment || ' ' || c_name AS name, c_acctbal FROM customer),
+wanted AS (SELECT DISTINCT right(c_name, 3) AS search FROM customer UNION SELECT DISTINCT substr(c_mktsegment, 3, 4) FROM customer UNION SELECT DISTINCT substr(c_name, 9, 8) FROM customer UNION SELECT DISTINCT substr(c_mktsegment, 2, 2) FROM customer UNION SELECT DISTINCT p_name FROM part)
+SELECT search, count(*) AS hits, max(c_acctbal) AS best FROM wanted JOIN named ON contains(lower(strip_accents(name)), lower(strip_accents(search))) GROUP BY 1""")
 def name_index_searches(spark, d):
     """Many searches of two or more letters at once, by the postings of their rarest grams."""
-    p = table(spark, d, "part")
-    index = names.build(p.select("p_partkey", "p_name", "p_retailprice"), "p_name")
-    wanted = table(spark, d, "customer").select(F.substring("c_mktsegment", 1, 3).alias("search"))
-    wanted = wanted.union(p.select(F.split("p_name", " ")[0])).union(p.select(F.substring("p_name", 3, 2))).distinct()
-    return names.search_all(index, wanted, "search").groupBy("search").agg(F.count("*").alias("hits"), F.max("p_retailprice").alias("best"))
+    c = table(spark, d, "customer")
+    parts = [F.right("c_name", F.lit(3)), F.substring("c_mktsegment", 3, 4), F.substring("c_name", 9, 8), F.substring("c_mktsegment", 2, 2)]
+    wanted = c.select(F.explode(F.array(*parts)).alias("search")).union(table(spark, d, "part").select("p_name")).distinct()
+    index = names.build(_named(spark, d), "name")
+    return names.search_all(index, wanted, "search").groupBy("search").agg(F.count("*").alias("hits"), F.max("c_acctbal").alias("best"))
 
 
-@query("""SELECT p_partkey, p_name, p_retailprice FROM part WHERE contains(lower(strip_accents(p_name)), 'een ri')""")
+@query("""SELECT c_custkey, c_mktsegment || ' ' || c_name AS name FROM customer WHERE contains(lower(strip_accents(c_mktsegment || ' ' || c_name)), 'ture customer#0000000')""")
 def name_index_lookup(spark, d):
     """One search: only the postings of its rarest grams are read."""
-    index = names.build(table(spark, d, "part").select("p_partkey", "p_name", "p_retailprice"), "p_name")
-    return names.lookup(index, " ÉEN ri ").select("p_partkey", "p_name", "p_retailprice")
+    index = names.build(_named(spark, d), "name")
+    return names.lookup(index, " TÚRE Customer#0000000 ").select("c_custkey", "name")
 
 
 @query("SELECT p_partkey FROM part WHERE p_retailprice >= 1200.5")

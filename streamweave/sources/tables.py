@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streamweave.operators.series import best_version
+from streamweave.sources import geojson
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,12 +45,15 @@ def geojson_features(spark: SparkSession, path: str, properties: str, coordinate
     return features.select("f.properties.*", F.col("f.geometry.type").alias("geometry_type"), F.col("f.geometry.coordinates").alias("coordinates"))
 
 
-def geojson_scan(spark: SparkSession, path: str, properties: str, coordinates: str = "array<array<double>>", boundary: str = '{"type":"Feature",') -> DataFrame:
+def geojson_scan(spark: SparkSession, path: str, properties: str, coordinates: str = "array<array<double>>", boundary: str | None = None) -> DataFrame:
     """As `geojson_features`, for documents of any size: read in splits, never as a whole.
 
-    `boundary` is the text that begins each feature, as the file writes it; it
-    separates the records, so tasks read parts of one document.
+    Features are found by the document's own structure.  Where the exact text is known
+    that begins each of them, and stands nowhere else, `boundary` saves the pass that
+    finds where splits begin.
     """
+    if boundary is None:
+        return geojson.features(spark, path, properties, coordinates)
     schema = f"properties struct<{properties}>, geometry struct<type:string,coordinates:{coordinates}>"
     records = spark.read.option("lineSep", boundary).text(path)
     parsed = records.select(F.from_json(F.concat(F.lit("{"), F.col("value")), schema).alias("f")).where("f.geometry is not null or f.properties is not null")
