@@ -16,7 +16,7 @@ solves those; tests run with 0 as well.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
 import pyarrow as pa
@@ -34,8 +34,9 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def solve_small(rows: list[dict], values: Sequence[str]) -> list[dict]:
+def solve_small(rows: list[dict], values: Sequence[str], gates: Mapping[str, str] | None = None) -> list[dict]:
     """(node, root, values): roots and totals of a forest held in memory; nodes on cycles are left out."""
+    ways = [(gates or {}).get(v) for v in values]
     key = lambda k: tuple(k.items()) if isinstance(k, dict) else k
     at = {key(r["node"]): i for i, r in enumerate(rows)}
     to = [None if r["to"] is None else at[key(r["to"])] for r in rows]
@@ -48,7 +49,8 @@ def solve_small(rows: list[dict], values: Sequence[str]) -> list[dict]:
     for i in order:
         t = to[i]
         if t is not None:
-            totals[t] = [b if a is None else a if b is None else a + b for a, b in zip(totals[t], totals[i], strict=True)]
+            sent = [b if g is None or rows[i][g] else None for b, g in zip(totals[i], ways, strict=True)]
+            totals[t] = [b if a is None else a if b is None else a + b for a, b in zip(totals[t], sent, strict=True)]
             above[t] -= 1
             if not above[t]:
                 order.append(t)
@@ -59,7 +61,7 @@ def solve_small(rows: list[dict], values: Sequence[str]) -> list[dict]:
     return [{"node": rows[i]["node"], "root": rows[r]["node"], **dict(zip(values, totals[i], strict=True))} for i, r in root.items()]
 
 
-def _solved(state: DataFrame, values: Sequence[str]) -> DataFrame:
+def _solved(state: DataFrame, values: Sequence[str], gates: Mapping[str, str]) -> DataFrame:
     """(node, root, values) of a forest of at most FINISH nodes, in one task."""
     ship_package(state.sparkSession)
     out = state.select("node", F.col("node").alias("root"), *values).schema
@@ -69,28 +71,32 @@ def _solved(state: DataFrame, values: Sequence[str]) -> DataFrame:
 
         held = list(batches)
         if held:
-            rows = solve_small([r for b in held for r in b.to_pylist()], values)
+            rows = solve_small([r for b in held for r in b.to_pylist()], values, gates)
             kinds = held[0].schema
             yield pa.RecordBatch.from_pylist(rows, pa.schema([pa.field("node", kinds.field("node").type), pa.field("root", kinds.field("node").type), *[kinds.field(v) for v in values]]))
 
-    return state.select("node", "to", *values).repartition(1).mapInArrow(solve, out)
+    return state.select("node", "to", *values, *gates.values()).repartition(1).mapInArrow(solve, out)
 
 
-def contract(nodes: DataFrame, node: str, down: str, values: Sequence[str] = (), rooted: bool = True, finish: int | None = None, sizes: list[int] | None = None) -> DataFrame:
+def contract(nodes: DataFrame, node: str, down: str, values: Sequence[str] = (), rooted: bool = True, finish: int | None = None, sizes: list[int] | None = None, gates: Mapping[str, str] | None = None) -> DataFrame:
     """(node, root, values): the terminal node that each node drains to, and the sum of each value over it and all upstream.
 
     Without `rooted` roots aren't expanded (they are null).  The rows that each round
-    began with are appended to `sizes`.
+    began with are appended to `sizes`.  `gates` names a boolean column of its own for
+    some of the values: where it is false the value doesn't flow on from that node.
     """
+    gates = dict(gates or {})
+    shut = list(gates.values())
+    held_back = lambda v, c: F.when(F.col(gates[v]), c) if v in gates else c
     finish = FINISH if finish is None else finish
     tables = Tables(nodes.sparkSession)
-    given = nodes.select(F.col(node).alias("node"), F.col(down).alias("to"), *values)
+    given = nodes.select(F.col(node).alias("node"), F.col(down).alias("to"), *values, *shut)
     ends = nodes.select(F.col(node).alias("to"), F.col(down).alias("__next"), F.lit(True).alias("__is"))
     some = ends.where("__next is not null").join(nodes.select(F.col(node).alias("__next"), F.lit(True).alias("__on")), "__next", "left")
     ends = some.select("to", "__is", F.col("__on").isNull().alias("last")).unionByName(ends.where("__next is null").select("to", "__is", F.lit(True).alias("last")))
     known_to = given.where("to is not null").join(ends, "to", "left")
-    start = known_to.select("node", F.when(F.col("__is"), F.col("to")).alias("to"), F.coalesce("last", F.lit(False)).alias("last"), *values)
-    state = tables.write(start.unionByName(given.where("to is null").select("node", "to", F.lit(False).alias("last"), *values)))
+    start = known_to.select("node", F.when(F.col("__is"), F.col("to")).alias("to"), F.coalesce("last", F.lit(False)).alias("last"), *values, *shut)
+    state = tables.write(start.unionByName(given.where("to is null").select("node", "to", F.lit(False).alias("last"), *values, *shut)))
     left = total = state.count()
     done: list[tuple[DataFrame, DataFrame]] = []
     sizes = [] if sizes is None else sizes
@@ -103,24 +109,24 @@ def contract(nodes: DataFrame, node: str, down: str, values: Sequence[str] = (),
         upstream = state.where("to is not null").groupBy(F.col("to").alias("node")).agg(F.lit(True).alias("inner"))
         marked = tables.write(state.join(upstream, "node", "left").withColumn("inner", F.coalesce("inner", F.lit(False))))
         leaves = marked.where("not inner").drop("inner")
-        gains = marked.where("to is not null").groupBy(F.col("to").alias("node")).agg(F.count(F.when(F.col("inner"), 1)).alias("__inner"), F.max(F.when(F.col("inner"), F.col("node"))).alias("__only"), *[F.sum(F.when(~F.col("inner"), F.col(v))).alias(f"__{v}") for v in values])
-        rest = marked.where("inner").join(gains, "node").select("node", "to", "last", F.when(F.col("__inner") == 1, F.col("__only")).alias("only"), *[add(v) for v in values])
+        gains = marked.where("to is not null").groupBy(F.col("to").alias("node")).agg(F.count(F.when(F.col("inner"), 1)).alias("__inner"), F.max(F.when(F.col("inner"), F.col("node"))).alias("__only"), *[F.sum(F.when(~F.col("inner"), held_back(v, F.col(v)))).alias(f"__{v}") for v in values], *[F.max(F.when(F.col("inner"), F.col(g))).alias(f"__only_{g}") for g in shut])
+        rest = marked.where("inner").join(gains, "node").select("node", "to", "last", F.when(F.col("__inner") == 1, F.col("__only")).alias("only"), *[add(v) for v in values], *shut, *[f"__only_{g}" for g in shut])
         draw = lambda c: F.xxhash64(F.lit(len(sizes)), F.col(c))  # noqa: E731, B023
         bridged = F.col("only").isNotNull() & F.col("to").isNotNull() & (draw("node") < draw("only")) & (draw("node") < draw("to"))
         rest = tables.write(rest.withColumn("bridged", F.coalesce(bridged, F.lit(False))))
         over = rest.where("bridged").drop("bridged")
-        held = over.groupBy(F.col("to").alias("node")).agg(*[F.sum(v).alias(f"__{v}") for v in values]) if values else None
-        onward = over.select(F.col("only").alias("node"), F.col("to").alias("__to"), F.col("last").alias("__last"), F.lit(True).alias("__new"))
+        held = over.groupBy(F.col("to").alias("node")).agg(*[F.sum(held_back(v, F.col(v))).alias(f"__{v}") for v in values]) if values else None
+        onward = over.select(F.col("only").alias("node"), F.col("to").alias("__to"), F.col("last").alias("__last"), F.lit(True).alias("__new"), *[F.col(g).alias(f"__{g}") for g in shut])
         after = rest.where("not bridged").join(onward, "node", "left")
         after = after.join(held, "node", "left") if values else after
         new = F.col("__new").isNotNull()
-        before, state = state, tables.write(after.select("node", F.when(new, F.col("__to")).otherwise(F.col("to")).alias("to"), F.when(new, F.col("__last")).otherwise(F.col("last")).alias("last"), *[add(v) for v in values]))
+        before, state = state, tables.write(after.select("node", F.when(new, F.col("__to")).otherwise(F.col("to")).alias("to"), F.when(new, F.col("__last")).otherwise(F.col("last")).alias("last"), *[add(v) for v in values], *[(F.col(g) & F.coalesce(f"__{g}", F.lit(True))).alias(g) for g in shut]))
         tables.drop(before)
         done.append((leaves, over))
         left = state.count()
     columns = ["node", "root", *values]
     nowhere = F.lit(None).cast(dict(state.select("node").dtypes)["node"]).alias("root")
-    known = [tables.write(_solved(state, values))] if left else []
+    known = [tables.write(_solved(state, values, gates))] if left else []
     if known and known[0].count() < left:
         raise ValueError("the downstream keys hold a cycle")
     for leaves, over in reversed(done):
@@ -128,7 +134,8 @@ def contract(nodes: DataFrame, node: str, down: str, values: Sequence[str] = (),
             later = over.select("node", nowhere, *values).limit(0)
         else:
             later = _union(known)
-        reach = over.join(later.select(F.col("node").alias("only"), *[F.col(v).alias(f"__{v}") for v in values], F.col("root").alias("root")), "only").select("node", "root", *[add(v) for v in values])
+        arrive = lambda c: [F.when(F.col(f"__only_{gates[v]}"), F.col(f"__{v}")).alias(f"__{v}") if v in gates else F.col(f"__{v}") for v in c]
+        reach = over.join(later.select(F.col("node").alias("only"), *[F.col(v).alias(f"__{v}") for v in values], F.col("root").alias("root")), "only").select("node", "root", *values, *arrive(values)).select("node", "root", *[add(v) for v in values])
         known.append(tables.write(reach))
         if not rooted:
             known.append(leaves.select("node", nowhere, *values))
@@ -175,6 +182,24 @@ def accumulate_anchored(nodes: DataFrame, node: str, down: str, local: str, obse
     return accumulate(cut.withColumn("total", source), node, down, ["total"])
 
 
+def accumulate_anchored_each(nodes: DataFrame, node: str, down: str, cases: Mapping[str, tuple[Column, Column]], observed: str) -> DataFrame:
+    """`accumulate_anchored` for several cases in one pass over the forest.
+
+    A case is (what a node adds itself, whether its observation holds); the result has
+    a column of totals for each.  The forest is one: where an observation holds, only
+    that case's flow stops before it.
+    """
+    own = {c: (local, F.coalesce(holds, F.lit(False)) & F.col(observed).isNotNull()) for c, (local, holds) in cases.items()}
+    marked = nodes.select(F.col(node).alias("node"), F.col(down).alias("down"), *[F.when(holds, F.col(observed)).otherwise(local).cast("double").alias(c) for c, (local, holds) in own.items()], *[holds.alias(f"__held_{c}") for c, (_, holds) in own.items()])
+    anchors = marked.where(reduce(Column.__or__, [F.col(f"__held_{c}") for c in own])).select(F.col("node").alias("down"), *[F.col(f"__held_{c}").alias(f"__stop_{c}") for c in own])
+    totals = [F.coalesce(c, F.lit(0.0)).alias(c) for c in own]
+    open_ = [(~F.coalesce(f"__stop_{c}", F.lit(False))).alias(f"gate_{c}") for c in own]
+    inner = marked.where("down is not null").join(anchors, "down", "left").select("node", "down", *totals, *open_)
+    ends = marked.where("down is null").select("node", "down", *totals, *[F.lit(True).alias(f"gate_{c}") for c in own])  # null is no key
+    done = contract(inner.unionByName(ends), "node", "down", list(own), rooted=False, gates={c: f"gate_{c}" for c in own})
+    return done.select(F.col("node").alias(node), *own)
+
+
 def roots(nodes: DataFrame, node: str, down: str, name: str = "root") -> DataFrame:
     """The terminal node that each node drains to (itself if it is one)."""
     return contract(nodes, node, down).select(F.col("node").alias(node), F.col("root").alias(name))

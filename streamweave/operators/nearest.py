@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from streamweave.operators.lineage import Tables
@@ -22,21 +22,26 @@ from streamweave.operators.lineage import Tables
 LEAF, PARTS, LEVELS = 64, 8, 9
 
 
-def nearest_k(points: DataFrame, stations: DataFrame, point: str, station: str, k: int, apart: tuple[str, str] | None = None, met: list[int] | None = None) -> DataFrame:
+def nearest_k(points: DataFrame, stations: DataFrame, point: str, station: str, k: int, apart: tuple[str, str] | None = None, met: list[int] | None = None, without: tuple[str, list] | None = None) -> DataFrame:
     """The k nearest stations of each point by planar distance, ties by id: adds `distance` and `nth`.
 
     Stations have (sx, sy), points (x, y).  With `apart` (a column of the points and
-    one of the stations, of few values) only stations of another value count.
+    one of the stations, of few values) only stations of another value count.  With
+    `without` (a column of the stations and some of its values) the k nearest are found
+    for each value among the stations that don't have it, all in one search: `nth_0`,
+    `nth_1`, ... in place of `nth`, null where a station isn't among them.
     Points must be unique; points and stations without a place are left out.  The
     number of pairs whose distance is taken is appended to `met`.
     """
     columns = [*points.columns, *stations.columns]
+    left_out = [None if v is None else str(v) for v in without[1]] if without else []
+    nths = [f"nth_{i}" for i in range(len(left_out))] if without else ["nth"]
     stations = stations.where("sx is not null and sy is not null")
     if not stations.limit(1).count():
-        return points.join(stations.limit(0), F.lit(True)).select(*columns, F.lit(0.0).alias("distance"), F.lit(0).alias("nth"))
+        return points.join(stations.limit(0), F.lit(True)).select(*columns, F.lit(0.0).alias("distance"), *[F.lit(0).alias(n) for n in nths])
     c = F.col
     tables = Tables(points.sparkSession)
-    theirs = c(apart[1]).cast("string") if apart else F.lit("")
+    theirs = c(apart[1]).cast("string") if apart else F.coalesce(c(without[0]).cast("string"), F.lit("")) if without else F.lit("")
     placed = tables.write(stations.select(c(station).alias("__s"), "sx", "sy", theirs.alias("__of"), F.lit(1).cast("long").alias("cell")))
     # Each level's cells with what they hold, and the stations that end in its leaves.
     levels, ends = [], []
@@ -59,26 +64,36 @@ def nearest_k(points: DataFrame, stations: DataFrame, point: str, station: str,
     far_x, far_y = F.greatest(F.abs(c("x") - c("x1")), F.abs(c("x") - c("x2"))), F.greatest(F.abs(c("y") - c("y1")), F.abs(c("y") - c("y2")))
     # What each point looks into: cells of this level, and leaves of those above.
     front = asked.select(c(point).alias("__p"), "x", "y", ours.alias("__kind"), F.lit(0).cast("long").alias("cell"))
-    names = ["__p", "x", "y", "__kind", "cell", "leaf", "near", "far", "counts"]
+    names = ["__p", "x", "y", "__kind", "cell", "leaf", "near", "far", *[f"counts_{i}" for i in range(len(nths))]]
+    kinds_out = [F.lit(v) for v in left_out] if without else [c("__kind")]
     leaves = None
     for cells in levels:
         up = cells.withColumn("up", F.shiftright("cell", 6)).withColumnRenamed("cell", "own")
         into = front.withColumnRenamed("cell", "up").join(up, "up").withColumnRenamed("own", "cell")
-        into = into.withColumns({"near": F.hypot(dx, dy), "far": F.hypot(far_x, far_y), "counts": c("n") - F.coalesce(F.try_element_at("kinds", c("__kind")), F.lit(0))}).where("counts > 0").select(*names)
+        counts = {f"counts_{i}": c("n") - F.coalesce(F.try_element_at("kinds", kind), F.lit(0)) for i, kind in enumerate(kinds_out)}
+        into = into.withColumns({"near": F.hypot(dx, dy), "far": F.hypot(far_x, far_y), **counts}).where(" or ".join(f"{n} > 0" for n in counts)).select(*names)
         every = into if leaves is None else into.unionByName(leaves)
         # The distance within which k stations lie for certain: cells by their furthest corner.
-        sure = F.sum("counts").over(Window.partitionBy("__p").orderBy("far", "cell"))
-        enough = every.withColumn("__sure", F.when(sure >= k, c("far"))).withColumn("__bound", F.min("__sure").over(Window.partitionBy("__p")))
-        kept = tables.write(enough.where(c("__bound").isNull() | (c("near") <= c("__bound") * (1 + 1e-12))).select(*names))
+        by_far = Window.partitionBy("__p").orderBy("far", "cell")
+        enough = every.withColumns({f"__sure_{i}": F.when(F.sum(n).over(by_far) >= k, c("far")) for i, n in enumerate(counts)})
+        enough = enough.withColumns({f"__bound_{i}": F.min(f"__sure_{i}").over(Window.partitionBy("__p")) for i in range(len(counts))})
+        wanted = [(c(n) > 0) & (c(f"__bound_{i}").isNull() | (c("near") <= c(f"__bound_{i}") * (1 + 1e-12))) for i, n in enumerate(counts)]
+        kept = tables.write(enough.where(reduce(Column.__or__, wanted)).select(*names))
         leaves, front = kept.where("leaf"), kept.where("not leaf").select("__p", "x", "y", "__kind", "cell")
     stops = reduce(DataFrame.unionByName, ends)
-    pairs = leaves.select("__p", "x", "y", "__kind", "cell").join(stops, "cell").where("__kind <> __of")
+    pairs = leaves.select("__p", "x", "y", "__kind", "cell").join(stops, "cell")
+    pairs = pairs if without else pairs.where("__kind <> __of")
     if met is not None:
         met.append(pairs.count())
     ex, ey = c("x") - c("sx"), c("y") - c("sy")
     order = Window.partitionBy("__p").orderBy("distance", "__s")
-    ranked = pairs.withColumn("distance", F.sqrt(ex * ex + ey * ey)).withColumn("nth", F.row_number().over(order)).where(c("nth") <= k)
-    found = tables.write(ranked.select("__p", "__s", "distance", "nth"))
+    far = pairs.withColumn("distance", F.sqrt(ex * ex + ey * ey))
+    if without:
+        counted = far.withColumns({n: F.when(c("__of") != kind, F.count(F.when(c("__of") != kind, 1)).over(order)).cast("int") for n, kind in zip(nths, kinds_out, strict=True)})
+        ranked = counted.withColumns({n: F.when(c(n) <= k, c(n)) for n in nths}).where(F.coalesce(*nths).isNotNull())
+    else:
+        ranked = far.withColumn("nth", F.row_number().over(order)).where(c("nth") <= k)
+    found = tables.write(ranked.select("__p", "__s", "distance", *nths))
     tables.drop_all_but(found)
     both = asked.join(found, c(point) == c("__p")).join(stations, c(station) == c("__s"))
-    return both.select(*columns, "distance", "nth")
+    return both.select(*columns, "distance", *nths)

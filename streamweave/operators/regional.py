@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from streamweave.operators.forest import accumulate_anchored
+from streamweave.operators.forest import accumulate_anchored_each
 from streamweave.operators.nearest import nearest_k
 from streamweave.operators.ranking import quantiles
-from streamweave.operators.spatial import idw_geometric
+from streamweave.operators.spatial import idw_geometric, idw_geometric_each
 
 
 def specific_discharge(flow: Column, area: Column) -> Column:
@@ -32,39 +32,52 @@ def cross_validate(stations: DataFrame, station: str, value: str, folds: int = 5
     return idw_geometric(near, ["held", "observed"], "distance", value).withColumnRenamed("held", station)
 
 
+def _estimated(reaches: DataFrame, stations: DataFrame, node: str, down: str, station: str, k: int, fold: str | None) -> DataFrame:
+    """(node, flows): an entry (fold, q) for each fold; one of fold null without folds.
+
+    The network is gone through once: neighbours are found for all folds in one search,
+    and a reach carries a value per fold, of which only those stop before an
+    observation that the fold may see.
+    """
+    spots = reaches.select(F.col(node).alias("node"), F.col(down).alias("down"), "x", "y", "own_area")
+    posts = stations.select(F.col(station).alias("station"), F.col(node).alias("at"), "sx", "sy", "specific", "q", F.col(fold).alias("fold") if fold else F.lit(None).cast("int").alias("fold"))
+    folds = [r[0] for r in posts.where("fold is not null").select("fold").distinct().orderBy("fold").collect()] if fold else [None]  # a handful
+    kind = dict(posts.dtypes)["fold"]
+    if not folds:
+        return spots.select("node", F.array().cast(f"array<struct<fold:{kind},q:double>>").alias("flows")).limit(0)
+    near = nearest_k(spots.select("node", "x", "y"), posts.select("station", "sx", "sy", "specific", "fold"), "node", "station", k, without=("fold", ["" if f is None else f for f in folds]) if fold else None)
+    nth = [f"nth_{i}" for i in range(len(folds))] if fold else ["nth"]
+    specific = idw_geometric_each(near, ["node"], "distance", "specific", {f"specific_{i}": F.col(n).isNotNull() for i, n in enumerate(nth)})
+    seen = posts.select(F.col("at").alias("node"), F.col("q").alias("observed"), "fold")
+    told = spots.join(specific, "node", "left").join(seen, "node", "left")
+    local = lambda i: F.coalesce(f"specific_{i}", F.lit(0.0)) * F.col("own_area") / 1000
+    holds = lambda f: F.coalesce(F.col("fold") != F.lit(f), F.lit(True))
+    cases = {f"q_{i}": (local(i), holds(f)) for i, f in enumerate(folds)}
+    totals = accumulate_anchored_each(told, "node", "down", cases, "observed")
+    entries = [F.struct(F.lit(f).cast(kind).alias("fold"), F.col(f"q_{i}").alias("q")) for i, f in enumerate(folds)]
+    return totals.select("node", F.array(*entries).alias("flows"))
+
+
 def estimate_network(reaches: DataFrame, stations: DataFrame, node: str, down: str, station: str, k: int = 8, fold: str | None = None) -> DataFrame:
     """(node, q): flow of every reach, interpolated, accumulated and held to the stations.
 
     `reaches` have (node, down, x, y, own_area), `stations` (station, node, sx, sy,
-    specific, q).  Each reach takes the specific discharge of its k nearest
+    specific, q), at most one for a reach.  Each reach takes the specific discharge of its k nearest
     stations times its own area; flows add up downstream, and at a station's reach
     the observation replaces what arrives and flows on.  With `fold` (a column of
-    stations) the network is estimated once for each fold without its stations,
-    all in one plan: the result has a row per fold and node.
+    stations) the network is estimated for each fold without its stations, in one
+    pass: the result has a row per fold and node.  Stations without a fold are in all.
     """
-    spots = reaches.select(F.col(node).alias("node"), F.col(down).alias("down"), "x", "y", "own_area")
-    posts = stations.select(F.col(station).alias("station"), F.col(node).alias("at"), "sx", "sy", "specific", "q", F.col(fold).alias("fold") if fold else F.lit(0).alias("fold"))
-    if fold:
-        folds = [r[0] for r in posts.select("fold").distinct().orderBy("fold").collect()]  # a handful
-        spots = spots.withColumn("fold_out", F.explode(F.array(*[F.lit(f) for f in folds])))
-    else:
-        spots = spots.withColumn("fold_out", F.lit(-1))
-    spots = spots.withColumn("key", F.struct("fold_out", "node")).withColumn("to", F.when(F.col("down").isNotNull(), F.struct(F.col("fold_out"), F.col("down").alias("node"))))
-    near = nearest_k(spots.select("key", "fold_out", "x", "y"), posts.select("station", "sx", "sy", "specific", "fold"), "key", "station", k, apart=("fold_out", "fold"))
-    local = idw_geometric(near, ["key"], "distance", "specific")
-    seen = posts.select(F.col("at").alias("node"), F.col("q").alias("observed"), F.col("fold"))
-    flows = spots.join(local, "key", "left").withColumn("local", F.coalesce("estimate", F.lit(0.0)) * F.col("own_area") / 1000)
-    flows = flows.join(seen, "node", "left").withColumn("observed", F.when(F.col("fold_out") != F.col("fold"), F.col("observed"))).select("key", "to", "local", "observed")
-    total = accumulate_anchored(flows, "key", "to", "local", "observed")
-    out = total.select(F.col("key.fold_out").alias("fold"), F.col("key.node").alias(node), F.col("total").alias("q"))
-    return out if fold else out.drop("fold")
+    flows = _estimated(reaches, stations, node, down, station, k, fold).select(F.col("node").alias(node), F.inline("flows"))
+    return flows.select("fold", node, "q") if fold else flows.select(node, "q")
 
 
 def validate_network(reaches: DataFrame, stations: DataFrame, node: str, down: str, station: str, fold: str, k: int = 8) -> DataFrame:
     """(station, fold, observed, estimate): the network without a station's fold, at its reach."""
-    flows = estimate_network(reaches, stations, node, down, station, k, fold)
-    held = stations.select(F.col(station), F.col(fold).alias("fold"), F.col(node), F.col("q").alias("observed"))
-    return held.join(flows.withColumnRenamed("q", "estimate"), ["fold", node]).select(station, "fold", "observed", "estimate")
+    flows = _estimated(reaches, stations, node, down, station, k, fold).withColumnRenamed("node", node)
+    held = stations.where(F.col(fold).isNotNull()).select(F.col(station), F.col(fold).alias("fold"), F.col(node), F.col("q").alias("observed"))
+    own = F.get(F.filter("flows", lambda f: f["fold"] == F.col("fold")), F.lit(0))["q"]
+    return held.join(flows, node).select(station, "fold", "observed", own.alias("estimate"))
 
 
 def validation_report(estimates: DataFrame, observed: str = "observed", estimate: str = "estimate") -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -127,6 +127,12 @@ def idw_geometric(neighbours: DataFrame, keys: Sequence[str], distance: str, val
     return neighbours.groupBy(*keys).agg(F.exp(F.sum(w * F.ln(value)) / F.sum(w)).alias(name))
 
 
+def idw_geometric_each(neighbours: DataFrame, keys: Sequence[str], distance: str, value: str, chosen: Mapping[str, Column], least: float = 1e-4) -> DataFrame:
+    """`idw_geometric` for several choices among the same neighbours, in one aggregation: a column for each."""
+    w = 1 / F.pow(F.greatest(F.col(distance), F.lit(least)), F.lit(2.0))
+    return neighbours.groupBy(*keys).agg(*[F.exp(F.sum(F.when(c, w * F.ln(value))) / F.sum(F.when(c, w))).alias(name) for name, c in chosen.items()])
+
+
 def line_length(points: Column) -> Column:
     """Planar length of an array of (x, y)."""
     ends = F.slice(points, 2, F.greatest(F.size(points) - 1, F.lit(0)))
