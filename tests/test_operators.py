@@ -183,3 +183,38 @@ def test_midpoint_and_quantise(spark):
     m = df.select(spatial.line_midpoint(F.col("p")).alias("m"), spatial.quantise_line(F.col("p"), 0.1).alias("q")).first()
     assert (m["m"]["x"], m["m"]["y"]) == pytest.approx((1.0, 1.0))
     assert [(p["x"], p["y"]) for p in m["q"]] == [(0, 0), (1, 0)] or len(m["q"]) == 2
+
+
+def test_snaps_and_counts_equal_all_pairs(spark):
+    """Lines of many and of far away areas, codes that agree from afar, copies and ties; and no list of pairs is shuffled."""
+    import random
+
+    from streamweave.operators import spatial
+
+    r = random.Random(12)
+    at = lambda: round(r.random() * 0.6, 2)
+    lines = [(i, at(), at(), at(), at(), float(r.choice([1, 2, 2.7, 3, 40, -2])), str(r.randint(1, 40))) for i in range(60)] + [(60, 0.9, 0.9, 0.9, 0.9, 0.0, "")]
+    spots = [(i, at(), at(), float(r.choice([1, 2, 3, 50, -2, 0])), str(r.randint(1, 400))) for i in range(150)] + [(150, None, 0.1, 1.0, "1"), (151, 0.9, 0.9, 1.0, None), (152, 5.0, 5.0, 1.0, "1")]
+    s = spark.createDataFrame(lines, "line long, x1 double, y1 double, x2 double, y2 double, la double, lc string").cache()
+    p = spark.createDataFrame(spots, "id long, x double, y double, pa double, pc string").cache()
+    c = F.col
+    near = p.crossJoin(s).withColumn("distance", spatial.segment_distance(c("x"), c("y"), c("x1"), c("y1"), c("x2"), c("y2"))).where("distance < 0.05").cache()
+    first = lambda rows, *order: {x["id"]: x["line"] for x in spatial.first_per(rows, "id", *order, c("line")).collect()}
+    got = lambda df: {x["id"]: x["line"] for x in df.collect()}
+    assert got(spatial.snap_plain(p, s, "id", "line", 0.05)) == first(near, c("distance"))
+    agrees = F.coalesce((F.length("pc") > 0) & (F.length("lc") > 0) & (c("pc").startswith(c("lc")) | c("lc").startswith(c("pc"))), F.lit(False))
+    assert got(spatial.snap_prefix(p, s, "id", "line", "pc", "lc", 0.05)) == first(near.withColumn("a", agrees), c("a").desc(), c("distance"))
+    ratio = F.abs(F.ln(c("pa") / F.nullif(c("la"), F.lit(0.0))))
+    assert got(spatial.snap_station(p, s, "id", "line", "pa", "la", 0.05)) == first(near.withColumn("score", ratio + 10 * c("distance")).where(ratio <= 0.35), c("score"))
+    counted = {x["line"]: x["points"] for x in spatial.count_near(p, s, "line", 0.05).collect()}
+    assert counted == {x["line"]: x["count"] for x in near.groupBy("line").count().collect()}
+    assert spatial.snap_plain(p, s.limit(0), "id", "line", 0.05).count() == 0
+
+
+def test_formula_of_a_pair_stays_short_enough_to_compile(spark):
+    from streamweave.operators import spatial
+
+    p = spark.range(5).select("id", (F.col("id") / 100).alias("x"), F.lit(0.0).alias("y"))
+    s = spark.range(5).select(F.col("id").alias("line"), (F.col("id") / 100).alias("x1"), F.lit(0.0).alias("y1"), F.lit(0.1).alias("x2"), F.lit(0.1).alias("y2"))
+    plan = spatial.near_segments(p, s, 0.05)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sqrt" not in plan.lower().split("join inner")[1].split("\n")[0].lower()
