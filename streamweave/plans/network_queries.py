@@ -363,5 +363,4 @@ def no_data_flag(spark, d):
     """Points without cover (anti join), snapped to the lines that they leave without data."""
     p = points(spark, d)
     bare = permits.uncovered(p, p.where("label < 5").select("id"), "id")
-    near = spatial.near_segments(bare, segments(spark, d), TOLERANCE)
-    return near.groupBy("line").agg(F.countDistinct("id").alias("points"))
+    return spatial.count_near(bare, segments(spark, d), "line", TOLERANCE)
