@@ -22,9 +22,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from streamweave.operators.forest import ring_positions
-from streamweave.operators.lineage import cut_lineage
+from streamweave.operators.lineage import cut_lineage, spread
 from streamweave.operators.ranking import numbered, running_total
-from streamweave.operators.spatial import cell, segment_distance
+from streamweave.operators.spatial import cell
 
 #: The grid's lines lie beside round numbers, so that they hardly ever run along edges or through vertices.
 SHIFT_X, SHIFT_Y = math.sqrt(2) / 3.7, math.sqrt(3) / 4.3
@@ -38,9 +38,9 @@ def _cell(value: Column, size: float, shift: float) -> Column:
     return cell(value - F.lit(shift * size), size)
 
 
-def crossed_cells(segments: DataFrame, size: float) -> DataFrame:
-    """Add (cx, cy) of each grid cell that a segment (x1, y1, x2, y2) touches, and perhaps of a neighbour."""
-    slack = F.lit(size * 1e-7)
+def crossed_cells(segments: DataFrame, size: float, room: float = 0.0) -> DataFrame:
+    """Add (cx, cy) of each grid cell that a segment (x1, y1, x2, y2) touches or passes within `room`, and perhaps of a neighbour."""
+    slack = F.lit(max(size * 1e-7, room))
     box = segments.withColumn("cx", F.explode(F.sequence(_cell(F.least("x1", "x2") - slack, size, SHIFT_X), _cell(F.greatest("x1", "x2") + slack, size, SHIFT_X))))
     dx = F.col("x2") - F.col("x1")
     share = lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.try_divide(x - F.col("x1"), dx)))
@@ -72,41 +72,69 @@ def edges_of_rings(rings: DataFrame, key: str, ring: str, points: str, hole: Col
     return steps.select("key", "ring", one("x").alias("x1"), one("y").alias("y1"), two("x").alias("x2"), two("y").alias("y2")).where("x1 <> x2 or y1 <> y2")
 
 
-def meetings(edges: DataFrame, size: float, digits: int) -> DataFrame:
+def meetings(edges: DataFrame, size: float, digits: int, within: DataFrame | None = None) -> DataFrame:
     """(key, edge, x, y): where an edge (key, edge, x1, y1, x2, y2) meets others of its key, its own ends included perhaps.
 
     An end of one on the other (within the rounding) cuts that one there; edges that
-    cross elsewhere are both cut at the crossing.
+    cross elsewhere are both cut at the crossing.  With `within` only the cells (key, cx, cy) are looked into.
     """
     held = crossed_cells(edges, size)
+    held = held if within is None else held.join(within, ["key", "cx", "cy"], "left_semi")
     near = 10.0**-digits
     names = ("edge", "x1", "y1", "x2", "y2")
     other = held.select("key", "cx", "cy", *[F.col(c).alias(f"o_{c}") for c in names])
     c = F.col
-    pairs = held.join(other, ["key", "cx", "cy"]).where("edge < o_edge").select("key", *names, *[f"o_{n}" for n in names])
+    # Edges have many cells, so the sizes are guessed too small for a broadcast.
+    pairs = held.join(other.hint("merge"), ["key", "cx", "cy"]).where("edge < o_edge").select("key", *names, *[f"o_{n}" for n in names])
     apart = (F.greatest("x1", "x2") + near < F.least("o_x1", "o_x2")) | (F.greatest("o_x1", "o_x2") + near < F.least("x1", "x2")) | (F.greatest("y1", "y2") + near < F.least("o_y1", "o_y2")) | (F.greatest("o_y1", "o_y2") + near < F.least("y1", "y2"))
     pairs = pairs.where(~apart)
     mine, theirs = [c(n) for n in names[1:]], [c(f"o_{n}") for n in names[1:]]
-    touches = [
-        (c("edge"), c("o_x1"), c("o_y1"), segment_distance(c("o_x1"), c("o_y1"), *mine) <= near),
-        (c("edge"), c("o_x2"), c("o_y2"), segment_distance(c("o_x2"), c("o_y2"), *mine) <= near),
-        (c("o_edge"), c("x1"), c("y1"), segment_distance(c("x1"), c("y1"), *theirs) <= near),
-        (c("o_edge"), c("x2"), c("y2"), segment_distance(c("x2"), c("y2"), *theirs) <= near),
-    ]
+    ends = [(c("edge"), c("o_x1"), c("o_y1"), mine), (c("edge"), c("o_x2"), c("o_y2"), mine), (c("o_edge"), c("x1"), c("y1"), theirs), (c("o_edge"), c("x2"), c("y2"), theirs)]
+
+    def share(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+        """Where on the segment the point's nearest place is."""
+        t = F.try_divide((px - x1) * (x2 - x1) + (py - y1) * (y2 - y1), (x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))
+        return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(t, F.lit(0.0))))
+
     ax, ay, bx, by = c("x2") - c("x1"), c("y2") - c("y1"), c("o_x2") - c("o_x1"), c("o_y2") - c("o_y1")
     det = ax * by - ay * bx
     t = F.try_divide((c("o_x1") - c("x1")) * by - (c("o_y1") - c("y1")) * bx, det)
     u = F.try_divide((c("o_x1") - c("x1")) * ay - (c("o_y1") - c("y1")) * ax, det)
-    none = ~(touches[0][3] | touches[1][3] | touches[2][3] | touches[3][3])
+    pairs = pairs.withColumns({"__t": t, "__u": u, **{f"__s{i}": share(px, py, *of) for i, (_, px, py, of) in enumerate(ends)}})
+    pairs = pairs.withColumns({f"__d{i}": F.hypot(px - (of[0] + c(f"__s{i}") * (of[2] - of[0])), py - (of[1] + c(f"__s{i}") * (of[3] - of[1]))) for i, (_, px, py, of) in enumerate(ends)})
+    # Out of a generator, so that no filter writes the formulas out again within the join, too long to compile.
+    told = F.struct(*[(c(f"__d{i}") <= near).alias(f"h{i}") for i in range(4)], "__t", "__u")
+    pairs = pairs.withColumn("m", F.explode(F.array(told)))
+    none = ~(c("m.h0") | c("m.h1") | c("m.h2") | c("m.h3"))
+    t, u = c("m.__t"), c("m.__u")
     crosses = F.coalesce(none & (t > 0) & (t < 1) & (u > 0) & (u < 1), F.lit(False))
     x, y = F.round(c("x1") + t * ax, digits), F.round(c("y1") + t * ay, digits)
-    cuts = [*touches, (c("edge"), x, y, crosses), (c("o_edge"), x, y, crosses)]
+    cuts = [*[(e, px, py, c(f"m.h{i}")) for i, (e, px, py, _) in enumerate(ends)], (c("edge"), x, y, crosses), (c("o_edge"), x, y, crosses)]
     listed = F.array(*[F.when(F.coalesce(hit, F.lit(False)), F.struct(e.alias("edge"), px.alias("x"), py.alias("y"))) for e, px, py, hit in cuts])
     return pairs.select("key", F.explode(F.filter(listed, lambda s: s.isNotNull())).alias("cut")).select("key", "cut.*").distinct()
 
 
-def pieces(edges: DataFrame, size: float, digits: int) -> DataFrame:
-    """(key, x1, y1, x2, y2, net): edges (key, layer, x1 ...) cut where they meet, equal ones made one; cut.
+def _open_cells(told: DataFrame, size: float, digits: int, inside: Callable[[Column, Column], Column]) -> DataFrame:
+    """(key, cx, cy): the cells with edges in which the result may begin or end; cut.
+
+    From a cell's corner a straight way leads to each place of the cell, and it meets each of the
+    cell's edges once at most.  So the winding numbers differ from the corner's by no more than
+    these edges weigh, and if the rule says the same at both ends of that range the
+    cell lies wholly inside the result or outside it.
+    """
+    c = F.col
+    # Ends of pieces are rounded, so edges that pass that near count as well.
+    weigh = crossed_cells(told, size, 4 * 10.0**-digits).groupBy("key", "cx", "cy").agg(F.sum(F.abs("n0")).alias("m0"), F.sum(F.abs("n1")).alias("m1"))
+    at = _corners(weigh.select("key", "cx", "cy"), told, size)
+    ends = [inside(c("b0") + i * c("m0"), c("b1") + j * c("m1")) for i in (-1, 1) for j in (-1, 1)]
+    return cut_lineage(weigh.join(at, ["key", "cx", "cy"]).where((ends[0] != ends[1]) | (ends[0] != ends[2]) | (ends[0] != ends[3])).select("key", "cx", "cy"))
+
+
+def pieces(edges: DataFrame, size: float, digits: int, inside: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """(key, x1, y1, x2, y2, n0, n1): edges (key, layer, x1 ...) cut where they meet, equal ones made one; cut.
+
+    With `inside` (a rule of RULES) cells that lie wholly inside or outside the result aren't
+    looked into; pieces that touch one can't bound the result and have `whole` false: they may be uncut there.
 
     Pieces run upwards (or to the right, if level); `net` is, for each of the two layers, how
     much greater the winding number is to the left of it than to the right.  Pieces
@@ -121,8 +149,9 @@ def pieces(edges: DataFrame, size: float, digits: int) -> DataFrame:
     upward = lambda df, *weights: df.select("key", first.alias("a"), last.alias("b"), *weights).select("key", "a.x1", "a.y1", "b.x2", "b.y2", *[w for w in ("n0", "n1")])
     whole = upward(given, *[F.when(F.col("layer") == k, way).otherwise(0).cast("long").alias(f"n{k}") for k in (0, 1)])
     whole = whole.groupBy("key", "x1", "y1", "x2", "y2").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    told = cut_lineage(numbered(whole, "key", "x1", "y1", "x2", "y2", name="edge"))
-    cuts = meetings(told, size, digits).join(told.select("edge", "x1", "y1", "x2", "y2", "n0", "n1"), "edge")
+    told = cut_lineage(spread(numbered(whole, "key", "x1", "y1", "x2", "y2", name="edge")))
+    open_cells = _open_cells(told, size, digits, inside) if inside else None
+    cuts = meetings(told, size, digits, open_cells).join(told.select("edge", "x1", "y1", "x2", "y2", "n0", "n1"), "edge")
     own = told.select("key", "edge", "n0", "n1", F.lit(0.0).alias("t"), F.col("x1").alias("x"), F.col("y1").alias("y"), "x2", "y2")
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     along = ((F.col("x") - F.col("x1")) * dx + (F.col("y") - F.col("y1")) * dy) / (dx * dx + dy * dy)
@@ -132,7 +161,13 @@ def pieces(edges: DataFrame, size: float, digits: int) -> DataFrame:
     short = ends.select("key", F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("nx").alias("x2"), F.col("ny").alias("y2"), "n0", "n1").where("x1 <> x2 or y1 <> y2")
     flip = lambda n: F.when(up, F.col(n)).otherwise(-F.col(n)).alias(n)
     one = upward(short, flip("n0"), flip("n1")).groupBy("key", "x1", "y1", "x2", "y2").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    return cut_lineage(one.where("n0 <> 0 or n1 <> 0"))
+    one = cut_lineage(spread(one.where("n0 <> 0 or n1 <> 0")))
+    if not inside:
+        return one
+    known = open_cells.withColumn("open", F.lit(True))
+    names = ["key", "x1", "y1", "x2", "y2", "n0", "n1"]
+    marked = crossed_cells(one, size).join(known, ["key", "cx", "cy"], "left").groupBy(*names).agg(F.min(F.coalesce("open", F.lit(False))).alias("whole"))
+    return cut_lineage(marked)
 
 
 def _passed(places: DataFrame, segments: DataFrame, place: str, size: float) -> DataFrame:
@@ -148,6 +183,22 @@ def _passed(places: DataFrame, segments: DataFrame, place: str, size: float) ->
     return near.withColumn("upward", F.coalesce(upward, F.lit(False))).withColumn("onward", F.coalesce(onward, F.lit(False)))
 
 
+def _corners(corners: DataFrame, segments: DataFrame, size: float) -> DataFrame:
+    """(key, cx, cy, b0, b1): the winding numbers at the lower left corner of each cell (key, cx, cy), by running totals along the grid's lines."""
+    c = F.col
+    lines = segments.where("y2 > y1")
+    lines = lines.withColumn("cy", F.explode(F.sequence(_cell(c("y1"), size, SHIFT_Y), _cell(c("y2"), size, SHIFT_Y) + 1)))
+    line = _at(c("cy"), size, SHIFT_Y)
+    meets = lines.where((c("y1") > line) != (c("y2") > line)).withColumn("x", c("x1") + F.try_divide((c("x2") - c("x1")) * (line - c("y1")), c("y2") - c("y1")))
+    weight = c("n0") + c("n1") * F.lit(1 << 24)  # both layers in one number; going to the right loses what is gained to the left
+    # A row and cell has one number, so what is sorted is rows of cells, not segments.
+    gained = meets.groupBy("key", "cy", _cell(c("x"), size, SHIFT_X).alias("cx")).agg(F.sum(-weight).alias("w"))
+    events = gained.select("key", "cy", "cx", F.lit(True).alias("passed"), "w").unionByName(corners.select("key", "cy", "cx", F.lit(False).alias("passed"), F.lit(0).cast("long").alias("w")))
+    at = running_total(events, c("w"), "key", "cy", "cx", "passed", name="base").where("not passed")
+    base1 = F.round(c("base") / F.lit(1 << 24)).cast("long")
+    return at.select("key", "cy", "cx", (c("base") - base1 * F.lit(1 << 24)).alias("b0"), base1.alias("b1"))
+
+
 def winding(places: DataFrame, segments: DataFrame, place: str, size: float) -> DataFrame:
     """(place, w0, w1): how often each layer's polygons go round each place (key, place, x, y).
 
@@ -160,22 +211,12 @@ def winding(places: DataFrame, segments: DataFrame, place: str, size: float) ->
     c = F.col
     here = places.withColumn("cx", _cell(c("x"), size, SHIFT_X)).withColumn("cy", _cell(c("y"), size, SHIFT_Y))
     corners = here.select("key", "cx", "cy").distinct()
-    lines = segments.where("y2 > y1")
-    lines = lines.withColumn("cy", F.explode(F.sequence(_cell(c("y1"), size, SHIFT_Y), _cell(c("y2"), size, SHIFT_Y) + 1)))
-    line = _at(c("cy"), size, SHIFT_Y)
-    meets = lines.where((c("y1") > line) != (c("y2") > line)).withColumn("x", c("x1") + F.try_divide((c("x2") - c("x1")) * (line - c("y1")), c("y2") - c("y1")))
-    weight = c("n0") + c("n1") * F.lit(1 << 24)  # both layers in one number; going to the right loses what is gained to the left
-    # A row and cell has one number, so what is sorted is rows of cells, not segments.
-    gained = meets.groupBy("key", "cy", _cell(c("x"), size, SHIFT_X).alias("cx")).agg(F.sum(-weight).alias("w"))
-    events = gained.select("key", "cy", "cx", F.lit(True).alias("passed"), "w").unionByName(corners.select("key", "cy", "cx", F.lit(False).alias("passed"), F.lit(0).cast("long").alias("w")))
-    at = running_total(events, c("w"), "key", "cy", "cx", "passed", name="base").where("not passed").select("key", "cy", "cx", "base")
+    at = _corners(corners, segments, size)
     start = here.join(at, ["key", "cx", "cy"])
     near = _passed(start, segments, place, size)
     gain = lambda n: F.when(c("upward"), F.when(c("x2") > c("x1"), c(n)).otherwise(-c(n))).otherwise(0) - F.when(c("onward"), c(n)).otherwise(0)
     moved = near.where("upward or onward").groupBy("key", place).agg(F.sum(gain("n0")).alias("g0"), F.sum(gain("n1")).alias("g1"))
-    base1 = F.round(c("base") / F.lit(1 << 24)).cast("long")
-    base0 = c("base") - base1 * F.lit(1 << 24)
-    return start.join(moved, ["key", place], "left").select("key", place, (base0 + F.coalesce("g0", F.lit(0))).alias("w0"), (base1 + F.coalesce("g1", F.lit(0))).alias("w1"))
+    return start.join(moved, ["key", place], "left").select("key", place, (c("b0") + F.coalesce("g0", F.lit(0))).alias("w0"), (c("b1") + F.coalesce("g1", F.lit(0))).alias("w1"))
 
 
 def in_polygon(points: DataFrame, edges: DataFrame, point: str, size: float | None = None) -> DataFrame:
@@ -190,7 +231,7 @@ def in_polygon(points: DataFrame, edges: DataFrame, point: str, size: float | No
     pick = lambda a, b: F.when(up, c(a)).otherwise(c(b)).alias(a)
     gain = F.when(up != c("turned"), 1).otherwise(-1).cast("long")
     segments = edges.join(turned, "ring").select(F.lit(0).alias("key"), F.lit(None).cast("long").alias("segment"), pick("x1", "x2"), pick("y1", "y2"), pick("x2", "x1"), pick("y2", "y1"), gain.alias("n0"), F.lit(0).cast("long").alias("n1"))
-    segments = cut_lineage(segments)
+    segments = cut_lineage(spread(segments))
     places = points.where("x is not null and y is not null").select(F.lit(0).alias("key"), c(point), "x", "y", F.lit(None).cast("long").alias("segment"))
     told = winding(places, segments, point, size or cell_size(segments)).select(point, (c("w0") > 0).alias("inside"))
     return points.select(point).join(told, point, "left").select(point, F.coalesce("inside", F.lit(False)).alias("inside"))
@@ -208,6 +249,12 @@ def difference(w0: Column, w1: Column) -> Column:
     return (w0 > 0) & (w1 <= 0)
 
 
+#: Rules that only ask whether each winding number is positive: with them, cells wholly inside or outside are told beforehand.
+RULES = (union, intersection, difference)
+#: How much finer than `cell_size` the grid is then: what an edge's cells cost against how near the border cells are still looked into.
+FINER = 32
+
+
 def overlay(edges: DataFrame, inside: Callable[[Column, Column], Column] = union, size: float | None = None, digits: int = 9) -> DataFrame:
     """(key, segment, x1, y1, x2, y2): the boundary of the result, its inside to the left, for each key; cut.
 
@@ -215,9 +262,11 @@ def overlay(edges: DataFrame, inside: Callable[[Column, Column], Column] = union
     `inside` tells from the layers' winding numbers what the result holds.  Polygons
     of one layer may overlap, share borders or lie in one another.
     """
-    size = size or cell_size(edges)
-    short = cut_lineage(numbered(pieces(edges, size, digits), "key", "x1", "y1", "x2", "y2", name="segment"))
-    middles = short.select("key", "segment", ((F.col("x1") + F.col("x2")) / 2).alias("x"), ((F.col("y1") + F.col("y2")) / 2).alias("y")).withColumn("place", F.col("segment"))
+    known = inside in RULES
+    size = size or cell_size(edges) / (FINER if known else 1)
+    made = pieces(edges, size, digits, inside) if known else pieces(edges, size, digits).withColumn("whole", F.lit(True))
+    short = cut_lineage(spread(numbered(made, "key", "x1", "y1", "x2", "y2", name="segment")))
+    middles = short.where("whole").select("key", "segment", ((F.col("x1") + F.col("x2")) / 2).alias("x"), ((F.col("y1") + F.col("y2")) / 2).alias("y")).withColumn("place", F.col("segment"))
     told = short.join(winding(middles, short, "place", size).withColumnRenamed("place", "segment"), ["key", "segment"])
     left = inside(F.col("w0"), F.col("w1"))
     right = inside(F.col("w0") - F.col("n0"), F.col("w1") - F.col("n1"))

@@ -114,3 +114,16 @@ def test_places_meet_only_their_cell(spark):
         segments = edges.select(F.lit(0).alias("key"), F.lit(None).cast("long").alias("segment"), "x1", "y1", "x2", "y2", F.lit(1).alias("n0"), F.lit(0).alias("n1"))
         most.append(overlay._passed(cells, segments, "id", size).count())
     assert max(most) <= 2 * 400
+
+
+def test_cells_deep_inside_are_not_looked_into(spark):
+    """Where many polygons lie on one another no edges are paired, however many they are; the border stays the same."""
+    r = random.Random(6)
+    made = [blob(r, r.gauss(0, 1), r.gauss(0, 1), 1.2, 5) for _ in range(120)]
+    given = edges(spark, [("k", 0, ring, False) for ring in made])
+    size = overlay.cell_size(given)
+    all_of = overlay.pieces(given, size, 9)
+    known = overlay.pieces(given, size / overlay.FINER, 9, overlay.union)
+    assert known.count() < all_of.count() / 2
+    slow, quick = (overlay.area(overlay.overlay(given, rule)).first() for rule in (lambda a, b: (a > 0) | (b > 0), overlay.union))
+    assert quick["area"] == pytest.approx(slow["area"], abs=1e-6) and quick["perimeter"] == pytest.approx(slow["perimeter"], abs=1e-6)
