@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from streamweave.operators.forest import accumulate_anchored_each
+from streamweave.operators.lineage import cut_lineage
 from streamweave.operators.nearest import nearest_k
 from streamweave.operators.ranking import quantiles
 from streamweave.operators.spatial import idw_geometric, idw_geometric_each
@@ -45,11 +46,13 @@ def _estimated(reaches: DataFrame, stations: DataFrame, node: str, down: str, st
     kind = dict(posts.dtypes)["fold"]
     if not folds:
         return spots.select("node", F.array().cast(f"array<struct<fold:{kind},q:double>>").alias("flows")).limit(0)
-    near = nearest_k(spots.select("node", "x", "y"), posts.select("station", "sx", "sy", "specific", "fold"), "node", "station", k, without=("fold", ["" if f is None else f for f in folds]) if fold else None)
+    # Reaches at one place have the same neighbours: each place is searched for once.
+    places = cut_lineage(spots.where("x is not null and y is not null").select("x", "y").distinct().withColumn("place", F.monotonically_increasing_id()))
+    near = nearest_k(places, posts.select("station", "sx", "sy", "specific", "fold"), "place", "station", k, without=("fold", ["" if f is None else f for f in folds]) if fold else None)
     nth = [f"nth_{i}" for i in range(len(folds))] if fold else ["nth"]
-    specific = idw_geometric_each(near, ["node"], "distance", "specific", {f"specific_{i}": F.col(n).isNotNull() for i, n in enumerate(nth)})
+    specific = idw_geometric_each(near, ["place"], "distance", "specific", {f"specific_{i}": F.col(n).isNotNull() for i, n in enumerate(nth)})
     seen = posts.select(F.col("at").alias("node"), F.col("q").alias("observed"), "fold")
-    told = spots.join(specific, "node", "left").join(seen, "node", "left")
+    told = spots.join(places.join(specific, "place").drop("place"), ["x", "y"], "left").join(seen, "node", "left")
     local = lambda i: F.coalesce(f"specific_{i}", F.lit(0.0)) * F.col("own_area") / 1000
     holds = lambda f: F.coalesce(F.col("fold") != F.lit(f), F.lit(True))
     cases = {f"q_{i}": (local(i), holds(f)) for i, f in enumerate(folds)}

@@ -56,3 +56,17 @@ def test_neighbours_without_each_kind_in_one_search(spark):
             best = sorted((((x - sx) ** 2 + (y - sy) ** 2) ** 0.5, t) for t, sx, sy, k in stations if k != f)[:4]
             want += [(q, n, t) for n, (_, t) in enumerate(best, 1)]
         assert have == sorted(want)
+
+
+def test_places_are_searched_for_once(spark, monkeypatch):
+    """Many reaches at few places: the neighbours' search sees the places, and every reach gets its flow."""
+    from streamweave.operators import regional
+
+    asked = []
+    search = regional.nearest_k
+    monkeypatch.setattr(regional, "nearest_k", lambda points, *a, **k: asked.append(points.count()) or search(points, *a, **k))
+    reaches = spark.createDataFrame([(i, None, float(i % 3), 0.0, 1000.0) for i in range(60)] + [(60, None, None, 0.0, 1000.0)], "id int, down int, x double, y double, own_area double")
+    posts = spark.createDataFrame([("a", 0, 0.0, 0.0, 2.0, 5.0), ("b", 2, 2.0, 0.0, 4.0, 7.0)], "s string, id int, sx double, sy double, specific double, q double")
+    got = {r["id"]: r["q"] for r in regional.estimate_network(reaches, posts, "id", "down", "s", 1).collect()}
+    assert asked == [3] and len(got) == 61
+    assert got[0] == 5.0 and got[2] == 7.0 and got[3] == pytest.approx(2.0) and got[5] == pytest.approx(4.0) and got[60] == 0.0
