@@ -1,10 +1,11 @@
-"""Search of names by parts of them: an index of two- and three-letter grams.
+"""Search of names by parts of them: an index of grams of some lengths.
 
 The index is built once and written below the shared folder: each different folded
 name once, a posting for each gram that it holds, and how many names hold each gram.
 Postings lie in PARTS folders by their gram and in order of gram, so a search reads
-only those of its own grams, and of these only the RAREST: names that hold them all
-are candidates, and the exact test follows, so the answer is the scan's.
+only those of its own grams, of the greatest length that it has, and of these only the RAREST: names that hold them all
+are candidates, and the exact test follows, so the answer is the scan's.  A search as long as a gram is read as
+one, so its postings are its hits: the more a search tells, the fewer it reads.
 
 Names that differ only in case or accents share an entry.  Null names are no entry,
 the empty name is one that nothing finds.  Searches are trimmed; null ones and
@@ -23,6 +24,8 @@ from streamweave.operators.lineage import Tables
 
 #: Folders of the postings; parts that a gram's postings are spread over when written.
 PARTS, SPREAD = 64, 8
+#: Lengths of grams, ascending from the shortest search that finds something.
+LENGTHS = (2, 3, 4, 8, 16)
 #: Grams of a search whose postings are read.
 RAREST = 3
 #: Grams of all searches together up to which they are sent to the postings; more are joined by a shuffle.
@@ -34,17 +37,18 @@ def folded(name: Column) -> Column:
 
 
 def grams(text: Column) -> Column:
-    """Each run of two and of three letters that a text holds, once."""
+    """Each run of LENGTHS letters that a text holds, once."""
     def runs(t: Column, n: int) -> Column:
         starts = F.when(F.length(t) >= n, F.sequence(F.lit(1), F.length(t) - (n - 1))).otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda i: F.substring(t, i, F.lit(n)))
 
-    return bound(text, lambda t: F.array_distinct(F.concat(runs(t, 2), runs(t, 3))))
+    return bound(text, lambda t: F.array_distinct(F.concat(*[runs(t, n) for n in LENGTHS])))
 
 
 def asked(text: Column) -> Column:
-    """The grams that a search needs: its threes, or itself if it is two letters long."""
-    return bound(text, lambda t: F.filter(grams(t), lambda g: F.length(g) == F.least(F.length(t), F.lit(3))))
+    """The grams that a search needs: those of the greatest length that it has."""
+    longest = lambda t: F.coalesce(*[F.when(F.length(t) >= n, n) for n in LENGTHS[::-1]])
+    return bound(text, lambda t: F.filter(grams(t), lambda g: F.length(g) == longest(t)))
 
 
 def _part(gram: Column) -> Column:

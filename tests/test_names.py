@@ -44,3 +44,13 @@ def test_only_postings_of_the_grams_are_read(spark):
     assert 1234 in {r["id"] for r in got.collect()}
     empty = names.build(rows.limit(0), "name")
     assert names.lookup(empty, "rio").count() == 0 and names.search_all(empty, rows, "name").count() == 0
+
+
+def test_postings_read_grow_with_the_hits(spark):
+    """Twenty searches of eight letters, a hundred hits each: what is read isn't the product of searches and names."""
+    rows = spark.range(2_000).select("id", F.format_string("river#%09d", F.col("id")).alias("name"))
+    wanted = rows.select(F.substring("name", 6, 8).alias("s")).distinct()  # '#' and seven digits
+    index = names.build(rows, "name")
+    assert wanted.count() == 20 and names.search_all(index, wanted, "s").count() == 2_000
+    assert names.needed(index, wanted, "s").agg(F.sum("n")).first()[0] == 2_000
+    index.drop()
