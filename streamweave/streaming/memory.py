@@ -5,8 +5,9 @@ it was, and versions that come in a later run meet those of earlier ones.  The b
 the highest level, among equals the least values (nulls last): the order in which
 versions come doesn't matter, and a stream's result is the batch's.
 
-What a key holds is kept in blocks of BLOCK slots (months, say, so a block is a
-year): a late version reads and writes its own block, never the key's whole series.
+What a key holds is kept in blocks of BLOCK slots (months, say, so a block is ten
+years): a late version reads and writes its own block, never the key's whole series.
+Each write of a block is a call of the state's server, so small blocks cost a full series many calls.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +24,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from streamweave.functions.shipping import ship_package
 from streamweave.operators.series import best_version
 
-BLOCK = 12
+BLOCK = 120
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -35,6 +37,19 @@ def _number(v: float | None) -> float | None:
     return None if v is None or math.isnan(v) else float(v)
 
 
+def best_rows(frame: pd.DataFrame, values: Sequence[str]) -> Iterator[tuple]:
+    """(slot, level, values) of a frame: for each slot the version of the least rank, the first of equal ones."""
+    frame = frame[frame["slot"].notna().to_numpy() & frame["level"].notna().to_numpy()]
+    slots, levels, *columns = [frame[c].to_numpy(kind) for c, kind in (("slot", np.int64), ("level", np.int64), *[(v, np.float64) for v in values])]
+    order = [slots, -levels]
+    for v in columns:
+        none = np.isnan(v)
+        order += [none, np.where(none, 0.0, v)]
+    at = np.lexsort(order[::-1])
+    at = at[np.flatnonzero(np.diff(slots[at], prepend=slots[at[:1]] - 1))]
+    return zip(slots[at].tolist(), levels[at].tolist(), *[v[at].tolist() for v in columns], strict=True)
+
+
 class Best(StatefulProcessor):
     """Emits a row for each slot that a batch improves, and one without a slot when a key is first met."""
 
@@ -44,20 +59,19 @@ class Best(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.tried = handle.getValueState("tried", "n long")
         fields = "".join(f", v{i} array<double>" for i in range(self.values))
-        self.blocks = handle.getMapState("blocks", "block long", f"slots array<int>, levels array<int>{fields}")
+        self.blocks = handle.getMapState(f"blocks{BLOCK}", "block long", f"slots array<int>, levels array<int>{fields}")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         best: dict[int, tuple] = {}
         for frame in rows:
-            for slot, level, *values in zip(*[frame[c] for c in ("slot", "level", *[f"v{i}" for i in range(self.values)])], strict=True):
-                if pd.isna(slot) or pd.isna(level):
-                    continue
-                new = (int(level), *[_number(v) for v in values])
-                old = best.get(int(slot))
+            for slot, level, *values in best_rows(frame, [f"v{i}" for i in range(self.values)]):
+                new = (level, *[_number(v) for v in values])
+                old = best.get(slot)
                 if old is None or rank(new[0], new[1:]) < rank(old[0], old[1:]):
-                    best[int(slot)] = new
+                    best[slot] = new
         out = []
-        if not self.tried.exists():
+        known = self.tried.exists()
+        if not known:
             self.tried.update((1,))
             out.append((key[0], None, None, *[None] * self.values))
         by_block: dict[int, dict[int, tuple]] = {}
@@ -65,7 +79,7 @@ class Best(StatefulProcessor):
             by_block.setdefault(slot // BLOCK, {})[slot % BLOCK] = version
         for block, new in by_block.items():
             held = {}
-            if self.blocks.containsKey((block,)):
+            if known and self.blocks.containsKey((block,)):  # a new key has none: nothing is asked of the state
                 slots, levels, *columns = self.blocks.getValue((block,))
                 held = {int(s): (int(lv), *[_number(v) for v in vs]) for s, lv, *vs in zip(slots, levels, *columns, strict=True)}
             better = {s: v for s, v in new.items() if s not in held or rank(v[0], v[1:]) < rank(held[s][0], held[s][1:])}
@@ -73,6 +87,8 @@ class Best(StatefulProcessor):
                 held |= better
                 self.blocks.updateValue((block,), ([*held], *[[v[i] for v in held.values()] for i in range(self.values + 1)]))
                 out += [(key[0], block * BLOCK + s, *v) for s, v in better.items()]
+        if not out:
+            return
         names = ["key", "slot", "level", *[f"v{i}" for i in range(self.values)]]
         made = pd.DataFrame(out, columns=names)
         yield made.astype({"slot": "Int64", "level": "Int32", **{c: "float64" for c in names[3:]}})
