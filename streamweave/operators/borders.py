@@ -14,11 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from streamweave.functions.shipping import ship_package
-from streamweave.operators.lineage import Tables
+from streamweave.operators.lineage import Tables, spread
 from streamweave.operators.overlay import cell_size, meetings
 
 POINT = "array<struct<x:double,y:double>>"
@@ -50,55 +50,94 @@ def worth(line: np.ndarray) -> np.ndarray:
     return out
 
 
+def worths(xy: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """`worth` of the points of many lines that follow one another; lines of up to three points all at once."""
+    out, starts = np.full(len(xy), np.inf), sizes.cumsum() - sizes
+    three = starts[sizes == 3]
+    to, p = xy[three + 2] - xy[three], xy[three + 1] - xy[three]
+    length = (to * to).sum(axis=1)
+    t = np.divide((p * to).sum(axis=1), length, out=np.zeros(len(three)), where=length > 0).clip(0.0, 1.0)
+    out[three + 1] = np.hypot(*(p - t[:, None] * to).T)
+    for s, n in zip(starts[sizes > 3], sizes[sizes > 3], strict=True):
+        out[s : s + n] = worth(xy[s : s + n])
+    return out
+
+
 def _valued(arcs: DataFrame) -> DataFrame:
     """Add `worth`, an array beside `points`."""
     ship_package(arcs.sparkSession)
 
     @F.arrow_udf("array<double>")
     def value(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        from streamweave.operators.borders import worth
+        from streamweave.operators.borders import worths
 
         for lines in batches:
-            flat, offsets = lines.flatten(), np.asarray(lines.value_lengths())
+            flat, sizes = lines.flatten(), np.asarray(lines.value_lengths()).astype(np.int64)
             xy = np.stack([np.asarray(flat.field("x")), np.asarray(flat.field("y"))], axis=1) if len(flat) else np.zeros((0, 2))
-            yield pa.array([worth(x).tolist() for x in np.split(xy, np.cumsum(offsets)[:-1])] if len(offsets) else [], pa.list_(pa.float64()))
+            yield pa.ListArray.from_arrays(pa.array(np.append(0, sizes.cumsum()), pa.int32()), pa.array(worths(xy, sizes)))
 
     return arcs.withColumn("worth", value("points"))
 
 
-def arcs_of(rings: DataFrame, key: str, ring: str, points: str, digits: int) -> tuple[DataFrame, DataFrame]:
-    """(arcs (arc, points), parts (key, ring, part, arc, backwards)) of rings given as arrays of (x, y)."""
+def _made(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column out of a generator, so that what reads it often doesn't work it out again each time."""
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
+def _parting(rings: DataFrame, tables: Tables) -> DataFrame:
+    """(row, at): where borders part on the rings (row, p): places that don't have just two neighbours, the same for all rings there."""
+    c = F.col
+    n = F.size("p")
+    steps = F.transform("p", lambda p, i: F.struct(p.alias("a"), F.get("p", (i + n - 1) % n).alias("b"), F.get("p", (i + 1) % n).alias("c")))
+    visits = rings.select("row", F.posexplode(steps).alias("at", "v")).select("row", "at", "v.a", "v.b", "v.c")
+    low, high = F.least("b", "c"), F.greatest("b", "c")
+    visits = visits.select("row", "at", c("a.x").alias("x"), c("a.y").alias("y"), low["x"].alias("lx"), low["y"].alias("ly"), high["x"].alias("hx"), high["y"].alias("hy"))
+    here = Window.partitionBy("x", "y")
+    back = (c("lx") == c("hx")) & (c("ly") == c("hy"))  # a ring that turns back on itself
+    same = [F.min(v).over(here) == F.max(v).over(here) for v in ("lx", "ly", "hx", "hy")]
+    told = visits.withColumns({"back": F.max(back).over(here), "same": same[0] & same[1] & same[2] & same[3]}).where("back or not same")
+    told = tables.write(told.select("row", "at", "back", *[F.when(c("back"), c(v)).alias(v) for v in ("x", "y", "lx", "ly", "hx", "hy")]))
+    turned = told.where("back")
+    if not turned.limit(1).count():
+        return told.select("row", "at")
+    ends = turned.select("row", "at", "x", "y", F.explode(F.array(F.struct(c("lx").alias("x"), c("ly").alias("y")), F.struct(c("hx").alias("x"), c("hy").alias("y")))).alias("to"))
+    owned = ends.groupBy("x", "y", "to").agg(F.array_sort(F.collect_set("row")).alias("owners"))
+    parts = owned.groupBy("x", "y").agg(F.count("*").alias("n"), F.min("owners").alias("one"), F.max("owners").alias("other")).where("n <> 2 or one <> other")
+    return told.where("not back").select("row", "at").unionByName(turned.join(parts.select("x", "y"), ["x", "y"], "left_semi").select("row", "at"))
+
+
+def arcs_of(rings: DataFrame, key: str, ring: str, points: str, digits: int, tables: Tables) -> tuple[DataFrame, DataFrame]:
+    """(arcs (arc, points), parts (row, key, ring, part, arc, backwards)) of rings given as arrays of (x, y)."""
     c = F.col
-    rounded = F.transform(points, lambda p: F.struct(F.round(p["x"], digits).alias("x"), F.round(p["y"], digits).alias("y")))
-    given = rings.select(c(key).alias("key"), c(ring).alias("ring"), F.filter(rounded, lambda p, i: (i == 0) | (p != F.get(rounded, i - 1))).alias("p"))
-    opened = F.when((F.size("p") > 1) & (F.get("p", F.lit(0)) == F.element_at("p", -1)), F.slice("p", 1, F.size("p") - 1)).otherwise(c("p"))
-    given = given.withColumn("p", opened).where(F.size("p") >= 3)
-    after = lambda i: F.get("p", (i + 1) % F.size("p"))
-    steps = given.select("key", "ring", F.posexplode(F.transform("p", lambda p, i: F.struct(p.alias("a"), after(i).alias("b")))).alias("at", "e")).select("key", "ring", "at", "e.a", "e.b")
-    low, high = F.least("a", "b"), F.greatest("a", "b")
-    owned = steps.groupBy(low.alias("low"), high.alias("high")).agg(F.array_sort(F.collect_set(F.struct("key", "ring"))).alias("owners"))
-    ends = owned.select(F.explode(F.array("low", "high")).alias("v"), "owners")
-    parting = ends.groupBy("v").agg(F.count("*").alias("n"), F.min("owners").alias("one"), F.max("owners").alias("other")).where("n <> 2 or one <> other").select(c("v").alias("a"), F.lit(True).alias("parts"))
-    marked = steps.join(parting, "a", "left").withColumn("parts", F.coalesce("parts", F.lit(False)))
-    whole = Window.partitionBy("key", "ring")
+    n = F.size("p")
+    # A row grows to many, and few files may hold all of them.
+    given = spread(rings.where(F.size(points) >= 3).select(c(key).alias("key"), c(ring).alias("ring"), c(points).alias("p")))
+    given = _made(given, "p", F.transform("p", lambda p: F.struct(F.round(p["x"], digits).alias("x"), F.round(p["y"], digits).alias("y"))))
+    given = _made(given, "p", F.filter("p", lambda p, i: (i == 0) | (p != F.get("p", i - 1))))
+    given = _made(given, "p", F.when((n > 1) & (F.get("p", F.lit(0)) == F.element_at("p", -1)), F.slice("p", 1, n - 1)).otherwise(c("p"))).where(n >= 3)
+    given = tables.write(given.withColumn("row", F.monotonically_increasing_id()))
+    cuts = _parting(given, tables).groupBy("row").agg(F.sort_array(F.collect_list("at")).alias("cuts"))
     # A ring where nothing parts begins at its least point, in whichever polygon it stands.
-    begins = c("parts") | (~F.max("parts").over(whole) & (c("a") == F.min("a").over(whole)))
-    runs = marked.withColumn("begins", begins).withColumn("run", F.sum(F.when(c("begins"), 1).otherwise(0)).over(whole.orderBy("at")))
-    last = F.max("run").over(whole)
-    runs = runs.withColumn("part", F.when(c("run") == 0, last).otherwise(c("run"))).withColumn("turn", F.when(c("run") == 0, 1).otherwise(0))
-    lines = runs.groupBy("key", "ring", "part").agg(F.array_sort(F.collect_list(F.struct("turn", "at", "a", "b"))).alias("s"))
-    lines = lines.select("key", "ring", "part", F.concat(F.transform("s", lambda s: s["a"]), F.array(F.element_at("s", -1)["b"])).alias("points"))
+    cut = _made(given.join(cuts, "row", "left"), "least", F.when(c("cuts").isNull(), F.array_min("p")))
+    cut = _made(cut, "cuts", F.coalesce("cuts", F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.get("p", i) == c("least"))))
+    to = lambda i, j: F.when(j + 1 < F.size("cuts"), F.slice("p", i + 1, F.get("cuts", j + 1) - i + 1)).otherwise(F.concat(F.slice("p", i + 1, n - i), F.slice("p", F.lit(1), F.get("cuts", F.lit(0)) + 1)))
+    lines = cut.select("row", "key", "ring", F.posexplode(F.transform("cuts", to)).alias("part", "points"))
     front, back = F.struct(F.get("points", F.lit(0)).alias("end"), F.get("points", F.lit(1)).alias("next")), F.struct(F.element_at("points", -1).alias("end"), F.element_at("points", -2).alias("next"))
-    told = lines.select("key", "ring", "part", F.least(front, back).alias("arc"), (back < front).alias("backwards"), "points")
-    return told.select("arc", F.when(c("backwards"), F.reverse("points")).otherwise(c("points")).alias("points")).groupBy("arc").agg(F.min("points").alias("points")), told.select("key", "ring", "part", "arc", "backwards")
+    told = _made(lines, "way", F.struct(F.least(front, back).alias("arc"), (back < front).alias("backwards")))
+    spots = [c(f"way.arc.{end}.{v}").alias(f"{end}_{v}") for end in ("end", "next") for v in ("x", "y")]
+    told = told.select("row", "key", "ring", "part", c("way.backwards").alias("backwards"), F.when(c("way.backwards"), F.reverse("points")).otherwise(c("points")).alias("points"), *spots)
+    # An arc is known by the ring and part that has it (its least points, should they differ), and its points stand there alone.
+    alike = Window.partitionBy("end_x", "end_y", "next_x", "next_y").orderBy("points", "row", "part")
+    told = told.withColumns({"arc": F.struct(F.first("row").over(alike).alias("row"), F.first("part").over(alike).alias("part")), "nth": F.row_number().over(alike)})
+    told = tables.write(told.select("row", "key", "ring", "part", "arc", "backwards", F.when(c("nth") == 1, c("points")).alias("points")))
+    return told.where("points is not null").select("arc", "points"), told.drop("points")
 
 
 def _lines(arcs: DataFrame) -> DataFrame:
     """(arc, i, j, x1, y1, x2, y2): the lines between neighbouring kept points."""
-    pairs = F.transform(F.slice("kept", 1, F.size("kept") - 1), lambda i, n: F.struct(i.alias("i"), F.get("kept", n + 1).alias("j")))
-    at = lambda i: F.get("points", F.col(i))
-    steps = arcs.select("arc", "points", F.explode(pairs).alias("s")).select("arc", "points", "s.i", "s.j")
-    return steps.select("arc", "i", "j", at("i")["x"].alias("x1"), at("i")["y"].alias("y1"), at("j")["x"].alias("x2"), at("j")["y"].alias("y2"))
+    step = lambda i, n: F.struct(i.alias("i"), F.get("kept", n + 1).alias("j"), F.get("points", i).alias("a"), F.get("points", F.get("kept", n + 1)).alias("b"))
+    steps = arcs.select("arc", F.explode(F.filter(F.transform("kept", step), lambda s: s["j"].isNotNull())).alias("s"))
+    return steps.select("arc", "s.i", "s.j", F.col("s.a.x").alias("x1"), F.col("s.a.y").alias("y1"), F.col("s.b.x").alias("x2"), F.col("s.b.y").alias("y2"))
 
 
 def simplify_shared(rings: DataFrame, tolerance: float, key: str = "key", ring: str = "ring", points: str = "points", digits: int = 9) -> DataFrame:
@@ -110,20 +149,19 @@ def simplify_shared(rings: DataFrame, tolerance: float, key: str = "key", ring:
     points left to take back (then the given rings met there already).
     """
     tables = Tables(rings.sparkSession)
-    arcs, parts = arcs_of(rings, key, ring, points, digits)
-    parts = tables.write(parts)
+    arcs, parts = arcs_of(rings, key, ring, points, digits, tables)
     numbered = F.sequence(F.lit(0), F.size("points") - 1)
     kept = F.filter(numbered, lambda i: F.get("worth", i) > tolerance)
     state = tables.write(_valued(arcs).withColumn("kept", kept))
     c = F.col
     while True:
-        lines = tables.write(_lines(state).withColumn("key", F.lit(0)).withColumn("edge", F.struct("arc", "i")))
-        met = meetings(lines, cell_size(lines), digits).select("edge", "x", "y").join(lines, "edge")
-        inner = met.where(~((c("x") == c("x1")) & (c("y") == c("y1"))) & ~((c("x") == c("x2")) & (c("y") == c("y2")))).select("arc", "i", "j")
+        # Only a line that leaves out points can give one back, so only pairs with such a line are looked at.
+        lines = tables.write(_lines(state).withColumns({"key": F.lit(0), "edge": F.monotonically_increasing_id(), "short": c("j") > c("i") + 1}))
+        inner = meetings(lines, cell_size(lines), digits, asked="short").select("edge").distinct().join(lines, "edge").select("arc", "i", "j")
         one, two = F.struct(c("x1").alias("x"), c("y1").alias("y")), F.struct(c("x2").alias("x"), c("y2").alias("y"))
-        same = lines.withColumn("a", F.least(one, two)).withColumn("b", F.greatest(one, two))
-        double = same.join(same.groupBy("a", "b").count().where("count > 1").select("a", "b"), ["a", "b"], "left_semi").select("arc", "i", "j")
-        wrong = tables.write(inner.unionByName(double).where("j > i + 1").distinct())
+        same = lines.select("arc", "i", "j", "short", F.least(one, two).alias("a"), F.greatest(one, two).alias("b"))
+        double = same.where("short").join(same.groupBy("a", "b").count().where("count > 1").select("a", "b"), ["a", "b"], "left_semi").select("arc", "i", "j")
+        wrong = tables.write(inner.unionByName(double).distinct())
         if not wrong.limit(1).count():
             break
         back = wrong.groupBy("arc").agg(F.collect_list(F.struct("i", "j")).alias("wrong"))  # lines of one arc
@@ -134,8 +172,8 @@ def simplify_shared(rings: DataFrame, tolerance: float, key: str = "key", ring:
         tables.drop(before, lines, wrong)
     short = state.select("arc", F.transform("kept", lambda i: F.get("points", i)).alias("line"))
     own = parts.join(short, "arc").withColumn("line", F.when(c("backwards"), F.reverse("line")).otherwise(c("line")))
-    own = own.select("key", "ring", F.struct("part", F.slice("line", 1, F.size("line") - 1).alias("line")).alias("piece"))
-    made = own.groupBy("key", "ring").agg(F.array_sort(F.collect_list("piece")).alias("pieces"))
+    own = own.select("row", "key", "ring", F.struct("part", F.slice("line", 1, F.size("line") - 1).alias("line")).alias("piece"))
+    made = own.groupBy("row", "key", "ring").agg(F.sort_array(F.collect_list("piece")).alias("pieces"))
     out = tables.write(made.select(c("key").alias(key), c("ring").alias(ring), F.flatten(F.transform("pieces", lambda p: p["line"])).alias(points)))
     tables.drop_all_but(out)
     return out

@@ -62,33 +62,36 @@ def edges_of_rings(rings: DataFrame, key: str, ring: str, points: str, hole: Col
     Rings are closed if they aren't; outer ones are turned anticlockwise, those where
     `hole` holds clockwise.  Rings of fewer than three points have no edges.
     """
-    nth = lambda k: F.get(points, k)
     n = F.size(points)
-    after = lambda i: F.when(i + 1 < n, nth(i + 1)).otherwise(nth(F.lit(0)))
-    double = F.aggregate(F.transform(points, lambda p, i: p["x"] * after(i)["y"] - after(i)["x"] * p["y"]), F.lit(0.0), lambda a, x: a + x)
+    pairs = F.zip_with(points, F.concat(F.slice(points, 2, n), F.slice(points, 1, 1)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    double = F.aggregate("__steps", F.lit(0.0), lambda s, e: s + (e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"]))
     turned = (double < 0) != F.coalesce(hole if hole is not None else F.lit(False), F.lit(False))
-    steps = rings.where(n >= 3).select(F.col(key).alias("key"), F.col(ring).alias("ring"), turned.alias("turned"), F.explode(F.transform(points, lambda p, i: F.struct(p.alias("a"), after(i).alias("b")))).alias("e"))
+    # Out of a generator, so that the pairs are made once.
+    steps = rings.where(n >= 3).withColumn("__steps", F.explode(F.array(pairs)))
+    steps = steps.select(F.col(key).alias("key"), F.col(ring).alias("ring"), turned.alias("turned"), F.explode("__steps").alias("e"))
     one, two = (lambda f: F.when(F.col("turned"), F.col(f"e.b.{f}")).otherwise(F.col(f"e.a.{f}"))), (lambda f: F.when(F.col("turned"), F.col(f"e.a.{f}")).otherwise(F.col(f"e.b.{f}")))
     return steps.select("key", "ring", one("x").alias("x1"), one("y").alias("y1"), two("x").alias("x2"), two("y").alias("y2")).where("x1 <> x2 or y1 <> y2")
 
 
-def meetings(edges: DataFrame, size: float, digits: int, within: DataFrame | None = None) -> DataFrame:
-    """(key, edge, x, y): where an edge (key, edge, x1, y1, x2, y2) meets others of its key, its own ends included perhaps.
+def meetings(edges: DataFrame, size: float, digits: int, within: DataFrame | None = None, asked: str | None = None) -> DataFrame:
+    """(key, edge, x, y): where an edge (key, edge, x1, y1, x2, y2) meets others of its key, its own ends left out.
 
     An end of one on the other (within the rounding) cuts that one there; edges that
-    cross elsewhere are both cut at the crossing.  With `within` only the cells (key, cx, cy) are looked into.
+    cross elsewhere are both cut at the crossing.  With `within` only the cells (key, cx, cy) are looked into,
+    with `asked` (a boolean column) only what the edges meet where it holds.
     """
+    edges = edges.withColumn("asked", F.col(asked) if asked else F.lit(True))
     held = crossed_cells(edges, size)
     held = held if within is None else held.join(within, ["key", "cx", "cy"], "left_semi")
     near = 10.0**-digits
-    names = ("edge", "x1", "y1", "x2", "y2")
+    names = ("edge", "x1", "y1", "x2", "y2", "asked")
     other = held.select("key", "cx", "cy", *[F.col(c).alias(f"o_{c}") for c in names])
     c = F.col
     # Edges have many cells, so the sizes are guessed too small for a broadcast.
-    pairs = held.join(other.hint("merge"), ["key", "cx", "cy"]).where("edge < o_edge").select("key", *names, *[f"o_{n}" for n in names])
+    pairs = held.where("asked").join(other.hint("merge"), ["key", "cx", "cy"]).where("edge < o_edge or not o_asked").select("key", *names, *[f"o_{n}" for n in names])
     apart = (F.greatest("x1", "x2") + near < F.least("o_x1", "o_x2")) | (F.greatest("o_x1", "o_x2") + near < F.least("x1", "x2")) | (F.greatest("y1", "y2") + near < F.least("o_y1", "o_y2")) | (F.greatest("o_y1", "o_y2") + near < F.least("y1", "y2"))
     pairs = pairs.where(~apart)
-    mine, theirs = [c(n) for n in names[1:]], [c(f"o_{n}") for n in names[1:]]
+    mine, theirs = [c(n) for n in names[1:5]], [c(f"o_{n}") for n in names[1:5]]
     ends = [(c("edge"), c("o_x1"), c("o_y1"), mine), (c("edge"), c("o_x2"), c("o_y2"), mine), (c("o_edge"), c("x1"), c("y1"), theirs), (c("o_edge"), c("x2"), c("y2"), theirs)]
 
     def share(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
@@ -109,8 +112,11 @@ def meetings(edges: DataFrame, size: float, digits: int, within: DataFrame | Non
     t, u = c("m.__t"), c("m.__u")
     crosses = F.coalesce(none & (t > 0) & (t < 1) & (u > 0) & (u < 1), F.lit(False))
     x, y = F.round(c("x1") + t * ax, digits), F.round(c("y1") + t * ay, digits)
-    cuts = [*[(e, px, py, c(f"m.h{i}")) for i, (e, px, py, _) in enumerate(ends)], (c("edge"), x, y, crosses), (c("o_edge"), x, y, crosses)]
-    listed = F.array(*[F.when(F.coalesce(hit, F.lit(False)), F.struct(e.alias("edge"), px.alias("x"), py.alias("y"))) for e, px, py, hit in cuts])
+    at_end = lambda px, py, of: ((px == of[0]) & (py == of[1])) | ((px == of[2]) & (py == of[3]))
+    cuts = [*[(e, px, py, c(f"m.h{i}"), of) for i, (e, px, py, of) in enumerate(ends)], (c("edge"), x, y, crosses, mine), (c("o_edge"), x, y, crosses, theirs)]
+    # What an edge meets at its own ends is most of all, and is left out before it is shuffled.
+    hits = [(e, px, py, F.coalesce(hit, F.lit(False)) & ~at_end(px, py, of) & (c("o_asked") if of is theirs else F.lit(True))) for e, px, py, hit, of in cuts]
+    listed = F.array(*[F.when(hit, F.struct(e.alias("edge"), px.alias("x"), py.alias("y"))) for e, px, py, hit in hits])
     return pairs.select("key", F.explode(F.filter(listed, lambda s: s.isNotNull())).alias("cut")).select("key", "cut.*").distinct()
 
 

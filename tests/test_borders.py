@@ -103,3 +103,28 @@ def test_small_and_closed_rings(spark):
     got = simplified(spark, rings, 100.0)
     assert {k: set(v) for k, v in got.items()} == {("a", 0): {(0, 0), (1, 0), (1, 1)}, ("b", 0): {(5, 5), (6, 5), (6, 6)}}
     assert borders.simplify_shared(frame(spark, rings).limit(0), 1.0).count() == 0
+
+
+def test_rings_of_one_file_are_spread(spark, monkeypatch):
+    """One task may read all rings, but what grows out of them is many tasks' work."""
+    files, write = [], borders.Tables.write
+    monkeypatch.setattr(borders.Tables, "write", lambda self, df, *f: (made := write(self, df, *f), files.append(len(made.inputFiles())))[0])
+    rings = frame(spark, mosaic(random.Random(5), 4, 4, 0.05)).coalesce(1)
+    assert borders.simplify_shared(rings, 0.01).count() == 16 and files[0] >= 4
+
+
+def test_own_ends_are_no_meetings(spark):
+    """Lines that share ends only, a crossing, and an end that stands on another line."""
+    lines = [(0, 0, 0, 4, 0, True), (1, 4, 0, 4, 4, False), (2, 4, 4, 0, 0, True), (3, 0, 0, 0, 4, False), (4, 2, -1, 2, 1, False), (5, 1, 0, 1, -3, False)]
+    df = spark.createDataFrame([(0, e, *map(float, p), s) for e, *p, s in lines], "key int, edge int, x1 double, y1 double, x2 double, y2 double, short boolean")
+    told = lambda **k: {(r["edge"], r["x"], r["y"]) for r in overlay.meetings(df, 3.0, 9, **k).collect()}
+    assert told() == {(0, 2.0, 0.0), (4, 2.0, 0.0), (0, 1.0, 0.0)}
+    assert told(asked="short") == {(0, 2.0, 0.0), (0, 1.0, 0.0)}
+
+
+def test_a_ring_that_turns_back_parts_there(spark):
+    """A spike out and back: its tip and its foot stay, however great the tolerance, and a long ring's points are all told."""
+    spike = [(0, 0), (4, 0), (4, 4), (2, 4), (2, 7), (2, 4), (0, 4)]
+    got = simplified(spark, {("a", 0): spike, ("b", 0): [(math.cos(i / 400), math.sin(i / 400)) for i in range(2500)]}, 0.0)
+    assert {(2.0, 7.0), (2.0, 4.0)} <= set(got["a", 0]) and len(got["a", 0]) == 7
+    assert len(set(got["b", 0])) == 2500
