@@ -77,12 +77,12 @@ def meetings(edges: DataFrame, size: float, digits: int, within: DataFrame | Non
     """(key, edge, x, y): where an edge (key, edge, x1, y1, x2, y2) meets others of its key, its own ends left out.
 
     An end of one on the other (within the rounding) cuts that one there; edges that
-    cross elsewhere are both cut at the crossing.  With `within` only the cells (key, cx, cy) are looked into,
-    with `asked` (a boolean column) only what the edges meet where it holds.
+    cross elsewhere are both cut at the crossing.  With `within` only the cells (key, cx, cy, open0, open1) are looked into,
+    and there only the edges (with n0, n1) that may bound the result, with `asked` (a boolean column) only what the edges meet where it holds.
     """
     edges = edges.withColumn("asked", F.col(asked) if asked else F.lit(True))
     held = crossed_cells(edges, size)
-    held = held if within is None else held.join(within, ["key", "cx", "cy"], "left_semi")
+    held = held if within is None else held.join(within, ["key", "cx", "cy"]).where(_MATTERS)
     near = 10.0**-digits
     names = ("edge", "x1", "y1", "x2", "y2", "asked")
     other = held.select("key", "cx", "cy", *[F.col(c).alias(f"o_{c}") for c in names])
@@ -120,27 +120,34 @@ def meetings(edges: DataFrame, size: float, digits: int, within: DataFrame | Non
     return pairs.select("key", F.explode(F.filter(listed, lambda s: s.isNotNull())).alias("cut")).select("key", "cut.*").distinct()
 
 
+#: Where an edge may bound the result: in cells where a layer may, and the edge changes that layer's winding number.
+_MATTERS = "(open0 and n0 <> 0) or (open1 and n1 <> 0)"
+
+
 def _open_cells(told: DataFrame, size: float, digits: int, inside: Callable[[Column, Column], Column]) -> DataFrame:
-    """(key, cx, cy): the cells with edges in which the result may begin or end; cut.
+    """(key, cx, cy, open0, open1): the cells with edges in which the result may begin or end, and at which layer's edges; cut.
 
     From a cell's corner a straight way leads to each place of the cell, and it meets each of the
     cell's edges once at most.  So the winding numbers differ from the corner's by no more than
     these edges weigh, and if the rule says the same at both ends of that range the
-    cell lies wholly inside the result or outside it.
+    cell lies wholly inside the result or outside it.  If it does for one layer's range, whatever the other layer's,
+    that layer's edges bound nothing there: where a clip's box passes over thickly covered ground, only the box's own edges do.
     """
     c = F.col
     # Ends of pieces are rounded, so edges that pass that near count as well.
     weigh = crossed_cells(told, size, 4 * 10.0**-digits).groupBy("key", "cx", "cy").agg(F.sum(F.abs("n0")).alias("m0"), F.sum(F.abs("n1")).alias("m1"))
     at = _corners(weigh.select("key", "cx", "cy"), told, size)
-    ends = [inside(c("b0") + i * c("m0"), c("b1") + j * c("m1")) for i in (-1, 1) for j in (-1, 1)]
-    return cut_lineage(weigh.join(at, ["key", "cx", "cy"]).where((ends[0] != ends[1]) | (ends[0] != ends[2]) | (ends[0] != ends[3])).select("key", "cx", "cy"))
+    low, high = ([inside(c("b0") + i * c("m0"), c("b1") + j * c("m1")) for j in (-1, 1)] for i in (-1, 1))
+    open0, open1 = (low[0] != high[0]) | (low[1] != high[1]), (low[0] != low[1]) | (high[0] != high[1])
+    return cut_lineage(weigh.join(at, ["key", "cx", "cy"]).select("key", "cx", "cy", open0.alias("open0"), open1.alias("open1")).where("open0 or open1"))
 
 
 def pieces(edges: DataFrame, size: float, digits: int, inside: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """(key, x1, y1, x2, y2, n0, n1): edges (key, layer, x1 ...) cut where they meet, equal ones made one; cut.
 
     With `inside` (a rule of RULES) cells that lie wholly inside or outside the result aren't
-    looked into; pieces that touch one can't bound the result and have `whole` false: they may be uncut there.
+    looked into, nor edges of a layer that can't bound it in the cell; pieces that touch a cell where they
+    aren't looked at can't bound the result and have `whole` false: they may be uncut there.
 
     Pieces run upwards (or to the right, if level); `net` is, for each of the two layers, how
     much greater the winding number is to the left of it than to the right.  Pieces
@@ -170,9 +177,8 @@ def pieces(edges: DataFrame, size: float, digits: int, inside: Callable[[Column,
     one = cut_lineage(spread(one.where("n0 <> 0 or n1 <> 0")))
     if not inside:
         return one
-    known = open_cells.withColumn("open", F.lit(True))
     names = ["key", "x1", "y1", "x2", "y2", "n0", "n1"]
-    marked = crossed_cells(one, size).join(known, ["key", "cx", "cy"], "left").groupBy(*names).agg(F.min(F.coalesce("open", F.lit(False))).alias("whole"))
+    marked = crossed_cells(one, size).join(open_cells, ["key", "cx", "cy"], "left").groupBy(*names).agg(F.min(F.coalesce(F.expr(_MATTERS), F.lit(False))).alias("whole"))
     return cut_lineage(marked)
 
 

@@ -127,3 +127,32 @@ def test_cells_deep_inside_are_not_looked_into(spark):
     assert known.count() < all_of.count() / 2
     slow, quick = (overlay.area(overlay.overlay(given, rule)).first() for rule in (lambda a, b: (a > 0) | (b > 0), overlay.union))
     assert quick["area"] == pytest.approx(slow["area"], abs=1e-6) and quick["perimeter"] == pytest.approx(slow["perimeter"], abs=1e-6)
+
+
+def test_a_clip_over_covered_ground_pairs_only_its_box(spark):
+    """Where a clip's box passes over thickly covered ground, the edges below it aren't paired, with one another or with the box."""
+    r = random.Random(6)
+    ground = edges(spark, [("k", 0, blob(r, r.gauss(0, 1), r.gauss(0, 1), 1.2, 5), False) for _ in range(120)])
+    both = ground.unionByName(edges(spark, [("k", 1, box(-0.9, -0.7, 1.1, 0.8), False)]))
+    size = overlay.cell_size(both) / overlay.FINER
+    made = overlay.pieces(both, size, 9, overlay.intersection)
+    assert made.count() < both.count() + 30
+    assert {(x["n0"], x["n1"]) for x in made.where("whole").select("n0", "n1").distinct().collect()} == {(0, 1), (0, -1)}
+    got = overlay.area(overlay.clip_box(ground.drop("layer"), (-0.9, -0.7, 1.1, 0.8))).first()
+    assert got["area"] == pytest.approx(3.0, abs=1e-6) and got["perimeter"] == pytest.approx(7.0, abs=1e-6)
+
+
+def test_layers_share_borders(spark):
+    """Edges and parts of edges that lie on edges of the other layer, thick and thin: counted in whole cells, by every rule."""
+    r = random.Random(12)
+    polygons, cells = [], [set(), set()]
+    for layer, n in ((0, 60), (1, 12)):
+        for _ in range(n):
+            x, y, w, h = r.randrange(9), r.randrange(9), r.randrange(1, 6), r.randrange(1, 6)
+            polygons.append(("k", layer, box(x, y, x + w, y + h), False))
+            cells[layer].update((i, j) for i in range(x, x + w) for j in range(y, y + h))
+    given = edges(spark, polygons)
+    border = lambda own: sum((i + a, j + b) not in own for i, j in own for a, b in ((0, 1), (1, 0), (0, -1), (-1, 0)))
+    for rule, own in ((overlay.union, cells[0] | cells[1]), (overlay.intersection, cells[0] & cells[1]), (overlay.difference, cells[0] - cells[1])):
+        got = overlay.area(overlay.overlay(given, rule)).first()
+        assert (got and (round(got["area"], 6), round(got["perimeter"], 6))) == (own and (len(own), border(own)) or None), rule.__name__
